@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import decontaminate, line_dedup, packing
 
 QUERIES = {
+    "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op7_packing": packing.op7_packing,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 ORACLES = {
+    "op2_decontaminate": decontaminate.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
 }
