@@ -75,6 +75,15 @@ def in_blocks(docs: DataFrame, n_blocks: int, keep: tuple[str, ...] = ()) -> Dat
     )
 
 
+def data_of(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, data) and keep_0, keep_1, ...: UTF-8 text, null as empty."""
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"),
+        *(F.col(k).alias(f"keep_{i}") for i, k in enumerate(keep)),
+    )
+
+
 def binary_column(col: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """An Arrow binary column as one uint8 buffer and n + 1 offsets into it; null as empty."""
     arr = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
