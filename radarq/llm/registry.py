@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, packing, toxicity
+from . import decontaminate, line_dedup, packing, suffix_dedup, toxicity
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op7_packing": packing.op7_packing,
     "op8_toxicity": toxicity.op8_toxicity,
