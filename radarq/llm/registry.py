@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, packing, suffix_dedup, toxicity
+from . import decontaminate, line_dedup, near_duplicates, packing, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op5_ngram_jaccard_join": near_duplicates.op5_ngram_jaccard_join,
     "op7_packing": packing.op7_packing,
     "op8_toxicity": toxicity.op8_toxicity,
     "op10_line_dedup": line_dedup.op10_line_dedup,
