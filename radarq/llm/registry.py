@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, near_duplicates, packing, suffix_dedup, toxicity
+from . import decontaminate, html_text, line_dedup, near_duplicates, packing, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_ngram_jaccard_join": near_duplicates.op5_ngram_jaccard_join,
     "op7_packing": packing.op7_packing,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_html_extraction": html_text.op9_html_extraction,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 ORACLES = {
