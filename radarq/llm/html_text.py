@@ -217,6 +217,9 @@ def select(root: Node) -> Node | None:
     for node in path:
         if node.tag == "main":
             return node
+    inside = [n for n in nodes if n.tag in ("article", "main") and n.chars * 2 >= body.chars]
+    if inside:
+        return inside[0]
     least = min((n.density for n in path if n.tag not in ("html", "body")), default=0.0)
     top = core
     for node in path[1:]:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, line_dedup, near_duplicates, packing, suffix_dedup, toxicity
+from . import audio, decontaminate, html_text, line_dedup, near_duplicates, packing, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op5_ngram_jaccard_join": near_duplicates.op5_ngram_jaccard_join,
+    "op6_media_columns": audio.op6_media_columns,
     "op7_packing": packing.op7_packing,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_html_extraction": html_text.op9_html_extraction,
