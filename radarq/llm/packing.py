@@ -33,7 +33,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, SLICE):
                 piece = batch.slice(k, SLICE)
-                ids = [np.append(enc.ids(t or ""), np.uint32(end)).astype(kind) for t in piece["text"].to_pylist()]
+                ids = [np.append(x, np.uint32(end)).astype(kind) for x in enc.ids([t or "" for t in piece["text"].to_pylist()])]
                 n = np.array([len(x) for x in ids], np.int64)
                 local = at + np.cumsum(n) - n
                 at += int(n.sum())

@@ -26,13 +26,13 @@ from . import common as C
 WINDOW = 50
 GRAM = 16
 SHARD_BYTES = 8 << 20  # of text a shard stands for
-INDEX_BYTES = 4 << 20  # of segments indexed at once
+INDEX_BYTES = 1 << 19  # of segments indexed at once
 END = 0  # symbol after each segment; bytes are 1 to 256
 
 Key = C.Key
-HASHES = "shard int, block int, keys binary, first binary, last binary"
-REPEATED = "block int, keys binary"
-SEGMENTS = "shard int, block int, number binary, key binary, size binary, bytes binary, first binary, last binary"
+HASHES = "shard int, block int, prints binary, several binary"
+REPEATED = "block int, shard int, prints binary"
+SEGMENTS = "shard int, block int, n int, bytes binary"
 RUNS = "block int, number binary, start binary, length binary, holder binary"
 
 
@@ -43,20 +43,22 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     if n < WINDOW:
         return none.view(np.uint64), none, none, none
     parts = []
-    piece = 1 << 18
+    piece = 1 << 15
     for base in range(0, n - WINDOW + 1, piece):
         top = min(n, base + piece + WINDOW - 1)
-        padded = np.r_[data[base:top], np.zeros(8, np.uint8)]
-        words = np.lib.stride_tricks.as_strided(padded.view(np.uint8), (top - base, 8), (1, 1))
-        eight = np.ascontiguousarray(words).view("<u8").ravel()
         m = top - base - GRAM + 1
+        eight = np.empty((top - base + 15) // 8 * 8, np.uint64)  # the eight bytes from each position on
+        padded = np.zeros(len(eight) + 8, np.uint8)
+        padded[: top - base] = data[base:top]
+        for off in range(8):
+            eight[off::8] = padded[off : off + len(eight)].view("<u8")
         x = eight[:m] * np.uint64(0x9E3779B97F4A7C15)
-        x ^= x >> np.uint64(29)
-        x += eight[8 : 8 + m]
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(32)
+        y = eight[8 : 8 + m] * np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(31)
+        y ^= y >> np.uint64(29)
+        x += y
         x *= np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(29)
+        x ^= x >> np.uint64(32)
         reach = 1
         while reach < span:  # smallest of the next `span` hashes, by doubling
             step = min(reach, span - reach)
@@ -73,31 +75,33 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return least[new], at[new], np.diff(np.r_[new, len(doc)]), doc[new]
 
 
-def suffix_array(symbols: np.ndarray) -> np.ndarray:
-    """Order of all suffixes of symbols (0 to 256), by prefix doubling from seven symbols on."""
+def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
+    """Suffixes of symbols (0 to 256) in the order of their first `depth` symbols at least, by prefix doubling from seven on.
+
+    That much order is enough for prefixes below `depth`: rows that tie then move only among
+    themselves under the LF-mapping, never across a boundary of a shorter common prefix.
+    """
     n = len(symbols)
     padded = np.r_[symbols.astype(np.int64) + 1, np.zeros(8, np.int64)]
     key = np.zeros(n, np.int64)
     for j in range(7):
-        key = (key << 9) | padded[j : j + n]
-    order = np.argsort(key, kind="stable")
-    new = np.r_[True, key[order][1:] != key[order][:-1]]
-    rank = np.empty(n, np.int64)
-    rank[order] = np.cumsum(new) - 1
+        key <<= 9
+        key |= padded[j : j + n]
+    order = np.argsort(key)
+    key = key[order]
+    new = np.r_[True, key[1:] != key[:-1]]
+    rank = np.zeros(n + depth, np.int64)  # 0: behind the end
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(1, n + 1), 0))
     reach = 7
-    while not new.all():
+    while reach < depth and not new.all():
         # only suffixes that still tie are sorted anew, inside their ties
         tied = np.flatnonzero(~(new & np.r_[new[1:], True]))
         who = order[tied]
-        behind = np.where(who + reach < n, rank[np.minimum(who + reach, n - 1)] + 1, 0)
-        again = np.lexsort((behind, rank[who]))
-        who, behind = who[again], behind[again]
-        order[tied] = who
-        group = rank[who]
-        fresh = np.r_[True, (group[1:] != group[:-1]) | (behind[1:] != behind[:-1])]
-        new[tied] = fresh
-        head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-        rank[order] = head
+        key = rank[who] * (n + 1) + rank[who + reach]
+        again = np.argsort(key)
+        order[tied], key = who[again], key[again]
+        new[tied] = np.r_[True, key[1:] != key[:-1]]
+        rank[order] = np.maximum.accumulate(np.where(new, np.arange(1, n + 1), 0))
         reach *= 2
     return order
 
@@ -112,28 +116,33 @@ def parted(symbols: np.ndarray, order: np.ndarray, threshold: int) -> np.ndarray
     """
     n = len(order)
     preceding = symbols[order - 1]  # of the first suffix: the last symbol, an END
-    by_symbol = np.argsort(preceding, kind="stable")  # row of the LF-mapped position
+    rows = np.argsort(preceding, kind="stable").astype(np.int32)  # by LF-mapped position
     known = np.zeros(n + 1, bool)
     known[0] = known[n] = True
-    # level 0: boundaries between different first symbols
     starts = symbols[order]
-    fresh = np.flatnonzero(starts[1:] != starts[:-1]) + 1
+    fresh = np.flatnonzero(starts[1:] != starts[:-1]) + 1  # level 0: different first symbols
     known[fresh] = True
-    same = preceding[by_symbol][1:] == preceding[by_symbol][:-1]
-    goal = np.flatnonzero(same) + 1  # LF target rows whose upper neighbour begins with the same symbol
-    goal = goal[preceding[by_symbol[goal]] != END]
-    upper, lower = by_symbol[goal - 1], by_symbol[goal]
-    seen = np.zeros(n + 1, np.int32)
+    before = preceding[rows]
+    # LF-mapped rows whose upper neighbour begins with the same symbol
+    goal = (np.flatnonzero((before[1:] == before[:-1]) & (before[1:] != END)) + 1).astype(np.int32)
+    upper, lower = rows[goal - 1], rows[goal]
+    near = lower - upper == 1  # a boundary between the two is the row itself: no search
+    mapped = np.zeros(n + 1, np.int32)
+    mapped[lower[near]] = goal[near]
+    goal, upper, lower = goal[~near], upper[~near], lower[~near]
+    flags, seen = np.zeros(n + 1, np.int8), np.empty(n + 1, np.int32)
     for _ in range(threshold - 1):
-        flags = np.zeros(n + 1, np.int32)
         flags[fresh] = 1
-        np.cumsum(flags, out=seen)
-        hit = seen[lower] > seen[upper]
-        fresh = goal[hit]
+        np.cumsum(flags, dtype=np.int32, out=seen)
+        flags[fresh] = 0
+        hit = seen[lower] != seen[upper]
+        next_to = mapped[fresh]
+        fresh = np.r_[goal[hit], next_to[(next_to > 0) & ~known[next_to]]]
         if not len(fresh):
             break
         known[fresh] = True
-        goal, upper, lower = goal[~hit], upper[~hit], lower[~hit]
+        rest = ~hit
+        goal, upper, lower = goal[rest], upper[rest], lower[rest]
     return known[:n]
 
 
@@ -145,7 +154,7 @@ def earliest(pieces: list[np.ndarray], holder: np.ndarray) -> list[np.ndarray]:
     inside = np.ones(len(symbols), bool)
     inside[start + length] = False
     symbols[inside] = np.concatenate(pieces).astype(np.int16) + 1
-    order = suffix_array(symbols)
+    order = suffix_array(symbols, WINDOW + 1)
     cut = parted(symbols, order, WINDOW)
     piece = np.repeat(np.arange(len(pieces)), length + 1)
     whole = np.arange(len(symbols)) <= (start + length - WINDOW)[piece]
@@ -163,37 +172,34 @@ def _groups(values: np.ndarray) -> tuple[np.ndarray, list[slice]]:
     return values[at], [slice(a, b) for a, b in zip(at, np.r_[at[1:], len(values)])]
 
 
-def _fold(keys: np.ndarray, first: np.ndarray, last: np.ndarray):
-    order = np.argsort(keys, kind="stable")
-    keys, first, last = keys[order], first[order], last[order]
-    at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-    if not len(at):
-        return keys, first, last
-    return keys[at], np.minimum.reduceat(first, at), np.maximum.reduceat(last, at)
-
-
 def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The bytes of all spans, one after the other."""
     at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
     return data[at]
 
 
-def _repeated_segments(docs: pa.Table, replies: pa.Table):
-    """Segments of this block whose hash two documents hold, and the distinct ones among them."""
+def codes(keys: np.ndarray, n_shards: int) -> np.ndarray:
+    """Shard in the upper, 32-bit fingerprint in the lower half: equal fingerprints only make a group larger."""
+    mixed = C.mix(keys)
+    return ((mixed % np.uint64(n_shards)) << np.uint64(32)) | (mixed >> np.uint64(32))
+
+
+def _repeated_segments(docs: pa.Table, replies: pa.Table, n_shards: int):
+    """Segments of this block whose fingerprint two documents hold, and the distinct ones among them."""
     data, offsets = C.binary_column(docs["data"])
     ids = C.ids_of(docs["doc_id"])
     key, start, windows, doc = segments(data, offsets)
-    wanted = np.unique(np.concatenate([C.read(x, np.uint64) for x in replies["keys"]])) if replies.num_rows else np.zeros(0, np.uint64)
-    if len(wanted) and len(key):
-        at = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
-        use = wanted[at] == key
-        key, start, windows, doc = key[use], start[use], windows[use], doc[use]
+    code = codes(key, n_shards)
+    wanted = [np.uint64(s.as_py() << 32) | C.read(x, np.uint32).astype(np.uint64) for s, x in zip(replies["shard"], replies["prints"])]
+    if wanted and len(code):
+        known = np.sort(np.concatenate(wanted))
+        use = known[np.minimum(np.searchsorted(known, code), len(known) - 1)] == code
     else:
-        key, start, windows, doc = key[:0], start[:0], windows[:0], doc[:0]
-    size = windows + WINDOW - 1
+        use = np.zeros(len(code), bool)
+    code, start, size, doc = code[use], start[use], windows[use] + WINDOW - 1, doc[use]
     name = C.span_hashes(data, start, start + size)
     _, first_at, number = np.unique(name, return_index=True, return_inverse=True)
-    return data, offsets, ids, key, start, size, doc, first_at, number
+    return data, offsets, ids, code, start, size, doc, first_at, number
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -207,64 +213,73 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     n_shards = max(16, -(-n_bytes // SHARD_BYTES))
     blocks = C.in_blocks(docs, C.count_of_blocks(n_bytes)).groupBy("block")
 
-    def shard_of(keys: np.ndarray) -> np.ndarray:
-        return (C.mix(keys) % np.uint64(n_shards)).astype(np.int64)
-
     def hashes(key: Key, docs: pa.Table) -> pa.Table:
         data, offsets = C.binary_column(docs["data"])
         ids = C.ids_of(docs["doc_id"])
         keys, _, _, doc = segments(data, offsets)
-        keys, first, last = _fold(keys, ids[doc], ids[doc])
-        shard = shard_of(keys)
-        order = np.argsort(shard, kind="stable")
-        used, cut = _groups(shard[order])
-        pick = [order[c] for c in cut]
+        code = codes(keys, n_shards)
+        order = np.argsort(code)
+        code, held = code[order], ids[doc[order]]
+        at = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, np.int64)
+        several = np.minimum.reduceat(held, at) != np.maximum.reduceat(held, at) if len(at) else np.zeros(0, bool)
+        code = code[at]
+        used, cut = _groups(code >> np.uint64(32))
         return pa.table({
-            "shard": pa.array(used, pa.int32()), "block": pa.array([key[0].as_py()] * len(used), pa.int32()),
-            "keys": C.packed([keys[p] for p in pick]), "first": C.packed([first[p] for p in pick]), "last": C.packed([last[p] for p in pick]),
+            "shard": pa.array(used.astype(np.int32)), "block": pa.array([key[0].as_py()] * len(used), pa.int32()),
+            "prints": C.packed([code[c].astype(np.uint32) for c in cut]), "several": C.packed([np.packbits(several[c]) for c in cut]),
         })
 
     def repeated(key: Key, asked: pa.Table) -> pa.Table:
-        sent = [C.read(x, np.uint64) for x in asked["keys"]]
-        first, last = (np.concatenate([C.read(x, np.int64) for x in asked[k]]) for k in ("first", "last"))
-        keys, first, last = _fold(np.concatenate(sent), first, last)
-        keys = keys[first != last]
-        out = []
-        for mine in sent:
-            at = np.minimum(np.searchsorted(keys, mine), max(len(keys) - 1, 0))
-            out.append(mine[keys[at] == mine] if len(keys) else mine[:0])
-        some = [i for i, x in enumerate(out) if len(x)]
-        return pa.table({"block": asked["block"].combine_chunks().take(pa.array(some, pa.int64())), "keys": C.packed([out[i] for i in some])})
+        sent = [C.read(x, np.uint32) for x in asked["prints"]]
+        several = [np.unpackbits(C.read(x, np.uint8), count=len(p)).astype(bool) for x, p in zip(asked["several"], sent)]
+        every = np.sort(np.concatenate(sent + [p[m] for p, m in zip(sent, several)]))
+        twice = np.unique(every[1:][every[1:] == every[:-1]])  # sent by two blocks, or once with its mark
+        blocks, out = [], []
+        for block, mine in zip(asked["block"].to_pylist(), sent):
+            found = mine[twice[np.minimum(np.searchsorted(twice, mine), len(twice) - 1)] == mine] if len(twice) else mine[:0]
+            if len(found):
+                blocks.append(block)
+                out.append(found)
+        return pa.table({"block": pa.array(blocks, pa.int32()), "shard": pa.array([key[0].as_py()] * len(blocks), pa.int32()), "prints": C.packed(out)})
 
     def send(key: Key, docs: pa.Table, replies: pa.Table) -> pa.Table:
+        """Distinct segments as columns of numbers (number, fingerprint, size, smallest and largest doc_id), then their bytes."""
         import zstandard
 
-        data, _, ids, keys, start, size, doc, first_at, number = _repeated_segments(docs, replies)
+        data, _, ids, code, start, size, doc, first_at, number = _repeated_segments(docs, replies, n_shards)
         n = len(first_at)
         low, high = np.full(n, C.NO_ID), np.full(n, np.iinfo(np.int64).min)
         np.minimum.at(low, number, ids[doc])
         np.maximum.at(high, number, ids[doc])
-        shard = shard_of(keys[first_at])
-        order = np.argsort(shard, kind="stable")
-        used, cut = _groups(shard[order])
-        pick = [order[c] for c in cut]
-        squeeze = zstandard.ZstdCompressor(level=3).compress
+        code, start, size = code[first_at], start[first_at], size[first_at]
+        order = np.argsort(code, kind="stable")
+        used, cut = _groups(code[order] >> np.uint64(32))
+        squeeze, rows = zstandard.ZstdCompressor(level=3).compress, []
+        for c in cut:
+            p = order[c]
+            parts = p.astype(np.int32), code[p].astype(np.uint32), size[p].astype(np.int32), low[p], high[p], _gather(data, start[p], size[p])
+            rows.append(squeeze(b"".join(x.tobytes() for x in parts)))
         return pa.table({
-            "shard": pa.array(used, pa.int32()), "block": pa.array([key[0].as_py()] * len(used), pa.int32()),
-            "number": C.packed([p.astype(np.int32) for p in pick]), "key": C.packed([keys[first_at[p]] for p in pick]), "size": C.packed([size[first_at[p]].astype(np.int32) for p in pick]),
-            "bytes": pa.array([squeeze(_gather(data, start[first_at[p]], size[first_at[p]]).tobytes()) for p in pick], pa.binary()),
-            "first": C.packed([low[p] for p in pick]), "last": C.packed([high[p] for p in pick]),
+            "shard": pa.array(used.astype(np.int32)), "block": pa.array([key[0].as_py()] * len(used), pa.int32()),
+            "n": pa.array([c.stop - c.start for c in cut], pa.int32()), "bytes": pa.array(rows, pa.binary()),
         })
 
     def match(key: Key, sent: pa.Table) -> pa.Table:
         import zstandard
 
         expand = zstandard.ZstdDecompressor().decompress
-        keys, size, number, first, last = (np.concatenate([C.read(x, t) for x in sent[k]]) for k, t in (("key", np.uint64), ("size", np.int32), ("number", np.int32), ("first", np.int64), ("last", np.int64)))
+        parts: list[list[np.ndarray]] = []
+        count = sent["n"].to_numpy()
+        for n, x in zip(count.tolist(), sent["bytes"]):
+            raw, at, row = expand(x.as_buffer()), 0, []
+            for kind in (np.int32, np.uint32, np.int32, np.int64, np.int64):
+                row.append(np.frombuffer(raw, kind, n, at))
+                at += row[-1].nbytes
+            parts.append([*row, np.frombuffer(raw, np.uint8, offset=at)])
+        number, keys, size, first, last, data = (np.concatenate(x) for x in zip(*parts))
         size = size.astype(np.int64)
-        data = np.frombuffer(b"".join(expand(x.as_buffer()) for x in sent["bytes"]), np.uint8)
+        block = np.repeat(sent["block"].to_numpy(), count)
         start = np.cumsum(size) - size
-        block = np.repeat(sent["block"].to_numpy(), [len(x.as_buffer()) // 4 for x in sent["number"]])
         # equal segments become one, with the smallest doc_id of all blocks
         name = C.span_hashes(data, start, start + size)
         _, rep, same = np.unique(name, return_index=True, return_inverse=True)
@@ -312,9 +327,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         """replies: rows of both rounds, told apart by what is null."""
         import pyarrow.compute as pc
 
-        first = replies.filter(pc.is_valid(replies["keys"]))
+        first = replies.filter(pc.is_valid(replies["prints"]))
         second = replies.filter(pc.is_valid(replies["number"]))
-        data, offsets, ids, keys, start, size, doc, first_at, number = _repeated_segments(docs, first)
+        data, offsets, ids, _, start, size, doc, _, number = _repeated_segments(docs, first, n_shards)
         depth = np.zeros(len(data) + 1, np.int32)
         if second.num_rows:
             which, begin, length, holder = (np.concatenate([C.read(x, t) for x in second[k]]) for k, t in (("number", np.int32), ("start", np.int32), ("length", np.int32), ("holder", np.int64)))

@@ -9,6 +9,8 @@ tokenizer whole.
 from __future__ import annotations
 
 import re
+from collections import Counter
+from itertools import chain
 
 import numpy as np
 
@@ -16,37 +18,55 @@ import numpy as np
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 #: Texts of these characters only: no combining marks, no other scripts, nothing that NFC or lower-casing changes in length.
 PLAIN = re.compile(r"[\t\n\r -~¡-©«-±´¶-¸»¿-ÿ]*")
-MOST_PIECES = 400_000
+MOST_PIECES = 250_000  # kept by a worker
+AT_ONCE = 20_000  # pieces in one call of the tokenizer
 
 
 class Encoder:
-    """ids(text) as uint32; the file's ids, without special tokens."""
+    """ids(texts): the file's ids of each text as uint32, without special tokens."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
-
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.known) > MOST_PIECES:
-            self.known.clear()
-        for p, e in zip(pieces, self.whole.encode_batch(pieces, add_special_tokens=False)):
-            self.known[p] = np.array(e.ids, "<u4").tobytes()
-
-    def ids(self, text: str) -> np.ndarray:
-        if "<|" in text or not PLAIN.fullmatch(text):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
-        pieces = PIECE.findall(text.lower())
-        new = [p for p in set(pieces) if p not in self.known]
-        if new:
-            self._learn(new)
+        vocabulary = self.whole.get_vocab()
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.is_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
+
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
+        for k in range(0, len(pieces), AT_ONCE):
+            part = pieces[k : k + AT_ONCE]
+            ids = np.array(self.whole.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            end = np.flatnonzero(self.is_end[ids]) + 1  # the last id of each piece says so
+            if len(end) == len(part):
+                raw, at = ids.tobytes(), 0
+                for p, e in zip(part, (4 * end).tolist()):
+                    out[p] = raw[at:e]
+                    at = e
+            else:
+                out |= {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(part, self.whole.encode_batch(part, add_special_tokens=False))}
+        return out
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        cut = [None if "<|" in t or not PLAIN.fullmatch(t) else PIECE.findall(t.lower()) for t in texts]
         known = self.known
-        try:
-            return np.frombuffer(b"".join([known[p] for p in pieces]), "<u4")
-        except KeyError:  # cleared meanwhile
-            self._learn(list(set(pieces)))
-            return np.frombuffer(b"".join([self.known[p] for p in pieces]), "<u4")
+        new = Counter(chain.from_iterable({p for p in pieces if p not in known} for pieces in cut if pieces))
+        if new:
+            known.update(self._learn(list(new)))
+        get = known.__getitem__
+        out = [
+            np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4") if pieces is None else np.frombuffer(b"".join(map(get, pieces)), "<u4")
+            for t, pieces in zip(texts, cut)
+        ]
+        room = MOST_PIECES - len(known) + len(new)
+        for p, n in new.items():  # pieces of several texts come again; the others are forgotten
+            if n > 1 and room > 0:
+                room -= 1
+            else:
+                del known[p]
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
