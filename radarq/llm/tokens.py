@@ -9,8 +9,6 @@ tokenizer whole.
 from __future__ import annotations
 
 import re
-from collections import Counter
-from itertools import chain
 
 import numpy as np
 
@@ -18,7 +16,7 @@ import numpy as np
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 #: Texts of these characters only: no combining marks, no other scripts, nothing that NFC or lower-casing changes in length.
 PLAIN = re.compile(r"[\t\n\r -~¡-©«-±´¶-¸»¿-ÿ]*")
-MOST_PIECES = 250_000  # kept by a worker
+GENERATION = 200_000  # pieces; a worker keeps two generations
 AT_ONCE = 20_000  # pieces in one call of the tokenizer
 
 
@@ -33,12 +31,13 @@ class Encoder:
         self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
         self.is_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
         out: dict[str, bytes] = {}
         for k in range(0, len(pieces), AT_ONCE):
             part = pieces[k : k + AT_ONCE]
-            ids = np.array(self.whole.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.whole.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             end = np.flatnonzero(self.is_end[ids]) + 1  # the last id of each piece says so
             if len(end) == len(part):
                 raw, at = ids.tobytes(), 0
@@ -51,22 +50,20 @@ class Encoder:
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         cut = [None if "<|" in t or not PLAIN.fullmatch(t) else PIECE.findall(t.lower()) for t in texts]
-        known = self.known
-        new = Counter(chain.from_iterable({p for p in pieces if p not in known} for pieces in cut if pieces))
-        if new:
-            known.update(self._learn(list(new)))
+        if len(self.known) > GENERATION:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        new: set[str] = set()
+        for pieces in cut:
+            if pieces:
+                new.update(set(pieces).difference(known))
+        known.update({p: older[p] for p in new if p in older})
+        known.update(self._learn(list(new.difference(known))))
         get = known.__getitem__
-        out = [
+        return [
             np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4") if pieces is None else np.frombuffer(b"".join(map(get, pieces)), "<u4")
             for t, pieces in zip(texts, cut)
         ]
-        room = MOST_PIECES - len(known) + len(new)
-        for p, n in new.items():  # pieces of several texts come again; the others are forgotten
-            if n > 1 and room > 0:
-                room -= 1
-            else:
-                del known[p]
-        return out
 
 
 _encoders: dict[str, Encoder] = {}
