@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,24 @@ MIN_BLOCKS = 64
 
 Key = tuple[pa.Scalar, ...]
 
-_scratch: list[str] = []
+_recorders: list[list[str]] = []
+
+
+@contextmanager
+def recording(paths: list[str]) -> Iterator[None]:
+    """Paths of scratch tables written inside go to paths; whoever records may drop them later."""
+    _recorders.append(paths)
+    try:
+        yield
+    finally:
+        _recorders.remove(paths)
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete recorded tables; call only when nothing lazy reads them any more."""
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -41,17 +60,11 @@ def write_scratch(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}-{name}"
     df.write.option("compression", "zstd").parquet(path)
-    _scratch.append(path)
+    for paths in _recorders:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release_scratch(spark: SparkSession) -> None:
-    """Delete the tables written so far; call only when nothing lazy reads them any more."""
-    while _scratch:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

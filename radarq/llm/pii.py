@@ -252,5 +252,9 @@ def find_pii(docs: DataFrame, steps: int = STEPS) -> DataFrame:
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find_pii(C.table(spark, sf_dir, "documents"))
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
-    count = [F.size(F.filter("base", lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+
+    def of(kind: str):
+        return F.size(F.filter("base", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    count = [of(k) for k in KINDS]
     return out.select("doc_id", *count, F.sha2(text(F.col("base")).cast("binary"), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))

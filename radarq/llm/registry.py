@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import audio, decontaminate, html_text, line_dedup, near_duplicates, packing, suffix_dedup, toxicity
+from . import audio, decontaminate, html_text, line_dedup, near_duplicates, packing, pii, suffix_dedup, token_rollup, toxicity
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_pii": pii.op3_pii,
+    "op4_token_counts": token_rollup.op4_token_counts,
     "op5_ngram_jaccard_join": near_duplicates.op5_ngram_jaccard_join,
     "op6_media_columns": audio.op6_media_columns,
     "op7_packing": packing.op7_packing,
