@@ -44,15 +44,16 @@ def _windows(seconds: int, where: str = "TRUE") -> str:
     return f", w AS (SELECT *, sec // {seconds} * {seconds} AS window_start FROM p WHERE {where})" + _stats(WINDOW, "w")
 
 
-R = "round(max, 6) AS max, round(min, 6) AS min, round(media, 6) AS media, round(stdev, 6) AS stdev, round(p99, 6) AS p99"
+# Delays are multiples of 1/128 s: their sums, and so all of these, are the same in any order of summing.
+R = "max, min, media, stdev, p99"
 ORACLES["delay_windows_5min"] = PLOTS + _windows(300) + f"SELECT {WINDOW}, cuenta, {R} FROM s"
-ORACLES["delay_windows_mode"] = PLOTS + ", w AS (SELECT *, sec // 86400 * 86400 AS window_start FROM p)" + _stats("cat, window_start", "w") + "SELECT cat, window_start, cuenta, round(mode, 6) AS mode, round(p99, 6) AS p99 FROM s"
+ORACLES["delay_windows_mode"] = PLOTS + ", w AS (SELECT *, sec // 86400 * 86400 AS window_start FROM p)" + _stats("cat, window_start", "w") + "SELECT cat, window_start, cuenta, mode, p99 FROM s"
 ORACLES["delay_histogram"] = PLOTS + "SELECT sac, sic, cat, CAST(floor((delay + 8) * 10000 / 50) AS INTEGER) AS bin, count(*) AS n FROM p WHERE abs(delay) < 8 GROUP BY ALL"
-ORACLES["delay_windows_complete_only"] = PLOTS + _windows(86400) + f"SELECT {WINDOW}, cuenta, round(media, 6) AS media FROM s WHERE window_start + 86400 <= (SELECT max(ts) FROM p)"
+ORACLES["delay_windows_complete_only"] = PLOTS + _windows(86400) + f"SELECT {WINDOW}, cuenta, media FROM s WHERE window_start + 86400 <= (SELECT max(ts) FROM p)"
 ORACLES["delay_windows_compat"] = (
     PLOTS + _stats("sac, sic, cat", "p")
     + """, x AS (SELECT sac, sic, cat, min(bin) AS b, min(first_bin) AS f FROM c WHERE (cat = 1 AND seen >= total * 0.99::DOUBLE) OR (cat <> 1 AND seen > total * 0.99::DOUBLE) GROUP BY ALL)
-SELECT sac, sic, cat, cuenta, round(CASE WHEN b IS NULL OR b = f THEN 0 ELSE b * 0.005::DOUBLE - 8 END, 6) AS p99 FROM g LEFT JOIN x USING (sac, sic, cat)"""
+SELECT sac, sic, cat, cuenta, CASE WHEN b IS NULL OR b = f THEN 0 ELSE b * 0.005::DOUBLE - 8 END AS p99 FROM g LEFT JOIN x USING (sac, sic, cat)"""
 )
 ORACLES["delay_day_wrap"] = PLOTS + "SELECT seq, tod_stamp, tod, delay FROM p WHERE abs(tod_stamp - tod) > 43200"
 ORACLES["delay_sane"] = PLOTS + "SELECT seq, delay FROM p WHERE NOT flag_test AND abs(delay) < 8"
@@ -62,7 +63,7 @@ ORACLES["availability_upsert"] = (
 )
 ORACLES["archive_update"] = (
     PLOTS + _windows(3600)
-    + f"SELECT {WINDOW}, cuenta, round(CASE WHEN abs(mode) >= 8 THEN 0 ELSE mode END, 6) AS mode, round(CASE WHEN abs(min) >= 8 THEN 0 ELSE min END, 6) AS min, round(CASE WHEN abs(max) >= 8 THEN 0 ELSE max END, 6) AS max FROM s"
+    + f"SELECT {WINDOW}, cuenta, CASE WHEN abs(mode) >= 8 THEN 0 ELSE mode END AS mode, CASE WHEN abs(min) >= 8 THEN 0 ELSE min END AS min, CASE WHEN abs(max) >= 8 THEN 0 ELSE max END AS max FROM s"
 )
 ORACLES["availability_rollup"] = (
     PLOTS + _windows(300)
@@ -171,11 +172,11 @@ ORACLES["availability_statements"] = PLOTS + _windows(86400) + """SELECT printf(
 ORACLES["hex_dump"] = MARK + "SELECT seq, seq || 'a ' || regexp_replace(body, '(..)', '\\1 ', 'g') AS dump FROM b"
 ORACLES["file_names"] = PLOTS + "SELECT us // 600000000 * 600 AS lap_start, count(*) AS n, strftime(make_timestamp(us // 600000000 * 600000000), '%m/%d/%y%m%d-north-%H%M%S.ast') AS name FROM p GROUP BY us // 600000000"
 ORACLES["volume_by_part"] = (
-    "WITH v AS (SELECT l_returnflag, l_linestatus, l_quantity / 8.0::DOUBLE - 3 AS delay FROM lineitem)" + _stats("l_returnflag, l_linestatus", "v") + f"SELECT l_returnflag, l_linestatus, cuenta, {R}, round(mode, 6) AS mode FROM s"
+    "WITH v AS (SELECT l_returnflag, l_linestatus, l_quantity / 8.0::DOUBLE - 3 AS delay FROM lineitem)" + _stats("l_returnflag, l_linestatus", "v") + f"SELECT l_returnflag, l_linestatus, cuenta, {R}, mode FROM s"
 )
 # Streams report windows that the watermark, ten seconds behind the last reception, has passed.
 CLOSED = "WHERE window_start + {0} <= (SELECT max(us) FROM p) / 1000000.0::DOUBLE - 10"
 ORACLES["stream_delay_windows"] = ORACLES["delay_windows_5min"] + " " + CLOSED.format(300)
-ORACLES["stream_simple_windows"] = PLOTS + _windows(3600) + f"SELECT {WINDOW}, cuenta, round(media, 6) AS media FROM s " + CLOSED.format(3600)
+ORACLES["stream_simple_windows"] = PLOTS + _windows(3600) + f"SELECT {WINDOW}, cuenta, media FROM s " + CLOSED.format(3600)
 ORACLES["stream_dedup"] = ORACLES["dedup_4s"]
 ORACLES["stream_full_times"] = ORACLES["truncated_time_asof"]

@@ -15,7 +15,6 @@ from . import synthetic as S
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-STATS = ("max", "min", "media", "stdev", "mode", "p99")
 
 
 def query(f: Query) -> Query:
@@ -33,13 +32,13 @@ def delays(spark: SparkSession, sf_dir: str, table: S.Table = S.table) -> DataFr
 
 @query
 def delay_windows_5min(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(stats.delay_windows(delays(spark, sf_dir)).drop("mode"), "max", "min", "media", "stdev", "p99")
+    return stats.delay_windows(delays(spark, sf_dir)).drop("mode")
 
 
 @query
 def delay_windows_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = delays(spark, sf_dir).withColumn("window_start", clock.floor_to(F.floor("ts").cast("long"), 86400))
-    return rounded(stats.delay_statistics(told, ("cat", "window_start")).select("cat", "window_start", "cuenta", "mode", "p99"), "mode", "p99")
+    return stats.delay_statistics(told, ("cat", "window_start")).select("cat", "window_start", "cuenta", "mode", "p99")
 
 
 @query
@@ -50,13 +49,13 @@ def delay_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def delay_windows_complete_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = stats.delay_windows(delays(spark, sf_dir), include_last=False, period=86400)
-    return rounded(out.select(*stats.WINDOW, "cuenta", "media"), "media")
+    return out.select(*stats.WINDOW, "cuenta", "media")
 
 
 @query
 def delay_windows_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = delays(spark, sf_dir).withColumn("window_start", F.lit(0).cast("long"))
-    return rounded(stats.delay_statistics(told, compat=True).select("sac", "sic", "cat", "cuenta", "p99"), "p99")
+    return stats.delay_statistics(told, compat=True).select("sac", "sic", "cat", "cuenta", "p99")
 
 
 @query
@@ -82,8 +81,7 @@ def availability_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def availability_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = output.upsert_availability(availability_rows(spark, sf_dir)).drop("cat", "seq")
-    return rounded(out, "max", "min", "media", "stdev", "p99")
+    return output.upsert_availability(availability_rows(spark, sf_dir)).drop("cat", "seq")
 
 
 @query
@@ -95,7 +93,7 @@ def availability_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def archive_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = output.archive_update(stats.delay_windows(delays(spark, sf_dir), period=3600))
-    return rounded(out.select(*stats.WINDOW, "cuenta", "mode", "min", "max"), "mode", "min", "max")
+    return out.select(*stats.WINDOW, "cuenta", "mode", "min", "max")
 
 
 @query
@@ -395,4 +393,4 @@ def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def volume_by_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The histogram's statistics over the largest table: quantities as delays, by line status."""
     rows = S.table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", (F.col("l_quantity") / 8.0 - 3.0).alias("delay"))
-    return rounded(stats.delay_statistics(rows, ("l_returnflag", "l_linestatus")), *STATS)
+    return stats.delay_statistics(rows, ("l_returnflag", "l_linestatus"))
