@@ -146,24 +146,26 @@ def parted(symbols: np.ndarray, order: np.ndarray, threshold: int) -> np.ndarray
     return known[:n]
 
 
-def earliest(pieces: list[np.ndarray], holder: np.ndarray) -> list[np.ndarray]:
-    """For each window of each segment, the smallest holder of any segment with that window."""
-    length = np.array([len(p) for p in pieces])
-    symbols = np.zeros(length.sum() + len(pieces), np.int16)
-    start = np.cumsum(length + 1) - (length + 1)
+def earliest(data: np.ndarray, start: np.ndarray, size: np.ndarray, holder: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs (segment, begin, windows, least) of successive windows of each segment that have one smallest holder among all segments with that window."""
+    symbols = np.zeros(int(size.sum()) + len(size), np.int16)
+    head = np.cumsum(size + 1) - (size + 1)
     inside = np.ones(len(symbols), bool)
-    inside[start + length] = False
-    symbols[inside] = np.concatenate(pieces).astype(np.int16) + 1
+    inside[head + size] = False
+    symbols[inside] = _gather(data, start, size)
+    symbols[inside] += 1
     order = suffix_array(symbols, WINDOW + 1)
     cut = parted(symbols, order, WINDOW)
-    piece = np.repeat(np.arange(len(pieces)), length + 1)
-    whole = np.arange(len(symbols)) <= (start + length - WINDOW)[piece]
-    held = np.where(whole, holder[piece], C.NO_ID)[order]
-    head = np.flatnonzero(cut)
-    least = np.minimum.reduceat(held, head)
-    out = np.empty(len(symbols), np.int64)
-    out[order] = np.repeat(least, np.diff(np.r_[head, len(order)]))
-    return [out[s : s + n - WINDOW + 1] for s, n in zip(start, length)]
+    segment = np.repeat(np.arange(len(size), dtype=np.int32), size + 1)
+    whole = np.arange(len(symbols)) <= (head + size - WINDOW)[segment]
+    held = np.where(whole, holder[segment], C.NO_ID)[order]
+    first = np.flatnonzero(cut)
+    least = np.empty(len(symbols), np.int64)
+    least[order] = np.repeat(np.minimum.reduceat(held, first), np.diff(np.r_[first, len(order)]))
+    at = np.flatnonzero(whole)
+    least, segment = least[at], segment[at]
+    new = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (segment[1:] != segment[:-1])])
+    return segment[new], at[new] - head[segment[new]], np.diff(np.r_[new, len(at)]), least[new]
 
 
 def _groups(values: np.ndarray) -> tuple[np.ndarray, list[slice]]:
@@ -283,36 +285,28 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         # equal segments become one, with the smallest doc_id of all blocks
         name = C.span_hashes(data, start, start + size)
         _, rep, same = np.unique(name, return_index=True, return_inverse=True)
-        low, high = np.full(len(rep), C.NO_ID), np.full(len(rep), np.iinfo(np.int64).min)
+        low = np.full(len(rep), C.NO_ID)
         np.minimum.at(low, same, first)
-        np.maximum.at(high, same, last)
         order = np.argsort(keys[rep], kind="stable")
         _, cut = _groups(keys[rep][order])
-        runs: list = [None] * len(rep)
-        todo: list[int] = []
-        weight = 0
-
-        def settle() -> None:
-            for i, least in zip(todo, earliest([data[start[rep[i]] : start[rep[i]] + size[rep[i]]] for i in todo], low[todo])):
-                at = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-                runs[i] = at, np.diff(np.r_[at, len(least)]), least[at]
-
-        for c in cut:
-            group = order[c]
-            if len(group) == 1:  # one segment is one interval at every window
-                i = group[0]
-                runs[i] = np.zeros(1, np.int64), size[rep[group]] - WINDOW + 1, low[group]
-                continue
-            todo += group.tolist()
-            weight += int(size[rep[group]].sum())
-            if weight >= INDEX_BYTES:
-                settle()
-                todo, weight = [], 0
-        if todo:
-            settle()
-        count = np.array([len(r[0]) for r in runs])
+        group = np.array([c.start for c in cut] + [len(order)])
+        alone = np.diff(group) == 1  # one segment is one interval at every window
+        one = order[group[:-1][alone]]
+        parts_of = [(one, np.zeros(len(one), np.int64), size[rep[one]] - WINDOW + 1, low[one])]
+        # groups of several go into the index together, so many bytes at a time
+        several = np.repeat(~alone, np.diff(group))
+        members, weight = order[several], size[rep[order]]
+        number_of = np.repeat(np.arange(len(cut)), np.diff(group))[several]
+        before = np.r_[0, np.cumsum(weight[several])][np.searchsorted(number_of, number_of)] // INDEX_BYTES if len(members) else members
+        for c in _groups(before)[1]:
+            who = members[c]
+            segment, offs, length, holder = earliest(data, start[rep[who]], size[rep[who]], low[who])
+            parts_of.append((who[segment], offs, length, holder))
+        segment, offs, length, holder = (np.concatenate(x) for x in zip(*parts_of))
+        by_segment = np.argsort(segment, kind="stable")
+        offs, length, holder = offs[by_segment], length[by_segment], holder[by_segment]
+        count = np.bincount(segment, minlength=len(rep))
         begin = np.cumsum(count) - count
-        offs, length, holder = (np.concatenate([r[k] for r in runs]) for k in range(3))
         take = np.repeat(begin[same] - (np.cumsum(count[same]) - count[same]), count[same]) + np.arange(count[same].sum())
         row = np.repeat(np.arange(len(same)), count[same])
         useful = holder[take] < last[row]  # else no document of that block loses the run
