@@ -29,17 +29,18 @@ def tokenize(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, at = tokens.encoder(tokenizer), TaskContext.get().partitionId(), 0
-        kind = "<u2" if enc.whole.get_vocab_size() <= 65536 and end < 65536 else "<u4"
+        kind = "<u4" if end >= 1 << 16 else enc.kind
+        last = np.array([end], kind)
         for batch in batches:
             for k in range(0, batch.num_rows, SLICE):
                 piece = batch.slice(k, SLICE)
-                ids = [np.append(x, np.uint32(end)).astype(kind) for x in enc.ids([t or "" for t in piece["text"].to_pylist()])]
-                n = np.array([len(x) for x in ids], np.int64)
+                ids = [x.astype(kind, copy=False) for x in enc.ids([t or "" for t in piece["text"].to_pylist()])]
+                n = np.array([len(x) + 1 for x in ids], np.int64)
                 local = at + np.cumsum(n) - n
                 at += int(n.sum())
                 yield pa.RecordBatch.from_pydict({
                     "part": pa.array([part] * len(n), pa.int32()), "local": local, "doc_id": piece["doc_id"],
-                    "n": n, "wide": pa.array([kind == "<u4"] * len(n)), "ids": pa.array([x.tobytes() for x in ids], pa.binary()),
+                    "n": n, "wide": pa.array([kind == "<u4"] * len(n)), "ids": pa.array([x.tobytes() + last.tobytes() for x in ids], pa.binary()),
                 })
 
     schema = "part int, local long, doc_id long, n long, wide boolean, ids binary"

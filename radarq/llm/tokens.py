@@ -16,12 +16,12 @@ import numpy as np
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 #: Texts of these characters only: no combining marks, no other scripts, nothing that NFC or lower-casing changes in length.
 PLAIN = re.compile(r"[\t\n\r -~¡-©«-±´¶-¸»¿-ÿ]*")
-GENERATION = 200_000  # pieces; a worker keeps two generations
+GENERATION = 400_000  # pieces; a worker keeps two generations
 AT_ONCE = 20_000  # pieces in one call of the tokenizer
 
 
 class Encoder:
-    """ids(texts): the file's ids of each text as uint32, without special tokens."""
+    """ids(texts): the file's ids of each text, without special tokens, as `kind`: uint16 where the vocabulary allows, else uint32."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -30,6 +30,7 @@ class Encoder:
         vocabulary = self.whole.get_vocab()
         self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
         self.is_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.kind = "<u2" if len(self.is_end) <= 1 << 16 else "<u4"
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -37,15 +38,15 @@ class Encoder:
         out: dict[str, bytes] = {}
         for k in range(0, len(pieces), AT_ONCE):
             part = pieces[k : k + AT_ONCE]
-            ids = np.array(self.whole.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.whole.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.kind)
             end = np.flatnonzero(self.is_end[ids]) + 1  # the last id of each piece says so
             if len(end) == len(part):
                 raw, at = ids.tobytes(), 0
-                for p, e in zip(part, (4 * end).tolist()):
+                for p, e in zip(part, (ids.itemsize * end).tolist()):
                     out[p] = raw[at:e]
                     at = e
             else:
-                out |= {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(part, self.whole.encode_batch(part, add_special_tokens=False))}
+                out |= {p: np.array(e.ids, self.kind).tobytes() for p, e in zip(part, self.whole.encode_batch(part, add_special_tokens=False))}
         return out
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
@@ -61,7 +62,7 @@ class Encoder:
         known.update(self._learn(list(new.difference(known))))
         get = known.__getitem__
         return [
-            np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4") if pieces is None else np.frombuffer(b"".join(map(get, pieces)), "<u4")
+            np.array(self.whole.encode(t, add_special_tokens=False).ids, self.kind) if pieces is None else np.frombuffer(b"".join(map(get, pieces)), self.kind)
             for t, pieces in zip(texts, cut)
         ]
 
