@@ -28,40 +28,46 @@ def _stage(f: Stage) -> Stage:
     return run
 
 
-def _others(docs: DataFrame, *but: str) -> tuple[str, ...]:
-    return tuple(c for c in docs.columns if c not in but)
+def _bundled(docs: DataFrame, *but: str) -> DataFrame:
+    """doc_id, text and all columns but some as one, so that no name of theirs can clash with an operator's."""
+    return docs.select("doc_id", "text", F.struct(*(c for c in docs.columns if c not in but)).alias("_row"))
 
 
 @_stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored as toxic go; unscored columns stay as they are."""
-    scored = toxicity.toxicity(docs, C.table(spark, sf_dir, "labels"), keep=_others(docs, "doc_id"))
-    return scored.filter("predicted = 0").select(*docs.columns)
+    """Documents predicted as toxic go, empty and null texts by the share of such examples; all columns stay as they are."""
+    scored = toxicity.toxicity(_bundled(docs), C.table(spark, sf_dir, "labels"), keep=("_row",))
+    return scored.filter("predicted = 0").select("_row.*").select(*docs.columns)
 
 
 @_stage
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go from texts; n_chars follows. Documents stay, be they empty now."""
-    out = line_dedup.dedup_lines(docs, keep=_others(docs, "doc_id", "text"))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Repeated lines go from texts; n_chars follows. Documents stay, be they empty now; a null text becomes empty."""
+    out = line_dedup.dedup_lines(_bundled(docs, "text"), keep=("_row",))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*(new[c].alias(c) if c in new else F.col("_row")[c].alias(c) for c in docs.columns))
 
 
 @_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the smallest doc_id stays."""
+    """Of each group of near duplicates, the document with the smallest doc_id stays; rows without a doc_id stay.
+
+    Rows that repeat a doc_id are one document and stay or go together.
+    """
     others = near_duplicates.near_duplicates(docs).filter("class_id <> doc_id").select("doc_id").distinct()
     return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 
 
 @_stage
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold benchmark passages go."""
-    bad = decontaminate.contamination(docs, C.table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold benchmark passages go, with all rows of their doc_id; rows without one count as one document."""
+    bad = decontaminate.contamination(docs, C.table(spark, sf_dir, "benchmark")).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti").select(*docs.columns)
 
 
 @_stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 4096 tokens, as op7 gives them."""
     return packing.digest(packing.pack(docs))
 
 
