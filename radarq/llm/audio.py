@@ -115,7 +115,7 @@ def features(payloads: list[bytes]) -> tuple[list[np.ndarray], list[list[tuple[f
     for k in range(0, len(doc), SHAPE[0] * 32):
         rows = at[k : k + SHAPE[0] * 32]
         frames = np.lib.stride_tricks.sliding_window_view(sound, FRAME)[rows]
-        scaled = frames >> 8
+        scaled = frames >> 10  # so that a frame's sum of squares fits 32 bits
         energy[k : k + len(rows)] = np.einsum("ij,ij->i", scaled, scaled)
         spectrum = np.fft.rfft(frames.astype(np.float32) * (HANN / np.float32(1 << 21)), FFT, axis=1)
         power = (spectrum.real**2 + spectrum.imag**2).astype(np.float32).reshape(-1, SHAPE[0], FFT // 2 + 1)
