@@ -75,8 +75,8 @@ SELECT CAST(steps AS INTEGER) AS steps, sac, sic, cat, slot_start, n_windows, ro
 ORACLES["flow_bandwidth_total"] = PLOTS + """, w AS (SELECT *, sec // 3600 * 3600 AS window_start, 'radar' || sac AS flow FROM p)
 SELECT window_start, flow, count(*) AS packets, CAST(sum(n_bytes) AS BIGINT) AS bytes, round(sum(n_bytes) / 3600.0::DOUBLE, 6) AS bytes_per_s FROM w GROUP BY GROUPING SETS ((window_start, flow), (window_start))"""
 ORACLES["pipeline_counters"] = PLOTS + """, c AS (SELECT *, sac <> 3 AS a, cat <> 34 AS k, NOT flag_test AS f, seq % 10 <> 0 AS u FROM p)
-SELECT count(*) AS received, count_if(a AND k) AS processed, count_if(NOT (a AND k)) AS ignored, count_if(a AND k AND NOT f) AS filtered, count_if(a AND k AND f AND u) AS "unique",
-  count_if(a AND k AND f AND NOT u) AS duped, CAST(sum(n_bytes) AS BIGINT) AS bytes_read, CAST(sum(CASE WHEN a AND k AND f AND u THEN n_bytes ELSE 0 END) AS BIGINT) AS bytes_written FROM c"""
+SELECT count(*) AS received, count(*) FILTER (WHERE a AND k) AS processed, count(*) FILTER (WHERE NOT (a AND k)) AS ignored, count(*) FILTER (WHERE a AND k AND NOT f) AS filtered, count(*) FILTER (WHERE a AND k AND f AND u) AS "unique",
+  count(*) FILTER (WHERE a AND k AND f AND NOT u) AS duped, CAST(sum(n_bytes) AS BIGINT) AS bytes_read, CAST(sum(CASE WHEN a AND k AND f AND u THEN n_bytes ELSE 0 END) AS BIGINT) AS bytes_written FROM c"""
 SOURCES = "src AS (SELECT * FROM (VALUES (1, 'alpha', '239.0.0.1', 5000, '0.0.0.0'), (2, 'beta', '239.0.0.1', 5000, '10.0.0.2'), (3, 'gamma', '239.0.0.1', 5001, '10.0.0.3'), (4, 'delta', '239.0.0.2', 5000, '10.0.0.1'), (5, 'omega', '239.0.0.2', 5000, '0.0.0.0')) t(position, name, group_ip, port, source_ip))"
 ORACLES["admit_sources"] = f"""WITH {SOURCES},
 k AS (SELECT event_id AS packet_id, '239.0.0.' || (user_id % 3 + 1) AS group_ip, event_id % 2 + 5000 AS port, '10.0.0.' || (event_id % 4 + 1) AS source_ip FROM events)
@@ -128,7 +128,7 @@ ORACLES["decode_cat48"] = f"""WITH s AS ({SENSOR}), r AS (SELECT s.*, CAST(k AS
 SELECT seq, k AS rec_index, sac, sic, CAST((n + k) % 8 AS INTEGER) AS type, (n * 104729 % 65536) / 256.0::DOUBLE AS rho, {THETA} AS theta, CAST((n + k) * 13 % 4096 AS INTEGER) AS modea, ((n + k) * 13 % 65536) // 32768 = 1 AS modea_v, {FEET} AS modec,
   printf('%06X', (n * 2654435 + k) % 16777216) AS modes, printf('IB%05d', n % 100000) AS aid, CAST(n % 8 AS INTEGER) AS com, CAST(n % 8 AS INTEGER) AS stat, CAST(n % 2 AS INTEGER) AS si, CAST(n % 16 AS INTEGER) AS b1b,
   CAST(n % 4096 AS INTEGER) AS track_number, tod FROM r"""
-ORACLES["decode_counts"] = """WITH c AS (SELECT count(*) AS n, count_if(event_id % 3 = 0) AS cut FROM events)
+ORACLES["decode_counts"] = """WITH c AS (SELECT count(*) AS n, count(*) FILTER (WHERE event_id % 3 = 0) AS cut FROM events)
 SELECT 1 AS cat, n AS n_blocks, n AS n_records, 0::BIGINT AS n_malformed, FALSE AS ignored FROM c UNION ALL SELECT 48, n, 2 * n, 0, FALSE FROM c UNION ALL SELECT 62, n, 0, 0, TRUE FROM c UNION ALL SELECT 2, n, n, cut, FALSE FROM c"""
 ORACLES["registers"] = "SELECT event_id AS seq, CAST(k AS INTEGER) AS rec_index, printf('%014X', event_id * 331 + 1) AS bds10 FROM events, range(2) t(k)"
 RA = f"""WITH s AS ({SENSOR}), r AS (SELECT s.*, CAST(k AS INTEGER) AS k, n + k AS v FROM s, range(2) t(k))"""
@@ -154,7 +154,7 @@ ORACLES["gps_v2_trailer"] = MARK + f"SELECT seq, body || {LE.format('(seq * 331
 ORACLES["era_header"] = MARK + f"SELECT seq, '38000E00' || {LE.format('(1704067200 + seq * 331 % 86400)')} || body AS frame FROM b"
 ORACLES["synthetic_mode_a"] = """WITH x AS (SELECT event_id AS seq, user_id AS t, event_id * 0.25::DOUBLE AS tod FROM events),
 g AS (SELECT *, coalesce(NOT tod < lag(tod) OVER (PARTITION BY t ORDER BY seq) + 15, TRUE) AS fresh FROM x),
-c AS (SELECT *, CASE WHEN fresh THEN count_if(fresh) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING) END AS code FROM g)
+c AS (SELECT *, CASE WHEN fresh THEN count(*) FILTER (WHERE fresh) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING) END AS code FROM g)
 SELECT seq, max(code) OVER (PARTITION BY t ORDER BY seq) AS modea FROM c"""
 ORACLES["transcode_cat10_cat48"] = f"""WITH s AS ({SENSOR}) SELECT seq, 48 AS cat, sac, sic, floor((n * 104729 % 65536) / 1852.0::DOUBLE * 256) / 256 AS rho, {THETA} AS theta, 1000 AS modec, CAST(user_id % 4096 AS INTEGER) AS track_number, tod FROM s"""
 ORACLES["reply_projection"] = """SELECT event_id AS seq, round((event_id % 7 * 400 + event_id // 50 % 5 * 60 + event_id % 2) * 50.0::DOUBLE / 1000 * 299.792458::DOUBLE / 1852 / 2, 6) AS dist, round((event_id % 1000 // 4 * 6) * 360.0::DOUBLE / 16384, 6) AS azimuth,
