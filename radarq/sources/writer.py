@@ -1,4 +1,4 @@
-"""Recordings written: a Python data source with a file for each partition, and trailers as expressions.
+"""Recordings written: a Python data source with a file for each source, and trailers as expressions.
 
 `df.write.format("recording").option("format", "gps1").save(folder)`; rows go out in the order they
 have in their partition, so sort within partitions first (write_recording() does). The folder must be
@@ -7,10 +7,12 @@ one that all executors share; files are written aside and renamed when the job c
 
 from __future__ import annotations
 
+import bz2
 import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,36 +59,40 @@ def framed(blocks: DataFrame, format: str = "ast", midnight: int = 0) -> DataFra
 
 @dataclass
 class Written(WriterCommitMessage):
-    staged: str
-    final: str
+    files: list[tuple[str, str]]  # where each was written, and where it goes
 
 
 class _Writer(DataSourceWriter):
     def __init__(self, options: dict):
-        self.folder, self.suffix = options["path"].removeprefix("file://").removeprefix("file:"), options.get("extension", "ast")
+        self.folder = options["path"].removeprefix("file://").removeprefix("file:").rstrip("/")
+        self.suffix, self.named = options.get("extension", "ast"), options.get("named", "false") == "true"
+        self.open = bz2.open if options.get("compression") == "bzip2" else open
+        self.end = ".bz2" if self.open is bz2.open else ""
         self.header = bytes([FILLER]) * HEADER_1 if options.get("format", "ast") == "gps1" else b""
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
-        name = uuid.uuid4().hex
         os.makedirs(self.folder, exist_ok=True)
-        staged = f"{self.folder}/.{name}"
-        with open(staged, "wb") as f:
-            f.write(self.header)
-            n = 0
-            for row in rows:
-                f.write(row.frame)
-                n += 1
-        return Written(staged, f"{self.folder}/{name}.{self.suffix}" if n else "")
+        files: list[tuple[str, str]] = []
+        for source, group in groupby(rows, key=lambda r: r.source):
+            name = uuid.uuid4().hex
+            files.append((f"{self.folder}/.{name}", f"{self.folder}/{source if self.named else name + '.' + self.suffix}{self.end}"))
+            with self.open(files[-1][0], "wb") as f:
+                f.write(self.header)
+                for row in group:
+                    f.write(row.frame)
+        return Written(files)
 
     def commit(self, messages: list) -> None:
         for m in messages:
-            if m is not None:
-                os.replace(m.staged, m.final) if m.final else os.remove(m.staged)
+            for staged, final in m.files if m is not None else ():
+                os.makedirs(os.path.dirname(final), exist_ok=True)
+                os.replace(staged, final)
 
     def abort(self, messages: list) -> None:
         for m in messages:
-            if m is not None and os.path.exists(m.staged):
-                os.remove(m.staged)
+            for staged, _ in m.files if m is not None else ():
+                if os.path.exists(staged):
+                    os.remove(staged)
 
 
 class RecordingSink(DataSource):
@@ -101,10 +107,14 @@ class RecordingSink(DataSource):
         return _Writer(dict(self.options))
 
 
-def write_recording(blocks: DataFrame, folder: str, format: str = "ast", midnight: int = 0, extension: str = "ast") -> None:
-    """One file for each source, its blocks in order of seq."""
+def write_recording(blocks: DataFrame, folder: str, format: str = "ast", midnight: int = 0, extension: str = "ast", named: bool = False, compression: str = "none") -> None:
+    """One file for each source, its blocks in order of seq.
+
+    named: source is the file's name below the folder, with its directories; else names are made.
+    compression: none or bzip2. A source is what one task writes, so cut recordings by time.
+    """
     spark: SparkSession = blocks.sparkSession
     spark.dataSource.register(RecordingSink)
-    rows = framed(blocks, format, midnight)
-    rows = rows.repartition("source").sortWithinPartitions("source", "seq")
-    rows.write.format("recording").mode("append").option("format", format).option("extension", extension).save(folder)
+    rows = framed(blocks, format, midnight).repartition("source").sortWithinPartitions("source", "seq")
+    options = {"format": format, "extension": extension, "named": str(named).lower(), "compression": compression}
+    rows.write.format("recording").mode("append").options(**options).save(folder)
