@@ -83,8 +83,8 @@ def time_text(seconds: Column) -> Column:
 
 
 def block_key(payload: Column) -> Column:
-    """What identical blocks share: length and a checksum that doesn't collide in practice."""
-    return F.concat_ws(":", F.length(payload).cast("string"), F.sha2(payload, 256))
+    """What identical blocks share: length and a checksum that doesn't collide in practice; null for none."""
+    return F.concat(F.length(payload).cast("string"), F.lit(":"), F.sha2(payload, 256))
 
 
 def crc_key(payload: Column) -> Column:

@@ -11,6 +11,8 @@ from ..functions import clock
 # the band in which the day's turn lies, the band in which the counter has wrapped, and the high byte
 # of the last moments of a day.
 NEAR, TURN_LOW, TURN_HIGH, WRAP, LAST_HIGH = 10240, 0xB800, 0xC000, 0xF800, 0xA8
+#: Rows of a sensor before its first full time that go together.
+SLICE = 1000
 
 
 def with_delay(plots: DataFrame) -> DataFrame:
@@ -58,37 +60,35 @@ def full_times(plots: DataFrame, key: tuple[str, ...] = ("sac", "sic"), order: s
 
     Rows of categories 2 and 19 with a time set the sensor's state, its high byte and its last truncated
     time; plots near the last time move it on. Plots out of every window, and those before any full
-    time, get null; other rows keep their own tod. The stream of a sensor (and of a recording, if key
-    names it) is cut at its full times, and each piece, some seconds long, is folded by itself.
+    time, get null; other rows keep their own tod. A sensor's stream is cut at its full times, and each
+    piece, some seconds long, is folded by itself; rows before any are dealt in slices instead, as there
+    is nothing to fold. All is done in one pass and one shuffle by key: name the recording in it (source)
+    where a sensor's whole archive is more than a task should sort.
     compat: sensors with sac or sic 0 never resolve.
     """
     marks = F.col("cat").isin(2, 19) & F.col("tod").isNotNull()
-    truncated = (F.col("cat") == 1) & F.col("tod_trunc").isNotNull()
     w = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     told = plots.withColumn("_set", F.when(marks, F.round(F.col("tod") * 128).cast("long")))
     told = told.withColumn("_mark", F.last("_set", ignorenulls=True).over(w)).withColumn("_piece", F.count("_set").over(w))
-    plot = told.filter(truncated & F.col("_mark").isNotNull())
-    if compat:
-        plot = plot.filter((F.col("sac") != 0) & (F.col("sic") != 0))
-    plot = plot.select(*key, "_piece", "_mark", F.struct(F.col(order).alias("o"), F.round(F.col("tod_trunc") * 128).cast("long").alias("q")).alias("x"))
-    pieces = plot.groupBy(*key, "_piece").agg(F.first("_mark").alias("_mark"), F.array_sort(F.collect_list("x")).alias("xs"))
+    told = told.withColumn("_piece", F.when(F.col("_piece") == 0, -F.floor(F.row_number().over(w) / SLICE) - 1).otherwise(F.col("_piece")))
+    row = F.struct(*(c for c in plots.columns if c not in key))
+    pieces = told.groupBy(*key, "_piece").agg(F.first("_mark").alias("_mark"), F.collect_list(row).alias("_rows"))
+    pieces = pieces.withColumn("_rows", F.array_sort("_rows", lambda a, b: F.when(a[order] < b[order], -1).when(a[order] > b[order], 1).otherwise(0)))
     high, start = F.shiftright("_mark", 16), F.col("_mark").bitwiseAND(F.lit(0xFFFF))
-    result = "struct<p:bigint,out:array<struct<o:bigint,t:bigint>>>"
+    state = "struct<p:bigint,out:array<double>>"
 
-    def step(state: Column, x: Column) -> Column:
-        p, q = state["p"], x["q"]
+    def step(s: Column, x: Column) -> Column:
+        q, p = F.round(x["tod_trunc"] * 128).cast("long"), s["p"]
         d = F.abs(q - p)
         turned = (d > TURN_LOW) & (d <= TURN_HIGH)
-        adjust = (
-            F.when(d <= NEAR, 0)
-            .when(turned & (high == LAST_HIGH), -high)
-            .when(turned & (high == 0), LAST_HIGH)
-            .when(d > WRAP, F.when(q > p, -1).otherwise(1))
-        )
-        item = F.struct(x["o"].cast("long").alias("o"), ((high + adjust) * 65536 + q).alias("t"))
-        return F.struct(F.when(d <= NEAR, q).otherwise(p).alias("p"), F.concat(state["out"], F.array(item)).alias("out")).cast(result)
-
-    init = F.struct(start.alias("p"), F.array().cast("array<struct<o:bigint,t:bigint>>").alias("out")).cast(result)
-    solved = pieces.select(*key, F.explode(F.aggregate("xs", init, step)["out"]).alias("s")).select(*key, F.col("s.o").alias(order), (F.col("s.t") / 128.0).alias("_full"))
-    out = plots.join(solved, [*key, order], "left")
-    return out.withColumn("tod_full", F.when(truncated, F.col("_full")).otherwise(F.col("tod"))).drop("_full")
+        adjust = F.when(d <= NEAR, 0).when(turned & (high == LAST_HIGH), -high).when(turned & (high == 0), LAST_HIGH).when(d > WRAP, F.when(q > p, -1).otherwise(1))
+        plot = (x["cat"] == 1) & x["tod_trunc"].isNotNull()
+        full = F.when(plot, ((high + adjust) * 65536 + q) / 128.0).otherwise(x["tod"])
+        return F.struct(F.when(plot & (d <= NEAR), q).otherwise(p).alias("p"), F.concat(s["out"], F.array(full)).alias("out")).cast(state)
+
+    init = F.struct(start.alias("p"), F.array().cast("array<double>").alias("out")).cast(state)
+    solved = pieces.select(*key, F.explode(F.arrays_zip(F.col("_rows").alias("r"), F.aggregate("_rows", init, step)["out"].alias("t"))).alias("z"))
+    full = F.col("z.t")
+    if compat:
+        full = F.when(((F.col("sac") != 0) & (F.col("sic") != 0)) | (F.col("z.r.cat") != 1), full)
+    return solved.select(*(F.col(c) if c in key else F.col(f"z.r.{c}") for c in plots.columns), full.alias("tod_full"))
