@@ -180,3 +180,13 @@ ORACLES["stream_delay_windows"] = ORACLES["delay_windows_5min"] + " " + CLOSED.f
 ORACLES["stream_simple_windows"] = PLOTS + _windows(3600) + f"SELECT {WINDOW}, cuenta, media FROM s " + CLOSED.format(3600)
 ORACLES["stream_dedup"] = ORACLES["dedup_4s"]
 ORACLES["stream_full_times"] = ORACLES["truncated_time_asof"]
+READ = f"""WITH s AS ({SENSOR}), r AS (SELECT *, CAST(seq // 5000 AS INTEGER) AS part, row_number() OVER (PARTITION BY seq // 5000 ORDER BY seq) - 1 AS k,
+  ((n * 331 + 5) % 11059200) / 128.0::DOUBLE AS at_s, printf('22000AE0%02X%02X%02X%06X', sac, sic, n % 2 + 1, n * 331 % 11059200) AS payload FROM s)
+SELECT part, k AS seq, 34 AS cat, sac, sic, {{0}} AS recv_tod, {{1}} AS src_ip, payload FROM r"""
+NO_IP, NO_TIME = "CAST(NULL AS VARCHAR)", "CAST(NULL AS DOUBLE)"
+for _format, _time, _ip in (("ast", NO_TIME, NO_IP), ("hensoldt", NO_TIME, NO_IP), ("gps1", "at_s", "'10.0.0.7'"), ("gps2", "floor(at_s)", NO_IP), ("era", "floor(at_s)", NO_IP)):
+    ORACLES[f"read_{_format}"] = READ.format(_time, _ip)
+ORACLES["latency_report"] = (
+    f"""WITH s AS ({SENSOR}), p AS (SELECT sac, sic, 48 AS cat, (n % 50) / 128.0::DOUBLE AS delay, CAST((n * 331 + n % 50) // 128 AS BIGINT) + 1704067200 AS sec, (n * 331 + n % 50) / 128.0::DOUBLE + 1704067200 AS ts FROM s, range(2) t(k))"""
+    + _windows(300) + f"SELECT printf('%03d_%03d_%03d', sac, sic, cat) AS sac_sic_cat, 'north' AS region, window_start AS timestamp, cuenta, {R} FROM s2 WHERE window_start + 300 <= (SELECT max(ts) FROM p)"
+).replace("s AS (SELECT g.*", "s2 AS (SELECT g.*")

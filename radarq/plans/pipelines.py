@@ -13,20 +13,29 @@ from ..streaming import live
 from .options import RecorderOptions
 
 
-def plots_of(blocks: DataFrame, midnight: int, cat21: bool = False) -> DataFrame:
+def midnight_of_name() -> Column:
+    """Midnight of a recording's day, from the date and time in its name (output.file_name)."""
+    day = F.regexp_extract("source", r"([0-9]{6})(?:-[^/]*-)?[0-9]{6}[.][^/]*$", 1)
+    return F.unix_date(F.to_date(day, "yyMMdd")).cast("long") * 86400
+
+
+def plots_of(blocks: DataFrame, midnight: int | Column, cat21: bool = False) -> DataFrame:
     """Decoded plots of recorded blocks with tod_stamp, ts (seconds since 1970), full times and delay.
 
-    blocks: source, seq, recv_tod, payload; midnight: of the recordings' first day, in seconds since 1970.
+    blocks: source, seq, recv_tod, payload; midnight: of each recording's first day, in seconds since 1970: a
+    number for all, or a column of source, as midnight_of_name().
     """
     told = timing.unwrap_days(header.with_header(blocks))
     kept = told.select("source", "seq", "cat", "payload", F.col("recv_tod").alias("tod_stamp"), (F.col("abs_tod") + midnight).alias("ts"))
-    plots = decode.decode(kept, cat21=cat21)
-    plots = plots.withColumn("at", F.col("seq") * 10_000 + F.col("rec_index"))
-    full = timing.full_times(plots, key=("source", "sac", "sic"), order="at").withColumn("tod", F.col("tod_full")).drop("tod_full", "at")
-    return timing.with_delay(full)
+    # only categories 1, 2 and 19 take part in completing times; the others go past that shuffle
+    timed = F.col("cat").isin(1, 2, 19)
+    short = decode.decode(kept.filter(timed), categories=(1, 2, 19)).withColumn("at", F.col("seq") * 10_000 + F.col("rec_index"))
+    full = timing.full_times(short, key=("source", "sac", "sic"), order="at").withColumn("tod", F.col("tod_full")).drop("tod_full", "at")
+    rest = decode.decode(kept.filter(~timed), cat21=cat21, categories=tuple(c for c in decode.CATEGORIES if c not in (1, 2, 19)))
+    return timing.with_delay(full.unionByName(rest))
 
 
-def latency_report(spark: SparkSession, path: str | list[str], midnight: int, region: str = "", include_last: bool = False, format: str = "gps1") -> DataFrame:
+def latency_report(spark: SparkSession, path: str | list[str], midnight: int | Column, region: str = "", include_last: bool = False, format: str = "gps1") -> DataFrame:
     """Rows of the availability table for recordings: delays by sensor, category and five minutes."""
     plots = plots_of(recording.read_recording(spark, path, format), midnight)
     counted = filters.sane_delay(filters.timed(decode.statistics_admission(plots)))
@@ -34,7 +43,7 @@ def latency_report(spark: SparkSession, path: str | list[str], midnight: int, re
     return stats.availability(windows, region)
 
 
-def advisories_report(spark: SparkSession, path: str | list[str], midnight: int, format: str = "gps1") -> DataFrame:
+def advisories_report(spark: SparkSession, path: str | list[str], midnight: int | Column, format: str = "gps1") -> DataFrame:
     """Collision-avoidance advisories of recordings, one for each sensor and time."""
     return acas.upsert_advisories(acas.resolution_advisories(plots_of(recording.read_recording(spark, path, format), midnight)), ("source", "seq", "rec_index"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 from ..functions import bits as B
 from ..functions import clock, codes
 from ..operators import acas, admission, decode, dedup, filters, header, output, replies, stats, timing, transcode
-from ..sources import writer
+from ..sources import recording, writer
+from . import pipelines
 from . import synthetic as S
+from .scratch import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -394,3 +397,36 @@ def volume_by_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The histogram's statistics over the largest table: quantities as delays, by line status."""
     rows = S.table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", (F.col("l_quantity") / 8.0 - 3.0).alias("delay"))
     return stats.delay_statistics(rows, ("l_returnflag", "l_linestatus"))
+
+
+def recorded(spark: SparkSession, sf_dir: str, cat: int, format: str, late: Column) -> str:
+    """Blocks of a category written as recordings of 5000 blocks; their folder."""
+    n = F.col("seq")
+    stamp = (n * 331 + late) % S.DAY128 / 128.0
+    blocks = S.blocks(spark, sf_dir, cat).withColumns({"source": F.format_string("part-%08d.rec", F.floor(n / 5000)), "recv_tod": F.floor(stamp) if format in ("gps2", "era") else stamp, "src_ip": F.lit("10.0.0.7")})
+    folder = f"{shared_folder(spark)}/recording-{uuid.uuid4().hex}"
+    writer.write_recording(blocks, folder, format, midnight=1_704_067_200, named=True)
+    return folder
+
+
+def reading(format: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        back = recording.read_recording(spark, recorded(spark, sf_dir, 34, format, F.lit(5)), format)
+        return back.select(F.regexp_extract("source", "([0-9]+)[.]rec$", 1).cast("int").alias("part"), "seq", "cat", "sac", "sic", "recv_tod", "src_ip", F.hex("payload").alias("payload"))
+
+    run.__name__ = f"read_{format}"
+    return run
+
+
+for _format in ("ast", "gps1", "gps2", "era", "hensoldt"):
+    query(reading(_format))
+
+
+@query
+def latency_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings written, read, decoded and summed up."""
+    folder = recorded(spark, sf_dir, 48, "gps1", F.col("seq") % 50)
+    # each recording starts on the day of its first block
+    number = F.regexp_extract("source", "([0-9]+)[.]rec$", 1).cast("long")
+    day = F.floor((number * 5000 * 331 + number * 5000 % 50) / S.DAY128).cast("long")
+    return pipelines.latency_report(spark, folder, 1_704_067_200 + day * 86400, "north")

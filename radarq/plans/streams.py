@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,12 +12,7 @@ from ..operators import stats
 from ..streaming import live
 from . import queries as Q
 from . import synthetic as S
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return (found or tempfile.mkdtemp(prefix="spark-")).rstrip("/")
+from .scratch import shared_folder
 
 
 def drain(stream: DataFrame) -> DataFrame:

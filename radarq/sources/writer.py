@@ -50,6 +50,8 @@ def framed(blocks: DataFrame, format: str = "ast", midnight: int = 0) -> DataFra
         frame = F.concat(p, trailer_v1(p, F.col("recv_tod"), F.coalesce("src_ip", F.lit("0.0.0.0"))))
     elif format == "gps2":
         frame = F.concat(p, trailer_v2(F.col("recv_tod")))
+    elif format == "hensoldt":
+        frame = F.concat(B.be(F.length(p) + 12, 4), B.be(F.lit(0), 8), p)
     elif format == "era":
         frame = F.concat(header_era(p, F.floor("recv_tod") + midnight), p)
     else:
