@@ -224,14 +224,24 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, e, k in spans)
 
 
+def contexts(docs: DataFrame) -> tuple[str, ...]:
+    """The training sample: of CONTEXT_DOCS different texts, those of the smallest hashes, CONTEXT_CHARS each.
+
+    Tasks send hashes only; the texts that are chosen come in a second pass.
+    """
+    texts = docs.filter(F.col("text") != "").select(F.xxhash64("text").alias("h"), "text")
+    chosen = texts.select("h").distinct().orderBy("h").limit(CONTEXT_DOCS)
+    heads = texts.join(F.broadcast(chosen), "h").groupBy("h").agg(F.min(F.substring("text", 1, CONTEXT_CHARS)).alias("head"))
+    return tuple(r["head"] for r in heads.orderBy("h").collect())
+
+
 def find_pii(docs: DataFrame, steps: int = STEPS) -> DataFrame:
     """One row per row of docs: doc_id, base and spans (array of kind, start, end), in code points, end exclusive.
 
     Null and empty texts have no spans. Rows are judged each by itself; repeated rows give repeated
     results, a null doc_id stays null. Without any text to learn contexts from, a fixed one serves.
     """
-    sample = docs.filter(F.col("text") != "").orderBy(F.xxhash64("text"), "text").limit(CONTEXT_DOCS).select(F.substring("text", 1, CONTEXT_CHARS))
-    tagger = docs.sparkSession.sparkContext.broadcast(train(tuple(r[0] for r in sample.collect()), steps))
+    tagger = docs.sparkSession.sparkContext.broadcast(train(contexts(docs), steps))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
