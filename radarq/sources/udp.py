@@ -1,6 +1,6 @@
 """Live feeds: packets of multicast or broadcast groups as a streaming source.
 
-`spark.readStream.format("surveillance_udp").option("group", "239.1.1.1").option("port", 5000)`. A
+`register(spark)`, then `spark.readStream.format("surveillance_udp").option("group", "239.1.1.1").option("port", 5000)`. A
 socket forgets what it has handed out, so the reader keeps packets until their batch is committed.
 """
 
@@ -8,9 +8,12 @@ from __future__ import annotations
 
 import socket
 import struct
+import sys
 import time
 from collections.abc import Iterator
 
+from pyspark import cloudpickle
+from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 #: Fixed value: bytes of a socket's receive buffer.
@@ -83,3 +86,12 @@ class UdpFeed(DataSource):
 
     def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
         return _Reader(dict(self.options))
+
+
+def register(spark: SparkSession) -> None:
+    """Make the feed known; its workers need not find this package."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    try:
+        spark.dataSource.register(UdpFeed)
+    finally:
+        cloudpickle.unregister_pickle_by_value(sys.modules[__name__])

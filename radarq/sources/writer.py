@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import bz2
 import os
+import sys
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import groupby
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
@@ -109,6 +111,15 @@ class RecordingSink(DataSource):
         return _Writer(dict(self.options))
 
 
+def register(spark: SparkSession) -> None:
+    """Make the sink known; its workers need not find this package."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    try:
+        spark.dataSource.register(RecordingSink)
+    finally:
+        cloudpickle.unregister_pickle_by_value(sys.modules[__name__])
+
+
 def write_recording(blocks: DataFrame, folder: str, format: str = "ast", midnight: int = 0, extension: str = "ast", named: bool = False, compression: str = "none") -> None:
     """One file for each source, its blocks in order of seq.
 
@@ -116,7 +127,7 @@ def write_recording(blocks: DataFrame, folder: str, format: str = "ast", midnigh
     compression: none or bzip2. A source is what one task writes, so cut recordings by time.
     """
     spark: SparkSession = blocks.sparkSession
-    spark.dataSource.register(RecordingSink)
+    register(spark)
     rows = framed(blocks, format, midnight).repartition("source").sortWithinPartitions("source", "seq")
     options = {"format": format, "extension": extension, "named": str(named).lower(), "compression": compression}
     rows.write.format("recording").mode("append").options(**options).save(folder)

@@ -80,7 +80,7 @@ def test_serial_clock(spark):
 
 
 def test_live_feed(spark):
-    spark.dataSource.register(udp.UdpFeed)
+    udp.register(spark)
     probe = socket.socket(socket.AF_INET, socket.SOCK_DGRAM)
     probe.bind(("127.0.0.1", 0))
     port = probe.getsockname()[1]
