@@ -83,11 +83,14 @@ def statistics_of(bins: DataFrame, keys: tuple[str, ...] = WINDOW, compat: bool
     return out.select(*keys, "cuenta", "max", "min", "media", "stdev", mode.alias("mode"), p99.alias("p99"))
 
 
-def delay_windows(plots: DataFrame, region: str | None = None, include_last: bool = True, period: int = PERIOD, compat: bool = False) -> DataFrame:
-    """delay_statistics() by sensor, category and window. Without include_last, only windows that end by the last reception."""
+def delay_windows(plots: DataFrame, region: str | None = None, include_last: bool = True, period: int = PERIOD, compat: bool = False, received: DataFrame | None = None) -> DataFrame:
+    """delay_statistics() by sensor, category and window. Without include_last, only windows that end by the last reception.
+
+    received: rows with ts that tell the last reception, where they cost less than plots.
+    """
     told = with_window(plots, period)
     if not include_last:
-        last = plots.agg(F.max("ts").alias("_last"))
+        last = (plots if received is None else received).agg(F.max("ts").alias("_last"))
         told = told.crossJoin(F.broadcast(last)).filter(F.col("window_start") + period <= F.col("_last")).drop("_last")  # of one row
     out = delay_statistics(told, compat=compat)
     return out if region is None else out.withColumn("region", F.lit(region))

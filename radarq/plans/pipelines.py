@@ -19,14 +19,19 @@ def midnight_of_name() -> Column:
     return F.unix_date(F.to_date(day, "yyMMdd")).cast("long") * 86400
 
 
+def received(blocks: DataFrame, midnight: int | Column) -> DataFrame:
+    """Blocks with their time of reception: source, seq, cat, payload, tod_stamp and ts, in seconds since 1970."""
+    told = timing.unwrap_days(header.with_header(blocks))
+    return told.select("source", "seq", "cat", "payload", F.col("recv_tod").alias("tod_stamp"), (F.col("abs_tod") + midnight).alias("ts"))
+
+
 def plots_of(blocks: DataFrame, midnight: int | Column, cat21: bool = False) -> DataFrame:
     """Decoded plots of recorded blocks with tod_stamp, ts (seconds since 1970), full times and delay.
 
     blocks: source, seq, recv_tod, payload; midnight: of each recording's first day, in seconds since 1970: a
     number for all, or a column of source, as midnight_of_name().
     """
-    told = timing.unwrap_days(header.with_header(blocks))
-    kept = told.select("source", "seq", "cat", "payload", F.col("recv_tod").alias("tod_stamp"), (F.col("abs_tod") + midnight).alias("ts"))
+    kept = received(blocks, midnight)
     # only categories 1, 2 and 19 take part in completing times; the others go past that shuffle
     timed = F.col("cat").isin(1, 2, 19)
     short = decode.decode(kept.filter(timed), categories=(1, 2, 19)).withColumn("at", F.col("seq") * 10_000 + F.col("rec_index"))
@@ -37,9 +42,9 @@ def plots_of(blocks: DataFrame, midnight: int | Column, cat21: bool = False) ->
 
 def latency_report(spark: SparkSession, path: str | list[str], midnight: int | Column, region: str = "", include_last: bool = False, format: str = "gps1") -> DataFrame:
     """Rows of the availability table for recordings: delays by sensor, category and five minutes."""
-    plots = plots_of(recording.read_recording(spark, path, format), midnight)
-    counted = filters.sane_delay(filters.timed(decode.statistics_admission(plots)))
-    windows = stats.delay_windows(filters.persisted(counted), include_last=include_last)
+    blocks = recording.read_recording(spark, path, format)
+    counted = filters.sane_delay(filters.timed(decode.statistics_admission(plots_of(blocks, midnight))))
+    windows = stats.delay_windows(filters.persisted(counted), include_last=include_last, received=received(blocks, midnight))
     return stats.availability(windows, region)
 
 
