@@ -4,7 +4,9 @@ Where two texts share a 50-byte window, they share its smallest 16-gram hash too
 into *segments*, runs of windows with the same smallest hash, and equal windows always lie in segments
 of the same hash. The work goes in three rounds between blocks of documents and shards of hashes:
 
-1. Blocks send each shard their distinct smallest hashes; shards answer which of them two documents hold.
+1. Blocks send each shard their distinct smallest hashes; shards answer which of them two documents hold,
+   and which are so common that their segments, all of different context, would swell one shard: those
+   segments go on cut into single windows, dealt by the hash of the window, so that only equal ones meet.
 2. Blocks send the distinct segments of those hashes, with their smallest and largest doc_id. A shard
    merges equal segments and indexes those of hashes with several different ones: suffix array and
    Burrows-Wheeler transform of the concatenation, then breadth-first backward extension, which finds
@@ -27,11 +29,12 @@ WINDOW = 50
 GRAM = 16
 SHARD_BYTES = 8 << 20  # of text a shard stands for
 INDEX_BYTES = 1 << 19  # of segments indexed at once
+HOT_SEGMENTS = 1 << 20  # a hash of more segments, about, is split by whole windows
 END = 0  # symbol after each segment; bytes are 1 to 256
 
 Key = C.Key
-HASHES = "shard int, block int, prints binary, several binary"
-REPEATED = "block int, shard int, prints binary"
+HASHES = "shard int, block int, prints binary, marks binary"
+REPEATED = "block int, shard int, prints binary, hot binary"
 SEGMENTS = "shard int, block int, n int, bytes binary"
 RUNS = "block int, number binary, start binary, length binary, holder binary"
 
@@ -192,13 +195,24 @@ def _repeated_segments(docs: pa.Table, replies: pa.Table, n_shards: int):
     ids = C.ids_of(docs["doc_id"])
     key, start, windows, doc = segments(data, offsets)
     code = codes(key, n_shards)
-    wanted = [np.uint64(s.as_py() << 32) | C.read(x, np.uint32).astype(np.uint64) for s, x in zip(replies["shard"], replies["prints"])]
-    if wanted and len(code):
-        known = np.sort(np.concatenate(wanted))
-        use = known[np.minimum(np.searchsorted(known, code), len(known) - 1)] == code
-    else:
-        use = np.zeros(len(code), bool)
-    code, start, size, doc = code[use], start[use], windows[use] + WINDOW - 1, doc[use]
+    use, hot = np.zeros(len(code), bool), np.zeros(len(code), bool)
+    if replies.num_rows and len(code):
+        prints = [C.read(x, np.uint32) for x in replies["prints"]]
+        known = np.concatenate([np.uint64(s.as_py() << 32) | p.astype(np.uint64) for s, p in zip(replies["shard"], prints)])
+        common = np.concatenate([np.unpackbits(C.read(x, np.uint8), count=len(p)) for x, p in zip(replies["hot"], prints)]).astype(bool)
+        order = np.argsort(known)
+        known, common = known[order], common[order]
+        at = np.minimum(np.searchsorted(known, code), len(known) - 1)
+        use = known[at] == code
+        hot = use & common[at]
+    code, start, windows, doc, hot = code[use], start[use], windows[use], doc[use], hot[use]
+    if hot.any():
+        count = np.where(hot, windows, 1)
+        of = np.repeat(np.arange(len(code)), count)
+        start = start[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+        code, windows, doc, hot = code[of], np.where(hot, 1, windows)[of], doc[of], hot[of]
+        code[hot] = codes(C.span_hashes(data, start[hot], start[hot] + WINDOW), n_shards)
+    size = windows + WINDOW - 1
     name = C.span_hashes(data, start, start + size)
     _, first_at, number = np.unique(name, return_index=True, return_inverse=True)
     return data, offsets, ids, code, start, size, doc, first_at, number
@@ -224,25 +238,31 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         code, held = code[order], ids[doc[order]]
         at = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, np.int64)
         several = np.minimum.reduceat(held, at) != np.maximum.reduceat(held, at) if len(at) else np.zeros(0, bool)
+        # a byte: whether several documents hold it, and the logarithm of how many segments do
+        marks = np.log2(np.diff(np.r_[at, len(code)])).astype(np.uint8) | (several.astype(np.uint8) << 7)
         code = code[at]
         used, cut = _groups(code >> np.uint64(32))
         return pa.table({
             "shard": pa.array(used.astype(np.int32)), "block": pa.array([key[0].as_py()] * len(used), pa.int32()),
-            "prints": C.packed([code[c].astype(np.uint32) for c in cut]), "several": C.packed([np.packbits(several[c]) for c in cut]),
+            "prints": C.packed([code[c].astype(np.uint32) for c in cut]), "marks": C.packed([marks[c] for c in cut]),
         })
 
     def repeated(key: Key, asked: pa.Table) -> pa.Table:
         sent = [C.read(x, np.uint32) for x in asked["prints"]]
-        several = [np.unpackbits(C.read(x, np.uint8), count=len(p)).astype(bool) for x, p in zip(asked["several"], sent)]
-        every = np.sort(np.concatenate(sent + [p[m] for p, m in zip(sent, several)]))
-        twice = np.unique(every[1:][every[1:] == every[:-1]])  # sent by two blocks, or once with its mark
-        blocks, out = [], []
+        marks = np.concatenate([C.read(x, np.uint8) for x in asked["marks"]])
+        prints, number, blocks_with = np.unique(np.concatenate(sent), return_inverse=True, return_counts=True)
+        twice = blocks_with > 1  # sent by two blocks, or once with its mark
+        twice[number[marks >= 128]] = True
+        swollen = np.bincount(number, np.exp2(marks & 127), len(prints)) > HOT_SEGMENTS
+        blocks, out, hot = [], [], []
         for block, mine in zip(asked["block"].to_pylist(), sent):
-            found = mine[twice[np.minimum(np.searchsorted(twice, mine), len(twice) - 1)] == mine] if len(twice) else mine[:0]
-            if len(found):
+            at = np.searchsorted(prints, mine)
+            at = at[twice[at]]
+            if len(at):
                 blocks.append(block)
-                out.append(found)
-        return pa.table({"block": pa.array(blocks, pa.int32()), "shard": pa.array([key[0].as_py()] * len(blocks), pa.int32()), "prints": C.packed(out)})
+                out.append(prints[at])
+                hot.append(np.packbits(swollen[at]))
+        return pa.table({"block": pa.array(blocks, pa.int32()), "shard": pa.array([key[0].as_py()] * len(blocks), pa.int32()), "prints": C.packed(out), "hot": C.packed(hot)})
 
     def send(key: Key, docs: pa.Table, replies: pa.Table) -> pa.Table:
         """Distinct segments as columns of numbers (number, fingerprint, size, smallest and largest doc_id), then their bytes."""

@@ -56,7 +56,7 @@ def test_suffix_dedup_of_many_copies(spark):
 
 @pytest.mark.parametrize("seed", [1, 5])
 def test_suffix_dedup_of_hot_hashes(spark, monkeypatch, seed):
-    monkeypatch.setattr(suffix_dedup, "HOT_BLOCKS", 2)
+    monkeypatch.setattr(suffix_dedup, "HOT_SEGMENTS", 2)
     rows = fixture(seed)
     assert removed(suffix_dedup.remove_repeats(table(spark, rows))) == suffix_dedup.brute_force([(d, (t or "").encode()) for d, t in rows])
 
