@@ -9,33 +9,31 @@ from ..functions import bits as B
 from ..functions import codes
 
 
-def advisory(message: Column) -> dict[str, Column]:
-    """Fields of a seven-byte advisory (register 3,0): bits as ints, and what it tells of the threat.
+def advisory(word: Column) -> dict[str, Column]:
+    """Fields of an advisory (register 3,0), its seven bytes as one number: bits as ints, and what it tells of the threat.
 
     tti 1: tid is the threat's address; 2: tida its altitude in feet, tidr its range and tidb its
     bearing, raw.
     """
-    byte = [B.unsigned(message, k + 1, 1) for k in range(7)]
-    flag = lambda b, k: B.field(byte[b], k, 1).cast("int")
-    tti = B.field(byte[3], 2, 3).cast("int")
-    out = {f"ara{41 + k}": flag(1, 7 - k) for k in range(7)}
-    out |= {"rac55": flag(2, 1), "rac56": flag(2, 0), "rac57": flag(3, 7), "rac58": flag(3, 6), "rat": flag(3, 5), "mte": flag(3, 4), "tti": tti}
-    address = B.field(B.unsigned(message, 4, 4), 2, 0xFFFFFF)
-    out["tid"] = F.when(tti == 1, codes.mode_s_hex(address))
-    c1, a1 = flag(3, 1), flag(3, 0)
-    c2, a2, c4, a4 = (flag(4, k) for k in (7, 6, 5, 4))
-    b1, d1, b2 = (flag(4, k) for k in (2, 1, 0))
-    d2, b4, d4 = (flag(5, k) for k in (7, 6, 5))
+    bit = lambda byte, k: B.field(word, 48 - 8 * byte + k, 1).cast("int")
+    tti = B.field(word, 26, 3).cast("int")
+    out = {f"ara{41 + k}": bit(1, 7 - k) for k in range(7)}
+    out |= {"rac55": bit(2, 1), "rac56": bit(2, 0), "rac57": bit(3, 7), "rac58": bit(3, 6), "rat": bit(3, 5), "mte": bit(3, 4), "tti": tti}
+    out["tid"] = F.when(tti == 1, codes.mode_s_hex(B.field(word, 2, 0xFFFFFF)))
+    c1, a1 = bit(3, 1), bit(3, 0)
+    c2, a2, c4, a4 = (bit(4, k) for k in (7, 6, 5, 4))
+    b1, d1, b2 = (bit(4, k) for k in (2, 1, 0))
+    d2, b4, d4 = (bit(5, k) for k in (7, 6, 5))
     out["tida"] = F.when(tti == 2, codes.gray_altitude([d1, d2, d4, a1, a2, a4, b1, b2, b4, c1, c2, c4]))
-    out["tidr"] = F.when(tti == 2, B.field(B.unsigned(message, 6, 2), 6, 127).cast("int"))
-    out["tidb"] = F.when(tti == 2, B.field(byte[6], 0, 63).cast("int"))
+    out["tidr"] = F.when(tti == 2, B.field(word, 6, 127).cast("int"))
+    out["tidb"] = F.when(tti == 2, B.field(word, 0, 63).cast("int"))
     return out
 
 
 def resolution_advisories(plots: DataFrame) -> DataFrame:
     """A row for each plot with an advisory: register 3,0 or, without one, item 260; the plot's columns and bds30_*."""
     message = F.coalesce(F.try_element_at("bds", F.lit("30")), F.col("acas")) if "bds" in plots.columns else F.col("acas")
-    told = plots.withColumn("_ra", message).filter(F.col("_ra").isNotNull() & (F.length("_ra") == 7))
+    told = plots.withColumn("_ra", B.unsigned(message, 1, 7)).filter(F.col("_ra").isNotNull())
     return told.withColumns({f"bds30_{k}": v for k, v in advisory(F.col("_ra")).items()}).drop("_ra")
 
 

@@ -23,7 +23,7 @@ from ..functions import codes
 from ..functions.layouts import LAYOUTS, Layout
 
 CATEGORIES = tuple(LAYOUTS)
-FOUND = T.StructType([*(T.StructField(c, T.IntegerType()) for c in ("rec_index", "first", "behind")), T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("malformed", T.BooleanType())])
+FOUND = T.StructType([*(T.StructField(c, T.IntegerType()) for c in ("rec_index", "first", "behind")), T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("word", T.ArrayType(T.LongType())), T.StructField("malformed", T.BooleanType())])
 
 
 class Walker:
@@ -77,7 +77,7 @@ class Walker:
 
 
 def _walk(data: np.ndarray, offsets: np.ndarray, cat: np.ndarray, categories: tuple[int, ...]):
-    """(block, rec_index, start, end, places of items, malformed) of all records, in order; places count from the block's start."""
+    """(block, rec_index, start, end, places of items, their first eight bytes, malformed) of all records, in order; places count from the block's start."""
     walker, parts = Walker(data), []
     most = max(len(LAYOUTS[c].items) for c in categories)
     for c in categories:
@@ -96,14 +96,19 @@ def _walk(data: np.ndarray, offsets: np.ndarray, cat: np.ndarray, categories: tu
             block, start, number = block[more], behind[more], number + 1
     if not parts:
         none = np.zeros(0, np.int64)
-        return none, none, none, none, np.zeros((0, most), np.int64), np.zeros(0, bool)
+        return none, none, none, none, np.zeros((0, most), np.int64), np.zeros((0, most), np.int64), np.zeros(0, bool)
     found = [np.concatenate(x) for x in zip(*parts)]
     order = np.lexsort((found[1], found[0]))
-    return tuple(x[order] for x in found)
+    block, number, first, behind, places, bad = (x[order] for x in found)
+    here = places >= 0
+    start = (places + offsets[block][:, None])[here]
+    words = np.zeros(places.shape, np.int64)
+    words[here] = walker.data[np.minimum(start[:, None] + np.arange(8), walker.top)].view(">i8").ravel()
+    return block, number, first, behind, places, words, bad
 
 
 def records(blocks: DataFrame, categories: tuple[int, ...] = CATEGORIES) -> DataFrame:
-    """A row for each record: the block's columns, rec_index, first and behind (where it starts and ends), at (where its items start) and malformed.
+    """A row for each record: the block's columns, rec_index, first and behind (where it starts and ends), at (where its items start), word (the eight bytes from there) and malformed.
 
     All places are zero-based and count from the block's start.
 
@@ -117,12 +122,13 @@ def records(blocks: DataFrame, categories: tuple[int, ...] = CATEGORIES) -> Data
             payload = batch["payload"].cast(pa.large_binary())
             offsets = np.frombuffer(payload.buffers()[1], np.int64)[payload.offset : payload.offset + len(payload) + 1] if len(payload) else np.zeros(1, np.int64)
             data = np.frombuffer(payload.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if len(payload) else np.zeros(0, np.uint8)
-            block, number, first, behind, places, bad = _walk(data, offsets - offsets[0], batch["cat"].to_numpy(), categories)
+            block, number, first, behind, places, words, bad = _walk(data, offsets - offsets[0], batch["cat"].to_numpy(), categories)
             flat = places.ravel().astype(np.int32)
-            at = pa.ListArray.from_arrays(pa.array(np.arange(len(block) + 1, dtype=np.int32) * places.shape[1]), pa.array(flat, mask=flat < 0))
+            cut = pa.array(np.arange(len(block) + 1, dtype=np.int32) * places.shape[1])
+            at, word = (pa.ListArray.from_arrays(cut, pa.array(x, mask=flat < 0)) for x in (flat, words.ravel()))
             kept = batch.take(pa.array(block))
             numbers = [pa.array(x.astype(np.int32)) for x in (number, first, behind)]
-            yield pa.RecordBatch.from_arrays([*kept.columns, *numbers, at, pa.array(bad)], [*kept.schema.names, *FOUND.names])
+            yield pa.RecordBatch.from_arrays([*kept.columns, *numbers, at, word, pa.array(bad)], [*kept.schema.names, *FOUND.names])
 
     told = told.withColumn("cat", F.col("cat").cast("int"))
     return told.mapInArrow(run, T.StructType([*told.schema, *FOUND]))
@@ -134,16 +140,21 @@ class Items:
     def __init__(self, layouts: dict[int, Layout] = LAYOUTS):
         self.layouts, self.cat = layouts, F.col("cat")
 
-    def place(self, names: dict[int, str]) -> Column:
-        """Where the named item of each category starts; null if the record has none."""
-        out = F.lit(None).cast("int")
+    def _of(self, names: dict[int, str], array: str, kind: str) -> Column:
+        """The element of the named item of each category; null if the record has none."""
+        out = F.lit(None).cast(kind)
         for number in sorted({self.layouts[c].number(n) for c, n in names.items() if c in self.layouts}):
             cats = [c for c, n in names.items() if c in self.layouts and self.layouts[c].number(n) == number]
-            out = F.when(self.cat.isin(cats), F.get("at", F.lit(number))).otherwise(out)
+            out = F.when(self.cat.isin(cats), F.get(array, F.lit(number))).otherwise(out)
         return out
 
+    def place(self, names: dict[int, str]) -> Column:
+        """Where the named item starts."""
+        return self._of(names, "at", "int")
+
     def value(self, names: dict[int, str], n: int, skip: int = 0) -> Column:
-        return B.unsigned(F.col("payload"), self.place(names) + (1 + skip), n)
+        """n bytes of the named item behind skip others, eight together at most."""
+        return B.field(self._of(names, "word", "long"), 64 - 8 * (skip + n), (1 << 8 * n) - 1)
 
 
 #: The item that holds each logical field, by category: fixed values of the format.

@@ -83,7 +83,7 @@ def test_registers_last_wins_and_zero_ones_go(spark):
 
 def advisory(spark, text):
     df = spark.createDataFrame([(bytearray(bytes.fromhex(text.replace(" ", ""))),)], "m binary")
-    return df.select(*(v.alias(k) for k, v in acas.advisory(F.col("m")).items())).first().asDict()
+    return df.select(*(v.alias(k) for k, v in acas.advisory(B.unsigned(F.col("m"), 1, 7)).items())).first().asDict()
 
 
 def test_advisories(spark):
@@ -93,7 +93,7 @@ def test_advisories(spark):
 
 
 def test_every_altitude_comes_back(spark):
-    rows = spark.range(0, 1000, 2).select("id", *(v.alias(k) for k, v in acas.advisory(S.advisory(F.col("id"))).items() if k == "tida"))
+    rows = spark.range(0, 1000, 2).select("id", *(v.alias(k) for k, v in acas.advisory(B.unsigned(S.advisory(F.col("id")), 1, 7)).items() if k == "tida"))
     assert all(r.tida == r.id % 1000 * 100 - 1200 for r in rows.collect())
 
 
