@@ -14,11 +14,10 @@ TYPE_NAMES = {
     8: {254: "SOP", 255: "EOP"},
     10: {1: "TARGET", 2: "START_UPDATE", 3: "PERIODIC", 4: "EVENT"},
     19: {1: "START_UPDATE", 2: "PERIODIC", 3: "EVENT"},
+    20: {64: "NON_MODE_S", 32: "MODE_S", 16: "HF", 8: "VDL4", 4: "UAT", 2: "DME", 1: "OTHER"},
     34: {1: "NORTH", 2: "SECTOR", 3: "GEO_FILTER", 4: "JAMMING"},
     48: {0: "NODET", 1: "PSR", 2: "SSR", 3: "CMB", 4: "SSRS_GEN", 5: "SSRS_ROLL", 6: "CMBS_GEN", 7: "CMBS_ROLL"},
 }
-# Names of the one-hot bits of category 20 types, most significant first.
-CAT20_TYPES = ("SSR", "MODE_S", "HF", "VDL4", "UAT", "DME", "OTHER")
 # The six-bit alphabet of call signs.
 SIX_BIT = "@ABCDEFGHIJKLMNOPQRSTUVWXYZ@@@@@ @@@@@@@@@@@@@@@0123456789@@@@@@"
 

@@ -198,6 +198,7 @@ def decode(blocks: DataFrame, compat: bool = False, cat21: bool = True, categori
     own = x.value({48: "230"}, 2)
     ten = x.value({10: "020"}, 1)
     twentyone = x.value({21: "040"}, 2)
+    more = F.when(B.bit(x.value({20: "020"}, 1), 1), x.value({20: "020"}, 1, 1))  # category 20: RAB SPI CHN GBS CRT SIM TST
     columns: dict[str, Column] = {
         "sac": x.value(first, 1).cast("int"),
         "sic": x.value(first, 1, 1).cast("int"),
@@ -228,10 +229,11 @@ def decode(blocks: DataFrame, compat: bool = False, cat21: bool = True, categori
         "bds": _registers(x),
         "acas": _acas(x),
         "responses": F.shiftright(x.value({1: "130"}, 1), 1).cast("int"),
-        "flag_test": F.when(cat == 1, B.bit(x.value({1: "020"}, 1, 1), 128) & B.bit(report, 1)).when(cat == 21, B.bit(twentyone, 0x1000)),
-        "flag_ground": F.when(cat == 21, B.bit(twentyone, 0x4000)),
-        "flag_sim": F.when(cat == 21, B.bit(twentyone, 0x2000)),
-        "flag_fixed": F.when(cat.isin(1, 48), B.bit(report, 2)).when(cat == 21, B.bit(twentyone, 0x0800)),
+        "flag_test": F.when(cat == 1, B.bit(x.value({1: "020"}, 1, 1), 128) & B.bit(report, 1)).when(cat == 21, B.bit(twentyone, 0x1000)).when(cat == 20, B.bit(more, 2)),
+        "flag_ground": F.when(cat == 21, B.bit(twentyone, 0x4000)).when(cat == 20, B.bit(more, 16)),
+        "flag_sim": F.when(cat == 21, B.bit(twentyone, 0x2000)).when(cat == 20, B.bit(more, 4)),
+        "flag_fixed": F.when(cat.isin(1, 48), B.bit(report, 2)).when(cat == 21, B.bit(twentyone, 0x0800)).when(cat == 20, B.bit(more, 128)),
+        "report_flags": F.shiftright(more, 1).cast("int"),
         "track_number": x.value({10: "161", 20: "161", 48: "161"}, 2).cast("int"),
         "tod_trunc": x.value({1: "141"}, 2) / 128.0,
         "tod": x.value(TIME, 3) / 128.0,

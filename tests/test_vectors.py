@@ -1,5 +1,6 @@
 """Byte vectors of the public format, and round trips."""
 
+import random
 import zlib
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from radarq.functions import bits as B
 from radarq.functions import clock, codes
+from radarq.functions.layouts import LAYOUTS
 from radarq.operators import acas, decode, header
 from radarq.plans import synthetic as S
 
@@ -50,6 +52,12 @@ def test_signed_coordinates(spark):
     has(row, x=33554412.0)
 
 
+def test_category_20_flags(spark):
+    row, plain = plots(spark, "14 00 08 C0 14 82 41 94", "14 00 07 C0 14 82 40")
+    has(row, type=32, type_name="MODE_S", flag_fixed=True, flag_ground=True, flag_sim=True, flag_test=False, report_flags=0b1001010)
+    has(plain, type=32, flag_fixed=None, report_flags=None)
+
+
 def test_two_records_and_a_track(spark):
     record = "FE 14 82 20 2B 1F FE 6C 08 2F 04 D8 12 C8 EB"
     track = "FE 14 82 A0 2B 1F FE 6C 08 2F 04 D8 12 C8 EB"
@@ -63,6 +71,20 @@ def test_broken_blocks_give_no_plots(spark, text):
     assert plots(spark, text) == []
 
 
+def test_any_bytes_decode_without_failing(spark):
+    r = random.Random(11)
+    rows = []
+    for i in range(3000):
+        cat = r.choice(list(LAYOUTS))
+        body = bytes(r.choice([0, 1, 0xFF, 0x80, r.randrange(256)]) for _ in range(r.randint(0, 60)))
+        rows.append((i, cat, bytearray(bytes([cat]) + (len(body) + 3).to_bytes(2, "big") + body)))
+    df = spark.createDataFrame(rows, "seq long, cat int, payload binary").repartition(3)
+    found = decode.records(df).collect()
+    assert found and all(x.malformed or x.behind <= len(x.payload) for x in found)
+    assert all(p is None or x.first < p for x in found for p in x["at"])
+    assert decode.decode(df).count() <= len(found)
+
+
 def test_null_and_empty_tables(spark):
     null = spark.createDataFrame([(1, 48, None)], "seq long, cat int, payload binary")
     assert decode.decode(null).collect() == []
