@@ -84,7 +84,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; the rows of the last."""
+    """All stages over the documents of sf_dir; the rows of the last, which may still read tables of its own."""
+    _left.clear()  # a result of an earlier run may not have been read yet
     docs = C.table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
