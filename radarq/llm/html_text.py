@@ -3,8 +3,9 @@
 Every DOM node has characters, tags, link characters and link tags; its density is characters per
 tag, adjusted for links, and its density sum that of its children. The node of the largest sum is the
 core of the text; the smallest density on its path to the body is the threshold above which other
-subtrees belong to the text as well. Elements that name themselves as navigation, advert, form,
-comment and the like don't take part.
+subtrees belong to the text as well. Tags only choose between subtrees with the same text above it.
+Elements that name themselves as navigation, advert, form, comment and the like don't take part, unless
+they hold the article or half of the page's text.
 """
 
 from __future__ import annotations
@@ -51,6 +52,9 @@ OUT_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu sidebar footer header masthead comment comments disqus respond notice alert cookie cookies consent gdpr banner popup modal overlay breadcrumb breadcrumbs share sharing social related recommended newsletter subscribe subscription signup login pagination pager toolbar widget form search copyright skip".split()
 )
 KEPT_TAGS = frozenset({"html", "body", "main"})
+ARTICLES = frozenset({"article", "main"})
+#: These never wrap the article where it is marked elsewhere.
+BESIDE_TAGS = frozenset("nav footer aside header menu".split())
 
 TOKEN = re.compile(
     r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?>[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>""", re.S
@@ -60,10 +64,11 @@ WORD = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "out", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "out", "chars", "tags", "link_chars", "link_tags", "density", "total", "hidden", "whole", "articles")
 
-    def __init__(self, tag: str, parent: Node | None, out: bool):
-        self.tag, self.parent, self.children, self.out = tag, parent, [], out
+    def __init__(self, tag: str, parent: Node | None, out: bool, hidden: bool = False):
+        self.tag, self.parent, self.children, self.out, self.hidden = tag, parent, [], out, hidden
+        self.whole = self.articles = 0
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
@@ -83,7 +88,19 @@ def _is_out(tag: str, attributes: str, parent: Node) -> bool:
         elif name == "role":
             if value in OUT_ROLES:
                 return True
-        elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
+        elif name == "aria-hidden" and value == "true":
+            return True
+    return False
+
+
+def _is_hidden(tag: str, attributes: str) -> bool:
+    if tag == "head":
+        return True
+    if not attributes or tag in KEPT_TAGS:
+        return False
+    for name, a, b, c in ATTRIBUTE.findall(attributes):
+        name = name.lower()
+        if name == "hidden" or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", (a or b or c).lower())):
             return True
     return False
 
@@ -159,13 +176,34 @@ def parse(page: str) -> Node:
             at = page.find(">", end) + 1 if end < n and end > at or low.startswith("</" + tag, end) else end
             at = at or n
             continue
-        node = Node(tag, top, _is_out(tag, attributes, top))
+        hidden = _is_hidden(tag, attributes)
+        node = Node(tag, top, hidden or _is_out(tag, attributes, top), hidden)
         top.children.append(node)
         if tag not in VOID and not (attributes.endswith("/") and tag not in BLOCKS and tag not in INLINE):
             top = node
+    _spare(root)
     return root
 
 
+def _spare(root: Node) -> None:
+    """Takes back what is out by name only but holds an article or half of the text: it is a wrapper."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack.extend(c for c in node.children if not isinstance(c, str) and not c.hidden)
+    for node in reversed(order):
+        node.whole += sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        if node.parent is not None:
+            node.parent.whole += node.whole
+            node.parent.articles += node.articles + (node.tag in ARTICLES and not node.out and node.whole > 0)
+    for node in order:
+        if node.out and not node.hidden and node.whole:
+            beside = node.tag in BESIDE_TAGS and root.articles
+            if node.articles or (node.whole * 2 >= root.whole and not beside):
+                node.out = False
+
+
 def measure(root: Node) -> tuple[Node, list[Node]]:
     """Densities and density sums; the body and all nodes, parents first."""
     nodes: list[tuple[Node, bool]] = []
@@ -201,39 +239,49 @@ def measure(root: Node) -> tuple[Node, list[Node]]:
     return body, [n for n, _ in nodes]
 
 
-def select(root: Node) -> Node | None:
-    """The subtree of the article."""
+def select(root: Node) -> Node:
+    """The subtree of the article; what doesn't belong to it inside is out."""
     body, nodes = measure(root)
-    core = max(nodes, key=lambda n: n.total)
+    core = max(nodes, key=lambda n: (n.total, n.tag in ARTICLES))
     if core.total <= 0:
-        core = body
-    for node in _path(core):  # what calls itself the article, is
-        if node.tag == "article":
-            outer = node
-            for n in _path(node.parent):
-                outer = n if n.tag == "article" else outer
-            return outer
-    path = list(_path(core))
-    for node in path:
-        if node.tag == "main":
-            return node
-    inside = [n for n in nodes if n.tag in ("article", "main") and n.chars * 2 >= body.chars]
-    if inside:
-        return inside[0]
-    least = min((n.density for n in path if n.tag not in ("html", "body")), default=0.0)
+        return body
+    path = []
+    for node in _path(core):
+        path.append(node)
+        if node is body:
+            break
+    on_path = set(path)
+    least = min((n.density for n in path if n.tag not in ("html", "body")), default=core.density)
+
+    def others(node: Node) -> list[Node]:
+        return [c for c in node.children if isinstance(c, Node) and not c.out and c.chars and c not in on_path]
+
+    def enough(c: Node) -> bool:
+        """Whether a node beside the path is text: dense, or another part next to an article (one link lowers a density by far)."""
+        return c.density >= least or (c.tag == "article" and c.link_chars * 4 <= c.chars and any(x.tag == "article" and x.parent is c.parent for x in path))
+
     top = core
     for node in path[1:]:
-        if node.tag in ("body", "html"):
-            break
-        if sum(1 for c in node.children if isinstance(c, Node) and not c.out and c.density >= least and c.chars) > 1:
+        if any(enough(c) for c in others(node)):
             top = node
-    # subtrees beside the core that are under the threshold and mostly links, are no text
-    for node in [n for n in path if n is not core][: len(path)]:
-        for c in node.children:
-            if isinstance(c, Node) and c not in path and c.tag not in HEADINGS and c.density < least and c.link_chars * 2 > c.chars:
+    # the same subtrees are over the threshold in all nodes from here to the next one: a tag decides
+    above = list(_path(top))
+    wider = [n for n in above if n.tag == "article"][-1:] or [n for n in above if n.tag == "main"][:1]
+    top = wider[0] if wider else top
+    for node in path:
+        if node is core:
+            continue
+        for c in others(node):
+            if not enough(c) and c.tag not in HEADINGS and (c.link_chars * 2 > c.chars or (node is body and c.tag != "p")):
+                c.out = True
+    # around marked articles that hold most of the text, a core keeps what is as dense as itself
+    marked = [c for c in others(core) if c.tag in ARTICLES or c.articles]
+    if core.tag not in ARTICLES and sum(c.chars for c in marked) * 2 >= core.chars:
+        for c in others(core):
+            if c not in marked and c.density < core.density and c.tag not in HEADINGS:
                 c.out = True
-    for c in core.children:
-        if isinstance(c, Node) and c.tag in ("ul", "ol", "div", "section", "table") and c.chars and c.link_chars * 10 > c.chars * 8:
+    for c in others(core):
+        if c.tag in ("ul", "ol", "div", "section", "table") and c.link_chars * 10 > c.chars * 8:
             c.out = True
     return top
 

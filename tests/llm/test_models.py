@@ -302,6 +302,45 @@ def test_article():
     assert html_text.main_text(PAGE) == "Title & more\n\nFirst paragraph with bold text and a link, long enough to count as text.\n\nSecond one: café – still text, and it goes on for a while so that it is dense."
 
 
+WRAPPED = [
+    ("<form id=aspnetForm>", "</form>"), ("<div class='layout with-sidebar'>", "</div>"), ("<div class='no-sidebar'>", "</div>"), ("<div id='search-page'>", "</div>"), ("<div role=form>", "</div>"),
+    ("<header>", "</header>"), ("<div aria-hidden=true>", "</div>"), ("<form class=search><div id=content-ad-free>", "</div></form>"),
+]
+PARTS = [" ".join(f"{w} {k} of the article, long enough to count as text." for k in range(4)) for w in ("Sentence", "Line", "Clause", "Phrase")]
+PARAGRAPHS = ["".join(f"<p>{x}</p>" for x in PARTS[k : k + 2]) for k in (0, 2)]
+AROUND = ("<nav><ul><li><a href=x>Home</a><li><a href=y>About</a></ul></nav>", "<div class=comments><p>A reader says something.</p></div><div class=sidebar><a href=z>More</a></div><footer><p>Copyright</p></footer>")
+
+
+@pytest.mark.parametrize("start, end", WRAPPED)
+@pytest.mark.parametrize("tag", ["article", "main", "div", ""])
+def test_wrapper_names(start, end, tag):
+    inner = "".join(PARAGRAPHS)
+    inner = f"<{tag}>{inner}</{tag}>" if tag else inner
+    for page in (f"{AROUND[0]}{start}{inner}{end}{AROUND[1]}", f"{start}{AROUND[0]}{inner}{AROUND[1]}{end}"):
+        assert html_text.main_text(f"<html><body>{page}</body></html>") == "\n\n".join(PARTS)
+
+
+@pytest.mark.parametrize("start, end", [("", ""), ("<main>", "</main>"), ("<div class=with-sidebar>", "</div>"), ("<div><div>", "</div></div>")])
+@pytest.mark.parametrize("tag", ["article", "section", "div"])
+def test_sibling_parts(start, end, tag):
+    inner = "".join(f"<{tag}>{x}</{tag}>" for x in PARAGRAPHS)
+    assert html_text.main_text(f"<html><body>{AROUND[0]}{start}{inner}{end}{AROUND[1]}</body></html>") == "\n\n".join(PARTS)
+
+
+def test_unlike_sibling_articles():
+    inner = f"<article>{PARAGRAPHS[0]}</article><article><p>A part with <a href=x>one link</a> in it, and shorter.</p><p>It ends.</p></article>"
+    for page in (inner, f"<main>{inner}</main>", f"<div class=layout-with-sidebar>{inner}</div>"):
+        assert html_text.main_text(f"<body>{AROUND[0]}{page}{AROUND[1]}</body>") == "\n\n".join([*PARTS[:2], "A part with one link in it, and shorter.", "It ends."])
+
+
+def test_named_parts_stay_out():
+    short = "<article><p>Brief.</p></article>"
+    far = "<footer><p>A footer that is longer than the article.</p></footer><aside><p>An aside that is longer, too.</p></aside>"
+    assert html_text.main_text(f"<body>{short}{far}</body>") == "Brief."
+    reply = "<section id=comments><article class=comment><p>A reader says something long that isn't the article's.</p></article></section>"
+    assert html_text.main_text(f"<body><article>{PARAGRAPHS[0]}</article>{reply}</body>") == "\n\n".join(PARTS[:2])
+
+
 @pytest.mark.parametrize("page", ["", "<", "<p", "<!--", "<script>", "</p></div>", "<p>" * 3000, "<div>" * 3000 + "deep" + "</div>" * 3000, "a<b", "&#xFFFFFFF;", "<p title='>'>x</p>", "\x00<p>\x00"])
 def test_broken_pages(page):
     assert isinstance(html_text.main_text(page), str)
