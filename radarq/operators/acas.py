@@ -49,8 +49,11 @@ def upsert_advisories(advisories: DataFrame, order: tuple[str, ...] = ("seq",))
     return latest(advisories, ("sac", "sic", "tod"), order)
 
 
-def latest_capabilities(plots: DataFrame, order: tuple[str, ...] = ("seq",)) -> DataFrame:
-    """For each address, the own-status fields and registers 1,0 and 1,7 last seen, each by itself."""
+def latest_capabilities(plots: DataFrame, order: tuple[str, ...] = ("seq", "rec_index")) -> DataFrame:
+    """For each address, the own-status fields and registers 1,0 and 1,7 last seen, each by itself.
+
+    order must tell all records apart: those of one block share its seq.
+    """
     own = ("com", "si", "mssc", "arc", "aic", "b1a", "b1b")
     at = F.struct(*order)
     told = plots.filter(F.col("modes").isNotNull())

@@ -139,6 +139,8 @@ ORACLES["decode_acas_ra"] = RA + """SELECT seq, k AS rec_index, CAST(v % 128 //
 ORACLES["ras_upsert"] = RA + """SELECT sac, sic, floor(tod / 60) * 60 AS tod, printf('%06X', arg_max((n * 2654435 + k) % 16777216, n * 2 + k)) AS modes, arg_max(CASE WHEN v % 2 = 1 THEN 1 ELSE 2 END, n * 2 + k) AS bds30_tti FROM r GROUP BY sac, sic, floor(tod / 60) * 60"""
 ORACLES["latest_capabilities"] = f"""WITH s AS ({SENSOR}), r AS (SELECT *, printf('%02X', n * 2654435 % 256) AS modes FROM s)
 SELECT modes, CAST(arg_max(n % 8, n) AS INTEGER) AS com, CAST(arg_max(n % 2, n) AS INTEGER) AS si, CAST(arg_max(n % 16, n) AS INTEGER) AS b1b, printf('%014X', max(n) * 331 + 1) AS bds10 FROM r GROUP BY modes"""
+ORACLES["latest_capabilities_whole"] = RA + """, m AS (SELECT *, printf('%06X', (n * 2654435 + k) % 16777216) AS modes, n * 2 + k AS place FROM r)
+SELECT modes, CAST(arg_max(n % 8, place) AS INTEGER) AS com, CAST(arg_max(n % 2, place) AS INTEGER) AS si, CAST(arg_max(n % 16, place) AS INTEGER) AS b1b, printf('%014X', arg_max(n, place) * 331 + 1) AS bds10 FROM m GROUP BY modes"""
 ORACLES["truncated_time_asof"] = """WITH t AS (SELECT event_id AS seq, user_id % 3 AS s, event_type <> 'view' AS plot, event_id * 37 % 11059200 AS f, event_id % 5 * 20 AS late FROM events),
 m AS (SELECT *, max(CASE WHEN NOT plot THEN seq END) OVER (PARTITION BY s ORDER BY seq) AS mark FROM t)
 SELECT seq, CASE WHEN plot THEN 1 ELSE 2 END AS cat, CASE WHEN NOT plot THEN f / 128.0::DOUBLE WHEN mark IS NOT NULL THEN (f - late) / 128.0::DOUBLE END AS tod_full FROM m"""

@@ -280,6 +280,13 @@ def latest_capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return acas.latest_capabilities(plots).select("modes", "com", "si", "b1b", F.hex("bds10").alias("bds10"))
 
 
+@query
+def latest_capabilities_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """latest_capabilities over all records and whole addresses."""
+    plots = decode.decode(S.blocks(spark, sf_dir, 48))
+    return acas.latest_capabilities(plots, ("seq", "rec_index")).select("modes", "com", "si", "b1b", F.hex("bds10").alias("bds10"))
+
+
 def truncated(spark: SparkSession, sf_dir: str, table: S.Table = S.table) -> DataFrame:
     e = table(spark, sf_dir, "events")
     full = F.col("event_id") * 37 % S.DAY128

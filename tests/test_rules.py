@@ -24,6 +24,13 @@ def test_sensor_filters(spark):
     assert seqs(filters.sensor_signed(rows, (20, 130), (20, 131))) == [1, 2]
 
 
+def test_capabilities_of_the_last_record_of_a_block(spark):
+    rows = [(1, 0, "00AB01", 1), (1, 1, "00AB01", 2), (0, 1, "00AB01", 3), (1, 1, "00CD01", 4), (1, 0, "00CD01", 5), (1, 0, "01AB01", 6), (1, 1, "01AB01", None)]
+    for told in (rows, rows[::-1]):
+        plots = spark.createDataFrame(told, "seq long, rec_index int, modes string, com int").coalesce(1)
+        assert {r.modes: r.com for r in acas.latest_capabilities(plots).collect()} == {"00AB01": 2, "00CD01": 4, "01AB01": 6}
+
+
 def test_time_of_day(spark):
     rows = spark.createDataFrame([("a", i, t) for i, t in enumerate([86350.0, 10.0, 600.0, 659.5, 700.0, 20.0])], "source string, seq long, recv_tod double")
     times = lambda df: sorted(r.recv_tod for r in df.collect())
