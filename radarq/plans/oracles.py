@@ -169,6 +169,35 @@ ORACLES["format_lines"] = PLOTS + f""", l AS (SELECT *, CAST(floor(tod * 1000) A
 SELECT seq, printf('CAT%02d [%d/%d] [%s]%s [AZI %.3f] [DST %.3f] [MODEA %s%s%s] [FL%03d%s] r%d [%s] [%s] (%.4f)', cat, sac, sic, tn, CASE WHEN flag_test THEN 'T' ELSE '' END, round(theta, 3), round(rho, 3),
   printf('%04o', modea), CASE WHEN seq % 5 = 0 THEN 'G' ELSE '' END, CASE WHEN seq % 3 = 0 THEN 'I' ELSE '' END, seq % 400, CASE WHEN seq % 7 = 0 THEN 'G' ELSE '' END, seq % 12,
   {CLOCK.format("tod")}, {CLOCK.format("stamp")}, round(delay, 4)) AS line FROM l"""
+# A category's records hold those fields of a line that its layout has.
+FIELDS = ("theta", "rho", "x", "y", "modea", "modea_v", "modea_g", "modea_l", "modec", "modes", "aid", "responses", "tod", "tod_trunc")
+_theirs = {
+    1: {"theta", "rho", "modea", "modea_v", "modea_g", "modea_l", "modec", "responses", "tod_trunc"}, 10: {"theta", "rho", "tod"}, 20: {"x", "y", "tod"}, 34: {"tod"},
+    48: {"theta", "rho", "modea", "modea_v", "modec", "modes", "aid", "tod"},
+}
+_made = {
+    (1, "type_name"): "['NODET', 'PSR', 'SSR', 'CMB'][type + 1]", (10, "type_name"): "'TARGET'", (34, "type_name"): "type_name",
+    (20, "type_name"): "CASE type WHEN 1 THEN 'OTHER' WHEN 2 THEN 'DME' WHEN 4 THEN 'UAT' WHEN 8 THEN 'VDL4' WHEN 16 THEN 'HF' WHEN 32 THEN 'MODE_S' WHEN 64 THEN 'NON_MODE_S' END",
+    (48, "type_name"): "['NODET', 'PSR', 'SSR', 'CMB', 'SSRS_GEN', 'SSRS_ROLL', 'CMBS_GEN', 'CMBS_ROLL'][type + 1]", (1, "flag_fixed"): "flag_fixed",
+    (48, "modea_g"): "((seq + rec_index) * 13 % 32768) // 16384 = 1", (48, "modea_l"): "((seq + rec_index) * 13 % 16384) // 8192 = 1",
+}
+
+
+def _records(cat: int) -> str:
+    made = lambda c, none: _made.get((cat, c)) or (c if c in _theirs[cat] else none)
+    fields = ", ".join(f"{made(c, 'NULL')} AS {c}" for c in FIELDS)
+    return f"SELECT seq, rec_index, {cat} AS cat, sac, sic, {made('type_name', 'NULL')} AS type_name, {made('flag_fixed', 'FALSE')} AS flag_fixed, {fields} FROM ({ORACLES[f'decode_cat{cat:02d}']})"
+
+
+ORACLES["format_lines_whole"] = PLOTS + f""", d AS ({" UNION ALL ".join(_records(c) for c in (1, 10, 20, 34, 48))}),
+l AS (SELECT d.*, p.tod_stamp, CAST(floor(d.tod * 1000) AS BIGINT) AS ms_tod, CAST(floor(p.tod_stamp * 1000) AS BIGINT) AS ms_stamp,
+  CASE WHEN p.tod_stamp - d.tod <= -86000 THEN p.tod_stamp - d.tod + 86400 WHEN p.tod_stamp - d.tod >= 85888 THEN p.tod_stamp - d.tod - 86400 ELSE p.tod_stamp - d.tod END AS delay FROM d JOIN p USING (seq, cat))
+SELECT seq, rec_index, concat_ws(' ', printf('CAT%02d', cat), printf('[%d/%d]', sac, sic), '[' || type_name || CASE WHEN flag_fixed THEN 'TRN' ELSE '' END || ']' || CASE WHEN seq % 50 = 0 THEN 'T' ELSE '' END,
+  printf('[AZI %.3f]', round(theta, 3)), CASE WHEN cat = 10 THEN printf('[DST %.0fm]', rho) ELSE printf('[DST %.3f]', round(rho, 3)) END, printf('[X %.1f]', x), printf('[Y %.1f]', y),
+  '[MODEA ' || printf('%04o', modea) || CASE WHEN modea_g THEN 'G' ELSE '' END || CASE WHEN modea_v THEN 'I' ELSE '' END || CASE WHEN modea_l THEN 'S' ELSE '' END || ']',
+  '[FL' || printf('%03d', CAST(floor(modec / 100) AS INTEGER)) || CASE WHEN seq % 7 = 0 THEN 'G' ELSE '' END || CASE WHEN seq % 11 = 0 THEN 'I' ELSE '' END || ']',
+  printf('[%s]', modes), printf('<%s>', aid), printf('r%d', responses), CASE WHEN tod IS NULL THEN '[na]' ELSE '[' || {CLOCK.format("tod")} || ']' END, printf('(%.3f)', round(tod_trunc, 3)),
+  '[' || {CLOCK.format("stamp")} || ']', printf('(%.4f)', round(delay, 4))) AS line FROM l"""
 ORACLES["availability_statements"] = PLOTS + _windows(86400) + """SELECT printf('%03d_%03d_%03d', sac, sic, cat) AS sac_sic_cat, window_start AS timestamp,
   printf('REPLACE INTO availability3 (sac_sic_cat, region, timestamp, cuenta, max, min, media, stdev, p99) VALUES (''%03d_%03d_%03d'', ''north'', %d, %d, %.6f, %.6f, %.6f, %.6f, %.6f)', sac, sic, cat, window_start, cuenta, round(max, 3), round(min, 3), round(media, 3), round(stdev, 3), p99) AS sql FROM s"""
 ORACLES["hex_dump"] = MARK + "SELECT seq, seq || 'a ' || regexp_replace(body, '(..)', '\\1 ', 'g') AS dump FROM b"

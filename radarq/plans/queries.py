@@ -381,6 +381,23 @@ def format_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return output.format_lines(lines(spark, sf_dir)).select("seq", "line")
 
 
+def decoded_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of each event's block, in the event's own category, with the reception time and marks of its plot."""
+    marks = S.plots(spark, sf_dir).select("seq", "cat", "tod_stamp", (F.col("seq") % 50 == 0).alias("_test"), (F.col("seq") % 11 == 0).alias("modec_v"), (F.col("seq") % 7 == 0).alias("modec_g"))
+    records = None
+    for cat in S.CATS.values():
+        some = S.blocks(spark, sf_dir, cat).join(marks.filter(F.col("cat") == cat).drop("cat"), "seq")
+        records = some if records is None else records.unionByName(some)
+    told = decode.decode(records.withColumnsRenamed({"modec_v": "_v", "modec_g": "_g"}))
+    return told.withColumns({"flag_test": F.col("_test"), "modec_v": F.col("_v"), "modec_g": F.col("_g")})
+
+
+@query
+def format_lines_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """format_lines over decoded records of all categories in events, all printed fields with values."""
+    return output.format_lines(decoded_lines(spark, sf_dir)).select("seq", "rec_index", "line")
+
+
 @query
 def availability_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     windows = stats.delay_windows(delays(spark, sf_dir), period=86400)

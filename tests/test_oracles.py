@@ -2,6 +2,7 @@
 
 import glob
 import os
+import re
 
 import duckdb
 import pytest
@@ -28,6 +29,16 @@ def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
 
 
+def test_lines_of_all_categories(spark, small):
+    lines = [r.line for r in QUERIES["format_lines_whole"](spark, small).collect()]
+    events = spark.read.parquet(f"{small}/events.parquet").groupBy("event_type").count().collect()
+    n = {r.event_type: r["count"] for r in events}
+    begin = lambda cat: sum(x.startswith(f"CAT{cat:02d} ") for x in lines)
+    assert {c: begin(c) for c in (1, 10, 20, 34, 48)} == {1: n["click"], 10: n["purchase"], 20: n["signup"], 34: n["error"], 48: 2 * n["view"]}
+    for form in (r"\[DST \d+m\]", r"\[X -?[\d.]+\]", r"\[Y -?[\d.]+\]", r"\[[0-9A-F]{6}\]", r"<IB\d{5}>", r"\[na\] \([\d.]+\)", r"\[FL-?\d+GI\]", r"TRN\]", r"\]T "):
+        assert any(re.search(form, x) for x in lines), form
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, con, small, name):
     df = QUERIES[name](spark, small)
