@@ -91,9 +91,14 @@ class TokenRollup:
             if name.startswith("batch="):
                 found.add(name[6:])
             elif name.startswith("folded="):
-                found |= {r.batch for r in self.spark.read.schema("batch string").parquet(f"{self.path}/deltas/{name}/ids").collect()}
+                found |= self._held(name)[0]
         return found
 
+    def _held(self, fold: str) -> tuple[set[str], set[str]]:
+        """The batches that a fold holds and the older folds that it replaces."""
+        rows = self.spark.read.schema("batch string, fold string").parquet(f"{self.path}/deltas/{fold}/ids").collect()
+        return {r.batch for r in rows if r.batch is not None}, {r.fold for r in rows if r.fold is not None}
+
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Sum and add a batch of changes; False, and nothing done, if the batch is there already.
 
@@ -112,15 +117,16 @@ class TokenRollup:
             self._fs.delete(self._path(staged), True)
         return bool(done)
 
-    def _deltas(self) -> tuple[list[str], list[str]]:
+    def _deltas(self) -> tuple[list[str], list[str], list[str]]:
+        """Names of the folds and of the batches that count, and of what a fold has taken the place of."""
         names = sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.path}/deltas")))
-        folded = [n for n in names if n.startswith("folded=")]
-        held = {r.batch for n in folded for r in self.spark.read.schema("batch string").parquet(f"{self.path}/deltas/{n}/ids").collect()}
-        return folded, [n for n in names if n.startswith("batch=") and n[6:] not in held]
+        folds = {n: self._held(n) for n in names if n.startswith("folded=")}
+        over = {f"batch={b}" for held, _ in folds.values() for b in held} | {f for _, replaced in folds.values() for f in replaced}
+        return [n for n in folds if n not in over], [n for n in names if n.startswith("batch=") and n not in over], [n for n in names if n in over]
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, n_docs, n_tokens) over all committed batches; groups at zero are gone."""
-        folded, names = self._deltas()
+        folded, names, _ = self._deltas()
         paths = [f"{self.path}/deltas/{n}/sums" for n in folded] + [f"{self.path}/deltas/{n}" for n in names]
         kind = "source string, lang string, tokenizer string, d_docs long, d_tokens long"
         deltas = self.spark.read.schema(kind).parquet(*paths) if paths else self.spark.createDataFrame([], kind)
@@ -128,31 +134,53 @@ class TokenRollup:
         return out.filter("n_docs <> 0 or n_tokens <> 0")
 
     def compact(self) -> None:
-        """Fold all deltas into one table of sums; a crash leaves either the old or the new state."""
-        folded, names = self._deltas()
-        if not names:
-            return
+        """Fold all deltas into one table of sums; a crash leaves either the old or the new state.
+
+        The new fold comes by one rename and names what it replaces: from then on readers skip that, and
+        it goes now or, after a crash, with the next compaction. One compaction at a time.
+        """
+        folded, names, over = self._deltas()
+        if names:
+            self._fold(folded, over)
+        for n in (*over, *names, *(folded if names else ())):
+            self._fs.delete(self._path(f"{self.path}/deltas/{n}"), True)
+
+    def _fold(self, folded: list[str], over: list[str]) -> None:
+        replaced = [*folded, *(n for n in over if n.startswith("folded="))]
         ids = sorted(self.batches())
         staged = f"{self.path}/staged-{uuid.uuid4().hex}"
         self.totals().select(*KEYS, F.col("n_docs").alias("d_docs"), F.col("n_tokens").alias("d_tokens")).coalesce(1).write.parquet(f"{staged}/sums")
-        self.spark.createDataFrame([(i,) for i in ids], "batch string").coalesce(1).write.parquet(f"{staged}/ids")
-        if folded:  # one fold at a time: the old one goes as the new one comes
-            self._fs.delete(self._path(f"{self.path}/deltas/{folded[0]}"), True)
-        self._fs.rename(self._path(staged), self._path(f"{self.path}/deltas/folded={uuid.uuid4().hex}"))
-        for n in names:
-            self._fs.delete(self._path(f"{self.path}/deltas/{n}"), True)
+        self.spark.createDataFrame([*((i, None) for i in ids), *((None, n) for n in replaced)], "batch string, fold string").coalesce(1).write.parquet(f"{staged}/ids")
+        if not self._fs.rename(self._path(staged), self._path(f"{self.path}/deltas/folded={uuid.uuid4().hex}")):
+            raise OSError(f"cannot move {staged}")
 
 
 VERSIONS = ("word_bpe_49k.json", "byte_bpe_50k.tiktoken")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, inserted in two batches; the first is sent twice and counts once."""
+    """All documents after inserts, a repeat, revisions, deletes and a compaction.
+
+    One half is inserted, sent again (which counts once), deleted and inserted anew; the other one is
+    inserted with the first half of each text and then revised.
+    """
     docs = C.table(spark, sf_dir, "documents")
     rollup = TokenRollup(spark, f"{C.scratch_dir(spark).rstrip('/')}/rollup-{uuid.uuid4().hex}")
-    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
-    first, second = (inserts(count_tokens(docs.filter(half == k), VERSIONS)) for k in (0, 1))
-    rollup.commit("inserts-0", first)
-    rollup.commit("inserts-1", second)
-    rollup.commit("inserts-0", first)
+    half = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(2))
+    draft = docs.filter(half == 1).withColumn("text", F.expr("substring(text, 1, length(text) div 2)"))
+    # numbers only: texts are counted once
+    kept = {"whole": docs, "draft": draft}
+    for name, rows in kept.items():
+        count_tokens(rows, VERSIONS).write.parquet(f"{rollup.path}/counts-{name}")
+    whole, before = (spark.read.parquet(f"{rollup.path}/counts-{name}") for name in kept)
+    one, two = (whole.filter(half == k) for k in (0, 1))
+    rollup.commit("inserts-0", inserts(one))
+    rollup.commit("inserts-1", inserts(before))
+    rollup.commit("inserts-0", inserts(one))
+    rollup.commit("revisions-1", revisions(before, two))
+    rollup.commit("deletes-0", deletes(one))
+    rollup.compact()
+    rollup.commit("inserts-2", inserts(one))
+    for name in kept:
+        rollup._fs.delete(rollup._path(f"{rollup.path}/counts-{name}"), True)
     return rollup.totals()

@@ -186,6 +186,58 @@ def test_rollup(spark, rollup):
         rollup.commit("a/b", token_rollup.inserts(one))
 
 
+class Failing:
+    """A file system that fails at its n-th rename or delete."""
+
+    def __init__(self, fs, n):
+        self.fs, self.left = fs, n
+
+    def __getattr__(self, name):
+        if name in ("rename", "delete"):
+            self.left -= 1
+            if self.left < 0:
+                raise OSError("crash")
+        return getattr(self.fs, name)
+
+
+@pytest.mark.parametrize("n", range(5))
+def test_crash_in_compaction(spark, rollup, n):
+    for k in range(3):
+        rollup.commit(f"b{k}", token_rollup.inserts(counts(spark, (k, "a", "en", "t", 10**k))))
+        if k == 0:
+            rollup.compact()
+    want, fs = {("a", "en", "t"): (3, 111)}, rollup._fs
+    rollup._fs = Failing(fs, n)
+    if n < 4:  # a rename, an old fold and two batches
+        with pytest.raises(OSError):
+            rollup.compact()
+    else:
+        rollup.compact()
+    rollup._fs = fs
+    assert totals(rollup) == want and rollup.batches() == {"b0", "b1", "b2"}
+    rollup.compact()
+    assert totals(rollup) == want and rollup.batches() == {"b0", "b1", "b2"}
+    assert len(fs.listStatus(rollup._path(f"{rollup.path}/deltas"))) == 1
+
+
+def test_counts_by_all_changes(spark, small, monkeypatch):
+    done, commit, compact = [], token_rollup.TokenRollup.commit, token_rollup.TokenRollup.compact
+
+    def told(self, batch, changes):
+        d = changes.agg(F.sum(F.abs("d_docs")), F.sum("d_docs")).first()
+        done.append((batch.split("-")[0], d[0], d[1]))
+        return commit(self, batch, changes)
+
+    monkeypatch.setattr(token_rollup.TokenRollup, "commit", told)
+    monkeypatch.setattr(token_rollup.TokenRollup, "compact", lambda self: done.append(("compact", 0, 0)) or compact(self))
+    n = 2 * spark.read.parquet(f"{small}/documents.parquet").count()
+    token_rollup.op4_token_counts(spark, small).collect()
+    changed = {kind: (a, b) for kind, a, b in done}
+    assert [x[0] for x in done].count("compact") == 1
+    assert changed["revisions"][1] == 0 and changed["deletes"][0] == -changed["deletes"][1]
+    assert changed["revisions"][0] / 2 + changed["deletes"][0] == n
+
+
 def test_counts_of_documents(spark, docs, small):
     got = {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in token_rollup.op4_token_counts(spark, small).collect()}
     want: dict = {}
