@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 NO_ID = np.iinfo(np.int64).max  # stands for a null doc_id: larger than any other
 BLOCK_BYTES = 8 << 20
 MIN_BLOCKS = 64
+SLICE_BYTES = 4 << 20
 
 Key = tuple[pa.Scalar, ...]
 
@@ -198,6 +199,17 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return span_hashes(low, s, e), bounds
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: str, rows: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that each has some rows and some bytes of column at most; a longer value comes alone."""
+    for batch in batches:
+        size = np.diff(binary_column(batch[column].cast(pa.large_binary()))[1])
+        at = 0
+        while at < batch.num_rows:
+            n = int(np.searchsorted(np.cumsum(size[at : at + rows]), most, "right"))
+            yield batch.slice(at, max(n, 1))
+            at += max(n, 1)
+
+
 def packed(arrays: list[np.ndarray]) -> pa.Array:
     return pa.array([a.tobytes() for a in arrays], pa.binary())
 

@@ -1,10 +1,13 @@
 """Toxicity by the nearest labelled examples.
 
-Terms are words and the first five bytes of longer words. The vocabulary is chosen from labelled rows
-by chi-square; document frequencies are counted over all documents. Examples lie in an inverted index
-whose postings are cut into blocks of examples with the largest weight of each term; a query takes the
-blocks in the order of their bounds and stops at the first bound under its k-th best cosine, so its
-neighbours are exact. Votes weighted by distance are calibrated by isotonic regression.
+Terms are words and the first five bytes of longer words; every term of every example is indexed. A
+term weighs (1 + log tf) times its idf, counted over all documents, times what the labels tell about
+it: from LEAST_WEIGHT for a term that comes alike under both labels up to one. Examples lie in an
+inverted index. Lists of rare terms are summed whole; those of frequent terms are cut into blocks of
+64 examples with the largest weight of the term in each, and a block is opened only for queries whose
+bound in it (their sums of rare terms, and the blocks' largest weights) reaches their k-th best cosine
+so far. What may be among the k nearest is then summed anew, so neighbours are exact. Votes weighted
+by distance are calibrated by isotonic regression on votes of examples without themselves.
 """
 
 from __future__ import annotations
@@ -13,22 +16,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common as C
 
-#: The bound of the labelled sample: so many rows at most, taken by a hash of doc_id.
+#: The bound of the labelled sample: so many documents, by a hash of doc_id, and bytes of text at most,
+#: none of them over EXAMPLE_BYTES / 64. Index and vocabulary are bounded by its words.
 EXAMPLES = 8192
-VOCABULARY = 2048
-#: Terms must pass this chi-square value (one degree of freedom, p = 0.01).
-LEAST_SURPRISE = 6.63
+EXAMPLE_BYTES = 64 << 20
 NEIGHBOURS = 16
 BLOCK = 64
 PREFIX = 5
 THRESHOLD = 0.3
+LEAST_WEIGHT = 0.2
+#: Chi-square at which a term has about 0.7 of the full weight.
+HALF_SURPRISE = 100.0
+#: So many of the most frequent terms have their lists cut into blocks.
+FREQUENT = 512
 SLICE = 512
+QUERIES = 64  # searched together
+NEVER = np.float32(-1e9)
+
+EVIDENCE = "array<struct<doc_id:bigint,cosine:double,toxic:int>>"
 
 
 def term_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -48,66 +59,120 @@ def _counts(term: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return term[new], owner[new], np.diff(np.r_[new, len(term)])
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k in range(0, batch.num_rows, SLICE):
-            yield batch.slice(k, SLICE)
-
-
-def _in_vocabulary(vocabulary: np.ndarray, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(term number, document, tf) of a batch's texts."""
-    term, owner = term_hashes(*C.binary_column(batch["data"]))
-    at = np.minimum(np.searchsorted(vocabulary, term), len(vocabulary) - 1)
-    hit = vocabulary[at] == term
-    return _counts(at[hit], owner[hit])
+def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... for count[0] numbers, then those of the next."""
+    return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
 
 
 class BlockMaxIndex:
-    """Rows of unit TF-IDF vectors, searched exactly."""
-
-    def __init__(self, n: int, vocabulary: np.ndarray, idf: np.ndarray, term: np.ndarray, row: np.ndarray, tf: np.ndarray):
-        self.vocabulary, self.idf, self.n = vocabulary, idf, n
-        w = self.weights(term, row, tf, n)
-        order = np.lexsort((row, term))
-        self.row, self.w = row[order].astype(np.int32), w[order].astype(np.float64)
-        self.blocks = max(1, -(-n // BLOCK))
-        cell = term[order].astype(np.int64) * self.blocks + self.row // BLOCK
-        self.start = np.searchsorted(cell, np.arange(len(vocabulary) * self.blocks + 1))
-        self.bound = np.zeros(len(vocabulary) * self.blocks)
-        np.maximum.at(self.bound, cell, self.w)
-        self.bound = self.bound.reshape(len(vocabulary), self.blocks)
+    """Unit vectors of examples (ids, labels), searched exactly."""
+
+    def __init__(self, vocabulary: np.ndarray, weight: np.ndarray, other: float, ids: np.ndarray, toxic: np.ndarray, term: np.ndarray, row: np.ndarray, tf: np.ndarray):
+        """vocabulary: sorted hashes; weight: of each term; other: of terms that no example holds; postings (term number, row, tf)."""
+        self.vocabulary, self.weight, self.other, self.ids, self.toxic, self.n = vocabulary, weight, other, ids, toxic, len(ids)
+        w = self.weights(term, row, tf, self.n)
+        self.held = np.bincount(term, minlength=len(vocabulary))
+        frequent = np.sort(np.argsort(-self.held, kind="stable")[:FREQUENT])
+        self.column = np.full(len(vocabulary), -1, np.int32)
+        self.column[frequent] = np.arange(len(frequent))
+        # rows of one block are alike: those with the same heaviest frequent term lie together
+        dense = np.zeros((self.n, len(frequent)), np.float32)
+        common = self.column[term] >= 0
+        dense[row[common], self.column[term[common]]] = w[common]
+        order = np.lexsort((ids, dense.argmax(1)))
+        place = np.empty(self.n, np.int64)
+        place[order] = np.arange(self.n)
+        self.ids, self.toxic, row = ids[order], toxic[order], place[row]
+        self.blocks = max(1, -(-self.n // BLOCK))
+        self.dense = np.zeros((self.blocks, BLOCK, len(frequent)), np.float32)
+        self.dense.reshape(-1, len(frequent))[: self.n] = dense[order]
+        self.dense = np.ascontiguousarray(self.dense.transpose(0, 2, 1))
+        self.bound = np.ascontiguousarray(self.dense.max(2).T)  # (frequent terms, blocks)
+        by_row = np.lexsort((term, row))
+        self.row_term, self.row_w = term[by_row].astype(np.int32), w[by_row]
+        self.row_start = np.searchsorted(row[by_row], np.arange(self.n + 1))
+        rare = np.flatnonzero(~common)
+        rare = rare[np.lexsort((row[rare], term[rare]))]
+        self.list_row, self.list_w = row[rare].astype(np.int32), w[rare].astype(np.float32)
+        self.list_start = np.searchsorted(term[rare], np.arange(len(vocabulary) + 1))
 
     def weights(self, term: np.ndarray, row: np.ndarray, tf: np.ndarray, n: int) -> np.ndarray:
-        w = (1 + np.log(tf)) * self.idf[term]
+        """Weights in unit vectors; a term of -1 is none of the vocabulary and counts in the norm only."""
+        w = (1 + np.log(tf)) * np.where(term >= 0, self.weight[term], self.other)
         norm = np.sqrt(np.bincount(row, w * w, minlength=n))
         return w / np.maximum(norm[row], 1e-12)
 
-    def _score(self, term: np.ndarray, q: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Examples in blocks with a term in common, and their cosines."""
-        cell = (term[:, None] * self.blocks + blocks).ravel()
-        a, count = self.start[cell], self.start[cell + 1] - self.start[cell]
-        at = np.repeat(a - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        sums = np.bincount(self.row[at], self.w[at] * np.repeat(np.repeat(q, len(blocks)), count), minlength=self.n)
-        rows = np.unique(self.row[at])
-        return rows, sums[rows]
-
-    def search(self, term: np.ndarray, q: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of the largest cosine (ties: the earlier one), without example but."""
-        bound = q @ self.bound[term]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        rows, cos, done, step = np.zeros(0, np.int64), np.zeros(0), 0, 2
-        while done < len(order):
-            least = cos[-1] if len(cos) == k else 0.0
-            if bound[order[done]] < least - 1e-9:
-                break
-            r, c = self._score(term, q, order[done : done + step])
-            r, c = np.r_[rows, r], np.r_[cos, c]
-            keep = r != but
-            r, c = r[keep], c[keep]
-            best = np.lexsort((r, -np.round(c, 9)))[:k]
-            rows, cos, done, step = r[best], c[best], done + step, step * 4
-        return rows, cos
+    def numbered(self, term: np.ndarray) -> np.ndarray:
+        """Numbers of terms in the vocabulary, or -1."""
+        at = np.minimum(np.searchsorted(self.vocabulary, term), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[at] == term, at, -1)
+
+    def search(self, term: np.ndarray, row: np.ndarray, q: np.ndarray, n: int, k: int, but: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each of n queries, given by postings in the order of row: the examples of the k largest positive cosines (ties: the smaller id), and these.
+
+        but: an id for each query whose examples are left out.
+        """
+        known = term >= 0
+        term, row, q = term[known], row[known], q[known]
+        cut = np.searchsorted(row, np.arange(n + 1))
+        out = []
+        for a in range(0, n, QUERIES):
+            b = min(n, a + QUERIES)
+            part = slice(cut[a], cut[b])
+            out += self._search(term[part], row[part] - a, q[part], b - a, k, None if but is None else but[a:b])
+        return out
+
+    @staticmethod
+    def _kth(sums: np.ndarray, k: int) -> np.ndarray:
+        """A lower bound of the k-th largest of each row: the k-th largest of the maxima of eight each."""
+        n, wide = sums.shape
+        best = sums.reshape(n, -1, 8).max(2)
+        if best.shape[1] <= 4 * k:
+            return np.partition(sums, wide - k, 1)[:, wide - k] if k else np.zeros(n)
+        return np.partition(best, best.shape[1] - k, 1)[:, -k]
+
+    def _search(self, term: np.ndarray, row: np.ndarray, q: np.ndarray, n: int, k: int, but: np.ndarray | None) -> list[tuple[np.ndarray, np.ndarray]]:
+        wide, k = self.blocks * BLOCK, min(k, self.n)
+        start, count = self.list_start[term], self.list_start[term + 1] - self.list_start[term]
+        at = _ranges(start, count)
+        sums = np.bincount(np.repeat(row * wide, count) + self.list_row[at], self.list_w[at] * np.repeat(q, count), minlength=n * wide).reshape(n, wide).astype(np.float32)
+        column = self.column[term]
+        common = column >= 0
+        head = np.zeros((n, len(self.bound)), np.float32)
+        head[row[common], column[common]] = q[common]
+        sums[:, self.n :] = NEVER
+        if but is not None:
+            sums[:, : self.n][self.ids == but[:, None]] = NEVER
+        bound = head @ self.bound + sums.reshape(n, self.blocks, BLOCK).max(2) + 1e-5
+        opened = np.zeros((n, self.blocks), bool)
+        for most in (4, self.blocks):
+            least = self._kth(sums, k)
+            to_open = (bound >= least[:, None]) & ~opened
+            if most < self.blocks:
+                best = np.argpartition(-bound, most, 1)[:, :most]
+                few = np.zeros_like(to_open)
+                np.put_along_axis(few, best, True, 1)
+                to_open &= few
+            for block in np.flatnonzero(to_open.any(0)):
+                who = np.flatnonzero(to_open[:, block])
+                sums[who, block * BLOCK : (block + 1) * BLOCK] += head[who] @ self.dense[block]
+            opened |= to_open
+        least = self._kth(sums, k)
+        near = sums >= np.maximum(least - 1e-4, 1e-9)[:, None]
+        edge, query = np.searchsorted(row, np.arange(n + 1)), np.zeros(len(self.vocabulary))
+        out = []
+        for i in range(n):
+            mine = slice(edge[i], edge[i + 1])
+            rows = np.flatnonzero(near[i])
+            query[term[mine]] = q[mine]
+            count = self.row_start[rows + 1] - self.row_start[rows]
+            at = _ranges(self.row_start[rows], count)
+            cos = np.bincount(np.repeat(np.arange(len(rows)), count), query[self.row_term[at]] * self.row_w[at], minlength=len(rows)).astype(np.float64)
+            query[term[mine]] = 0
+            best = np.lexsort((self.ids[rows], -np.round(cos, 9)))[:k]
+            best = best[cos[best] > 0]
+            out.append((rows[best], cos[best]))
+        return out
 
 
 def votes(cos: np.ndarray, toxic: np.ndarray) -> float:
@@ -122,7 +187,7 @@ class Calibration:
     def __init__(self, vote: np.ndarray, toxic: np.ndarray, without: np.ndarray):
         prior = (toxic.sum() + without.sum() + 0.5) / (len(toxic) + len(without) + 1)
         self.empty = float((without.sum() + prior) / (len(without) + 1))
-        order = np.argsort(vote, kind="stable")
+        order = np.lexsort((toxic, vote))
         pools: list[list[float]] = []  # sum, count, sum of votes
         for v, y in zip(vote[order], toxic[order]):
             pools.append([float(y), 1.0, float(v)])
@@ -137,66 +202,89 @@ class Calibration:
         return float(np.interp(vote, self.x, self.y)) if any_terms else self.empty
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, vocabulary: int = VOCABULARY, k: int = NEIGHBOURS):
-    """(index, doc_ids, labels, calibration) from at most `examples` labelled rows that aren't held out; None without any."""
+def relevance(held: np.ndarray, toxic: np.ndarray, share: float) -> np.ndarray:
+    """What labels tell about terms in `held` examples, `toxic` of them toxic: by chi-square with Yates's correction, LEAST_WEIGHT to one."""
+    off = np.maximum(np.abs(toxic - held * share) - 0.5, 0)
+    surprise = off * off / np.maximum(held * share * (1 - share), 1e-9)
+    return np.maximum(np.sqrt(surprise / (surprise + HALF_SURPRISE)), LEAST_WEIGHT)
+
+
+def sample(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> DataFrame:
+    """(doc_id, data, toxic) of the labelled sample: documents that aren't held out, within its bounds."""
     ids = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     ids = ids.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
-    taken = C.data_of(docs).join(F.broadcast(chosen), "doc_id").filter(F.col("doc_id").isNotNull())
+    data = C.data_of(docs).filter(F.col("doc_id").isNotNull())
+    size = data.select("doc_id", F.octet_length("data").alias("size")).join(F.broadcast(chosen), "doc_id")
+    size = size.groupBy("doc_id", "toxic").agg(F.sum("size").alias("size")).filter(F.col("size") <= EXAMPLE_BYTES // 64)
+    total = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # `examples` rows
+    within = size.withColumn("total", total).filter(F.col("total") <= EXAMPLE_BYTES).select("doc_id", "toxic")
+    return data.join(F.broadcast(within), "doc_id")
 
-    def by_label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
-            term, owner, _ = _counts(*term_hashes(*C.binary_column(batch["data"])))
-            toxic = batch["toxic"].to_numpy()[owner]
-            yield pa.RecordBatch.from_pydict({"term": term.view(np.int64), "toxic": toxic.astype(np.int64)})
 
-    known = taken.mapInArrow(by_label, "term long, toxic long").groupBy("term").agg(F.sum("toxic").alias("pos"), F.count("*").alias("n"))
-    totals = taken.agg(F.count("*").alias("all"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("pos")).head()
-    n_all, n_pos = totals["all"], totals["pos"]
-    if not n_all:
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k: int = NEIGHBOURS) -> tuple[BlockMaxIndex, Calibration] | None:
+    """The index and the calibration of its votes; None without any labelled document."""
+    spark = docs.sparkSession
+    taken = C.write_scratch(sample(docs, labels, examples), "examples")
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in C.slices(batches, "data", SLICE):
+            term, owner, tf = _counts(*term_hashes(*C.binary_column(batch["data"])))
+            cut = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+            part = [slice(a, b) for a, b in zip(cut, cut[1:])]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "term": C.packed([term[c] for c in part]), "tf": C.packed([tf[c].astype(np.int32) for c in part])})
+
+    rows = taken.mapInArrow(vectors, "doc_id long, toxic int, term binary, tf binary").toArrow().sort_by([("doc_id", "ascending"), ("term", "ascending"), ("tf", "ascending")])
+    if not rows.num_rows:
         return None
-    p = (n_pos + 0.5) / (n_all + 1)
-    surprise = F.pow(F.col("pos") - F.col("n") * p, F.lit(2)) / (F.col("n") * p * (1 - p))  # chi-square, but for a factor near 1
-    top = known.filter((F.col("n") >= 3) & (surprise >= LEAST_SURPRISE)).orderBy(F.desc(surprise), "term").limit(vocabulary).select("term").collect()
-    words = np.sort(np.array([r.term for r in top], np.int64).view(np.uint64))
+    ids, toxic = rows["doc_id"].to_numpy(), np.clip(rows["toxic"].to_numpy(), 0, 1).astype(np.int64)
+    each = [C.read(x, np.uint64) for x in rows["term"]]
+    row, tf = np.repeat(np.arange(len(each)), [len(x) for x in each]), np.concatenate([C.read(x, np.int32) for x in rows["tf"]])
+    words, term = np.unique(np.concatenate(each), return_inverse=True)
     if not len(words):
         words = np.zeros(1, np.uint64)
+    told = spark.sparkContext.broadcast(words)
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(len(words), np.int64), 0
-        for batch in _slices(batches):
-            df += np.bincount(_in_vocabulary(words, batch)[0], minlength=len(words))
+        words, n = told.value, 0
+        df = np.zeros(len(words), np.int64)
+        for batch in C.slices(batches, "data", SLICE):
+            term, owner, _ = _counts(*term_hashes(*C.binary_column(batch["data"])))
+            at = np.minimum(np.searchsorted(words, term), len(words) - 1)
+            df += np.bincount(at[words[at] == term], minlength=len(words))
             n += batch.num_rows
-        yield pa.RecordBatch.from_pydict({"t": pa.array(np.r_[np.arange(len(words)), -1], pa.int32()), "df": np.r_[df, n]})
-
-    stats = C.data_of(docs).select("data").mapInArrow(seen, "t int, df long").groupBy("t").agg(F.sum("df").alias("df")).collect()
-    df = np.zeros(len(words))
-    n_docs = 0
-    for r in stats:
-        if r.t < 0:
-            n_docs = r.df
-        else:
-            df[r.t] = r.df
+        some = np.flatnonzero(df)
+        for a in range(0, len(some), 1 << 16):
+            yield pa.RecordBatch.from_pydict({"t": pa.array(some[a : a + (1 << 16)], pa.int32()), "df": df[some[a : a + (1 << 16)]]})
+        yield pa.RecordBatch.from_pydict({"t": pa.array([-1], pa.int32()), "df": pa.array([n], pa.int64())})
+
+    stats = C.data_of(docs).select("data").mapInArrow(seen, "t int, df long").groupBy("t").agg(F.sum("df").alias("df")).toArrow()
+    t, n = stats["t"].to_numpy(), stats["df"].to_numpy()
+    n_docs, df = int(n[t < 0].sum()), np.zeros(len(words))
+    df[t[t >= 0]] = n[t >= 0]
     idf = np.log((n_docs + 1) / (df + 1)) + 1
+    weight = idf * relevance(np.bincount(term, minlength=len(words)), np.bincount(term, toxic[row], minlength=len(words)), toxic.mean())
+    index = BlockMaxIndex(words, weight, LEAST_WEIGHT * (np.log((n_docs + 1) / 2) + 1), ids, toxic, term, row, tf)
+    held = spark.sparkContext.broadcast(index)
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in C.slices(batches, "data", SLICE):
+            found = neighbours(held.value, batch["data"], k, C.ids_of(batch["doc_id"]))
+            yield pa.RecordBatch.from_pydict({"vote": np.array([votes(c, held.value.toxic[r]) for r, c, _ in found]), "toxic": batch["toxic"], "any": np.array([x for *_, x in found], bool)})
+
+    v = taken.mapInArrow(alone, "vote double, toxic int, any boolean").toArrow()
+    vote, y, some = v["vote"].to_numpy(), np.clip(v["toxic"].to_numpy(), 0, 1), v["any"].to_numpy(zero_copy_only=False).astype(bool)
+    return held, Calibration(vote[some], y[some], y[~some])
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
-            term, owner, tf = _in_vocabulary(words, batch)
-            cut = np.searchsorted(owner, np.arange(batch.num_rows + 1))
-            part = [slice(a, b) for a, b in zip(cut, cut[1:])]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "term": C.packed([term[c].astype(np.int32) for c in part]), "tf": C.packed([tf[c].astype(np.int32) for c in part])})
 
-    rows = taken.mapInArrow(vectors, "doc_id long, toxic int, term binary, tf binary").collect()  # `examples` rows of `vocabulary` terms at most
-    rows.sort(key=lambda r: (r.doc_id, r.term, r.tf))
-    toxic = np.array([min(max(r.toxic, 0), 1) for r in rows], np.int64)
-    term = [np.frombuffer(r.term, np.int32) for r in rows]
-    size = np.array([len(t) for t in term])
-    at = np.repeat(np.arange(len(rows)), size)
-    index = BlockMaxIndex(len(rows), words, idf, np.concatenate(term).astype(np.int64), at, np.concatenate([np.frombuffer(r.tf, np.int32) for r in rows]))
-    weight = index.weights(np.concatenate(term).astype(np.int64), at, np.concatenate([np.frombuffer(r.tf, np.int32) for r in rows]), len(rows))
-    edge = np.r_[0, np.cumsum(size)]
-    vote = np.array([votes(c, toxic[r]) for i in range(len(rows)) for r, c in [index.search(term[i].astype(np.int64), weight[edge[i] : edge[i + 1]], k, but=i)]])
-    return index, np.array([r.doc_id for r in rows], np.int64), toxic, Calibration(vote[size > 0], toxic[size > 0], toxic[size == 0])
+def neighbours(index: BlockMaxIndex, texts: pa.Array, k: int, but: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray, bool]]:
+    """The nearest examples of each text and their cosines, and whether the text has terms."""
+    n = len(texts)
+    term, owner, tf = _counts(*term_hashes(*C.binary_column(texts)))
+    term = index.numbered(term)
+    found = index.search(term, owner, index.weights(term, owner, tf, n), n, k, but)
+    some = np.bincount(owner, minlength=n) > 0
+    return [(r, c, bool(s)) for (r, c), s in zip(found, some)]
 
 
 def held_out(doc_id):
@@ -204,42 +292,38 @@ def held_out(doc_id):
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (), k: int = NEIGHBOURS, **fitting) -> DataFrame:
-    """One row per row of docs: doc_id, score, predicted, evidence (nearest examples), and columns in keep.
+    """One row per row of docs: doc_id, score, predicted, evidence (the neighbours that voted), and columns in keep.
 
     Null and empty texts have no terms: they get the smoothed share of the toxic among such examples.
-    Equal texts get equal scores. Labels repeated for a doc_id count as toxic if any is; null labels
-    or doc_ids don't count. Without usable labels the score is 0.
+    Equal texts get equal scores; of examples at one distance, those of smaller doc_ids count. Labels
+    repeated for a doc_id count as toxic if any is; null labels or doc_ids don't count. Without usable
+    labels the score is 0. A text of any length is scored whole, in a batch of its own. No rows: no rows.
     """
-    spark = docs.sparkSession
     model = fit(docs, labels, k=k, **fitting)
     data = C.data_of(docs, keep)
     if model is None:
-        none = F.array().cast("array<struct<doc_id:bigint,cosine:double,toxic:int>>")
+        none = F.array().cast(EVIDENCE)
         return data.drop("data").withColumns({"score": F.lit(0.0), "predicted": F.lit(0), "evidence": none}).withColumnsRenamed({f"keep_{i}": c for i, c in enumerate(keep)})
-    held = spark.sparkContext.broadcast(model)  # bounded by examples and vocabulary
+    held, calibration = model
     carried = data.schema[2:]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, ids, toxic, calibration = held.value
-        for batch in _slices(batches):
-            term, owner, tf = _in_vocabulary(index.vocabulary, batch)
-            weight = index.weights(term, owner, tf, batch.num_rows)
-            cut = np.searchsorted(owner, np.arange(batch.num_rows + 1))
-            scores, evidence, known = np.empty(batch.num_rows), [], {}
-            for i, (a, b) in enumerate(zip(cut, cut[1:])):
-                key = (term[a:b].tobytes(), tf[a:b].tobytes())
-                if key not in known:
-                    rows, cos = index.search(term[a:b], weight[a:b], k)
-                    near = [{"doc_id": int(ids[r]), "cosine": float(c), "toxic": int(toxic[r])} for r, c in zip(rows[:3], cos)]
-                    known[key] = calibration(votes(cos, toxic[rows]), b > a), near
-                scores[i], near = known[key]
-                evidence.append(near)
+        index = held.value
+        for batch in C.slices(batches, "data", SLICE):
+            own = batch["data"].dictionary_encode()  # equal texts are searched once
+            found = neighbours(index, own.dictionary, k)
+            told = np.array([calibration(votes(c, index.toxic[r]), some) for r, c, some in found])
+            which = own.indices.to_numpy()
+            scores, near = told[which], [found[i] for i in which]
+            rows = np.concatenate([r for r, _, _ in near])
+            evidence = pa.StructArray.from_arrays([pa.array(index.ids[rows]), pa.array(np.concatenate([c for _, c, _ in near])), pa.array(index.toxic[rows].astype(np.int32))], ["doc_id", "cosine", "toxic"])
+            cut = np.r_[0, np.cumsum([len(r) for r, _, _ in near])]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch["doc_id"], **{f.name: batch[f.name] for f in carried}, "score": scores, "predicted": pa.array((scores >= THRESHOLD).astype(np.int32)),
-                "evidence": pa.array(evidence, pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))),
+                "evidence": pa.ListArray.from_arrays(pa.array(cut, pa.int32()), evidence),
             })
 
-    shape = T.StructType([data.schema["doc_id"], *carried, *T.StructType.fromDDL("score double, predicted int, evidence array<struct<doc_id:bigint,cosine:double,toxic:int>>")])
+    shape = T.StructType([data.schema["doc_id"], *carried, *T.StructType.fromDDL(f"score double, predicted int, evidence {EVIDENCE}")])
     return data.mapInArrow(score, shape).withColumnsRenamed({f"keep_{i}": c for i, c in enumerate(keep)})
 
 
