@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -175,6 +176,28 @@ class BlockMaxIndex:
         return out
 
 
+class Examples:
+    """What an index is built from, in few bytes: this is broadcast, and each worker builds the index once."""
+
+    def __init__(self, vocabulary: np.ndarray, weight: np.ndarray, other: float, ids: np.ndarray, toxic: np.ndarray, term: np.ndarray, size: np.ndarray, tf: np.ndarray):
+        tf = tf.astype(np.uint8 if not len(tf) or tf.max() < 256 else np.uint32)
+        self.parts = vocabulary, weight.astype(np.float32), other, ids, toxic.astype(np.int8), term.astype(np.int32), size.astype(np.int32), tf
+        self._index: BlockMaxIndex | None = None
+
+    def __getstate__(self) -> tuple:
+        return self.parts
+
+    def __setstate__(self, parts: tuple) -> None:
+        self.parts, self._index = parts, None
+
+    @property
+    def index(self) -> BlockMaxIndex:
+        if self._index is None:
+            vocabulary, weight, other, ids, toxic, term, size, tf = self.parts
+            self._index = BlockMaxIndex(vocabulary, weight.astype(np.float64), other, ids, toxic, term, np.repeat(np.arange(len(ids), dtype=np.int32), size), tf.astype(np.int64))
+        return self._index
+
+
 def votes(cos: np.ndarray, toxic: np.ndarray) -> float:
     """Share of the toxic among neighbours, each weighing cos / (1 - cos), nearly."""
     w = cos / (1.05 - np.minimum(cos, 1.0))
@@ -222,8 +245,8 @@ def sample(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Data
     return data.join(F.broadcast(within), "doc_id")
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k: int = NEIGHBOURS) -> tuple[BlockMaxIndex, Calibration] | None:
-    """The index and the calibration of its votes; None without any labelled document."""
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k: int = NEIGHBOURS) -> tuple[Broadcast[Examples], Calibration] | None:
+    """The examples, broadcast, and the calibration of their votes; None without any labelled document."""
     spark = docs.sparkSession
     taken = C.write_scratch(sample(docs, labels, examples), "examples")
 
@@ -238,9 +261,9 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k: int = N
     if not rows.num_rows:
         return None
     ids, toxic = rows["doc_id"].to_numpy(), np.clip(rows["toxic"].to_numpy(), 0, 1).astype(np.int64)
-    each = [C.read(x, np.uint64) for x in rows["term"]]
-    row, tf = np.repeat(np.arange(len(each)), [len(x) for x in each]), np.concatenate([C.read(x, np.int32) for x in rows["tf"]])
-    words, term = np.unique(np.concatenate(each), return_inverse=True)
+    size, tf = np.array([len(x.as_buffer()) // 4 for x in rows["tf"]]), np.concatenate([C.read(x, np.int32) for x in rows["tf"]])
+    words, term = np.unique(np.concatenate([C.read(x, np.uint64) for x in rows["term"]]), return_inverse=True)
+    del rows
     if not len(words):
         words = np.zeros(1, np.uint64)
     told = spark.sparkContext.broadcast(words)
@@ -263,14 +286,14 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k: int = N
     n_docs, df = int(n[t < 0].sum()), np.zeros(len(words))
     df[t[t >= 0]] = n[t >= 0]
     idf = np.log((n_docs + 1) / (df + 1)) + 1
-    weight = idf * relevance(np.bincount(term, minlength=len(words)), np.bincount(term, toxic[row], minlength=len(words)), toxic.mean())
-    index = BlockMaxIndex(words, weight, LEAST_WEIGHT * (np.log((n_docs + 1) / 2) + 1), ids, toxic, term, row, tf)
-    held = spark.sparkContext.broadcast(index)
+    weight = idf * relevance(np.bincount(term, minlength=len(words)), np.bincount(term, np.repeat(toxic, size), minlength=len(words)), toxic.mean())
+    held = spark.sparkContext.broadcast(Examples(words, weight, LEAST_WEIGHT * (np.log((n_docs + 1) / 2) + 1), ids, toxic, term, size, tf))
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.slices(batches, "data", SLICE):
-            found = neighbours(held.value, batch["data"], k, C.ids_of(batch["doc_id"]))
-            yield pa.RecordBatch.from_pydict({"vote": np.array([votes(c, held.value.toxic[r]) for r, c, _ in found]), "toxic": batch["toxic"], "any": np.array([x for *_, x in found], bool)})
+            index = held.value.index
+            found = neighbours(index, batch["data"], k, C.ids_of(batch["doc_id"]))
+            yield pa.RecordBatch.from_pydict({"vote": np.array([votes(c, index.toxic[r]) for r, c, _ in found]), "toxic": batch["toxic"], "any": np.array([x for *_, x in found], bool)})
 
     v = taken.mapInArrow(alone, "vote double, toxic int, any boolean").toArrow()
     vote, y, some = v["vote"].to_numpy(), np.clip(v["toxic"].to_numpy(), 0, 1), v["any"].to_numpy(zero_copy_only=False).astype(bool)
@@ -308,7 +331,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (), k:
     carried = data.schema[2:]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = held.value
+        index = held.value.index
         for batch in C.slices(batches, "data", SLICE):
             own = batch["data"].dictionary_encode()  # equal texts are searched once
             found = neighbours(index, own.dictionary, k)

@@ -109,7 +109,7 @@ def test_neighbours_equal_brute_force_over_all_terms(spark, docs, small, rows):
 
     labels = spark.read.parquet(f"{small}/labels.parquet")
     held, calibration = toxicity.fit(docs, labels)
-    index = held.value
+    index = held.value.index
     text_of = dict(rows)
     bags = []
     for _, text in rows:
