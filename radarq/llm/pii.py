@@ -2,9 +2,10 @@
 
 The tagger learns from labelled spans: personal data of all four kinds, in more spellings than the
 patterns take, set into windows of a bounded sample of the corpus, next to look-alikes that are none.
-Texts are read in overlapping windows around every digit and at sign, as every span has one or the
-other; each window is decoded, and the candidates of all windows of a text are reconciled over the
-whole text: base spans stay, then the surest added ones that pass their kind's check and overlap none.
+Every text is read whole, in overlapping windows; each window is decoded, and the tags of its middle
+make, window by window, the tags of the text, so that a span may reach over any number of windows. The
+spans of the text are then reconciled: base spans stay, then the surest added ones that pass their
+kind's check and overlap none.
 """
 
 from __future__ import annotations
@@ -23,14 +24,17 @@ from . import bilstm_crf as M
 from . import common as C
 
 KINDS = ("email", "ip", "card", "phone")
-#: The bound of the training sample: documents whose text gives contexts, and labelled windows made.
-CONTEXT_DOCS = 256
-CONTEXT_CHARS = 20_000
-TRAINING_WINDOWS = 3000
-STEPS = 260
-WINDOW, STRIDE = 96, 48
-BATCH = 64  # windows run in batches of one shape
-SURE = 0.9  # least posterior of every character of an added span
+#: The bound of the training sample: pieces of so many texts give contexts for so many labelled windows.
+CONTEXT_DOCS = 1024
+CONTEXT_CHARS = 1000
+TRAINING_WINDOWS = 4000
+STEPS = 600
+TRAINING_WINDOW = 80
+WINDOW, STRIDE = 192, 160
+MARGIN = (WINDOW - STRIDE) // 2  # of a window that its neighbour tells better
+BATCH = 1024  # windows run together
+SURE = 0.5  # least posterior of every character of an added span
+EDGES = " \t\n\r.,;:"  # that no span begins or ends with
 SLICE = 256
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -40,6 +44,7 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]")
 TRIGGER = re.compile(r"[0-9@]")
+SPELLED = re.compile(r"[A-Za-z0-9._%+-]+\s?(@|[(\[]at[)\]])\s?[A-Za-z0-9-]+(\s?(\.|[(\[]dot[)\]])\s?[A-Za-z0-9-]+)+", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -89,7 +94,7 @@ def plausible(kind: int, found: str) -> bool:
     """What an added span of the kind must show."""
     digits = re.sub(r"[^0-9]", "", found)
     if kind == 0:
-        return bool(re.fullmatch(r"[^\s@]{1,64}\s?(@|\(at\)|\[at\])\s?[^\s@]+(\s?(\.|\(dot\)|\[dot\])\s?[^\s@]+)+", found)) and "@" in found
+        return bool(SPELLED.fullmatch(found))
     if kind == 1:
         parts = re.findall(r"[0-9]+", found)
         return len(parts) == 4 and all(_small(p) for p in parts) and bool(re.fullmatch(r"[0-9]+((\s?\.\s?|\[\.\]|\(\.\))[0-9]+){3}", found))
@@ -103,9 +108,9 @@ def _made(r: random.Random, kind: int) -> str:
     d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
     w = lambda a, b: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(a, b)))
     if kind == 0:
-        host = ".".join([w(2, 8) + r.choice(["", d(1)]) for _ in range(r.randint(1, 2))] + [r.choice(["com", "org", "net", "de", "fr", "es", "info"])])
-        name = w(2, 8) + r.choice(["", ".", "_", "-"]) + r.choice(["", d(2), w(2, 6)])
-        return r.choice([f"{name}@{host}"] * 4 + [f"{name} @ {host}", f"{name}@{host.replace('.', ' . ')}", f"{name.capitalize()}@{host}"])
+        host = ".".join([w(2, 11) + r.choice(["", "", d(1)]) for _ in range(r.choice([1, 1, 2, 3]))] + [r.choice(["com", "org", "net", "de", "fr", "es", "info"])])
+        name = w(2, 10) + r.choice(["", ".", "_", "-"]) + r.choice(["", d(2), w(2, 9)])
+        return r.choice([f"{name}@{host}"] * 4 + [f"{name} @ {host}", f"{name}@{host.replace('.', ' . ')}", f"{name.capitalize()}@{host}", f"{name} (at) {host}", f"{name}[at]{host.replace('.', '[dot]')}", f"{name} (at) {host.replace('.', ' (dot) ')}"])
     if kind == 1:
         parts = [str(r.randint(0, 255)) for _ in range(4)]
         return r.choice([".".join(parts)] * 4 + ["[.]".join(parts), " . ".join(parts)])
@@ -129,11 +134,11 @@ def _look_alike(r: random.Random) -> str:
 def labelled_windows(contexts: list[str], n: int = TRAINING_WINDOWS, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Character numbers and tags (0 outside, 1 + 2k begin, 2 + 2k inside) of windows with labelled spans."""
     r = random.Random(seed)
-    x, y = np.full((n, WINDOW), M.PADDING), np.zeros((n, WINDOW), np.int64)
+    x, y = np.full((n, TRAINING_WINDOW), M.PADDING), np.zeros((n, TRAINING_WINDOW), np.int64)
     pool = [c for c in contexts if c.strip()] or ["some text without any meaning, as it comes. "]
     for row in range(n):
         text, tags = "", []
-        while len(text) < WINDOW:
+        while len(text) < TRAINING_WINDOW:
             source = r.choice(pool)
             a = r.randrange(max(1, len(source) - 40))
             piece = source[a : a + r.randint(8, 40)]
@@ -150,10 +155,10 @@ def labelled_windows(contexts: list[str], n: int = TRAINING_WINDOWS, seed: int =
                 tags += [1 + 2 * kind] + [2 + 2 * kind] * (len(found) - 1)
             text += found + (r.choice([" ", ". ", ", ", "\n", ")"]) if found else "")
             tags += [0] * (len(text) - len(tags))
-        a = r.randrange(max(1, min(24, len(text) - WINDOW + 1)))
+        a = r.randrange(max(1, min(40, len(text) - TRAINING_WINDOW + 1)))
         if tags[a] and tags[a] % 2 == 0:  # a window may begin inside of a span
             tags[a] -= 1
-        x[row], y[row] = M.encode(text[a : a + WINDOW]), tags[a : a + WINDOW]
+        x[row], y[row] = M.encode(text[a : a + TRAINING_WINDOW]), tags[a : a + TRAINING_WINDOW]
     return x, y
 
 
@@ -165,47 +170,63 @@ def train(contexts: tuple[str, ...], steps: int = STEPS) -> M.Tagger:
     return tagger
 
 
-def windows(text: str) -> list[int]:
-    """Starts of overlapping windows that hold every trigger with half a window around it."""
-    last, out = -1, []
-    for m in TRIGGER.finditer(text):
-        cell = m.start() // STRIDE
-        for c in (cell - 1, cell):
-            if c > last and c >= 0 or not out and c >= 0:
-                out.append(c * STRIDE)
-                last = c
-    return out
+def windows(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The text of each window, and where in it the window starts: every STRIDE characters, until the text's end is inside."""
+    count = np.where(size > 0, 1 + np.maximum(0, -(-(size - WINDOW) // STRIDE)), 0)
+    text = np.repeat(np.arange(len(size)), count)
+    return text, (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)) * STRIDE
+
+
+def tagged(tagger: M.Tagger, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tags of all characters of all texts, their posteriors where a tag isn't 0, and where each text begins."""
+    size = np.array([len(t) for t in texts], np.int64)
+    base = np.r_[0, np.cumsum(size)]
+    codes = np.r_[M.encode("".join(texts)), np.full(WINDOW, M.PADDING)]
+    text, start = windows(size)
+    tags, sure = np.zeros(base[-1], np.int64), np.zeros(base[-1], np.float32)
+    span = np.arange(WINDOW)
+    for k in range(0, len(text), BATCH):
+        of, at = text[k : k + BATCH], start[k : k + BATCH]
+        x = codes[(base[of] + at)[:, None] + span]
+        x[at[:, None] + span >= size[of][:, None]] = M.PADDING
+        found, best = tagger.tags(x)
+        if not len(found):
+            continue
+        posterior = np.take_along_axis(tagger.marginals(x[found]), best[:, :, None], 2)[:, :, 0]
+        for row, w in enumerate(found):
+            i, a = of[w], at[w]
+            low = MARGIN if a else 0
+            high = WINDOW - MARGIN if a + WINDOW < size[i] else size[i] - a
+            to = slice(base[i] + a + low, base[i] + a + high)
+            tags[to], sure[to] = best[row, low:high], posterior[row, low:high]
+    return tags, sure, base
 
 
 def added_spans(tagger: M.Tagger, texts: list[str], base: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
     """Spans of each text that the tagger adds to its base spans."""
-    jobs = [(i, a) for i, t in enumerate(texts) for a in windows(t)]
-    candidates: dict[int, dict[tuple[int, int, int], float]] = {}
-    for k in range(0, len(jobs), BATCH):
-        part = jobs[k : k + BATCH]
-        x = np.full((BATCH, WINDOW), M.PADDING)
-        for row, (i, a) in enumerate(part):
-            piece = M.encode(texts[i][a : a + WINDOW])
-            x[row, : len(piece)] = piece
-        tags = tagger.decode(x)
-        if not tags.any():
-            continue
-        sure = tagger.marginals(x)
-        for row, (i, a) in enumerate(part):
-            for s, e, kind in _runs(tags[row]):
-                whole = (s > 0 or a == 0) and (e < WINDOW or a + WINDOW >= len(texts[i]))
-                if whole and a + e <= len(texts[i]):
-                    inside = sure[row, s:e, 1 + 2 * kind] + sure[row, s:e, 2 + 2 * kind]
-                    key, p = (a + s, a + e, kind), float(inside.min())
-                    found = candidates.setdefault(i, {})
-                    found[key] = max(found.get(key, 0.0), p)
+    tags, sure, begin = tagged(tagger, texts)
+    on = np.flatnonzero(tags)
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    if not len(on):
+        return out
+    own = np.searchsorted(begin, on, "right") - 1
+    kind = (tags[on] - 1) // 2
+    new = np.r_[True, (on[1:] != on[:-1] + 1) | (own[1:] != own[:-1]) | (kind[1:] != kind[:-1]) | (tags[on[1:]] % 2 == 1)]
+    first = np.flatnonzero(new)
+    candidates: dict[int, list[tuple[float, int, int, int]]] = {}
+    for a, b in zip(first, np.r_[first[1:], len(on)]):
+        i, s, e = int(own[a]), int(on[a] - begin[own[a]]), int(on[b - 1] + 1 - begin[own[a]])
+        while e > s and texts[i][e - 1] in EDGES:
+            e -= 1
+        while s < e and texts[i][s] in EDGES:
+            s += 1
+        candidates.setdefault(i, []).append((-float(sure[on[a] : on[b - 1] + 1].min()), s, e, int(kind[a])))
     for i, found in candidates.items():
-        taken = sorted((s, e) for s, e, _ in base[i])
-        for (s, e, kind), p in sorted(found.items(), key=lambda c: (-c[1], c[0])):
-            if p >= SURE and plausible(kind, texts[i][s:e]) and all(e <= a or s >= b for a, b in taken):
+        taken = [(s, e) for s, e, _ in base[i]]
+        for p, s, e, k in sorted(found):
+            if -p >= SURE and s < e and plausible(k, texts[i][s:e]) and all(e <= a or s >= b for a, b in taken):
                 taken.append((s, e))
-                out[i].append((s, e, kind))
+                out[i].append((s, e, k))
     return out
 
 
@@ -225,35 +246,36 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def contexts(docs: DataFrame) -> tuple[str, ...]:
-    """The training sample: of CONTEXT_DOCS different texts, those of the smallest hashes, CONTEXT_CHARS each.
+    """The training sample: pieces of CONTEXT_CHARS of CONTEXT_DOCS different texts, those of the smallest hashes, from a place that another hash tells.
 
-    Tasks send hashes only; the texts that are chosen come in a second pass.
+    Tasks send hashes only; the pieces of texts that are chosen come in a second pass.
     """
     texts = docs.filter(F.col("text") != "").select(F.xxhash64("text").alias("h"), "text")
     chosen = texts.select("h").distinct().orderBy("h").limit(CONTEXT_DOCS)
-    heads = texts.join(F.broadcast(chosen), "h").groupBy("h").agg(F.min(F.substring("text", 1, CONTEXT_CHARS)).alias("head"))
-    return tuple(r["head"] for r in heads.orderBy("h").collect())
+    at = F.pmod(F.xxhash64("h", F.lit(1)), F.greatest(F.length("text") - CONTEXT_CHARS, F.lit(0)) + 1) + 1
+    pieces = texts.join(F.broadcast(chosen), "h").groupBy("h").agg(F.min(F.substring(F.col("text"), at.cast("int"), F.lit(CONTEXT_CHARS))).alias("piece"))
+    return tuple(r["piece"] for r in pieces.orderBy("h").collect())
 
 
 def find_pii(docs: DataFrame, steps: int = STEPS) -> DataFrame:
     """One row per row of docs: doc_id, base and spans (array of kind, start, end), in code points, end exclusive.
 
     Null and empty texts have no spans. Rows are judged each by itself; repeated rows give repeated
-    results, a null doc_id stays null. Without any text to learn contexts from, a fixed one serves.
+    results, a null doc_id stays null. A text of any length is read whole, in a batch of its own; of
+    added spans that overlap, the surer one stays, of equally sure ones the first. Without any text to
+    learn contexts from, a fixed one serves.
     """
     tagger = docs.sparkSession.sparkContext.broadcast(train(contexts(docs), steps))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         rows = lambda spans: [{"kind": KINDS[k], "start": s, "end": e} for s, e, k in spans]
-        for batch in batches:
-            for k in range(0, batch.num_rows, SLICE):
-                piece = batch.slice(k, SLICE)
-                texts = [x or "" for x in piece["text"].to_pylist()]
-                base = [base_spans(t) for t in texts]
-                more = added_spans(tagger.value, texts, base)
-                every = [sorted(b + m, key=lambda s: (s[0], s[2], s[1])) for b, m in zip(base, more)]
-                yield pa.RecordBatch.from_pydict({"doc_id": piece["doc_id"], "base": pa.array([rows(b) for b in base], kind), "spans": pa.array([rows(e) for e in every], kind)})
+        for piece in C.slices(batches, "text", SLICE, 1 << 20):
+            texts = [x or "" for x in piece["text"].to_pylist()]
+            base = [base_spans(t) for t in texts]
+            more = added_spans(tagger.value, texts, base)
+            every = [sorted(b + m, key=lambda s: (s[0], s[2], s[1])) for b, m in zip(base, more)]
+            yield pa.RecordBatch.from_pydict({"doc_id": piece["doc_id"], "base": pa.array([rows(b) for b in base], kind), "spans": pa.array([rows(e) for e in every], kind)})
 
     shape = "array<struct<kind:string,start:bigint,end:bigint>>"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, base {shape}, spans {shape}")

@@ -76,12 +76,49 @@ def test_tagger_on_held_out_windows(tagger, docs):
     assert hit / len(found) > 0.8 and hit / len(gold) > 0.8
 
 
-def test_added_spans(tagger):
-    texts = ["write to anna.bell @ example.org today, please", "no personal data 12:30 at all, version 3.14", ""]
-    more = pii.added_spans(tagger, texts, [pii.base_spans(t) for t in texts])
-    assert more[1] == more[2] == []
-    for t, spans in zip(texts, more):
-        assert all(0 <= s < e <= len(t) for s, e, _ in spans)
+def missed(r, kind):
+    """Personal data in a spelling that the base patterns don't take whole."""
+    while True:
+        found = pii._made(r, kind)
+        if (0, len(found), kind) not in base(found):
+            return found
+
+
+def test_added_spans_in_documents(tagger, rows):
+    """Spellings that the patterns miss, planted in whole documents, are found; nothing else is added."""
+    r, texts, want = random.Random(99), [], []
+    for _, text in rows:
+        spaces = [i for i, c in enumerate(text or "") if c == " "]
+        if spaces:
+            at, kind = r.choice(spaces) + 1, r.randrange(4)
+            found = missed(r, kind)
+            texts.append(f"{text[:at]}{found} {text[at:]}")
+            want.append((at, at + len(found), kind))
+    got = pii.added_spans(tagger, texts, [base(t) for t in texts])
+    hit = sum(w in g for w, g in zip(want, got))
+    assert hit > 0.9 * len(want) and hit > 0.95 * sum(map(len, got))
+    plain_texts = [t or "" for _, t in rows]
+    assert sum(map(len, pii.added_spans(tagger, plain_texts, [base(t) for t in plain_texts]))) <= 0.02 * len(rows)
+
+
+def test_spans_do_not_depend_on_the_windows(tagger):
+    """A long span is found wherever it lies in the windows."""
+    mail = "anna.lastname (at) department (dot) example (dot) org"
+    filler = "some plain words that say nothing at all and go on for a while, " * 12
+    texts = [f"{filler[:n]} {mail} {filler}" for n in range(100, 100 + pii.STRIDE)]
+    found = pii.added_spans(tagger, texts, [[] for _ in texts])
+    assert sum((n + 1, n + 1 + len(mail), 0) in f for n, f in zip(range(100, 100 + pii.STRIDE), found)) >= 0.95 * len(texts)
+
+
+def test_screened_tags_equal_viterbi(tagger, rows):
+    text = " ".join(t or "" for _, t in rows)[:60_000] + " mail a.b (at) cd (dot) org or +1 (555) 010-9999 "
+    codes = M.encode(text)
+    x = np.full((-(-len(codes) // pii.WINDOW), pii.WINDOW), M.PADDING)
+    x.ravel()[: len(codes)] = codes
+    want = np.where(x != M.PADDING, tagger.decode(x), 0)
+    which, best = tagger.tags(x)
+    assert which.tolist() == np.flatnonzero(want.any(1)).tolist()
+    assert np.array_equal(np.where(x[which] != M.PADDING, best, 0), want[which])
 
 
 def test_pii_query_keeps_base_spans(spark, docs, rows):
