@@ -38,6 +38,7 @@ EDGES = " \t\n\r.,;:"  # that no span begins or ends with
 SLICE = 256
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DIGIT = frozenset("0123456789")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
@@ -216,10 +217,15 @@ def added_spans(tagger: M.Tagger, texts: list[str], base: list[list[tuple[int, i
     candidates: dict[int, list[tuple[float, int, int, int]]] = {}
     for a, b in zip(first, np.r_[first[1:], len(on)]):
         i, s, e = int(own[a]), int(on[a] - begin[own[a]]), int(on[b - 1] + 1 - begin[own[a]])
-        while e > s and texts[i][e - 1] in EDGES:
-            e -= 1
-        while s < e and texts[i][s] in EDGES:
+        t, more = texts[i], LOCAL if kind[a] == 0 else DIGIT
+        while s < e and t[s] in EDGES:
             s += 1
+        while e > s and t[e - 1] in EDGES:
+            e -= 1
+        while s > 0 and t[s - 1] in more:  # no span begins or ends within a token
+            s -= 1
+        while e < len(t) and t[e] in more and t[e] not in EDGES:
+            e += 1
         candidates.setdefault(i, []).append((-float(sure[on[a] : on[b - 1] + 1].min()), s, e, int(kind[a])))
     for i, found in candidates.items():
         taken = [(s, e) for s, e, _ in base[i]]
