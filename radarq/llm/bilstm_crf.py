@@ -28,7 +28,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class Tagger:
     """Tags sequences of character numbers (batch, time), padded at the end with PADDING."""
 
-    def __init__(self, n_tags: int, hidden: int = 12, embed: int = 10, seed: int = 7):
+    def __init__(self, n_tags: int, hidden: int = 8, embed: int = 10, seed: int = 7):
         r = np.random.default_rng(seed)
         init = lambda *s: (r.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
         self.h, self.k = hidden, n_tags

@@ -28,9 +28,9 @@ KINDS = ("email", "ip", "card", "phone")
 CONTEXT_DOCS = 1024
 CONTEXT_CHARS = 1000
 TRAINING_WINDOWS = 4000
-STEPS = 600
+STEPS = 900
 TRAINING_WINDOW = 80
-WINDOW, STRIDE = 192, 160
+WINDOW, STRIDE = 256, 232
 MARGIN = (WINDOW - STRIDE) // 2  # of a window that its neighbour tells better
 BATCH = 1024  # windows run together
 SURE = 0.5  # least posterior of every character of an added span
