@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,17 +46,19 @@ _counters: dict = {}
 
 
 def count_tokens(docs: DataFrame, versions: tuple[str, ...]) -> DataFrame:
-    """(doc_id, source, lang, tokenizer, n_tokens) for each row and tokenizer version; null text has no tokens."""
+    """(doc_id, source, lang, tokenizer, n_tokens) for each row and tokenizer version; null text has no tokens.
+
+    Repeated rows are counted each, null keys stay null, texts of any length are counted whole, other
+    columns are left out. No rows: no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, SLICE):
-                piece = batch.slice(k, SLICE)
-                texts = [t or "" for t in piece["text"].to_pylist()]
-                for v in versions:
-                    if v not in _counters:
-                        _counters[v] = counter(v)
-                    yield pa.RecordBatch.from_pydict({"doc_id": piece["doc_id"], "source": piece["source"], "lang": piece["lang"], "tokenizer": pa.array([v] * len(texts), pa.string()), "n_tokens": pa.array(np.array(_counters[v](texts), np.int64), pa.int64())})
+        for piece in C.slices(batches, "text", SLICE):
+            texts = [t or "" for t in piece["text"].to_pylist()]
+            for v in versions:
+                if v not in _counters:
+                    _counters[v] = counter(v)
+                yield pa.RecordBatch.from_pydict({"doc_id": piece["doc_id"], "source": piece["source"], "lang": piece["lang"], "tokenizer": pa.array([v] * len(texts), pa.string()), "n_tokens": pa.array(np.array(_counters[v](texts), np.int64), pa.int64())})
 
     return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("lang").cast("string"), "text").mapInArrow(run, "doc_id long, source string, lang string, tokenizer string, n_tokens long")
 
@@ -83,21 +86,24 @@ class TokenRollup:
         self._fs = jvm.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
         self._fs.mkdirs(jvm.Path(f"{self.path}/deltas"))
 
-    def batches(self) -> set[str]:
-        """Ids of committed batches, folded ones included; one for each commit, kept by name."""
-        found: set[str] = set()
-        for s in self._fs.listStatus(self._path(f"{self.path}/deltas")):
-            name = s.getPath().getName()
-            if name.startswith("batch="):
-                found.add(name[6:])
-            elif name.startswith("folded="):
-                found |= self._held(name)[0]
-        return found
-
-    def _held(self, fold: str) -> tuple[set[str], set[str]]:
-        """The batches that a fold holds and the older folds that it replaces."""
-        rows = self.spark.read.schema("batch string, fold string").parquet(f"{self.path}/deltas/{fold}/ids").collect()
-        return {r.batch for r in rows if r.batch is not None}, {r.fold for r in rows if r.fold is not None}
+    def batches(self) -> DataFrame:
+        """(batch) ids of committed batches, folded ones included."""
+        names = self._names()
+        found = self.spark.createDataFrame([(n[6:],) for n in names if n.startswith("batch=")], "batch string")
+        return found.union(self._ids(names).filter("batch is not null").select("batch")).distinct()
+
+    def _names(self) -> list[str]:
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.path}/deltas")))
+
+    def _ids(self, names: list[str]) -> DataFrame:
+        """(batch, fold): the batches that the folds among names hold, and the older folds that they replace."""
+        paths = [f"{self.path}/deltas/{n}/ids" for n in names if n.startswith("folded=")]
+        kind = "batch string, fold string"
+        return self.spark.read.schema(kind).parquet(*paths) if paths else self.spark.createDataFrame([], kind)
+
+    def _committed(self, batch: str) -> bool:
+        names = self._names()
+        return f"batch={batch}" in names or bool(self._ids(names).filter(F.col("batch") == batch).limit(1).count())
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Sum and add a batch of changes; False, and nothing done, if the batch is there already.
@@ -107,26 +113,43 @@ class TokenRollup:
         """
         if not batch or any(c in batch for c in "/=\\"):
             raise ValueError(f"not a batch id: {batch!r}")
-        if batch in self.batches():
+        if self._committed(batch):
             return False
         staged = f"{self.path}/staged-{uuid.uuid4().hex}"
         delta = changes.groupBy(*KEYS).agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens"))
         delta.filter("d_docs <> 0 or d_tokens <> 0").coalesce(1).write.parquet(staged)
-        done = self._fs.rename(self._path(staged), self._path(f"{self.path}/deltas/batch={batch}"))
-        if not done:  # another attempt of the same batch was first
-            self._fs.delete(self._path(staged), True)
-        return bool(done)
+        if self._move(staged, f"{self.path}/deltas/batch={batch}"):
+            return True
+        self._fs.delete(self._path(staged), True)  # another attempt of the same batch was first
+        return False
+
+    def _move(self, old: str, new: str) -> bool:
+        """Rename old to new if there is no new; FileSystem.rename would move old into it."""
+        jvm = self.spark._jvm
+        kind = jvm.org.apache.hadoop.fs.Options.Rename
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(old).toUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            files.rename(self._path(old), self._path(new), self.spark.sparkContext._gateway.new_array(kind, 0))
+        except Py4JJavaError as e:
+            if e.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
+                return False
+            raise
+        return True
 
     def _deltas(self) -> tuple[list[str], list[str], list[str]]:
-        """Names of the folds and of the batches that count, and of what a fold has taken the place of."""
-        names = sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.path}/deltas")))
-        folds = {n: self._held(n) for n in names if n.startswith("folded=")}
-        over = {f"batch={b}" for held, _ in folds.values() for b in held} | {f for _, replaced in folds.values() for f in replaced}
-        return [n for n in folds if n not in over], [n for n in names if n.startswith("batch=") and n not in over], [n for n in names if n in over]
+        """Names, from one listing, of the folds and of the batches that count, and of what a fold has taken the place of."""
+        names = self._names()
+        given = [n[6:] for n in names if n.startswith("batch=")]
+        told = self._ids(names).filter(F.col("fold").isNotNull() | F.col("batch").isin(given)).collect()  # of what is listed only
+        over = {f"batch={r.batch}" for r in told if r.batch is not None} | {r.fold for r in told if r.fold is not None}
+        return [n for n in names if n.startswith("folded=") and n not in over], [n for n in names if n.startswith("batch=") and n not in over], [n for n in names if n in over]
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, n_docs, n_tokens) over all committed batches; groups at zero are gone."""
         folded, names, _ = self._deltas()
+        return self._sum(folded, names)
+
+    def _sum(self, folded: list[str], names: list[str]) -> DataFrame:
         paths = [f"{self.path}/deltas/{n}/sums" for n in folded] + [f"{self.path}/deltas/{n}" for n in names]
         kind = "source string, lang string, tokenizer string, d_docs long, d_tokens long"
         deltas = self.spark.read.schema(kind).parquet(*paths) if paths else self.spark.createDataFrame([], kind)
@@ -137,20 +160,21 @@ class TokenRollup:
         """Fold all deltas into one table of sums; a crash leaves either the old or the new state.
 
         The new fold comes by one rename and names what it replaces: from then on readers skip that, and
-        it goes now or, after a crash, with the next compaction. One compaction at a time.
+        it goes now or, after a crash, with the next compaction. Sums and ids are of one listing: a batch
+        that is committed meanwhile stays as it is. One compaction at a time.
         """
         folded, names, over = self._deltas()
         if names:
-            self._fold(folded, over)
+            self._fold(folded, names, over)
         for n in (*over, *names, *(folded if names else ())):
             self._fs.delete(self._path(f"{self.path}/deltas/{n}"), True)
 
-    def _fold(self, folded: list[str], over: list[str]) -> None:
+    def _fold(self, folded: list[str], names: list[str], over: list[str]) -> None:
         replaced = [*folded, *(n for n in over if n.startswith("folded="))]
-        ids = sorted(self.batches())
         staged = f"{self.path}/staged-{uuid.uuid4().hex}"
-        self.totals().select(*KEYS, F.col("n_docs").alias("d_docs"), F.col("n_tokens").alias("d_tokens")).coalesce(1).write.parquet(f"{staged}/sums")
-        self.spark.createDataFrame([*((i, None) for i in ids), *((None, n) for n in replaced)], "batch string, fold string").coalesce(1).write.parquet(f"{staged}/ids")
+        self._sum(folded, names).select(*KEYS, F.col("n_docs").alias("d_docs"), F.col("n_tokens").alias("d_tokens")).coalesce(1).write.parquet(f"{staged}/sums")
+        new = self.spark.createDataFrame([*((n[6:], None) for n in names), *((None, n) for n in replaced)], "batch string, fold string")
+        new.union(self._ids(folded).filter("batch is not null")).write.parquet(f"{staged}/ids")
         if not self._fs.rename(self._path(staged), self._path(f"{self.path}/deltas/folded={uuid.uuid4().hex}")):
             raise OSError(f"cannot move {staged}")
 

@@ -309,12 +309,38 @@ def test_crash_in_compaction(spark, rollup, n):
     else:
         rollup.compact()
     rollup._fs = fs
-    assert totals(rollup) == want and rollup.batches() == {"b0", "b1", "b2"}
+    assert totals(rollup) == want and {r.batch for r in rollup.batches().collect()} == {"b0", "b1", "b2"}
     rollup.compact()
-    assert totals(rollup) == want and rollup.batches() == {"b0", "b1", "b2"}
+    assert totals(rollup) == want and {r.batch for r in rollup.batches().collect()} == {"b0", "b1", "b2"}
     assert len(fs.listStatus(rollup._path(f"{rollup.path}/deltas"))) == 1
 
 
+def test_two_attempts_of_a_batch(spark, rollup, monkeypatch):
+    """Both find the batch missing; the one that renames first counts, the other one's files are gone."""
+    monkeypatch.setattr(rollup, "_committed", lambda batch: False)
+    changes = token_rollup.inserts(counts(spark, (1, "a", "en", "t", 10)))
+    assert [rollup.commit("b", changes) for _ in range(3)] == [True, False, False]
+    assert totals(rollup) == {("a", "en", "t"): (1, 10)}
+    assert [s.getPath().getName() for s in rollup._fs.listStatus(rollup._path(rollup.path))] == ["deltas"]
+    assert all(s.isFile() for s in rollup._fs.listStatus(rollup._path(f"{rollup.path}/deltas/batch=b")))
+
+
+def test_a_batch_committed_during_compaction(spark, rollup, monkeypatch):
+    rollup.commit("b0", token_rollup.inserts(counts(spark, (1, "a", "en", "t", 1))))
+    fold = rollup._fold
+    monkeypatch.setattr(rollup, "_fold", lambda *a: (rollup.commit("b1", token_rollup.inserts(counts(spark, (2, "a", "en", "t", 10)))), fold(*a)))
+    rollup.compact()
+    assert totals(rollup) == {("a", "en", "t"): (2, 11)} and {r.batch for r in rollup.batches().collect()} == {"b0", "b1"}
+
+
+def test_count_tokens_edges(spark):
+    rows = [(1, None, "en", None), (1, None, "en", None), (None, "a", None, "word " * 100_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")
+    got = token_rollup.count_tokens(odd(docs), token_rollup.VERSIONS[:1]).collect()
+    assert sorted(r.n_tokens for r in got) == [0, 0, 100_000]
+    assert token_rollup.count_tokens(docs.limit(0), token_rollup.VERSIONS).collect() == []
+
+
 def test_counts_by_all_changes(spark, small, monkeypatch):
     done, commit, compact = [], token_rollup.TokenRollup.commit, token_rollup.TokenRollup.compact
 
@@ -397,7 +423,7 @@ def test_packing_edges(spark):
 
 def test_audio_round_trip(spark):
     texts = [*ODD_TEXTS, "x" * 576, "x" * 577, "x" * 1152]
-    out = audio.describe_audio(audio.store_audio(odd(table(spark, list(enumerate(texts)) + [(None, "same"), (99, "same")])))).collect()
+    out = audio.store_features(audio.store_audio(odd(table(spark, list(enumerate(texts)) + [(None, "same"), (99, "same")])))).collect()
     by = {r.doc_id: r for r in out}
     for i, t in enumerate(texts):
         raw = (t or "").encode()
@@ -407,6 +433,9 @@ def test_audio_round_trip(spark):
         assert r.media_bytes == len(payload) + 44 and r.media_sha256 == hashlib.sha256(audio.encode_wav(payload)).hexdigest()
         frames = audio.read_tensors(bytes(r.log_mel))
         assert frames["log_mel"].type.shape == list(audio.SHAPE)
+        mel = np.concatenate([x.to_numpy(zero_copy_only=False).reshape(-1, *audio.SHAPE) for x in [c.storage.flatten() for c in frames["log_mel"].chunks]])
+        assert f"crc={zlib.crc32(mel.astype(np.float16).tobytes()):08x}" in r.feature  # what was stored is what was computed
+        assert np.all(np.diff(frames["start_s"]) > 0) and np.all(np.array(frames["end_s"]) > np.array(frames["start_s"]))
         assert all(0 <= s.start_s < s.end_s for s in r.segments)
     assert by[None].feature == by[99].feature and by[1].feature == by[0].feature
     assert audio.describe_audio(audio.store_audio(table(spark, []))).collect() == []
