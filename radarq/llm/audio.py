@@ -30,6 +30,7 @@ MELS = 40
 SHAPE = (32, MELS)  # frames in a tensor
 OPEN, CLOSE = 0.6, 0.4  # of the range of a file's frame energies
 SLICE = 128
+SLICE_BYTES = 1 << 20
 
 
 def polyphase(up: int = UP, down: int = DOWN, taps: int = TAPS) -> np.ndarray:
@@ -162,11 +163,9 @@ def store_audio(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, SLICE):
-                piece = batch.slice(k, SLICE)
-                raw = [x.as_py() for x in piece["data"]]
-                yield pa.RecordBatch.from_pydict({"doc_id": piece["doc_id"], "n_bytes": pa.array([len(x) for x in raw], pa.int64()), "media": pa.array([encode_wav(padded(x)) for x in raw], pa.binary())})
+        for piece in C.slices(batches, "data", SLICE, SLICE_BYTES):
+            raw = [x.as_py() for x in piece["data"]]
+            yield pa.RecordBatch.from_pydict({"doc_id": piece["doc_id"], "n_bytes": pa.array([len(x) for x in raw], pa.int64()), "media": pa.array([encode_wav(padded(x)) for x in raw], pa.binary())})
 
     return C.write_scratch(C.data_of(docs).mapInArrow(run, "doc_id long, n_bytes long, media binary"), "media")
 
@@ -179,23 +178,21 @@ def describe_audio(media: DataFrame, with_tensors: bool = True) -> DataFrame:
     kind = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, SLICE):
-                piece = batch.slice(k, SLICE)
-                files = [x.as_py() for x in piece["media"]]
-                payloads = [decode_wav(x) for x in files]
-                mel, segments = features(payloads)
-                named = []
-                for m, s, p in zip(mel, segments, payloads):
-                    n = 1 + max(0, len(p) * UP // DOWN - FRAME) // HOP
-                    level = float(m[:n].astype(np.float64).mean())
-                    named.append(f"frames={n};segments={len(s)};active={sum(b - a for a, b in s):.3f};level={level:.2f};crc={zlib.crc32(m.tobytes()):08x}")
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": piece["doc_id"], "n_bytes": piece["n_bytes"], "payload_bytes": pa.array([len(p) for p in payloads], pa.int64()),
-                    "payload_sha256": [hashlib.sha256(p).hexdigest() for p in payloads], "tail_crc32": pa.array([zlib.crc32(p[-32:]) for p in payloads], pa.int64()),
-                    "media_bytes": pa.array([len(x) for x in files], pa.int64()), "media_sha256": [hashlib.sha256(x).hexdigest() for x in files],
-                    "log_mel": pa.array([tensors(m) if with_tensors else None for m in mel], pa.binary()), "segments": pa.array([[{"start_s": a, "end_s": b} for a, b in s] for s in segments], kind), "feature": named,
-                })
+        for piece in C.slices(batches, "media", SLICE, SLICE_BYTES):
+            files = [x.as_py() for x in piece["media"]]
+            payloads = [decode_wav(x) for x in files]
+            mel, segments = features(payloads)
+            named = []
+            for m, s, p in zip(mel, segments, payloads):
+                n = 1 + max(0, len(p) * UP // DOWN - FRAME) // HOP
+                level = float(m[:n].astype(np.float64).mean())
+                named.append(f"frames={n};segments={len(s)};active={sum(b - a for a, b in s):.3f};level={level:.2f};crc={zlib.crc32(m.tobytes()):08x}")
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": piece["doc_id"], "n_bytes": piece["n_bytes"], "payload_bytes": pa.array([len(p) for p in payloads], pa.int64()),
+                "payload_sha256": [hashlib.sha256(p).hexdigest() for p in payloads], "tail_crc32": pa.array([zlib.crc32(p[-32:]) for p in payloads], pa.int64()),
+                "media_bytes": pa.array([len(x) for x in files], pa.int64()), "media_sha256": [hashlib.sha256(x).hexdigest() for x in files],
+                "log_mel": pa.array([tensors(m) if with_tensors else None for m in mel], pa.binary()), "segments": pa.array([[{"start_s": a, "end_s": b} for a, b in s] for s in segments], kind), "feature": named,
+            })
 
     return media.mapInArrow(
         run,
@@ -203,6 +200,15 @@ def describe_audio(media: DataFrame, with_tensors: bool = True) -> DataFrame:
     )
 
 
+def store_features(media: DataFrame) -> DataFrame:
+    """describe_audio() of stored files as a table in the shared folder: tensors and time spans are its columns log_mel and segments.
+
+    Read tensors back by read_tensors(). A null doc_id stays null; repeated rows are described each; a
+    file of any length is described whole, in a batch of its own. No rows: no rows.
+    """
+    return C.write_scratch(describe_audio(media), "features")
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = describe_audio(store_audio(C.table(spark, sf_dir, "documents")))
+    out = store_features(store_audio(C.table(spark, sf_dir, "documents")))
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
