@@ -7,6 +7,7 @@ back, so a key that a third of all documents hold costs one entry a block, where
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -45,11 +46,13 @@ def drop_tables(spark: SparkSession, paths: list[str]) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where none is set and all runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         current = spark.sparkContext.getCheckpointDir()
         if current is None:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
             current = spark.sparkContext.getCheckpointDir()
         found = current
@@ -80,9 +83,12 @@ def count_of_blocks(n_bytes: int) -> int:
 
 
 def in_blocks(docs: DataFrame, n_blocks: int, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(block, doc_id, data) and keep_0, keep_1, ...: UTF-8 text, null as empty, dealt by doc_id."""
+    """(block, doc_id, data) and keep_0, keep_1, ...: UTF-8 text, null as empty.
+
+    Dealt by doc_id and text, so that neither null doc_ids nor the rows of a repeated one meet in one block.
+    """
     return docs.select(
-        F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int").alias("block"),
+        F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int").alias("block"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"),
         *(F.col(k).alias(f"keep_{i}") for i, k in enumerate(keep)),
