@@ -46,7 +46,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     A window is 13 consecutive words of an item, or all words of a shorter one; items without words
     have none. A document word inside any occurrence of a window is hit. Null or empty text: no
-    words, not contaminated. A repeated doc_id is one document whose rows are judged each by itself;
+    words, not contaminated; texts of any length are judged whole. A repeated doc_id is one document whose rows are judged each by itself;
     equal items count by item_id; a null item_id takes part in hits but not in items.
     """
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("ws")).filter(F.size("ws") > 0)
@@ -68,7 +68,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         cut = rows.select(
             *key, "_ws", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor(F.size("_ws") / b).cast("int")), lambda i: F.xxhash64(_gram(F.col("_ws"), i * b + 1, b)))).alias("_i", "_key")
         )
-        near = cut.join(_maybe_broadcast(grams, n_grams), "_key")
+        if n_grams <= BROADCAST_NGRAMS:
+            near = cut.join(F.broadcast(grams), "_key")
+        else:  # blocks go without the words of their document, which come back to the hits
+            hits = cut.select(*key, "_i", "_key").join(grams, "_key").select(*key, "_i")
+            near = hits.join(rows.select(*key, "_ws").dropDuplicates(key), key)
         for m in these:
             low = F.greatest(F.col("_i") * b + 1 - (m - b), F.lit(1))
             high = F.least(F.col("_i") * b + 1, F.size("_ws") - m + 1)

@@ -109,6 +109,29 @@ def test_perfect_hash_is_minimal():
         assert sorted(h.slots(keys).tolist()) == list(range(len(keys)))
 
 
+def test_null_and_repeated_ids_are_spread(spark):
+    """Rows without a doc_id, and those of one doc_id, go to many blocks; results don't change."""
+    rows = [(None if i % 2 else 7, f"line number {i}\nthe very same long line") for i in range(400)]
+    assert C.in_blocks(table(spark, rows), 64).select("block").distinct().count() > 50
+    got = line_dedup.dedup_lines(table(spark, rows)).collect()
+    assert sum(r.n_dropped for r in got if r.doc_id is None) == 200 and not any(r.n_dropped for r in got if r.doc_id == 7)
+    same = "the very same passage, that is longer than fifty bytes"
+    out = suffix_dedup.remove_repeats(table(spark, [(d, f"{t[12:15]} {same}") for d, t in rows])).collect()
+    assert all(r.n_removed >= len(same) for r in out if r.doc_id is None) and not any(r.n_removed for r in out if r.doc_id == 7)
+
+
+def test_very_long_texts(spark):
+    """One text of a megabyte and more beside short ones."""
+    words = " ".join(f"w{i}" for i in range(150_000))
+    rows = [(1, words), (2, words + "\nthe end of it"), (3, "w100 w101 w102 w103 w104 w105 w106 w107 w108 w109 w110 w111 w112"), (4, "a\n" * 300_000)]
+    assert {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(table(spark, rows)).collect()} == {1: 0, 2: 1, 3: 0, 4: 0}
+    assert near(near_duplicates.near_duplicates(table(spark, rows)))[2][0] == 1
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(table(spark, rows)).collect()}
+    assert got == {1: 0, 2: len(words), 3: len(rows[2][1]), 4: 0}
+    item = spark.createDataFrame([(9, rows[2][1])], "item_id long, text string")
+    assert {r.doc_id: r.n_hit for r in decontaminate.contamination(table(spark, rows), item).collect()} == {1: 13, 2: 13, 3: 13, 4: 0}
+
+
 @pytest.mark.parametrize("name", ["op2_decontaminate", "op10_line_dedup"])
 def test_against_sql(spark, small, name):
     from radarq.llm import registry
@@ -126,7 +149,10 @@ def contaminated(df):
     return {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in df.collect()}
 
 
-def test_decontamination(spark):
+@pytest.mark.parametrize("bound", [decontaminate.BROADCAST_NGRAMS, 0])
+def test_decontamination(spark, monkeypatch, bound):
+    """With the set of n-grams broadcast, and joined by shuffle."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_NGRAMS", bound)
     r = random.Random(6)
     vocabulary = [f"w{i}" for i in range(30)] + ["É", "naïve", "123"]
     say = lambda n: [r.choice(vocabulary) for _ in range(n)]
