@@ -23,7 +23,11 @@ from ..functions import codes
 from ..functions.layouts import LAYOUTS, Layout
 
 CATEGORIES = tuple(LAYOUTS)
-FOUND = T.StructType([*(T.StructField(c, T.IntegerType()) for c in ("rec_index", "first", "behind")), T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("word", T.ArrayType(T.LongType())), T.StructField("malformed", T.BooleanType())])
+FOUND = T.StructType([*(T.StructField(c, T.IntegerType()) for c in ("rec_index", "first", "behind")), T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("word", T.ArrayType(T.LongType())), T.StructField("malformed", T.BooleanType()), T.StructField("regs", T.MapType(T.StringType(), T.BinaryType()))])
+
+
+#: Where category 48 has its registers.
+REGISTERS = LAYOUTS[48].number("250")
 
 
 class Walker:
@@ -107,8 +111,35 @@ def _walk(data: np.ndarray, offsets: np.ndarray, cat: np.ndarray, categories: tu
     return block, number, first, behind, places, words, bad
 
 
+NUMBERS = np.array([f"{k:02X}" for k in range(256)], object)
+
+
+def _registers(data: np.ndarray, start: np.ndarray, behind: np.ndarray) -> pa.Array:
+    """Registers by their number of records whose item of registers starts at start (-1: none): a count, then seven bytes and the number of each.
+
+    Of a repeated one, the last; all-zero ones and what runs over the record's end don't count.
+    """
+    here = (start >= 0) & (start < len(data))
+    count = np.zeros(len(start), np.int64)
+    count[here] = data[start[here]]
+    row = np.repeat(np.arange(len(start)), count)
+    at = start[row] + 1 + 8 * (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count))
+    fits = at + 8 <= np.minimum(behind[row], len(data))
+    row, at = row[fits], at[fits]
+    cut = data[at[:, None] + np.arange(8)] if len(at) else np.zeros((0, 8), np.uint8)
+    some = cut[:, :7].any(1)
+    row, cut = row[some], cut[some]
+    name = row * 256 + cut[:, 7]
+    _, again = np.unique(name[::-1], return_index=True)
+    keep = np.sort(len(name) - 1 - again)
+    row, cut = row[keep], cut[keep]
+    edge = pa.array(np.r_[np.searchsorted(row, np.arange(len(start))), len(row)].astype(np.int32), mask=np.r_[count == 0, False])
+    value = pa.FixedSizeBinaryArray.from_buffers(pa.binary(7), len(cut), [None, pa.py_buffer(np.ascontiguousarray(cut[:, :7]).tobytes())]).cast(pa.binary())
+    return pa.MapArray.from_arrays(edge, pa.array(NUMBERS[cut[:, 7]], pa.string()), value)
+
+
 def records(blocks: DataFrame, categories: tuple[int, ...] = CATEGORIES) -> DataFrame:
-    """A row for each record: the block's columns, rec_index, first and behind (where it starts and ends), at (where its items start), word (the eight bytes from there) and malformed.
+    """A row for each record: the block's columns, rec_index, first and behind (where it starts and ends), at (where its items start), word (the eight bytes from there), malformed and regs (downlinked registers of category 48 by number).
 
     All places are zero-based and count from the block's start.
 
@@ -122,13 +153,16 @@ def records(blocks: DataFrame, categories: tuple[int, ...] = CATEGORIES) -> Data
             payload = batch["payload"].cast(pa.large_binary())
             offsets = np.frombuffer(payload.buffers()[1], np.int64)[payload.offset : payload.offset + len(payload) + 1] if len(payload) else np.zeros(1, np.int64)
             data = np.frombuffer(payload.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if len(payload) else np.zeros(0, np.uint8)
-            block, number, first, behind, places, words, bad = _walk(data, offsets - offsets[0], batch["cat"].to_numpy(), categories)
+            at_of, cat_of = offsets - offsets[0], batch["cat"].to_numpy()
+            block, number, first, behind, places, words, bad = _walk(data, at_of, cat_of, categories)
             flat = places.ravel().astype(np.int32)
             cut = pa.array(np.arange(len(block) + 1, dtype=np.int32) * places.shape[1])
             at, word = (pa.ListArray.from_arrays(cut, pa.array(x, mask=flat < 0)) for x in (flat, words.ravel()))
             kept = batch.take(pa.array(block))
             numbers = [pa.array(x.astype(np.int32)) for x in (number, first, behind)]
-            yield pa.RecordBatch.from_arrays([*kept.columns, *numbers, at, word, pa.array(bad)], [*kept.schema.names, *FOUND.names])
+            held = np.where(cat_of[block] == 48, places[:, REGISTERS], -1) if places.shape[1] > REGISTERS else np.full(len(block), -1)
+            regs = _registers(data, np.where(held >= 0, held + at_of[block], -1), behind + at_of[block])
+            yield pa.RecordBatch.from_arrays([*kept.columns, *numbers, at, word, pa.array(bad), regs], [*kept.schema.names, *FOUND.names])
 
     told = told.withColumn("cat", F.col("cat").cast("int"))
     return told.mapInArrow(run, T.StructType([*told.schema, *FOUND]))
@@ -226,7 +260,7 @@ def decode(blocks: DataFrame, compat: bool = False, cat21: bool = True, categori
         "aic": B.field(own, 5, 1).cast("int"),
         "b1a": B.field(own, 4, 1).cast("int"),
         "b1b": own.bitwiseAND(F.lit(15)).cast("int"),
-        "bds": _registers(x),
+        "bds": F.col("regs"),
         "acas": _acas(x),
         "responses": F.shiftright(x.value({1: "130"}, 1), 1).cast("int"),
         "flag_test": F.when(cat == 1, B.bit(x.value({1: "020"}, 1, 1), 128) & B.bit(report, 1)).when(cat == 21, B.bit(twentyone, 0x1000)).when(cat == 20, B.bit(more, 2)),
@@ -251,17 +285,6 @@ def decode(blocks: DataFrame, compat: bool = False, cat21: bool = True, categori
     return out.withColumn("type_name", codes.type_name(F.col("cat"), F.col("type")))
 
 
-def _registers(x: Items) -> Column:
-    """Downlinked registers of a category 48 record by their number; of a repeated one, the last; all-zero ones don't count."""
-    start = x.place({48: "250"})
-    count = B.unsigned(F.col("payload"), start + 1, 1).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.substring("payload", start + k * 8 + 2, F.lit(8)))
-    some = F.filter(cut, lambda b: (F.length(b) == 8) & (F.hex(F.substring(b, 1, 7)) != "00" * 7))
-    pairs = F.transform(some, lambda b: F.struct(F.lpad(F.hex(F.substring(b, 8, 1)), 2, "0").alias("key"), F.substring(b, 1, 7).alias("value")))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
-    return F.when(count > 0, F.map_from_entries(last))
-
-
 def _acas(x: Items) -> Column:
     """The collision-avoidance advisory of a category 48 or 20 record: item 260, as seven bytes."""
     start = x.place({48: "260", 20: "260"})

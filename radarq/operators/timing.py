@@ -20,18 +20,29 @@ def with_delay(plots: DataFrame) -> DataFrame:
     return plots.withColumn("delay", clock.delay(F.col("tod_stamp"), F.col("tod")))
 
 
-def unwrap_days(rows: DataFrame, column: str = "recv_tod", source: str = "source", order: str = "seq", most: float = 80000.0) -> DataFrame:
+def unwrap_days(rows: DataFrame, column: str = "recv_tod", source: str = "source", order: str = "seq", most: float = 80000.0, slot: int = 65536) -> DataFrame:
     """Adds day and abs_tod: seconds since the first day's midnight of each source, as times of day fall back.
 
     A fall of more than `most` starts a day, a rise of more than that goes a day back; a source's first
-    row never does. Rows without a time take the day of those before.
+    row never does. Rows without a time take the day of those before. Turns are counted inside of slots
+    of `order`, a number; what a slot takes over from those before comes from one row for each slot.
     """
-    w = Window.partitionBy(source).orderBy(order)
-    t = F.col(column)
-    last = F.last(t, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    turn = F.when(last - t > most, 1).when(t - last > most, -1).otherwise(0)
-    day = F.sum(turn).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.withColumn("day", F.coalesce(day, F.lit(0))).withColumn("abs_tod", t + F.col("day") * 86400)
+    t, key = F.col(column), (source, "_slot")
+    told = rows.withColumn("_slot", F.coalesce(F.floor(F.col(order) / slot).cast("long"), F.lit(-(1 << 60))))
+    inside = Window.partitionBy(*key).orderBy(order)
+    turn = lambda last, now: F.when(last - now > most, 1).when(now - last > most, -1).otherwise(0)
+    last = F.last(t, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    told = told.withColumn("_turn", turn(last, t)).withColumn("_timed", F.count(t).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) > 0)
+    timed = F.when(t.isNotNull(), F.col(order))
+    slots = told.groupBy(*key).agg(F.min_by(t, timed).alias("_first"), F.max_by(t, timed).alias("_last"), F.sum("_turn").alias("_turns"))
+    over = Window.partitionBy(source).orderBy("_slot")
+    before = over.rowsBetween(Window.unboundedPreceding, -1)
+    slots = slots.withColumn("_enter", F.coalesce(turn(F.last("_last", ignorenulls=True).over(before), F.col("_first")), F.lit(0)))
+    slots = slots.select(F.col(source).alias("_of"), F.col("_slot").alias("_at"), "_enter", F.coalesce(F.sum(F.col("_turns") + F.col("_enter")).over(before), F.lit(0)).alias("_base"))
+    out = told.join(slots, told[source].eqNullSafe(slots["_of"]) & (told["_slot"] == slots["_at"]))
+    day = F.sum("_turn").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    out = out.withColumn("day", F.col("_base") + F.when(F.col("_timed"), F.col("_enter")).otherwise(0) + day)
+    return out.withColumn("abs_tod", t + F.col("day") * 86400).drop("_slot", "_turn", "_timed", "_of", "_at", "_enter", "_base")
 
 
 def merge_recordings(first: DataFrame, second: DataFrame, column: str = "recv_tod") -> DataFrame:

@@ -56,6 +56,8 @@ ORACLES["delay_windows_compat"] = (
 SELECT sac, sic, cat, cuenta, CASE WHEN b IS NULL OR b = f THEN 0 ELSE b * 0.005::DOUBLE - 8 END AS p99 FROM g LEFT JOIN x USING (sac, sic, cat)"""
 )
 ORACLES["delay_day_wrap"] = PLOTS + "SELECT seq, tod_stamp, tod, delay FROM p WHERE abs(tod_stamp - tod) > 43200"
+ORACLES["delay_over_midnight"] = """WITH x AS (SELECT event_id AS seq, event_id * 331 % 256 - 128 AS s, event_id * 17 % 1024 - 512 AS l FROM events)
+SELECT seq, (s + 11059200) % 11059200 / 128.0::DOUBLE AS tod_stamp, (s - l + 11059200) % 11059200 / 128.0::DOUBLE AS tod, l / 128.0::DOUBLE AS delay FROM x"""
 ORACLES["delay_sane"] = PLOTS + "SELECT seq, delay FROM p WHERE NOT flag_test AND abs(delay) < 8"
 ORACLES["availability_upsert"] = (
     PLOTS + _windows(3600)
@@ -101,6 +103,7 @@ SENSOR = "SELECT event_id AS seq, user_id, CAST(user_id % 3 + 1 AS INTEGER) AS s
 LENGTH_48 = 3 + 2 * (4 + 2 + 3 + 1 + 4 + 2 + 2 + 3 + 6 + 9 + 2 + 2 + 7)
 ORACLES["sensor_list"] = f"""WITH s AS ({SENSOR}), b AS (SELECT sac, sic, 48 AS cat, {LENGTH_48} AS len FROM s UNION ALL SELECT sac, sic, 34, 10 FROM s)
 SELECT cat, sac, sic, count(*) AS n_blocks, CAST(sum(len) AS BIGINT) AS n_bytes FROM b GROUP BY ALL"""
+ORACLES["sensor_blocks"] = f"WITH s AS ({SENSOR}) SELECT 48 AS cat, {LENGTH_48} AS len, sac, sic FROM s UNION ALL SELECT 34, 10, sac, sic FROM s"
 ORACLES["sensor_names"] = PLOTS + """, d AS (SELECT n_nationkey % 2 + 1 AS sac, n_nationkey // 2 + 1 AS sic, upper(substr(n_name, 1, 2)) AS sac_short, n_name AS sic_long FROM nation WHERE n_nationkey < 14)
 SELECT seq, sac_short, sic_long FROM p LEFT JOIN d ON p.sac = d.sac AND p.sic = d.sic"""
 ORACLES["header_index"] = f"WITH s AS ({SENSOR}) SELECT seq, 48 AS cat, {LENGTH_48} AS len, sac, sic FROM s UNION ALL SELECT seq, 2, 10, sac, sic FROM s"
@@ -149,6 +152,7 @@ o AS (SELECT k, list(ts ORDER BY ts) AS l FROM x GROUP BY k),
 r AS (SELECT k, l, l[1] AS ts FROM o UNION ALL SELECT k, l, list_filter(l, lambda y: y > r.ts + 4)[1] FROM r WHERE len(list_filter(l, lambda y: y > r.ts + 4)) > 0)
 SELECT x.seq, x.ts FROM x JOIN r ON x.k = r.k AND x.ts = r.ts"""
 ORACLES["dedup_keys"] = "SELECT event_id AS seq, md5((user_id % 11) || '/' || event_type) AS md5, CAST(length((user_id % 11) || '/' || event_type) AS INTEGER) AS n FROM events"
+ORACLES["block_keys"] = "WITH x AS (SELECT event_id AS seq, (user_id % 11) || '/' || event_type AS p FROM events) SELECT seq, length(p) || ':' || sha256(p) AS key FROM x"
 MARK = f"WITH s AS ({SENSOR}), b AS (SELECT seq, printf('22000AE0%02X%02X%02X%06X', sac, sic, n % 2 + 1, n * 331 % 11059200) AS body FROM s)"
 LE = "printf('%02X%02X%02X%02X', {0} % 256, {0} // 256 % 256, {0} // 65536 % 256, {0} // 16777216)"
 ORACLES["gps_v1_trailer"] = MARK + "SELECT seq, body || printf('11%02XB50A000A%06XCD', seq % 256, seq * 331 % 11059200) AS frame FROM b"
@@ -221,3 +225,4 @@ ORACLES["latency_report"] = (
     f"""WITH s AS ({SENSOR}), p AS (SELECT sac, sic, 48 AS cat, (n % 50) / 128.0::DOUBLE AS delay, CAST((n * 331 + n % 50) // 128 AS BIGINT) + 1704067200 AS sec, (n * 331 + n % 50) / 128.0::DOUBLE + 1704067200 AS ts FROM s, range(2) t(k))"""
     + _windows(300) + f"SELECT printf('%03d_%03d_%03d', sac, sic, cat) AS sac_sic_cat, 'north' AS region, window_start AS timestamp, cuenta, {R} FROM s2 WHERE window_start + 300 <= (SELECT max(ts) FROM p)"
 ).replace("s AS (SELECT g.*", "s2 AS (SELECT g.*")
+ORACLES["statistics_admission"] = f"SELECT seq, type, plot_type FROM ({ORACLES['decode_cat10']}) WHERE (type = 1 AND plot_type <> 0) OR type = 2"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -74,12 +76,17 @@ def recorder(packets: DataFrame, options: RecorderOptions, folder: str, lap: int
 
 
 def record(packets: DataFrame, options: RecorderOptions, folder: str, checkpoint: str) -> StreamingQuery:
-    """The recorder on a live feed, a folder for each batch; stops after options.timed seconds, if any, by awaitTermination."""
+    """The recorder on a live feed, a folder for each batch; stops by itself after options.timed seconds, if any."""
 
     def write(batch: DataFrame, number: int) -> None:
         recorder(batch, options, f"{folder}/batch-{number}")
 
-    return packets.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
+    query = packets.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
+    if options.timed:
+        timer = threading.Timer(options.timed, query.stop)
+        timer.daemon = True
+        timer.start()
+    return query
 
 
 def live_statistics(plots: DataFrame, checkpoint: str) -> StreamingQuery:

@@ -66,6 +66,15 @@ def delay_day_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delays(spark, sf_dir).filter(F.abs(F.col("tod_stamp") - F.col("tod")) > 43200).select("seq", "tod_stamp", "tod", "delay")
 
 
+@query
+def delay_over_midnight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plots measured before midnight and received after, and the other way round."""
+    e = S.table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"))
+    stamp, late = F.col("seq") * 331 % 256 - 128, F.col("seq") * 17 % 1024 - 512
+    times = e.select("seq", *((F.pmod(t, F.lit(S.DAY128)) / 128.0).alias(n) for n, t in (("tod_stamp", stamp), ("tod", stamp - late))))
+    return timing.with_delay(times)
+
+
 @query
 def delay_sane(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = filters.without_tests(filters.timed(delays(spark, sf_dir)))
@@ -207,6 +216,11 @@ def sensor_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return header.sensors(S.blocks(spark, sf_dir, 48).unionByName(S.blocks(spark, sf_dir, 34)).drop("cat"))
 
 
+@query
+def sensor_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return header.sensor_list(S.blocks(spark, sf_dir, 48).unionByName(S.blocks(spark, sf_dir, 34)).drop("cat"))
+
+
 @query
 def sensor_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = S.table(spark, sf_dir, "nation").filter("n_nationkey < 14").withColumn("k", F.col("n_nationkey"))
@@ -247,6 +261,11 @@ for _cat, _columns in {
     query(decoded(_cat, *_columns))
 
 
+@query
+def statistics_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decode.statistics_admission(decode.decode(S.blocks(spark, sf_dir, 10))).select("seq", "type", "plot_type")
+
+
 @query
 def decode_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [S.blocks(spark, sf_dir, c) for c in (1, 48)]
@@ -317,6 +336,11 @@ def dedup_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated(spark, sf_dir).select("seq", F.lower(F.md5("payload")).alias("md5"), F.length("payload").alias("n"))
 
 
+@query
+def block_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated(spark, sf_dir).select("seq", codes.block_key(F.col("payload")).alias("key"))
+
+
 @query
 def gps_v1_trailer(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = S.blocks(spark, sf_dir, 34).withColumn("recv_tod", F.col("seq") * 331 % S.DAY128 / 128.0).withColumn("src_ip", F.format_string("10.181.%d.17", F.col("seq") % 256))

@@ -56,6 +56,26 @@ def test_merge(spark):
     assert [r.abs_tod for r in over] == [86399.0, 86399.5, 86401.0]
 
 
+def test_days_over_slots(spark):
+    """Turns between, inside and over slots without times, against one pass in order."""
+    r = random.Random(5)
+    rows, t = [], 86000.0
+    for i in range(300):
+        t = (t + r.choice([1.0, 700.0, 9000.0])) % 86400
+        rows.append(("ab"[i % 2], i, None if r.random() < 0.3 or 40 < i < 60 else t))
+    df = spark.createDataFrame(rows, "source string, seq long, recv_tod double")
+    want = {}
+    for s in "ab":
+        day, last = 0, None
+        for _, i, x in (x for x in rows if x[0] == s):
+            if x is not None:
+                day += 0 if last is None else (last - x > 80000) - (x - last > 80000)
+                last = x
+            want[i] = day
+    for slot in (1, 7, 1 << 16):
+        assert {x.seq: x.day for x in timing.unwrap_days(df, slot=slot).collect()} == want
+
+
 def test_duplicates(spark):
     rows = spark.createDataFrame([(i, t, bytearray(p)) for i, (t, p) in enumerate([(0.0, b"x"), (3.0, b"x"), (4.0, b"x"), (4.5, b"x"), (6.0, b"x"), (1.0, b"y")])], "seq long, ts double, payload binary")
     assert sorted((r.ts, bytes(r.payload)) for r in dedup.drop_duplicates(rows).collect()) == [(0.0, b"x"), (1.0, b"y"), (4.5, b"x")]
