@@ -27,6 +27,7 @@ UP, DOWN = 1, 2  # 16 kHz to 8 kHz
 TAPS = 24  # of the prototype filter for each phase
 FRAME, HOP, FFT = 200, 80, 256  # 25 ms every 10 ms at 8 kHz
 MELS = 40
+STEP_DB = 0.25  # of the stored log-mel values
 SHAPE = (32, MELS)  # frames in a tensor
 OPEN, CLOSE = 0.6, 0.4  # of the range of a file's frame energies
 SLICE = 128
@@ -121,7 +122,7 @@ def features(payloads: list[bytes]) -> tuple[list[np.ndarray], list[list[tuple[f
         spectrum = np.fft.rfft(frames.astype(np.float32) * (HANN / np.float32(1 << 21)), FFT, axis=1)
         power = (spectrum.real**2 + spectrum.imag**2).astype(np.float32).reshape(-1, SHAPE[0], FFT // 2 + 1)
         bands = np.stack([block @ BANK for block in power]).reshape(-1, MELS)
-        mel[k : k + len(rows)] = 10 * np.log10(np.maximum(bands, 1e-8))
+        mel[k : k + len(rows)] = np.round(10 * np.log10(np.maximum(bands, 1e-8)) / STEP_DB) * STEP_DB
     mel[~real] = -80
     out, segments = [], []
     for f, n, b in zip(first, count, blocks):
