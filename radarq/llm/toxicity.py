@@ -25,7 +25,7 @@ from . import common as C
 
 #: The bound of the labelled sample: so many documents, by a hash of doc_id, and bytes of text at most,
 #: none of them over EXAMPLE_BYTES / 64. Index and vocabulary are bounded by its words.
-EXAMPLES = 6144
+EXAMPLES = 4096
 EXAMPLE_BYTES = 64 << 20
 NEIGHBOURS = 16
 BLOCK = 64
