@@ -13,6 +13,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -73,10 +74,8 @@ class Node:
         self.density = self.total = 0.0
 
 
-def _is_out(tag: str, attributes: str, parent: Node) -> bool:
-    if tag in OUT_TAGS:
-        return True
-    if tag == "header" and not any(n.tag in ("article", "main") for n in _path(parent)):
+def _is_out(tag: str, attributes: str, in_article: bool) -> bool:
+    if tag in OUT_TAGS or (tag == "header" and not in_article):
         return True
     if not attributes or tag in KEPT_TAGS:
         return False
@@ -111,63 +110,91 @@ def _path(node: Node | None) -> Iterator[Node]:
         node = node.parent
 
 
+class Open:
+    """The open elements, with the places of each tag among them: what a tag closes is found without walking up."""
+
+    def __init__(self, root: Node):
+        self.nodes = [root]
+        self.places: dict[str, list[int]] = {"html": [0]}
+        self.blocks: list[int] = []
+        self.walls = [0]
+
+    def last(self, *tags: str) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def push(self, node: Node) -> None:
+        at = len(self.nodes)
+        self.nodes.append(node)
+        self.places.setdefault(node.tag, []).append(at)
+        if node.tag in BLOCKS:
+            self.blocks.append(at)
+        if node.tag in BLOCKS or node.tag in SCOPE:
+            self.walls.append(at)
+
+    def cut(self, at: int) -> None:
+        """Close all from this place on; the root stays."""
+        while len(self.nodes) > max(at, 1):
+            tag = self.nodes.pop().tag
+            self.places[tag].pop()
+            if tag in BLOCKS:
+                self.blocks.pop()
+            if tag in BLOCKS or tag in SCOPE:
+                self.walls.pop()
+
+    def end(self, tag: str) -> None:
+        """An end tag: inline ones don't reach beyond the nearest block, none beyond the body."""
+        at = self.last(tag)
+        if at > 0 and at >= max(self.last("body"), self.blocks[-1] if tag in INLINE and self.blocks else 0):
+            self.cut(at)
+
+    def start(self, tag: str) -> None:
+        """What a start tag closes: a block an open paragraph, list items and cells their like, links and headings each other."""
+        if tag in BLOCKS and self.nodes[self.walls[-1]].tag == "p":
+            self.cut(self.walls[-1])
+        if tag in CLOSES:
+            which, upto = CLOSES[tag]
+            wall = self.last("body", "html", *upto)
+            first = [open_[bisect_right(open_, wall)] for open_ in map(self.places.get, which) if open_ and open_[-1] > wall]
+            if first:
+                self.cut(min(first))
+        elif tag in HEADINGS and self.nodes[-1].tag in HEADINGS:
+            self.cut(len(self.nodes) - 1)
+        elif tag == "a" and self.last("a") > self.walls[-1]:
+            self.cut(self.last("a"))
+
+
 def parse(page: str) -> Node:
-    """A tree of Nodes, with strings among the children for text."""
+    """A tree of Nodes, with strings among the children for text; linear in the page."""
     root = Node("html", None, False)
-    top, at, low, n = root, 0, None, len(page)
+    top, at, low = Open(root), 0, None
+    last = page.rfind(">")
+    comment = page.find("<!--", last + 1)
+    page = page if comment < 0 else page[:comment]
+    n = len(page)
     while at < n:
-        m = TOKEN.search(page, at)
+        m = TOKEN.search(page, at) if at <= last else None
         if m is None:
-            top.children.append(page[at:])
+            top.nodes[-1].children.append(page[at:])
             break
         if m.start() > at:
-            top.children.append(page[at : m.start()])
+            top.nodes[-1].children.append(page[at : m.start()])
         at = m.end()
         tag = m[2] or m[5]
         if tag is None:
             continue
         tag = tag.lower()
         if m[1] or m[4]:
-            if tag in ("html", "body"):
-                continue  # what follows still belongs to the body
-            inline = tag in INLINE
-            for node in _path(top):
-                if node.tag == tag and node is not root:
-                    top = node.parent
-                    break
-                if inline and node.tag in BLOCKS or node.tag in ("body", "html"):
-                    break
+            if tag not in ("html", "body"):  # what follows these still belongs to the body
+                top.end(tag)
             continue
         if tag == "html":
             continue
         attributes = m[3] or m[6] or ""
-        if tag == "body" and any(x.tag == "body" for x in _path(top)):
+        if tag == "body" and top.last("body") > 0:
             continue
         if tag in ("body", "frameset"):
-            top = root
-        if tag in BLOCKS:
-            for node in _path(top):  # a block closes an open paragraph
-                if node.tag == "p":
-                    top = node.parent
-                    break
-                if node.tag in SCOPE or node.tag in BLOCKS:
-                    break
-        if tag in CLOSES:
-            which, upto = CLOSES[tag]
-            for node in _path(top):
-                if node.tag in which:
-                    top = node.parent
-                elif node.tag in upto or node.tag in ("body", "html"):
-                    break
-        elif tag in HEADINGS and top.tag in HEADINGS:
-            top = top.parent
-        elif tag == "a":
-            for node in _path(top):
-                if node.tag == "a":
-                    top = node.parent
-                    break
-                if node.tag in SCOPE or node.tag in BLOCKS:
-                    break
+            top.cut(1)
+        top.start(tag)
         if tag in RAW:
             low = page.lower() if low is None else low
             end = low.find("</" + tag, at) if not attributes.endswith("/") else at
@@ -177,10 +204,10 @@ def parse(page: str) -> Node:
             at = at or n
             continue
         hidden = _is_hidden(tag, attributes)
-        node = Node(tag, top, hidden or _is_out(tag, attributes, top), hidden)
-        top.children.append(node)
+        node = Node(tag, top.nodes[-1], hidden or _is_out(tag, attributes, top.last("article", "main") > 0), hidden)
+        node.parent.children.append(node)
         if tag not in VOID and not (attributes.endswith("/") and tag not in BLOCKS and tag not in INLINE):
-            top = node
+            top.push(node)
     _spare(root)
     return root
 
@@ -251,6 +278,7 @@ def select(root: Node) -> Node:
         if node is body:
             break
     on_path = set(path)
+    holders = {n.parent for n in path if n.tag == "article"}
     least = min((n.density for n in path if n.tag not in ("html", "body")), default=core.density)
 
     def others(node: Node) -> list[Node]:
@@ -258,7 +286,7 @@ def select(root: Node) -> Node:
 
     def enough(c: Node) -> bool:
         """Whether a node beside the path is text: dense, or another part next to an article (one link lowers a density by far)."""
-        return c.density >= least or (c.tag == "article" and c.link_chars * 4 <= c.chars and any(x.tag == "article" and x.parent is c.parent for x in path))
+        return c.density >= least or (c.tag == "article" and c.link_chars * 4 <= c.chars and c.parent in holders)
 
     top = core
     for node in path[1:]:
@@ -275,7 +303,7 @@ def select(root: Node) -> Node:
             if not enough(c) and c.tag not in HEADINGS and (c.link_chars * 2 > c.chars or (node is body and c.tag != "p")):
                 c.out = True
     # around marked articles that hold most of the text, a core keeps what is as dense as itself
-    marked = [c for c in others(core) if c.tag in ARTICLES or c.articles]
+    marked = {c for c in others(core) if c.tag in ARTICLES or c.articles}
     if core.tag not in ARTICLES and sum(c.chars for c in marked) * 2 >= core.chars:
         for c in others(core):
             if c not in marked and c.density < core.density and c.tag not in HEADINGS:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import uuid
 import zlib
 
@@ -531,3 +532,13 @@ def test_pages(spark, small):
     odd_rows = spark.createDataFrame([(None, None, None), (1, "u", ""), (1, "u", "<p>text</p>")], "page_id long, url string, html string")
     assert sorted(r.text for r in html_text.extract(odd_rows).collect()) == ["", "", "text"]
     assert html_text.extract(odd_rows.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<font>" * 20000 + "x" + "</b>" * 20000, "<b><div>" + "<font>" * 20000 + "</b>" * 20000, "<header>" * 20000 + "x", "<a " * 40000, "<div>" * 5000 + "<article><p>text</p></article>" * 10000, "<table><tr>" + "<td><div>" * 20000],
+)
+def test_pages_take_linear_time(page):
+    start = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - start < 5
