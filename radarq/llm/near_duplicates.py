@@ -27,6 +27,8 @@ DEPTH = 8
 RECALL = 0.998
 TILE_SHINGLES = 1_000_000
 TILE_MEMBERS = 2048
+SPREAD = 8  # parts of a cluster at least, down to SMALL_TILE members each: no task has most of it
+SMALL_TILE = 256
 SLICE = 512
 
 _rng = np.random.default_rng(20240607)
@@ -255,9 +257,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, class_id, copy_id, n_links.
 
     copy_id: the smallest doc_id with the same set of five-word shingles. n_links: how many other such
-    sets have a Jaccard similarity of 0.8 or more with it (exact). class_id: the smallest doc_id reached
-    over links. Texts of one to four words have one shingle; texts without words (or null) are alone in
-    their class and have no links. A null doc_id gets nulls and takes no part. No rows: no rows.
+    sets of its cluster have a Jaccard similarity of 0.8 or more with it, counted exactly; the forest puts
+    a pair at the threshold in one cluster with probability RECALL or more. class_id: the smallest doc_id
+    reached over links. Texts of one to four words have one shingle; texts without words (or null) are
+    alone in their class and have no links. A very long text is one set, held whole by the task that has
+    it. A null doc_id gets nulls and takes no part; repeated rows are copies. No rows: no rows.
     """
     spark = docs.sparkSession
     C.scratch_dir(spark)
@@ -274,7 +278,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     # tiles: clusters cut into parts of bounded shingles and members, and all pairs of parts
     member = coarse.select(F.col("node").alias("rep"), "root").join(classes.select("rep", "n"), "rep")
-    cuts = member.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / TILE_SHINGLES), F.ceil(F.count("*") / TILE_MEMBERS)).cast("int").alias("cuts"))
+    cuts = member.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / TILE_SHINGLES), F.ceil(F.count("*") / TILE_MEMBERS), F.least(F.lit(SPREAD), F.ceil(F.count("*") / SMALL_TILE))).cast("int").alias("cuts"))
     member = member.join(cuts, "root").select("root", "rep", "cuts", F.pmod(F.xxhash64("rep"), F.col("cuts")).cast("int").alias("part"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
