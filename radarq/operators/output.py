@@ -10,6 +10,14 @@ from . import stats
 from .acas import latest
 from .filters import PERSISTED
 
+# The columns of the advisories' table.
+ADVISORY_COLUMNS = (
+    "sac sic modea modea_v modea_g modea_l modec modec_v modec_g modes aid rho theta tod tod_stamp lat lon "
+    "di48_230_com di48_230_stat di48_230_si di48_230_mssc di48_230_arc di48_230_aic di48_230_b1a di48_230_b1b "
+    "bds30_ara41 bds30_ara42 bds30_ara43 bds30_ara44 bds30_ara45 bds30_ara46 bds30_ara47 bds30_rac55 bds30_rac56 bds30_rac57 "
+    "bds30_rac58 bds30_rat bds30_mte bds30_tti bds30_tid bds30_tida bds30_tidr bds30_tidb bds00 bds10 bds17 bds30 bds40 bds50 bds60"
+).split()
+
 
 def upsert_availability(rows: DataFrame, order: tuple[str, ...] = ("seq",), categories: tuple[int, ...] = PERSISTED) -> DataFrame:
     """Of persisted categories, the last row for each sensor key, region and timestamp."""
@@ -17,11 +25,43 @@ def upsert_availability(rows: DataFrame, order: tuple[str, ...] = ("seq",), cate
     return latest(kept, ("sac_sic_cat", "region", "timestamp"), order)
 
 
-def availability_sql(rows: DataFrame) -> DataFrame:
-    """Adds `sql`: the statement that a client of the database would send."""
+def availability_sql(rows: DataFrame, insert_date: bool = False) -> DataFrame:
+    """Adds `sql`: the statement that a client of the database would send, with the time of insertion if wanted."""
     number = lambda c: F.format_string("%.6f", F.col(c))
     values = F.concat(F.lit("'"), "sac_sic_cat", F.lit("', '"), "region", F.lit("', "), F.col("timestamp").cast("string"), F.lit(", "), F.col("cuenta").cast("string"), *(x for c in ("max", "min", "media", "stdev", "p99") for x in (F.lit(", "), number(c))))
-    return rows.withColumn("sql", F.concat(F.lit("REPLACE INTO availability3 (sac_sic_cat, region, timestamp, cuenta, max, min, media, stdev, p99) VALUES ("), values, F.lit(")")))
+    return rows.withColumn("sql", F.concat(F.lit("REPLACE INTO availability3 (sac_sic_cat, region, timestamp, cuenta, max, min, media, stdev, p99" + ", insert_date" * insert_date + ") VALUES ("), values, F.lit(", NOW())" if insert_date else ")")))
+
+
+def advisory_sql(rows: DataFrame, midnight: int = 0) -> DataFrame:
+    """Adds `sql`: the statement that replaces an advisory in the database; midnight: of the times, in seconds since 1970.
+
+    Null values, and columns that rows don't have, are NULL; positions always are.
+    """
+    kinds = dict(rows.dtypes)
+
+    def value(name: str) -> Column:
+        column = name.removeprefix("di48_230_")
+        if name.startswith("bds") and name[3:].isdigit() and "bds" in kinds:
+            text = F.concat(F.lit("'"), F.hex(F.try_element_at("bds", F.lit(name[3:]))), F.lit("'"))
+        elif column not in kinds or name in ("lat", "lon"):
+            return F.lit("NULL")
+        elif name in ("tod", "tod_stamp"):
+            text = F.format_string("%.4f", F.col(column) + float(midnight))
+        elif name == "modea":
+            text = F.concat(F.lit("'"), codes.mode_a_octal(F.col(column)), F.lit("'"))
+        elif kinds[column] == "string":
+            text = F.concat(F.lit("'"), F.col(column), F.lit("'"))
+        elif kinds[column] == "boolean":
+            text = F.col(column).cast("int").cast("string")
+        elif kinds[column] == "double":
+            text = F.format_string("%.4f", F.col(column))
+        else:
+            text = F.col(column).cast("string")
+        # a null makes concat and cast null, but not format_string
+        return F.when(F.col(column).isNotNull(), text).otherwise("NULL") if column in kinds else F.coalesce(text, F.lit("NULL"))
+
+    values = F.concat_ws(", ", *map(value, ADVISORY_COLUMNS), F.lit("NOW()"))
+    return rows.withColumn("sql", F.concat(F.lit(f"REPLACE INTO ras ({', '.join(ADVISORY_COLUMNS)}, insert_date) VALUES ("), values, F.lit(")")))
 
 
 def archive_update(windows: DataFrame) -> DataFrame:

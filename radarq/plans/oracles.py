@@ -226,3 +226,17 @@ ORACLES["latency_report"] = (
     + _windows(300) + f"SELECT printf('%03d_%03d_%03d', sac, sic, cat) AS sac_sic_cat, 'north' AS region, window_start AS timestamp, cuenta, {R} FROM s2 WHERE window_start + 300 <= (SELECT max(ts) FROM p)"
 ).replace("s AS (SELECT g.*", "s2 AS (SELECT g.*")
 ORACLES["statistics_admission"] = f"SELECT seq, type, plot_type FROM ({ORACLES['decode_cat10']}) WHERE (type = 1 AND plot_type <> 0) OR type = 2"
+
+ORACLES["truncated_time_turn"] = ORACLES["truncated_time_asof"].replace("event_id * 37 % 11059200 AS f", "(event_id * 37 + 11059200 - 18500) % 11059200 AS f").replace("(f - late) /", "((f - late + 11059200) % 11059200) /")
+ORACLES["availability_statements_dated"] = ORACLES["availability_statements"].replace("p99) VALUES", "p99, insert_date) VALUES").replace("%.6f)'", "%.6f, NOW())'")
+ORACLES["ras_statements"] = RA + """SELECT seq, k AS rec_index,
+  'REPLACE INTO ras (sac, sic, modea, modea_v, modea_g, modea_l, modec, modec_v, modec_g, modes, aid, rho, theta, tod, tod_stamp, lat, lon, di48_230_com, di48_230_stat, di48_230_si, di48_230_mssc, di48_230_arc, di48_230_aic, di48_230_b1a, di48_230_b1b, bds30_ara41, bds30_ara42, bds30_ara43, bds30_ara44, bds30_ara45, bds30_ara46, bds30_ara47, bds30_rac55, bds30_rac56, bds30_rac57, bds30_rac58, bds30_rat, bds30_mte, bds30_tti, bds30_tid, bds30_tida, bds30_tidr, bds30_tidb, bds00, bds10, bds17, bds30, bds40, bds50, bds60, insert_date) VALUES ('
+  || printf('%d, %d, ''%04o'', %d, NULL, NULL, NULL, NULL, NULL, ''%06X'', ''IB%05d'', NULL, NULL, %.4f, NULL, NULL, NULL, ', sac, sic, v * 13 % 4096, v * 13 % 65536 // 32768, (n * 2654435 + k) % 16777216, n % 100000, floor(tod) + 1704067200)
+  || printf('%d, %d, %d, NULL, NULL, NULL, NULL, %d, ', n % 8, n % 8, n % 2, n % 16)
+  || printf('%d, NULL, NULL, NULL, NULL, NULL, %d, %d, %d, %d, %d, %d, %d, ', v % 128 // 64, v % 2, v % 4 // 2, v % 2, v % 16 // 8, v % 8 // 4, v % 4 // 2, v % 2)
+  || CASE WHEN v % 2 = 1 THEN printf('1, ''%06X'', NULL, NULL, NULL, ', v * 7919 % 16777216) ELSE printf('2, NULL, %d, %d, %d, ', v % 1000 * 100 - 1200, v % 128, v % 64) END
+  || 'NULL, NULL, NULL, NULL, NULL, NULL, NULL, NOW())' AS sql FROM r"""
+ORACLES["decode_recorded_without_cat21"] = f"WITH s AS ({SENSOR}) SELECT seq, 34 AS cat, sac, sic FROM s"
+ORACLES["read_reply_records"] = """WITH r AS (SELECT CAST(event_id // 1000 AS INTEGER) AS lap, row_number() OVER (PARTITION BY event_id // 1000 ORDER BY event_id) - 1 AS seq, event_id AS n FROM events)
+SELECT lap, seq, printf('%04X%04X%04X%04X', n % 7 * 400 + n // 50 % 5 * 60 + n % 2, n % 1000 // 4 * 6, CASE WHEN n % 2 = 0 THEN 2816 ELSE 3328 END, CASE WHEN n % 13 = 0 THEN 0 ELSE 8 END) AS tail FROM r WHERE seq < 170"""
+ORACLES["gps_clock_lines"] = "SELECT event_id AS seq, CASE WHEN event_id % 5 <> 0 THEN strftime(make_timestamp(epoch_us(ts)), '%Y-%m-%d %H:%M:%S') END AS clock FROM events"

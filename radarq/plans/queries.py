@@ -306,13 +306,16 @@ def latest_capabilities_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return acas.latest_capabilities(plots, ("seq", "rec_index")).select("modes", "com", "si", "b1b", F.hex("bds10").alias("bds10"))
 
 
-def truncated(spark: SparkSession, sf_dir: str, table: S.Table = S.table) -> DataFrame:
+def truncated(spark: SparkSession, sf_dir: str, table: S.Table = S.table, start: int = 0) -> DataFrame:
+    """North marks with full times and plots with truncated ones up to 80/128 s before; start: of the first event, in 1/128 s."""
     e = table(spark, sf_dir, "events")
-    full = F.col("event_id") * 37 % S.DAY128
+    full = (F.col("event_id") * 37 + start) % S.DAY128
+    before = full - F.col("event_id") % 5 * 20
+    before = F.pmod(before, F.lit(S.DAY128)) if start else before
     plot = F.col("event_type") != "view"
     return e.select(
         F.col("event_id").alias("seq"), (F.col("user_id") % 3 + 1).cast("int").alias("sac"), F.lit(1).alias("sic"), F.when(plot, 1).otherwise(2).alias("cat"),
-        F.when(~plot, full / 128.0).alias("tod"), F.when(plot, F.pmod(full - F.col("event_id") % 5 * 20, F.lit(65536)) / 128.0).alias("tod_trunc"),
+        F.when(~plot, full / 128.0).alias("tod"), F.when(plot, F.pmod(before, F.lit(65536)) / 128.0).alias("tod_trunc"),
     )
 
 
@@ -321,6 +324,12 @@ def truncated_time_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timing.full_times(truncated(spark, sf_dir)).select("seq", "cat", "tod_full")
 
 
+@query
+def truncated_time_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """truncated_time_asof around midnight: plots of the day before come after marks of the new one."""
+    return timing.full_times(truncated(spark, sf_dir, start=S.DAY128 - 18_500)).select("seq", "cat", "tod_full")
+
+
 def repeated(spark: SparkSession, sf_dir: str, table: S.Table = S.table) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select(F.col("event_id").alias("seq"), (F.col("event_id") * 0.125).alias("ts"), F.concat_ws("/", F.col("user_id") % 11, "event_type").cast("binary").alias("payload"))
@@ -436,8 +445,47 @@ def hex_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = S.plots(spark, sf_dir).groupBy((F.col("us") - F.pmod("us", F.lit(600_000_000))).alias("lap_us")).agg(F.count("*").alias("n"))
-    return p.select((F.col("lap_us") / 1_000_000).cast("long").alias("lap_start"), "n", output.file_name(F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, lap_us / 1000000)"), "north").alias("name"))
+    p = S.plots(spark, sf_dir).groupBy(output.lap(F.col("us") / 1_000_000).alias("lap_start")).agg(F.count("*").alias("n"))
+    return p.select("lap_start", "n", output.file_name(F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, lap_start)"), "north").alias("name"))
+
+
+@query
+def availability_statements_dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    windows = stats.delay_windows(delays(spark, sf_dir), period=86400)
+    rows = stats.availability(rounded(windows, "max", "min", "media", "stdev", digits=3), "north")
+    return output.availability_sql(rows, insert_date=True).select("sac_sic_cat", "timestamp", "sql")
+
+
+@query
+def ras_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A statement for each advisory, of whole seconds; registers and polar coordinates left out."""
+    plots = decode.decode(S.blocks(spark, sf_dir, 48)).withColumn("tod", F.floor("tod").cast("double"))
+    found = acas.resolution_advisories(plots).drop("bds", "rho", "theta", "modec", "modec_v", "modec_g", "modea_g", "modea_l", "mssc", "arc", "aic", "b1a", *(f"bds30_ara4{k}" for k in range(2, 7)))
+    return output.advisory_sql(found, 1_704_067_200).select("seq", "rec_index", "sql")
+
+
+@query
+def decode_recorded_without_cat21(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings are decoded without category 21 unless asked for."""
+    both = S.blocks(spark, sf_dir, 21).unionByName(S.blocks(spark, sf_dir, 34))
+    return decode.decode(both, cat21=False).select("seq", "cat", "sac", "sic")
+
+
+@query
+def read_reply_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reply records written by lap; of each file, the first 170 as read."""
+    folder = f"{shared_folder(spark)}/replies-{uuid.uuid4().hex}"
+    writer.write_recording(reply_records(spark, sf_dir).withColumn("source", F.concat("source", F.lit(".bin"))), folder, named=True)
+    back = recording.read_replies(spark, folder, limit=170)
+    return back.select(F.regexp_extract("source", "lap([0-9]+)[.]bin$", 1).cast("int").alias("lap"), "seq", F.hex(F.substring("payload", 65, 8)).alias("tail"))
+
+
+@query
+def gps_clock_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a serial clock for each event, each fifth of another kind."""
+    told = S.plots(spark, sf_dir).select("seq", F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, us / 1000000)").alias("at"))
+    lines = told.select("seq", F.concat(F.when(F.col("seq") % 5 == 0, "XGV").otherwise("XGU"), F.date_format("at", "yyMMddHHmmss"), F.lit(",A")).alias("line"))
+    return lines.select("seq", F.date_format(recording.gps_clock(), "yyyy-MM-dd HH:mm:ss").alias("clock"))
 
 
 @query
