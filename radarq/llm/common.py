@@ -142,39 +142,54 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Powers:
-    """r^j and r^-j modulo 2^64 for an odd r, as far as asked for so far."""
+    """r^j and r^-j modulo a prime under 2^31, as far as asked for so far."""
 
-    def __init__(self, r: int):
-        self.r, self.inv = r, pow(r, -1, 1 << 64)
+    def __init__(self, prime: int, r: int):
+        self.prime, self.r, self.inv = np.uint64(prime), np.uint64(r), np.uint64(pow(r, -1, prime))
         self.up = self.down = np.ones(1, np.uint64)
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = max(n, 1 << 16)
-            self.up = np.cumprod(np.r_[np.uint64(1), np.full(n, self.r, np.uint64)], dtype=np.uint64)
-            self.down = np.cumprod(np.r_[np.uint64(1), np.full(n, self.inv, np.uint64)], dtype=np.uint64)
+        while len(self.up) < n:
+            self.up = np.r_[self.up, self.up * (self.up[-1] * self.r % self.prime) % self.prime]
+            self.down = np.r_[self.down, self.down * (self.down[-1] * self.inv % self.prime) % self.prime]
         return self.up, self.down
 
 
-ROLL = Powers(0x9E3779B97F4A7C15)
+#: Two primes: modulo a power of two, some texts of two letters have equal hashes for every base.
+ROLLS = Powers(2147483647, 1_103_515_245), Powers(2147483629, 1_664_525_013)
 PIECE = 1 << 19
+AT_ONCE = 1 << 22  # terms under 2^40 whose sums stay below 2^64
+
+
+def _running(terms: np.ndarray, prime: np.uint64) -> np.ndarray:
+    """Running sums of terms under 2^40, from 0 on; of many terms modulo the prime."""
+    run = np.zeros(len(terms) + 1, np.uint64)
+    if len(terms) <= AT_ONCE:
+        np.cumsum(terms, out=run[1:])
+        return run
+    for k in range(0, len(terms), AT_ONCE):
+        run[k + 1 : k + 1 + AT_ONCE] = (np.cumsum(terms[k : k + AT_ONCE]) + run[k]) % prime
+    return run
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each data[start:end]; spans ascend by start, and by end."""
+    """A 64-bit hash of each data[start:end], of 62 bits drawn from two polynomials; spans ascend by start, and by end."""
     out = np.empty(len(start), np.uint64)
     i = 0
     while i < len(start):
         base = int(start[i])
         j = max(i + 1, int(np.searchsorted(start, base + PIECE, "left")))
         top = int(end[j - 1])
-        up, down = ROLL.upto(top - base + 1)
-        run = np.zeros(top - base + 1, np.uint64)
-        np.cumsum((data[base:top].astype(np.uint64) + np.uint64(1)) * up[: top - base], out=run[1:])
+        symbols = data[base:top].astype(np.uint64) + np.uint64(1)
         a, b = start[i:j] - base, end[i:j] - base
-        out[i:j] = (run[b] - run[a]) * down[a]
+        found = np.zeros(j - i, np.uint64)
+        for roll in ROLLS:
+            up, down = roll.upto(top - base + 1)
+            run = _running(symbols * up[: top - base], roll.prime)
+            found = (found << np.uint64(32)) | (run[b] + (roll.prime if len(symbols) > AT_ONCE else np.uint64(0)) - run[a]) % roll.prime * down[a] % roll.prime
+        out[i:j] = found
         i = j
-    return mix(out ^ ((end - start).astype(np.uint64) << np.uint64(40)))
+    return mix(out ^ mix((end - start).astype(np.uint64)))
 
 
 #: Word bytes after lower-casing A-Z: digits, a-z and every byte of a non-ASCII character.

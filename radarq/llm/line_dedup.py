@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,7 +88,7 @@ def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def line_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Key hash and fingerprint of each line, as two columns; and whether its key is long enough."""
+    """The 128-bit hash of each line's key as two columns, name and fingerprint; and whether the key is long enough."""
     solid = np.flatnonzero(~IS_SPACE[data])
     a, b = np.searchsorted(solid, start), np.searchsorted(solid, end)
     some = b > a
@@ -95,9 +96,9 @@ def line_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.
     s[some], e[some] = solid[a[some]], solid[b[some] - 1] + 1
     chars = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
     low = C.LOWER[data]
-    one = C.span_hashes(low, s, e)
-    two = C.span_hashes(low ^ np.uint8(0x5A), s, e)
-    return np.stack([one, C.mix(two + np.uint64(0x1234567))], 1), chars[e] - chars[s] >= MIN_CHARS
+    raw = memoryview(low)
+    digests = b"".join(xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(s.tolist(), e.tolist()))
+    return np.frombuffer(digests, np.uint64).reshape(-1, 2), chars[e] - chars[s] >= MIN_CHARS
 
 
 def _distinct(docs: pa.Table):

@@ -213,11 +213,29 @@ def _repeated_segments(docs: pa.Table, replies: pa.Table, n_shards: int):
         code, windows, doc, hot = code[of], np.where(hot, 1, windows)[of], doc[of], hot[of]
         code[hot] = codes(C.span_hashes(data, start[hot], start[hot] + WINDOW), n_shards)
     size = windows + WINDOW - 1
-    name = C.span_hashes(data, start, start + size)
-    _, first_at, number = np.unique(name, return_index=True, return_inverse=True)
+    first_at, number = distinct(data, start, size)
     return data, offsets, ids, code, start, size, doc, first_at, number
 
 
+def distinct(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A first segment of each content, and the number of each segment's content; equal hashes are held against the bytes."""
+    name = C.span_hashes(data, start, start + size)
+    _, rep, same = np.unique(name, return_index=True, return_inverse=True)
+    other = rep[same]
+    equal = size == size[other]
+    check = np.flatnonzero(equal & (other != np.arange(len(size))))
+    ends = np.cumsum(size[check])
+    for c in _groups(ends // (1 << 20))[1] if len(check) else ():
+        p = check[c]
+        differs = _gather(data, start[p], size[p]) != _gather(data, start[other[p]], size[p])
+        equal[p] = np.add.reduceat(differs, np.cumsum(size[p]) - size[p]) == 0
+    if not equal.all():
+        numbers: dict[bytes, int] = {}
+        same = np.array([numbers.setdefault(data[a : a + n].tobytes(), len(numbers)) for a, n in zip(start.tolist(), size.tolist())])
+        _, rep = np.unique(same, return_index=True)
+    return rep, same
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept (binary, the remaining bytes).
 
@@ -303,8 +321,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         block = np.repeat(sent["block"].to_numpy(), count)
         start = np.cumsum(size) - size
         # equal segments become one, with the smallest doc_id of all blocks
-        name = C.span_hashes(data, start, start + size)
-        _, rep, same = np.unique(name, return_index=True, return_inverse=True)
+        rep, same = distinct(data, start, size)
         low = np.full(len(rep), C.NO_ID)
         np.minimum.at(low, same, first)
         order = np.argsort(keys[rep], kind="stable")

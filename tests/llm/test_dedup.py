@@ -101,6 +101,42 @@ def test_line_dedup_edges(spark):
     assert line_dedup.dedup_lines(table(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("n", [1024, 4096, 1 << 16])
+def test_lines_that_a_polynomial_modulo_a_power_of_two_confuses(spark, n):
+    one = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+    other = one.translate(str.maketrans("ab", "ba"))
+    data = np.frombuffer((one + other).encode(), np.uint8)
+    h = C.span_hashes(data, np.array([0, n]), np.array([n, 2 * n]))
+    assert h[0] != h[1]
+    rows = [(1, one), (2, other), (3, f"{one}\n{other}"), (4, other[: n - 1])]
+    want = plain.dedup_lines(rows)
+    assert {x.doc_id: (x.text, x.n_lines, x.n_dropped) for x in line_dedup.dedup_lines(table(spark, rows)).collect()} == want
+    assert want[2] == (other, 1, 0)
+    rows = rows[:2]
+    assert removed(suffix_dedup.remove_repeats(table(spark, rows))) == suffix_dedup.brute_force([(d, t.encode()) for d, t in rows])
+
+
+def test_distinct_segments_by_their_bytes(monkeypatch):
+    r = np.random.default_rng(5)
+    data = r.integers(97, 99, 400).astype(np.uint8)
+    start, size = np.arange(300), np.full(300, 6)
+    for hashes in (C.span_hashes, lambda data, start, end: np.zeros(len(start), np.uint64)):
+        monkeypatch.setattr(C, "span_hashes", hashes)
+        rep, same = suffix_dedup.distinct(data, start, size)
+        words = [data[a : a + 6].tobytes() for a in start]
+        assert [words[k] for k in rep[same]] == words and len(rep) == len(set(words))
+
+
+def test_span_hashes_of_long_spans(monkeypatch):
+    r = np.random.default_rng(6)
+    data = np.tile(r.integers(0, 256, 3000).astype(np.uint8), 3)
+    short = C.span_hashes(data, np.array([0, 3000, 6000]), np.array([3000, 6000, 9000]))
+    long = C.span_hashes(data, np.array([0]), np.array([9000]))
+    monkeypatch.setattr(C, "AT_ONCE", 1000)
+    assert len(set(short.tolist())) == 1 and C.span_hashes(data, np.array([0, 3000]), np.array([3000, 6000])).tolist() == short[:2].tolist()
+    assert C.span_hashes(data, np.array([0]), np.array([9000])).tolist() == long.tolist()
+
+
 def test_perfect_hash_is_minimal():
     r = np.random.default_rng(1)
     for n in (0, 1, 2, 63, 1000, 20000):
