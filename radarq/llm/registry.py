@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, decontaminate, html_text, line_dedup, near_duplicates, packing, pii, suffix_dedup, token_rollup, toxicity
+from . import audio, decontaminate, html_text, line_dedup, near_duplicates, packing, pii, source_divergence, suffix_dedup, token_rollup, toxicity
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -15,8 +15,10 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_html_extraction": html_text.op9_html_extraction,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_source_divergence": source_divergence.op11_source_divergence,
 }
 ORACLES = {
     "op2_decontaminate": decontaminate.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
+    "op11_source_divergence": source_divergence.ORACLE,
 }
