@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, decontaminate, html_text, line_dedup, near_duplicates, packing, pii, source_divergence, suffix_dedup, token_rollup, toxicity
+from . import audio, decontaminate, html_text, line_dedup, near_duplicates, order_minhash, packing, pii, source_divergence, suffix_dedup, token_rollup, toxicity
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_html_extraction": html_text.op9_html_extraction,
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op11_source_divergence": source_divergence.op11_source_divergence,
+    "op12_order_minhash": order_minhash.op12_order_minhash,
 }
 ORACLES = {
     "op2_decontaminate": decontaminate.ORACLE,

@@ -8,7 +8,7 @@ from math import floor
 
 import pytest
 
-from radarq.llm import source_divergence
+from radarq.llm import order_minhash, source_divergence
 
 from . import plain
 from .conftest import odd
@@ -79,3 +79,106 @@ def test_shares_past_64_bits():
         total = r.randint(1, 8 * 10**15)
         c = r.randint(0, total - 1)
         assert int(source_divergence.share(np.array([c]), np.array([total]))[0]) == 1 + 10**9 * (c + 1) // total
+
+
+def mixed(x):
+    x &= 2**64 - 1
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = ((x ^ (x >> shift)) * factor) & (2**64 - 1)
+    return x ^ (x >> 31)
+
+
+def plain_fingerprint(text):
+    """One k-mer, one slot and one number at a time."""
+    o = order_minhash
+    text = text.ljust(o.KMER, "\0")
+    found, seen = [], Counter()
+    for p in range(len(text) - o.KMER + 1):
+        points = [mixed(ord(c) + 1) for c in text[p : p + o.KMER]]
+        while len(points) > 1:  # halves of halves
+            half = pow(0xD6E8FEB86659FD93, o.KMER // len(points), 2**64)
+            points = [(a * half + b) % 2**64 for a, b in zip(points[::2], points[1::2])]
+        h = mixed(points[0])
+        found.append((mixed(h ^ (seen[h] * int(o.ODD) % 2**64)), p, h))
+        seen[h] += 1
+    out = []
+    for j in range(o.SLOTS):
+        a = mixed(j + 1) | 1
+        best = sorted((x * 2**o.POSITION_BITS * a % 2**64 | p, p, h) for x, p, h in found)[: o.TUPLE]
+        name = 0
+        for f, (_, _, h) in enumerate(sorted(best, key=lambda x: x[1]) + [(0, 0, i + 1) for i in range(len(best), o.TUPLE)]):
+            name = mixed(name * int(o.ODD) + h)
+        out.append(name >> 48)
+    return b"".join(x.to_bytes(2, "little") for x in out)
+
+
+def plain_order(rows):
+    """doc_id to all columns of op12, for distinct doc_ids."""
+    rows = sorted((d, t or "") for d, t in rows)
+    texts = [t for _, t in rows]
+    out = {}
+    likeness = lambda a, b: sum(a[i : i + 2] == b[i : i + 2] for i in range(0, len(a), 2)) / order_minhash.SLOTS
+    for (d, t), after in zip(rows, texts[1:] + texts[:1]):
+        m = len(t) // 4
+        changed = t[: len(t) - m] + after[:m]
+        one, two = plain_fingerprint(t), plain_fingerprint(changed)
+        out[d] = len(t), plain.sha(changed), one, two, likeness(one, two), likeness(one, plain_fingerprint(after))
+    return out
+
+
+def order(df):
+    return {r.doc_id: (r.n_chars, r.edited_sha256, bytes(r.fingerprint), bytes(r.edited_fingerprint), r.near_edited, r.near_next) for r in order_minhash.follow(df).collect()}
+
+
+def test_order_minhash(spark, monkeypatch):
+    r = random.Random(8)
+    noise = lambda n, letters: "".join(r.choice(letters) for _ in range(n))
+    rows = [(3 * i, noise(r.randint(0, 90), r.choice(("ab", "abcdefgh ", "é日x")))) for i in range(60)] + [(400 + i, t) for i, t in enumerate(ODD_TEXTS)] + [(500, "a" * 400), (501, "a" * 399), (502, "ab" * 200)]
+    want = plain_order(rows)
+    assert order(odd(spark.createDataFrame(rows, "doc_id long, text string"))) == want
+    same = {(t or "").rstrip("\0") for _, t in rows}
+    assert len({x[2] for x in want.values()}) == len(same) - 1  # a run of one letter has one k-mer, however long it is
+    texts = [t or "" for _, t in rows]
+    whole, _ = order_minhash.fingerprints(texts)
+    monkeypatch.setattr(order_minhash, "SEGMENT", 7)  # every text in several pieces
+    pieces, _ = order_minhash.fingerprints(texts)
+    assert (whole == pieces).all()
+
+
+@pytest.mark.parametrize("low", [False, True])
+def test_numbers_of_equal_kmers(monkeypatch, low):
+    import numpy as np
+
+    if low:  # no upper bits to sort by
+        monkeypatch.setattr(order_minhash.C, "mix", lambda x: x.astype(np.uint64) & np.uint64(0xFFFFFF))
+    r = np.random.default_rng(2)
+    h, doc = r.integers(1, 9, 320).astype(np.uint64), np.repeat([0, 1], 160)
+    seen, want = Counter(), []
+    for d, x in zip(doc.tolist(), h):
+        want.append(order_minhash.C.mix(np.array([x ^ np.uint64(seen[d, int(x)] * int(order_minhash.ODD) % 2**64)]))[0])
+        seen[d, int(x)] += 1
+    assert order_minhash.numbered(h, doc).tolist() == [int(x) for x in want]
+
+
+def test_order_minhash_follows_edits():
+    r = random.Random(9)
+    text = "".join(r.choice("abcdefghij ") for _ in range(4000))
+    changed = [text[: 4000 - n] + "".join(r.choice("klmnop") for _ in range(n)) for n in (0, 100, 400, 1000, 3000)]
+    halves = text[2000:] + text[:2000]
+    prints, _ = order_minhash.fingerprints([*changed, halves], slots=512)
+    near = order_minhash.likeness(prints, prints[:1].repeat(6, 0))
+    assert near[0] == 1 and all(a > b for a, b in zip(near[:4], near[1:5]))
+    assert 0.3 < near[5] < 0.75  # nearly the same k-mers, half of the pairs in another order
+
+
+def test_order_minhash_edges(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    assert order(frame([])) == {}
+    alone = order(frame([(7, None)]))
+    assert alone[7][0] == 0 and alone[7][4:] == (1.0, 1.0)
+    rows = [(None, "the same text"), (None, "the same text"), (1, "the same text"), (1, "another one"), (2, None)]
+    got = order_minhash.follow(frame(rows)).collect()
+    assert len(got) == 5 and len({bytes(x.fingerprint) for x in got}) == 3
+    long = "".join(random.Random(1).choice("abc de") for _ in range(300_000))
+    got = order(frame([(1, long), (2, long + "x"), (3, "short")]))
+    assert got[1][5] > 0.9 and got[3][0] == 5
