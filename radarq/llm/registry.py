@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, decontaminate, html_text, line_dedup, near_duplicates, order_minhash, packing, pii, source_divergence, suffix_dedup, token_rollup, toxicity
+from . import audio, collocations, decontaminate, html_text, line_dedup, near_duplicates, order_minhash, packing, pii, source_divergence, suffix_dedup, token_rollup, toxicity
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -17,9 +17,11 @@ QUERIES = {
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op11_source_divergence": source_divergence.op11_source_divergence,
     "op12_order_minhash": order_minhash.op12_order_minhash,
+    "op13_collocations": collocations.op13_collocations,
 }
 ORACLES = {
     "op2_decontaminate": decontaminate.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
     "op11_source_divergence": source_divergence.ORACLE,
+    "op13_collocations": collocations.ORACLE,
 }

@@ -8,7 +8,7 @@ from math import floor
 
 import pytest
 
-from radarq.llm import order_minhash, source_divergence
+from radarq.llm import collocations, order_minhash, source_divergence
 
 from . import plain
 from .conftest import odd
@@ -182,3 +182,86 @@ def test_order_minhash_edges(spark):
     long = "".join(random.Random(1).choice("abc de") for _ in range(300_000))
     got = order(frame([(1, long), (2, long + "x"), (3, "short")]))
     assert got[1][5] > 0.9 and got[3][0] == 5
+
+
+def plain_collocations(rows, least, top=2000):
+    f, n = {}, Counter()
+    for _, text, lang in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\n-\r]", (text or "").translate(plain.LOWER)):
+            w = re.findall(r"[^ \t]+", piece)
+            n[lang] += len(w)
+            for m in range(1, 5):
+                f.setdefault(lang, Counter()).update(tuple(w[i : i + m]) for i in range(len(w) - m + 1))
+    out = set()
+    for lang, c in f.items():
+        good = {p: a for p, a in c.items() if len(p) > 1 and a >= least}
+        held = {}
+        for p, a in good.items():
+            for m in range(2, len(p)):
+                for i in range(len(p) - m + 1):
+                    held[p[i : i + m]] = max(a, held.get(p[i : i + m], 0))
+        found = []
+        for p, a in good.items():
+            if 100 * held.get(p, 0) >= 80 * a:
+                continue
+            score, k = min((2_000_000 * a // (c[p[:k]] + c[p[k:]]), k) for k in range(1, len(p)))
+            found.append((-score, -a, " ".join(p).encode(), c[p[:k]], c[p[k:]]))
+        out |= {(lang, i + 1, p.decode(), -a, l, r, n[lang], -s) for i, (s, a, p, l, r) in enumerate(sorted(found)[:top])}
+    return out
+
+
+def phrases(df, **how):
+    return [tuple(x) for x in collocations.collocations(df, **how).collect()]
+
+
+def phrase_rows(seed, n=120):
+    r = random.Random(seed)
+    words = ["a", "b", "A", "é", "É", "x-y", "日本", "(q)", "ab", "ba"] + [f"w{i}" for i in range(30)]
+    rows = []
+    for i in range(n):
+        w = [r.choice(words[: r.choice((3, 10, 40))]) for _ in range(r.randint(0, 50))]
+        rows.append((i, "".join(x + r.choice((" ", " ", " ", "\t", "  ", ". ", "\n", "!", " , ")) for x in w), r.choice(("en", "fr", None, "und", ""))))
+    rows += [(1000 + i, t, "en") for i, t in enumerate(ODD_TEXTS)] + [(2000 + i, "one and the same phrase, over and over over over over over over", "fr") for i in range(9)]
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_collocations(spark, monkeypatch, seed):
+    if seed == 2:  # many blocks of each language
+        monkeypatch.setattr(collocations, "BLOCK_TEXT", 100)
+        monkeypatch.setattr(collocations, "HELD_TEXT", 300)
+    rows = phrase_rows(seed)
+    df = odd(spark.createDataFrame(rows, "doc_id long, text string, lang string")).repartition(3)
+    for least, top in ((4, 2000), (8, 12)):
+        got = phrases(df, least=least, top=top)
+        want = plain_collocations(rows, least, top)
+        assert len(want) > 20 and len(got) == len(set(got)) and set(got) == want
+
+
+def test_collocations_edges(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert phrases(frame([])) == []
+    assert phrases(frame([(1, None, None), (2, "", "en"), (None, "x", "en")])) == []
+    rows = [(None, "to be or not to be", None)] * 31 + [(1, "to be " * 150_000 + ", " + "x" * 300_000, "long")]
+    assert set(phrases(frame(rows))) == plain_collocations(rows, 30)
+
+
+def test_scores_past_64_bits(spark, monkeypatch):
+    big = 9 * 10**13
+    found = spark.createDataFrame([("en", "p", 4 * big), ("en", "q", 3 * big), ("en", "p q", big + 1)], collocations.PHRASES)
+    monkeypatch.setattr(collocations, "frequent_phrases", lambda docs, least: (found, spark.createDataFrame([("en", 7 * big)], "lang string, n long")))
+    assert phrases(None) == [("en", 1, "p q", big + 1, 4 * big, 3 * big, 7 * big, 2_000_000 * (big + 1) // (7 * big))]
+
+
+def test_suffix_array_of_words():
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    for n, most in ((1, 3), (300, 4), (500, 40)):
+        ids = r.integers(0, most, n).astype(np.uint32)
+        order, common = collocations.suffix_array(ids)
+        for m in range(1, 5):
+            first, count = collocations.intervals(ids, order, common, m)
+            want = Counter(w for i in range(n - m + 1) if 0 not in (w := tuple(ids[i : i + m].tolist())))
+            assert {tuple(ids[i : i + m].tolist()): c for i, c in zip(first.tolist(), count.tolist())} == want and len(first) == len(want)
