@@ -1,14 +1,16 @@
 """Recordings written and read again, in each format; live feeds."""
 
 import os
+import random
 import socket
 import tempfile
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from radarq.sources import recording, udp, writer
+from radarq.sources import ranges, recording, udp, writer
 
 NORTH, PLOT = bytes.fromhex("02000AD014820191C8ED"), bytes.fromhex("010012FE1482202B1FFE6C082F04D812C8EB")
 
@@ -68,6 +70,94 @@ def test_empty_and_cut_files(spark):
         recording.read_recording(spark, file_of(b""), "nonsense")
 
 
+def serial(raw: bytes, f: recording.Framing):
+    """(place, payload) of frames, one after the other."""
+    at, out = f.header, []
+    while at + f.before + 3 <= len(raw):
+        start = at + f.before
+        size = int.from_bytes(raw[at : at + 4], "big") - f.before if f.length == "hensoldt" else int.from_bytes(raw[start + 1 : start + 3], "big")
+        if not 3 <= size <= 65535 or start + size + f.behind > len(raw):
+            break
+        out.append((at, raw[start : start + size]))
+        at = start + size + f.behind
+    return out
+
+
+def recorded(kind, n=400, seed=1, damage=None):
+    """A recording of n blocks of mixed lengths, full of bytes that look like lengths."""
+    r = random.Random(seed)
+    f = recording.FRAMINGS[kind]
+    raw = bytes([recording.FILLER]) * f.header
+    for i in range(n):
+        size = r.choice((3, 10, 18, 48, 48, 48, 300)) if i % 97 else 20_000
+        payload = bytes([r.choice((1, 2, 34, 48)), size >> 8, size & 255]) + bytes(r.choice((0, 0, 0, 3, 48, 128, 255)) for _ in range(size - 3))
+        front = (size + 12).to_bytes(4, "big") + bytes(8) if kind == "hensoldt" else bytes(r.randrange(256) for _ in range(f.before))
+        raw += front + payload + bytes(r.randrange(256) for _ in range(f.behind))
+        if i == damage:
+            raw += b"\0" * 7
+    return raw + b"\x30"
+
+
+@pytest.mark.parametrize("kind", ["ast", "gps1", "gps2", "hensoldt", "era"])
+@pytest.mark.parametrize("damage", [None, 250])
+def test_ranges_frame_as_the_serial_walk(spark, kind, damage):
+    raw = recorded(kind, damage=damage)
+    want = serial(raw, recording.FRAMINGS[kind])
+    assert len(want) == 400 if damage is None else len(want) >= 251
+    for n in (8, 37):
+        back = recording.read_recording(spark, file_of(raw), kind, range_bytes=-(-len(raw) // n)).select("seq", "payload").orderBy("seq").collect()
+        assert [(r.seq, bytes(r.payload)) for r in back] == [(i, p) for i, (_, p) in enumerate(want)]
+
+
+def test_range_maps_of_every_entry():
+    for kind in ("ast", "gps1", "hensoldt"):
+        raw, f = recorded(kind, 60, seed=5), recording.FRAMINGS[kind]
+        start, end = len(raw) // 3, 2 * len(raw) // 3
+        chain = ranges.Chain(raw[start:], start, len(raw), f.before, f.behind, f.length == "hensoldt")
+        entries = np.arange(start, len(raw))
+        for region in (1 << 17, 512):
+            ranges.REGION, kept = region, ranges.REGION
+            try:
+                which, frames, leaves = ranges.range_map(chain, start, end, entries)
+            finally:
+                ranges.REGION = kept
+            for e, w, n in zip(entries.tolist()[::7], which.tolist()[::7], frames.tolist()[::7]):
+                found, leave = ranges.Chain(raw, 0, len(raw), f.before, f.behind, f.length == "hensoldt").walk(e, end)
+                assert (leaves[w], n) == (leave, len(found))
+
+
+def test_categories_and_light_view(spark):
+    folder = file_of(recorded("gps1", 300, seed=3))
+    whole = recording.read_recording(spark, folder)
+    columns = [c.split()[0] for c in recording.LIGHT.split(", ")]
+    rows = lambda df: sorted(map(tuple, df.select(columns).collect()), key=lambda r: r[1])
+    assert rows(recording.read_recording(spark, folder, light=True, range_bytes=9000)) == rows(whole)
+    some = recording.read_recording(spark, folder, categories=(48, 2), range_bytes=9000)
+    assert rows(some) == rows(whole.filter("cat IN (48, 2)"))
+
+
+def test_one_file_of_more_than_two_gigabytes(spark):
+    """A sparse file of blocks of the longest size behind a thousand short ones."""
+    folder = tempfile.mkdtemp(prefix="spark-")
+    n, small = 34_000, 1_000
+    with open(f"{folder}/long.ast", "wb") as f:
+        f.write(NORTH * small)
+        for i in range(n):
+            f.seek(len(NORTH) * small + i * 65535)
+            f.write(bytes([48, 255, 255]))
+        f.truncate(len(NORTH) * small + n * 65535)
+        assert f.tell() > 0 and os.path.getsize(f"{folder}/long.ast") > 2 << 30
+    back = recording.read_recording(spark, folder, "ast", light=True).agg(F.count("*"), F.max("seq"), F.countDistinct("seq"), F.sum("len")).first()
+    assert tuple(back) == (n + small, n + small - 1, n + small, n * 65535 + small * len(NORTH))
+    os.remove(f"{folder}/long.ast")
+
+
+def test_replies_by_ranges(spark):
+    raw = bytes(random.Random(2).randrange(256) for _ in range(72 * 500 + 11))
+    back = recording.read_replies(spark, file_of(raw), range_bytes=1000).orderBy("seq").collect()
+    assert [(r.seq, bytes(r.payload)) for r in back] == [(i, raw[72 * i : 72 * i + 72]) for i in range(500)]
+
+
 def test_raw_replies(spark):
     back = recording.read_replies(spark, file_of(bytes(range(72)) * 3 + b"cut"), limit=2).orderBy("seq").collect()
     assert [(r.seq, bytes(r.payload)) for r in back] == [(0, bytes(range(72))), (1, bytes(range(72)))]
