@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import clock
 
@@ -11,8 +17,6 @@ from ..functions import clock
 # the band in which the day's turn lies, the band in which the counter has wrapped, and the high byte
 # of the last moments of a day.
 NEAR, TURN_LOW, TURN_HIGH, WRAP, LAST_HIGH = 10240, 0xB800, 0xC000, 0xF800, 0xA8
-#: Rows of a sensor before its first full time that go together.
-SLICE = 1000
 
 
 def with_delay(plots: DataFrame) -> DataFrame:
@@ -66,40 +70,128 @@ def ordered(rows: DataFrame, time: Column, keys: list[Column], name: str = "ordi
     return told.withColumn("_inside", inside).join(bases, "_slot").withColumn(name, F.col("_base") + F.col("_inside")).drop("_slot", "_inside", "_base")
 
 
-def full_times(plots: DataFrame, key: tuple[str, ...] = ("sac", "sic"), order: str = "seq", compat: bool = False) -> DataFrame:
+class Track:
+    """Where a truncated time goes that enters a run of plots: [low, high] ends at value, all else stays as it is.
+
+    A plot draws to itself what is near. Values that are apart by more than NEAR remain apart, so there are
+    at most seven, however many plots there are.
+    """
+
+    def __init__(self) -> None:
+        self.free = [(0, 65535)]
+        self.values: list[int] = []
+        self.drawn: list[list[tuple[int, int]]] = []
+
+    def plot(self, q: int) -> None:
+        low, high = q - NEAR, q + NEAR
+        caught = [k for k, v in enumerate(self.values) if low <= v <= high]
+        ends = [x for k in caught for x in self.drawn[k]]
+        if any(a <= high and b >= low for a, b in self.free):
+            ends += [(max(a, low), min(b, high)) for a, b in self.free if a <= high and b >= low]
+            self.free = [x for a, b in self.free for x in ((a, min(b, low - 1)), (max(a, high + 1), b)) if x[0] <= x[1]]
+        if len(caught) == 1 and len(ends) == len(self.drawn[caught[0]]):
+            self.values[caught[0]] = q
+        elif ends:
+            for k in reversed(caught):
+                del self.values[k], self.drawn[k]
+            self.values.append(q)
+            self.drawn.append(ends)
+
+    def pieces(self) -> list[int]:
+        return [x for v, ends in zip(self.values, self.drawn) for a, b in ends for x in (a, b, v)]
+
+
+def through(p: int, pieces: list[int]) -> int:
+    return next((v for a, b, v in zip(pieces[::3], pieces[1::3], pieces[2::3]) if a <= p <= b), p)
+
+
+def completed(high: int, p: int, q: int) -> tuple[float | None, int]:
+    """A plot's full time, and the truncated time that the next one is held against."""
+    d = abs(q - p)
+    if d <= NEAR:
+        return (high * 65536 + q) / 128.0, q
+    move = None
+    if TURN_LOW < d <= TURN_HIGH and high in (0, LAST_HIGH):
+        move = LAST_HIGH if high == 0 else -high
+    elif d > WRAP:
+        move = -1 if q > p else 1
+    return None if move is None else ((high + move) * 65536 + q) / 128.0, p
+
+
+def full_times(plots: DataFrame, key: tuple[str, ...] = ("sac", "sic"), order: str = "seq", compat: bool = False, slot: int = 65536) -> DataFrame:
     """Adds tod_full to category 1 plots: their truncated time completed by the last full time of their sensor.
 
     Rows of categories 2 and 19 with a time set the sensor's state, its high byte and its last truncated
     time; plots near the last time move it on. Plots out of every window, and those before any full
-    time, get null; other rows keep their own tod. A sensor's stream is cut at its full times, and each
-    piece, some seconds long, is folded by itself; rows before any are dealt in slices instead, as there
-    is nothing to fold. All is done in one pass and one shuffle by key: name the recording in it (source)
-    where a sensor's whole archive is more than a task should sort.
+    time, get null; other rows keep their own tod. order is a number. A sensor's rows are dealt by slots of it: what a slot does to
+    the state that enters it is a constant behind its last full time, or else a map of few pieces; a row for each
+    slot is chained in order, and then every slot is folded by itself. No task holds a sensor.
     compat: sensors with sac or sic 0 never resolve.
     """
-    marks = F.col("cat").isin(2, 19) & F.col("tod").isNotNull()
-    w = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    told = plots.withColumn("_set", F.when(marks, F.round(F.col("tod") * 128).cast("long")))
-    told = told.withColumn("_mark", F.last("_set", ignorenulls=True).over(w)).withColumn("_piece", F.count("_set").over(w))
-    told = told.withColumn("_piece", F.when(F.col("_piece") == 0, -F.floor(F.row_number().over(w) / SLICE) - 1).otherwise(F.col("_piece")))
-    row = F.struct(*(c for c in plots.columns if c not in key))
-    pieces = told.groupBy(*key, "_piece").agg(F.first("_mark").alias("_mark"), F.collect_list(row).alias("_rows"))
-    pieces = pieces.withColumn("_rows", F.array_sort("_rows", lambda a, b: F.when(a[order] < b[order], -1).when(a[order] > b[order], 1).otherwise(0)))
-    high, start = F.shiftright("_mark", 16), F.col("_mark").bitwiseAND(F.lit(0xFFFF))
-    state = "struct<p:bigint,out:array<double>>"
-
-    def step(s: Column, x: Column) -> Column:
-        q, p = F.round(x["tod_trunc"] * 128).cast("long"), s["p"]
-        d = F.abs(q - p)
-        turned = (d > TURN_LOW) & (d <= TURN_HIGH)
-        adjust = F.when(d <= NEAR, 0).when(turned & (high == LAST_HIGH), -high).when(turned & (high == 0), LAST_HIGH).when(d > WRAP, F.when(q > p, -1).otherwise(1))
-        plot = (x["cat"] == 1) & x["tod_trunc"].isNotNull()
-        full = F.when(plot, ((high + adjust) * 65536 + q) / 128.0).otherwise(x["tod"])
-        return F.struct(F.when(plot & (d <= NEAR), q).otherwise(p).alias("p"), F.concat(s["out"], F.array(full)).alias("out")).cast(state)
-
-    init = F.struct(start.alias("p"), F.array().cast("array<double>").alias("out")).cast(state)
-    solved = pieces.select(*key, F.explode(F.arrays_zip(F.col("_rows").alias("r"), F.aggregate("_rows", init, step)["out"].alias("t"))).alias("z"))
-    full = F.col("z.t")
+    names, kinds = list(key), {f.name: f for f in plots.schema}
+    told = plots.withColumn("_slot", F.coalesce(F.floor(F.col(order) / slot).cast("long"), F.lit(-(1 << 60))))
+    keyed = [kinds[k] for k in names] + [T.StructField("_slot", T.LongType())]
+    groups = told.groupBy(*names, "_slot")
+
+    def sorted_rows(rows: pa.Table) -> tuple[pa.Table, list, list, list]:
+        rows = rows.take(pc.sort_indices(rows[order].combine_chunks(), null_placement="at_start"))
+        cat, tod, short = (rows[c].to_pylist() for c in ("cat", "tod", "tod_trunc"))
+        whole = lambda x: None if x is None else math.floor(x * 128 + 0.5)
+        marks = [whole(t) if c in (2, 19) else None for c, t in zip(cat, tod)]
+        short = [whole(t) if c == 1 else None for c, t in zip(cat, short)]
+        return rows, marks, short, tod
+
+    def effect(rows: pa.Table) -> pa.Table:
+        _, marks, short, _ = sorted_rows(rows)
+        last = max((i for i, m in enumerate(marks) if m is not None), default=-1)
+        high, p, pieces = None, None, []
+        if last >= 0:
+            high, p = divmod(marks[last], 65536)
+            for q in short[last + 1 :]:
+                if q is not None and abs(q - p) <= NEAR:
+                    p = q
+        else:
+            track = Track()
+            for q in short:
+                if q is not None:
+                    track.plot(q)
+            pieces = track.pieces()
+        return pa.table({k: rows[k].slice(0, 1) for k in [*names, "_slot"]} | {"high": pa.array([high], pa.int64()), "p": pa.array([p], pa.int64()), "pieces": pa.array([pieces], pa.list_(pa.int32()))})
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sensor, state = None, (None, None)
+        for batch in batches:
+            out = []
+            for *of, high, p, pieces in zip(*(batch[c].to_pylist() for c in (*names, "high", "p", "pieces"))):
+                if of != sensor:
+                    sensor, state = of, (None, None)
+                out.append(state)
+                if high is not None:
+                    state = high, p
+                elif state[0] is not None:
+                    state = state[0], through(state[1], pieces)
+            yield pa.RecordBatch.from_pydict({k: batch[k] for k in [*names, "_slot"]} | {c: pa.array([s[i] for s in out], pa.int64()) for i, c in enumerate(("high", "p"))})
+
+    def solve(rows: pa.Table, state: pa.Table) -> pa.Table:
+        rows, marks, short, tod = sorted_rows(rows)
+        high, p = (state[c][0].as_py() for c in ("high", "p"))
+        out: list[float | None] = []
+        for mark, q, own in zip(marks, short, tod):
+            if mark is not None:
+                high, p = divmod(mark, 65536)
+                out.append(own)
+            elif q is None:
+                out.append(own)
+            elif high is None:
+                out.append(None)
+            else:
+                full, p = completed(high, p, q)
+                out.append(full)
+        return rows.drop_columns(["_slot"]).append_column("tod_full", pa.array(out, pa.float64()))
+
+    effects = groups.applyInArrow(effect, T.StructType([*keyed, *T.StructType.fromDDL("high long, p long, pieces array<int>")]))
+    states = effects.repartition(*names).sortWithinPartitions(*names, "_slot").mapInArrow(chain, T.StructType([*keyed, *T.StructType.fromDDL("high long, p long")]))
+    out = groups.cogroup(states.groupBy(*names, "_slot")).applyInArrow(solve, T.StructType([*plots.schema, T.StructField("tod_full", T.DoubleType())]))
     if compat:
-        full = F.when(((F.col("sac") != 0) & (F.col("sic") != 0)) | (F.col("z.r.cat") != 1), full)
-    return solved.select(*(F.col(c) if c in key else F.col(f"z.r.{c}") for c in plots.columns), full.alias("tod_full"))
+        out = out.withColumn("tod_full", F.when(((F.col("sac") != 0) & (F.col("sic") != 0)) | (F.col("cat") != 1), F.col("tod_full")))
+    return out

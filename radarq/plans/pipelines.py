@@ -37,7 +37,7 @@ def plots_of(blocks: DataFrame, midnight: int | Column, cat21: bool = False) ->
     # only categories 1, 2 and 19 take part in completing times; the others go past that shuffle
     timed = F.col("cat").isin(1, 2, 19)
     short = decode.decode(kept.filter(timed), categories=(1, 2, 19)).withColumn("at", F.col("seq") * 10_000 + F.col("rec_index"))
-    full = timing.full_times(short, key=("source", "sac", "sic"), order="at").withColumn("tod", F.col("tod_full")).drop("tod_full", "at")
+    full = timing.full_times(short, key=("source", "sac", "sic"), order="at", slot=65536 * 10_000).withColumn("tod", F.col("tod_full")).drop("tod_full", "at")
     rest = decode.decode(kept.filter(~timed), cat21=cat21, categories=tuple(c for c in decode.CATEGORIES if c not in (1, 2, 19)))
     return timing.with_delay(full.unionByName(rest))
 

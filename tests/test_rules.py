@@ -113,6 +113,66 @@ def test_truncated_times_need_a_full_one(spark):
     assert out(compat=True) == {0: None, 1: 100.0, 2: None}
 
 
+def plain_full_times(rows):
+    """One sensor's rows (cat, tod, tod_trunc), in 1/128 s, one after the other."""
+    high, p, out = None, None, []
+    for cat, tod, q in rows:
+        if cat in (2, 19) and tod is not None:
+            high, p = divmod(tod, 65536)
+            out.append(tod)
+        elif cat == 1 and q is not None:
+            full = None
+            if high is not None:
+                d = abs(q - p)
+                if d <= 10240:
+                    full, p = high * 65536 + q, q
+                elif 0xB800 < d <= 0xC000 and high in (0, 0xA8):
+                    full = (0xA8 - high) * 65536 + q
+                elif d > 0xF800:
+                    full = (high + (-1 if q > p else 1)) * 65536 + q
+            out.append(full)
+        else:
+            out.append(tod)
+    return out
+
+
+@pytest.mark.parametrize("slot", [1, 3, 40, 65536])
+def test_truncated_times_by_slots(spark, slot):
+    r = random.Random(slot)
+    rows, want, seq = [], {}, 0
+    for sac in range(5):
+        walk, told = r.randrange(1 << 23), []
+        for _ in range(120):
+            walk = (walk + r.choice((5, 300, 4000, 9000))) % (86400 * 128)
+            kind = r.random()
+            q = (walk + r.choice((0, 0, 0, -8000, 12_000, 40_000))) % 65536
+            told.append((r.choice((2, 19)), walk, None) if kind < (0.06, 0, 0.5, 0.02, 0.01)[sac] else (1, None, q) if kind < 0.95 else (r.choice((1, 48)), None if kind < 0.97 else walk, None))
+        for (cat, tod, q), full in zip(told, plain_full_times(told)):
+            seq += r.randint(1, 3)
+            rows.append((seq, sac if sac < 4 else None, 1, cat, None if tod is None else tod / 128, None if q is None else q / 128))
+            want[seq] = None if full is None else full / 128
+    df = spark.createDataFrame(rows, "seq long, sac int, sic int, cat int, tod double, tod_trunc double").repartition(3)
+    out = timing.full_times(df, slot=slot)
+    assert {x.seq: x.tod_full for x in out.collect()} == want
+    assert "collect_list" not in out._jdf.queryExecution().toString() and "Window" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_what_plots_do_to_a_time_that_enters():
+    r = random.Random(7)
+    for n in (0, 1, 2, 5, 40):
+        qs = [r.randrange(65536) for _ in range(n)]
+        track = timing.Track()
+        for q in qs:
+            track.plot(q)
+        pieces = track.pieces()
+        assert len(track.values) <= 7
+        for p in range(0, 65536, 37):
+            want = p
+            for q in qs:
+                want = q if abs(q - want) <= 10240 else want
+            assert timing.through(p, pieces) == want
+
+
 def statistics(spark, delays, cat=1, **options):
     df = spark.createDataFrame([(1, 1, cat, 0, float(d)) for d in delays], "sac int, sic int, cat int, window_start long, delay double")
     return stats.delay_statistics(df, **options).collect()
@@ -182,6 +242,29 @@ def test_synthetic_codes(spark):
     assert {r.seq: r.modea for r in transcode.synthetic_codes(rows).collect()} == {0: 1, 1: 2, 2: 1, 3: 3, 4: 2, 5: None}
 
 
+@pytest.mark.parametrize("slot", [1, 7, 65536])
+def test_synthetic_codes_by_slots(spark, slot):
+    r = random.Random(slot)
+    rows, want = [], {}
+    for source in ("a", "b", None):
+        at, last, code, count = 0.0, {}, {}, 0
+        for seq in range(150):
+            at += r.choice((0.0, 0.5, 2.0, 14.9))
+            track = r.choice((1, 2, 3, 4, r.randrange(5, 60), None))
+            time = None if r.random() < 0.03 else at
+            rows.append((source, seq, track, time))
+            if track is None:
+                want[source, seq] = None
+                continue
+            if track not in last or last[track] is None or time is None or time >= last[track] + 15:
+                count += 1
+                code[track] = count
+            last[track] = time
+            want[source, seq] = code[track]
+    df = spark.createDataFrame(rows, "source string, seq long, track_number int, tod double").repartition(3)
+    assert {(x.source, x.seq): x.modea for x in transcode.synthetic_codes(df, slot=slot).collect()} == want
+
+
 def test_file_names(spark):
     df = spark.sql("SELECT TIMESTAMP_NTZ '2024-03-05 07:08:09' AS t")
     got = df.select(output.file_name(F.col("t"), "north"), output.file_name(F.col("t"), directories=False), output.file_name(F.col("t"), "x", "gps", timestamp=False)).first()
