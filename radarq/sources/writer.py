@@ -1,26 +1,30 @@
-"""Recordings written: a Python data source with a file for each source, and trailers as expressions.
+"""Recordings written in two phases to any store: files of task attempts first, then one commit.
 
-`df.write.format("recording").option("format", "gps1").save(folder)`; rows go out in the order they
-have in their partition, so sort within partitions first (write_recording() does). The folder must be
-one that all executors share; files are written aside and renamed when the job commits.
+Tasks write to a folder of their attempt below `_attempts`; attempts that fail, or that another one has
+overtaken, are never named to the driver. The driver writes down what goes where (`_commits`), and
+moves the files. If it is lost in between, recover() ends that commit; before it, there is nothing to end. Readers
+pass over both folders.
 """
 
 from __future__ import annotations
 
 import bz2
+import json
 import os
-import sys
+import re
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
-from itertools import groupby
+from typing import IO
 
-from pyspark import cloudpickle
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from ..functions import bits as B
+from .hadoop import Store
 from .recording import FILLER, HEADER_1
 
 
@@ -61,73 +65,96 @@ def framed(blocks: DataFrame, format: str = "ast", midnight: int = 0) -> DataFra
     return blocks.select("source", "seq", frame.alias("frame"))
 
 
-@dataclass
-class Written(WriterCommitMessage):
-    files: list[tuple[str, str]]  # where each was written, and where it goes
+def _create(path: str) -> IO[bytes]:
+    """A new file, with its folders, in a store that Python can write to."""
+    local = re.match(r"(?:file:/*)?(/.*|[^:]*$)", path)
+    if local and not re.match(r"[a-z0-9]{2,}:", path.replace("file:", "", 1)):
+        name = re.sub(r"^file:/*", "/", path)
+        os.makedirs(os.path.dirname(name), exist_ok=True)
+        return open(name, "wb")
+    from pyarrow import fs
 
+    system, inner = fs.FileSystem.from_uri(re.sub(r"^s3a:", "s3:", path))
+    system.create_dir(inner.rpartition("/")[0], recursive=True)
+    return system.open_output_stream(inner)
 
-class _Writer(DataSourceWriter):
-    def __init__(self, options: dict):
-        self.folder = options["path"].removeprefix("file://").removeprefix("file:").rstrip("/")
-        self.suffix, self.named = options.get("extension", "ast"), options.get("named", "false") == "true"
-        self.open = bz2.open if options.get("compression") == "bzip2" else open
-        self.end = ".bz2" if self.open is bz2.open else ""
-        self.header = bytes([FILLER]) * HEADER_1 if options.get("format", "ast") == "gps1" else b""
 
-    def write(self, rows: Iterator) -> WriterCommitMessage:
-        os.makedirs(self.folder, exist_ok=True)
+def _put(staging: str, header: bytes, suffix: str, named: bool, compress: bool):
+    """Writes runs of one source to files of this attempt; a row (staged, final) for each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        attempt = f"{task.stageId()}-{task.partitionId()}-{task.attemptNumber()}-{uuid.uuid4().hex}"
         files: list[tuple[str, str]] = []
-        for source, group in groupby(rows, key=lambda r: r.source):
-            name = uuid.uuid4().hex
-            files.append((f"{self.folder}/.{name}", f"{self.folder}/{source if self.named else name + '.' + self.suffix}{self.end}"))
-            with self.open(files[-1][0], "wb") as f:
-                f.write(self.header)
-                for row in group:
-                    f.write(row.frame)
-        return Written(files)
-
-    def commit(self, messages: list) -> None:
-        for m in messages:
-            for staged, final in m.files if m is not None else ():
-                os.makedirs(os.path.dirname(final), exist_ok=True)
-                os.replace(staged, final)
-
-    def abort(self, messages: list) -> None:
-        for m in messages:
-            for staged, _ in m.files if m is not None else ():
-                if os.path.exists(staged):
-                    os.remove(staged)
-
-
-class RecordingSink(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "recording"
-
-    def schema(self) -> str:
-        return "source string, seq long, frame binary"
-
-    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _Writer(dict(self.options))
-
-
-def register(spark: SparkSession) -> None:
-    """Make the sink known; its workers need not find this package."""
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    try:
-        spark.dataSource.register(RecordingSink)
-    finally:
-        cloudpickle.unregister_pickle_by_value(sys.modules[__name__])
+        out, current = None, object()
+        for batch in batches:
+            source, frame = batch["source"], batch["frame"].cast(pa.large_binary())
+            changed = pc.not_equal(source.slice(1).fill_null(""), source.slice(0, len(source) - 1).fill_null("")) if len(source) > 1 else pa.array([], pa.bool_())
+            edges = [0, *(1 + np.flatnonzero(changed.to_numpy(zero_copy_only=False))).tolist(), len(source)]
+            for a, b in zip(edges, edges[1:]):
+                if a == b:
+                    continue
+                name = source[a].as_py()
+                if out is None or name != current:
+                    if out is not None:
+                        out.close()
+                    current, made = name, uuid.uuid4().hex
+                    final = name if named else f"{made}.{suffix}"
+                    if final is None or final.startswith("/") or ".." in final.split("/"):
+                        raise ValueError(f"not a file name below the folder: {final!r}")
+                    final += ".bz2" if compress else ""
+                    files.append((f"{attempt}/{made}", final))
+                    out = _create(f"{staging}/{files[-1][0]}")
+                    out = bz2.open(out, "wb") if compress else out
+                    out.write(header)
+                part = frame.slice(a, b - a)
+                _, offsets, data = part.buffers()
+                at = np.frombuffer(offsets, np.int64)[part.offset : part.offset + b - a + 1]
+                out.write(memoryview(data)[at[0] : at[-1]] if data is not None else b"")
+        if out is not None:
+            out.close()
+        yield pa.RecordBatch.from_pydict({"staged": pa.array([f[0] for f in files], pa.string()), "final": pa.array([f[1] for f in files], pa.string())})
+
+    return run
 
 
 def write_recording(blocks: DataFrame, folder: str, format: str = "ast", midnight: int = 0, extension: str = "ast", named: bool = False, compression: str = "none") -> None:
     """One file for each source, its blocks in order of seq.
 
-    named: source is the file's name below the folder, with its directories; else names are made.
-    compression: none or bzip2. A source is what one task writes, so cut recordings by time.
+    named: source is the file's name below the folder, with its directories; else names are made. A file of that
+    name is replaced. compression: none or bzip2. A source is what one task writes, so cut recordings by
+    time. No blocks: no files.
     """
     spark: SparkSession = blocks.sparkSession
-    register(spark)
-    rows = framed(blocks, format, midnight).repartition("source").sortWithinPartitions("source", "seq")
-    options = {"format": format, "extension": extension, "named": str(named).lower(), "compression": compression}
-    rows.write.format("recording").mode("append").options(**options).save(folder)
+    rows = framed(blocks, format, midnight).repartition("source").sortWithinPartitions("source", "seq").select("source", "frame")
+    store, job = Store(spark, folder), uuid.uuid4().hex
+    header = bytes([FILLER]) * HEADER_1 if format == "gps1" else b""
+    put = _put(f"{store.direct()}/_attempts/{job}", header, extension, named, compression == "bzip2")
+    try:
+        files = rows.mapInArrow(put, "staged string, final string").collect()  # a row for each file
+    except Exception:
+        store.delete(f"_attempts/{job}")
+        raise
+    if files:
+        store.write_once(f"_commits/{job}", json.dumps([[f"_attempts/{job}/{f.staged}", f.final] for f in files]))
+        _finish(store, job)
+    store.delete(f"_attempts/{job}")
+
+
+def _finish(store: Store, job: str) -> None:
+    """Carry out a commit that is written down; once more does no harm."""
+    for staged, final in json.loads(store.read(f"_commits/{job}")):
+        store.move(staged, final)
+    store.delete(f"_attempts/{job}")
+    store.delete(f"_commits/{job}")
+
+
+def recover(spark: SparkSession, folder: str) -> int:
+    """End the commits that a lost driver left, and drop what it had not written down; their number. Nothing else may write to the folder meanwhile."""
+    store = Store(spark, folder)
+    jobs = [j for j in store.names("_commits") if not j.startswith(".")]
+    for job in jobs:
+        _finish(store, job)
+    for name in ("_attempts", "_commits"):
+        store.delete(name)
+    return len(jobs)

@@ -191,7 +191,69 @@ def test_live_feed(spark):
     assert len({r.packet_id for r in rows}) == len(rows)
 
 
-def test_written_files_are_whole_or_absent(spark):
+def files_below(folder):
+    return sorted(os.path.relpath(f"{d}/{n}", folder) for d, _, names in os.walk(folder) for n in names if not n.endswith(".crc"))
+
+
+def test_no_blocks_no_files(spark):
     folder = tempfile.mkdtemp(prefix="spark-")
     writer.write_recording(blocks(spark).limit(0), folder)
-    assert [f for f in os.listdir(folder) if not f.startswith("_")] == []
+    assert files_below(folder) == []
+
+
+def test_failed_tasks_leave_no_file(spark):
+    folder = tempfile.mkdtemp(prefix="spark-")
+    bad = blocks(spark).withColumn("source", F.when(F.col("seq") == 0, "aa/first.ast").otherwise("../outside.ast"))
+    with pytest.raises(Exception, match="not a file name"):
+        writer.write_recording(bad, folder, named=True)
+    assert files_below(folder) == [] and not os.path.exists(f"{os.path.dirname(folder)}/outside.ast")
+
+
+@pytest.mark.parametrize("moved", [0, 1, 2])
+def test_a_lost_driver_leaves_a_commit_to_end(spark, monkeypatch, moved):
+    folder = tempfile.mkdtemp(prefix="spark-")
+    two = blocks(spark).withColumn("source", F.concat(F.lit("d/part-"), "seq"))
+    move, done = writer.Store.move, []
+
+    def lost(self, *names):
+        if len(done) == moved:
+            raise KeyboardInterrupt
+        done.append(names)
+        move(self, *names)
+
+    monkeypatch.setattr(writer.Store, "move", lost)
+    if moved < 2:
+        with pytest.raises(KeyboardInterrupt):
+            writer.write_recording(two, folder, named=True)
+    else:
+        monkeypatch.setattr(writer.Store, "delete", lambda self, name: (_ for _ in ()).throw(KeyboardInterrupt) if name.startswith("_") else None)
+        with pytest.raises(KeyboardInterrupt):
+            writer.write_recording(two, folder, named=True)
+    monkeypatch.undo()
+    assert writer.recover(spark, folder) == 1 and writer.recover(spark, folder) == 0
+    assert files_below(folder) == ["d/part-0", "d/part-1"]
+    back = recording.read_recording(spark, f"{folder}/d", "ast").collect()
+    assert sorted(bytes(r.payload) for r in back) == sorted([NORTH, PLOT])
+
+
+def test_another_file_system(spark):
+    """Through a mount table: no local path is ever named."""
+    behind = tempfile.mkdtemp(prefix="spark-")
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.sink.link./store", f"file://{behind}")
+    folder = "viewfs://sink/store/recordings"
+    many = blocks(spark).union(blocks(spark).withColumn("seq", F.col("seq") + 2))
+    writer.write_recording(many, folder, "gps1", compression="none")
+    writer.write_recording(many, folder, "gps1")
+    assert len(files_below(behind)) == 2 and all(f.startswith("recordings/") for f in files_below(behind))
+    back = recording.read_recording(spark, folder, "gps1").select("payload", "recv_tod", "src_ip").collect()
+    assert len(back) == 8 and {bytes(r.payload) for r in back} == {NORTH, PLOT} and {r.src_ip for r in back} == {"10.181.210.17", "10.181.210.18"}
+
+
+def test_named_files_are_replaced(spark):
+    folder = tempfile.mkdtemp(prefix="spark-")
+    for n in (2, 1):
+        writer.write_recording(blocks(spark).limit(n).withColumn("source", F.lit("2024/one.ast")), folder, named=True, compression="bzip2")
+    assert files_below(folder) == ["2024/one.ast.bz2"]
+    import bz2
+
+    assert len(bz2.open(f"{folder}/2024/one.ast.bz2").read()) in (len(NORTH), len(PLOT))
