@@ -3,7 +3,11 @@
 import os
 import random
 import socket
+import struct
+import subprocess
+import sys
 import tempfile
+import threading
 import time
 
 import numpy as np
@@ -169,26 +173,121 @@ def test_serial_clock(spark):
     assert [str(r[0]) for r in df.select(recording.gps_clock()).collect()] == ["2024-03-05 07:08:09", "None", "None"]
 
 
-def test_live_feed(spark):
-    udp.register(spark)
+def free_port():
     probe = socket.socket(socket.AF_INET, socket.SOCK_DGRAM)
     probe.bind(("127.0.0.1", 0))
     port = probe.getsockname()[1]
     probe.close()
-    stream = spark.readStream.format("surveillance_udp").option("group", "127.0.0.1").option("port", str(port)).load()
-    q = stream.writeStream.format("memory").queryName("live_packets").trigger(processingTime="300 milliseconds").start()
-    try:
-        out = socket.socket(socket.AF_INET, socket.SOCK_DGRAM)
-        for _ in range(100):
-            out.sendto(NORTH, ("127.0.0.1", port))
-            time.sleep(0.3)
-            if spark.table("live_packets").count() >= 3:
-                break
-        rows = spark.table("live_packets").collect()
-    finally:
-        q.stop()
-    assert len(rows) >= 3 and all(bytes(r.payload) == NORTH and r.port == port for r in rows)
-    assert len({r.packet_id for r in rows}) == len(rows)
+    return port
+
+
+def send_until(port, payloads, log, wanted):
+    """Send packets until so many have landed; a packet may come before its receiver."""
+    out = socket.socket(socket.AF_INET, socket.SOCK_DGRAM)
+    for k in range(600):
+        out.sendto(payloads[k % len(payloads)], ("127.0.0.1", port))
+        time.sleep(0.02)
+        if landed(log, port) >= wanted:
+            return
+    raise TimeoutError
+
+
+def landed(log, port):
+    n = 0
+    for path, size in udp.segments(udp.folder_of(log, "127.0.0.1", port)).values():
+        with open(path, "rb") as f:
+            raw = f.read(udp.whole(path) if size is None else size)
+        at = 0
+        while at < len(raw):
+            at += udp.HEAD_SIZE + struct.unpack_from(udp.HEAD, raw, at)[0]
+            n += 1
+    return n
+
+
+def test_live_feed_survives_what_fails_in_between(spark, monkeypatch):
+    """Two groups; a batch that fails after it was read, a driver that starts anew, receivers that start anew."""
+    log, state, out = (tempfile.mkdtemp(prefix="spark-") for _ in range(3))
+    udp.register(spark)
+    ports = free_port(), free_port()
+    stream = lambda: spark.readStream.format("surveillance_udp").option("log", log).load()
+    fail = [True]
+
+    def take(batch, number):
+        rows = batch.collect()
+        if fail[0] and rows:
+            raise RuntimeError("lost between read and commit")
+        if rows:
+            batch.sparkSession.createDataFrame(rows, batch.schema).write.mode("overwrite").parquet(f"{out}/batch-{number}")
+
+    def run():
+        stream().writeStream.foreachBatch(take).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+
+    for k in range(2):  # receivers twice, the second behind what the first has landed
+        feed = udp.land(spark, [("127.0.0.1", p) for p in ports], log, seconds=120)
+        for p in ports:
+            send_until(p, [NORTH, PLOT], log, 30 * (k + 1))
+        counts = feed.stop()
+        assert all(n >= 30 for n in counts.values()) and set(counts) == {("127.0.0.1", p) for p in ports}
+        if k == 0:
+            with pytest.raises(Exception, match="lost between"):
+                run()
+            fail[0] = False
+        run()
+    sent = {p: landed(log, p) for p in ports}
+    rows = spark.read.parquet(f"{out}/batch-*").collect()
+    assert len({(r.port, r.packet_id) for r in rows}) == len(rows) and {bytes(r.payload) for r in rows} == {NORTH, PLOT}
+    assert {r.source_ip for r in rows} == {"127.0.0.1"} and all(abs(r.ts % 86400 - r.recv_tod) < 1e-6 for r in rows)
+    for p in ports:  # the first receivers' segment is trimmed by now
+        assert sum(r.port == p for r in rows) >= 60 and sent[p] >= 30
+
+
+def test_a_killed_receiver_loses_nothing_that_landed():
+    log, port = tempfile.mkdtemp(prefix="spark-"), free_port()
+    script = f"import sys; sys.path.insert(0, {os.getcwd()!r}); from radarq.sources import udp; udp.receive('127.0.0.1', {port}, {log!r}, lambda: False)"
+    folder = udp.folder_of(log, "127.0.0.1", port)
+    first = subprocess.Popen([sys.executable, "-c", script])
+    send_until(port, [NORTH], log, 40)
+    first.kill()
+    first.wait()
+    n = landed(log, port)
+    (path, size), = udp.segments(folder).values()
+    assert size is None
+    with open(path, "ab") as f:  # a packet cut off
+        f.write(struct.pack(udp.HEAD, 100, n, 0.0, b"\0" * 4) + b"abc")
+    second = subprocess.Popen([sys.executable, "-c", script])
+    send_until(port, [PLOT], log, n + 40)
+    second.kill()
+    second.wait()
+    reader = udp._Reader({"log": log})
+    end = reader.latestOffset()
+    rows = [r for p in reader.partitions({}, end) for r in reader.read(p)]
+    assert len(rows) == landed(log, port) >= n + 40 and len({r[0] for r in rows}) == len(rows)
+    assert [r[-1] for r in rows] == [NORTH] * n + [PLOT] * (len(rows) - n)
+    assert reader.partitions(end, reader.latestOffset()) == []
+    middle = {g: [0, udp.HEAD_SIZE + len(NORTH)] for g in end}
+    assert [r for p in reader.partitions(middle, end) for r in reader.read(p)] == rows[1:]
+    reader.commit(end)
+    assert list(udp.segments(folder)) == [1]
+
+
+def test_receivers_roll_and_take_over(monkeypatch):
+    monkeypatch.setattr(udp, "SEGMENT_PACKETS", 7)
+    log, port, stop = tempfile.mkdtemp(prefix="spark-"), free_port(), []
+    counts = []
+    run = lambda: counts.append(udp.receive("127.0.0.1", port, log, lambda: bool(stop), idle=0.2))
+    one = threading.Thread(target=run)
+    one.start()
+    send_until(port, [NORTH], log, 30)
+    two = threading.Thread(target=run)
+    two.start()
+    one.join(20)  # the first ends when it sees that its segment is closed
+    assert not one.is_alive()
+    before = landed(log, port)
+    send_until(port, [NORTH], log, before + 10)
+    stop.append(1)
+    two.join(20)
+    sizes = udp.segments(udp.folder_of(log, "127.0.0.1", port))
+    assert len(sizes) >= 6 and all(size is not None for _, size in sizes.values()) and landed(log, port) <= sum(counts)
 
 
 def files_below(folder):
