@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import clock
+from .slots import SLOT, slot_of
 
 # Fixed values of the truncated time (16 bits of 1/128 s): how far from the last one a plot may be,
 # the band in which the day's turn lies, the band in which the counter has wrapped, and the high byte
@@ -24,7 +25,7 @@ def with_delay(plots: DataFrame) -> DataFrame:
     return plots.withColumn("delay", clock.delay(F.col("tod_stamp"), F.col("tod")))
 
 
-def unwrap_days(rows: DataFrame, column: str = "recv_tod", source: str = "source", order: str = "seq", most: float = 80000.0, slot: int = 65536) -> DataFrame:
+def unwrap_days(rows: DataFrame, column: str = "recv_tod", source: str = "source", order: str = "seq", most: float = 80000.0, slot: int = SLOT) -> DataFrame:
     """Adds day and abs_tod: seconds since the first day's midnight of each source, as times of day fall back.
 
     A fall of more than `most` starts a day, a rise of more than that goes a day back; a source's first
@@ -32,7 +33,7 @@ def unwrap_days(rows: DataFrame, column: str = "recv_tod", source: str = "source
     of `order`, a number; what a slot takes over from those before comes from one row for each slot.
     """
     t, key = F.col(column), (source, "_slot")
-    told = rows.withColumn("_slot", F.coalesce(F.floor(F.col(order) / slot).cast("long"), F.lit(-(1 << 60))))
+    told = rows.withColumn("_slot", slot_of(order, slot))
     inside = Window.partitionBy(*key).orderBy(order)
     turn = lambda last, now: F.when(last - now > most, 1).when(now - last > most, -1).otherwise(0)
     last = F.last(t, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1))
@@ -118,7 +119,7 @@ def completed(high: int, p: int, q: int) -> tuple[float | None, int]:
     return None if move is None else ((high + move) * 65536 + q) / 128.0, p
 
 
-def full_times(plots: DataFrame, key: tuple[str, ...] = ("sac", "sic"), order: str = "seq", compat: bool = False, slot: int = 65536) -> DataFrame:
+def full_times(plots: DataFrame, key: tuple[str, ...] = ("sac", "sic"), order: str = "seq", compat: bool = False, slot: int = SLOT) -> DataFrame:
     """Adds tod_full to category 1 plots: their truncated time completed by the last full time of their sensor.
 
     Rows of categories 2 and 19 with a time set the sensor's state, its high byte and its last truncated
@@ -129,7 +130,7 @@ def full_times(plots: DataFrame, key: tuple[str, ...] = ("sac", "sic"), order: s
     compat: sensors with sac or sic 0 never resolve.
     """
     names, kinds = list(key), {f.name: f for f in plots.schema}
-    told = plots.withColumn("_slot", F.coalesce(F.floor(F.col(order) / slot).cast("long"), F.lit(-(1 << 60))))
+    told = plots.withColumn("_slot", slot_of(order, slot))
     keyed = [kinds[k] for k in names] + [T.StructField("_slot", T.LongType())]
     groups = told.groupBy(*names, "_slot")
 

@@ -8,20 +8,21 @@ from pyspark.sql import functions as F
 from ..functions import bits as B
 from ..functions.layouts import LAYOUTS
 from .decode import records
+from .slots import SLOT, beside, slot_of
 
 #: Seconds after which a track gets a new code, and the level given to all.
 IDLE = 15.0
 LEVEL = 10 * 4
 
 
-def synthetic_codes(rows: DataFrame, track: str = "track_number", time: str = "tod", source: str = "source", order: str = "seq", idle: float = IDLE, slot: int = 65536) -> DataFrame:
+def synthetic_codes(rows: DataFrame, track: str = "track_number", time: str = "tod", source: str = "source", order: str = "seq", idle: float = IDLE, slot: int = SLOT) -> DataFrame:
     """Adds modea: a number for each track and stay, counting up in each source as they first appear.
 
     A stay ends with a pause of `idle` seconds or more. Rows without a track get null. order is a number; rows are dealt by
     slots of it. A track's last time before a slot, the stays begun in a source before it and a track's
     stay as it enters come from a row for each slot (and track), so no task holds a source or a track.
     """
-    told = rows.withColumn("_slot", F.coalesce(F.floor(F.col(order) / slot).cast("long"), F.lit(-(1 << 60))))
+    told = rows.withColumn("_slot", slot_of(order, slot))
     key = (source, track, "_slot")
     inside = Window.partitionBy(*key).orderBy(order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -31,32 +32,22 @@ def synthetic_codes(rows: DataFrame, track: str = "track_number", time: str = "t
     told = told.withColumns({"_nth": F.row_number().over(inside), "_last": F.lag(t).over(inside)})
     ends = told.groupBy(*key).agg(F.max_by(F.struct(t.alias("t")), order).alias("_end"))
     ends = ends.select(*key, F.lag("_end.t").over(over).alias("_before"))
-    told = _beside(told, ends, key)
+    told = beside(told, ends, key)
     since = F.when(F.col("_nth") == 1, F.col("_before")).otherwise(F.col("_last"))
     told = told.withColumn("_new", F.col(track).isNotNull() & F.coalesce(~(t < since + idle), F.lit(True)))
     begun = told.groupBy(source, "_slot").agg(F.count_if("_new").alias("_n"))
     sums = Window.partitionBy(source).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     begun = begun.select(source, "_slot", F.coalesce(F.sum("_n").over(sums), F.lit(0)).alias("_base"))
     numbers = Window.partitionBy(source, "_slot").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    told = _beside(told, begun, (source, "_slot")).withColumn("_code", F.when(F.col("_new"), F.col("_base") + F.count_if("_new").over(numbers)))
+    told = beside(told, begun, (source, "_slot")).withColumn("_code", F.when(F.col("_new"), F.col("_base") + F.count_if("_new").over(numbers)))
     # codes count up, so a track's last one is its largest
     entering = told.groupBy(*key).agg(F.max("_code").alias("_code")).select(*key, F.max("_code").over(before).alias("_enter"))
-    told = _beside(told, entering, key)
+    told = beside(told, entering, key)
     stay = F.coalesce(F.max("_code").over(upto), F.col("_enter"))
     told = told.withColumn("modea", F.when(F.col(track).isNotNull(), stay))
     return told.drop("_slot", "_nth", "_last", "_before", "_new", "_base", "_code", "_enter")
 
 
-def _beside(rows: DataFrame, slots: DataFrame, key: tuple[str, ...]) -> DataFrame:
-    """rows with the other columns of slots, which has a row for each of their keys; null keys are equal."""
-    renamed = slots.withColumnsRenamed({k: f"_of{k}" for k in key})
-    on = None
-    for k in key:
-        same = rows[k].eqNullSafe(renamed[f"_of{k}"])
-        on = same if on is None else on & same
-    return rows.join(renamed, on).drop(*(f"_of{k}" for k in key))
-
-
 def cat10_to_cat48(blocks: DataFrame, order: tuple[str, ...] = ("source", "seq")) -> DataFrame:
     """Blocks of category 48 and 34 for the first record of each category 10 block that has a place, or starts a cycle.
 

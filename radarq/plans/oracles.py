@@ -168,6 +168,10 @@ ORACLES["reply_projection"] = """SELECT event_id AS seq, round((event_id % 7 * 4
 ORACLES["reply_clusters"] = """WITH r AS (SELECT event_id AS n, event_id // 1000 AS lap FROM events WHERE event_id % 13 <> 0),
 c AS (SELECT lap, n % 7 AS d, n // 50 AS stay, min(n) AS head, count(*) AS replies FROM r GROUP BY ALL)
 SELECT 'lap' || lap AS source, row_number() OVER (PARTITION BY lap ORDER BY head) - 1 AS cluster, replies - 1 AS n_followers FROM c QUALIFY replies >= 5"""
+ORACLES["stream_reply_plots"] = """WITH r AS (SELECT event_id AS n, event_id // 1000 AS lap FROM events WHERE event_id % 13 <> 0),
+c AS (SELECT lap, n % 7 AS d, n // 50 AS stay, min(n) AS head, count(*) AS replies FROM r GROUP BY ALL)
+SELECT 'lap' || lap AS source, row_number() OVER (PARTITION BY lap ORDER BY head) - 1 AS cluster, head AS first_seq, replies - 1 AS n_followers FROM c
+QUALIFY replies >= 5 AND (SELECT count(*) FROM events WHERE event_id = c.lap * 1000 + 999) > 0"""
 CLOCK = "printf('%02d:%02d:%02d.%03d', ms_{0} // 3600000, ms_{0} // 60000 % 60, ms_{0} // 1000 % 60, ms_{0} % 1000)"
 ORACLES["format_lines"] = PLOTS + f""", l AS (SELECT *, CAST(floor(tod * 1000) AS BIGINT) AS ms_tod, CAST(floor(tod_stamp * 1000) AS BIGINT) AS ms_stamp, CASE WHEN cat = 34 THEN 'NORTH' ELSE 'PSR' END AS tn FROM p WHERE cat IN (1, 48, 34))
 SELECT seq, printf('CAT%02d [%d/%d] [%s]%s [AZI %.3f] [DST %.3f] [MODEA %s%s%s] [FL%03d%s] r%d [%s] [%s] (%.4f)', cat, sac, sic, tn, CASE WHEN flag_test THEN 'T' ELSE '' END, round(theta, 3), round(rho, 3),

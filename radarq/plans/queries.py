@@ -381,8 +381,8 @@ def transcode_cat10_cat48(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("seq", "cat", "sac", "sic", "rho", "theta", "modec", "track_number", "tod")
 
 
-def reply_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = S.table(spark, sf_dir, "events")
+def reply_records(spark: SparkSession, sf_dir: str, table: S.Table = S.table) -> DataFrame:
+    e = table(spark, sf_dir, "events")
     n = F.col("event_id")
     tail = F.concat(S.b(n % 7 * 400 + F.floor(n / 50) % 5 * 60 + n % 2, 2), S.b(F.floor(n % 1000 / 4) * 6, 2), S.b(F.when(n % 2 == 0, 0x0B00).otherwise(0x0D00), 2), S.b(F.when(n % 13 == 0, 0).otherwise(8), 2))
     return e.select(F.concat(F.lit("lap"), F.floor(n / 1000).cast("string")).alias("source"), n.alias("seq"), F.concat(F.lit(bytearray(64)), tail).alias("payload"))

@@ -8,18 +8,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clock
-from ..operators import stats
+from ..operators import replies, stats
 from ..streaming import live
 from . import queries as Q
 from . import synthetic as S
 from .scratch import shared_folder
 
 
-def drain(stream: DataFrame) -> DataFrame:
-    """Run a stream over all that its source has now; its rows as a table."""
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def drain(stream: DataFrame, rocks: bool = False) -> DataFrame:
+    """Run a stream over all that its source has now; its rows as a table. rocks: with the state store that lists, maps and timers need."""
     spark = stream.sparkSession
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    before = spark.conf.get(STORE, None)
+    if rocks:
+        spark.conf.set(STORE, ROCKS)
+    try:
+        stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        if rocks:
+            spark.conf.unset(STORE) if before is None else spark.conf.set(STORE, before)
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
@@ -52,3 +63,14 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @Q.query
 def stream_full_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drain(live.full_times(Q.truncated(spark, sf_dir, streamed))).select("seq", "cat", "tod_full")
+
+
+@Q.query
+def stream_reply_plots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plots of a live stream of replies; the last reply of each lap is followed by the end of its source."""
+    found = replies.project(Q.reply_records(spark, sf_dir, streamed))
+    ends = F.when(F.col("seq") % 1000 == 999, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    rows = found.withColumn("end", F.explode(ends)).withColumn("azimuth", F.when(F.col("end") == 0, F.col("azimuth")))
+    rows = rows.withColumns({"seq": F.col("seq") * 2 + F.col("end"), "event_time": clock.timestamp_of(F.col("seq") * 0.01 + 1_000_000)})
+    out = drain(live.plots(rows), rocks=True)
+    return out.select("source", "cluster", F.expr("first_seq div 2").alias("first_seq"), "n_followers")

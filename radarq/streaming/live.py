@@ -10,10 +10,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import codes
 from ..operators import stats
+from ..operators.replies import LEAST_REPLIES, Open, join_open
 from ..operators.timing import LAST_HIGH, NEAR, TURN_HIGH, TURN_LOW, WRAP
 
 #: Longer than the largest delay that counts.
@@ -107,3 +110,64 @@ def full_times(plots: DataFrame) -> DataFrame:
 
     shape = T.StructType([*plots.schema, T.StructField("tod_full", T.DoubleType())])
     return plots.groupBy("sac", "sic").applyInPandasWithState(solve, shape, "high long, p long", "append", GroupStateTimeout.NoTimeout)
+
+
+#: A closed cluster of replies.
+PLOT = "source string, cluster long, first_seq long, n_followers long"
+
+
+def plots(replies: DataFrame, idle: str = "10 seconds", late: str = LATE) -> DataFrame:
+    """Rows of PLOT for clusters of five replies or more, as they close: the streaming twin of replies.cluster() and plot_sizes().
+
+    Replies of a source (source, seq, azimuth, dist, is_true, event_time) come in order of seq, batch by batch. A row without azimuth ends its
+    source: all its clusters close. So they do when nothing has come for `idle` of event time. Open
+    clusters are a list in the state, which azimuth keeps short. Needs the RocksDB state store.
+    """
+    pause = int(replies.sparkSession.sql(f"SELECT unix_millis(TIMESTAMP '1970-01-01 00:00:00' + INTERVAL {idle})").first()[0])
+    told = replies.select("source", "seq", "azimuth", "dist", "is_true", "event_time").withWatermark("event_time", late)
+    return told.groupBy("source").transformWithStateInPandas(_Plots(pause), PLOT, "append", "eventTime")
+
+
+class _Plots(StatefulProcessor):
+    def __init__(self, pause: int):
+        self.pause = pause
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", "number long, azimuth double, dist double, first long, n long")
+        self.count = handle.getValueState("count", "n long")
+
+    def handleInputRows(self, key: tuple, frames: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        open_ = [Open(*row) for row in self.open.get()] if self.open.exists() else []
+        n = self.count.get()[0] if self.count.exists() else 0
+        rows = sorted((row for f in frames for row in zip(*(f[c].tolist() for c in ("seq", "azimuth", "dist", "is_true", "event_time")))), key=lambda r: r[0])
+        gone: list[Open] = []
+        for seq, azimuth, dist, is_true, _ in rows:
+            if azimuth is None or azimuth != azimuth:
+                gone += open_
+                open_ = []
+                continue
+            open_, closed, own = join_open(open_, azimuth, dist, bool(is_true), seq, n)
+            gone += closed
+            n += own is not None and own.n == 1
+        self.count.update((n,))
+        self.open.clear()
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if open_:
+            self.open.put([(c.number, c.azimuth, c.dist, c.first, c.n) for c in open_])
+            last = int(max(r[4] for r in rows).timestamp() * 1000) + self.pause
+            self.handle.registerTimer(max(last, timerValues.getCurrentWatermarkInMs() + 1))
+        yield self._rows(key, gone)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        gone = [Open(*row) for row in self.open.get()] if self.open.exists() else []
+        self.open.clear()
+        yield self._rows(key, gone)
+
+    def _rows(self, key: tuple, gone: list[Open]) -> pd.DataFrame:
+        large = [c for c in gone if c.n - 1 >= LEAST_REPLIES]
+        return pd.DataFrame({"source": pd.Series([key[0]] * len(large), dtype=object), "cluster": pd.Series([c.number for c in large], dtype="int64"), "first_seq": pd.Series([c.first for c in large], dtype="int64"), "n_followers": pd.Series([c.n - 1 for c in large], dtype="int64")})
+
+    def close(self) -> None:
+        pass

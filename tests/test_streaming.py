@@ -1,11 +1,12 @@
 """Streams over several batches return what batch operators do."""
 
+import random
 import tempfile
 
 from pyspark.sql import functions as F
 
 from radarq.functions import clock
-from radarq.operators import dedup, stats, timing
+from radarq.operators import dedup, replies, stats, timing
 from radarq.plans import queries as Q
 from radarq.plans.streams import drain
 from radarq.streaming import live
@@ -48,3 +49,26 @@ def test_full_times(spark, small):
     assert sorted((r.seq, r.tod_full or -1.0) for r in got.collect()) == sorted((r.seq, r.tod_full or -1.0) for r in want.collect())
 
 
+def test_reply_plots(spark):
+    r, rows = random.Random(3), []
+    for source in ("a", "b"):
+        azimuth = 0.0
+        for i in range(600):
+            azimuth = (azimuth + r.choice((0.01, 0.02, 0.3))) % 180 if r.random() > 0.01 else r.random() * 180
+            rows.append((source, i, azimuth, r.choice((1.0, 1.03, 5.0)) + r.random() * 0.01, r.random() < 0.95))
+        rows.append((source, 600, None, None, False))
+    df = spark.createDataFrame(rows, "source string, seq long, azimuth double, dist double, is_true boolean")
+    told = df.withColumn("event_time", clock.timestamp_of(F.col("seq") * 0.01 + 1_000_000))
+    got = drain(live.plots(in_files(told, "seq", 5)), rocks=True)
+    batch = replies.cluster(df, slot=50)
+    want = replies.plot_sizes(batch).join(batch.groupBy("source", "cluster").agg(F.min("seq").alias("first_seq")), ["source", "cluster"])
+    columns = ["source", "cluster", "first_seq", "n_followers"]
+    assert want.count() > 20 and sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+
+
+def test_reply_plots_close_when_nothing_comes(spark):
+    """A source that falls silent: its cluster closes by time, while another goes on."""
+    rows = [("a", i, 10.0 + i * 0.001, 1.0, True, i * 0.1) for i in range(8)] + [("b", i, 10.0, 1.0, True, i * 10.0) for i in range(20)]
+    df = spark.createDataFrame(rows, "source string, seq long, azimuth double, dist double, is_true boolean, t double").withColumn("event_time", clock.timestamp_of(F.col("t") + 1_000_000)).orderBy("t")
+    got = drain(live.plots(in_files(df, "t", 6), idle="30 seconds"), rocks=True).filter("source = 'a'").collect()
+    assert [(x.cluster, x.first_seq, x.n_followers) for x in got] == [(0, 0, 7)]
