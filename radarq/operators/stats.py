@@ -134,12 +134,17 @@ def flow_bandwidth(packets: DataFrame, period: int = 60, flow: str = "flow", siz
     return both.withColumn("bytes_per_s", F.col("bytes") / F.lit(float(period)))
 
 
-def pipeline_counters(packets: DataFrame, admitted: Column, known: Column, kept: Column, first: Column, size: Column) -> DataFrame:
-    """One row: received, processed, ignored, filtered, unique and duped packets, bytes read and written; each packet counts once in the first that holds."""
+def counters(admitted: Column, known: Column, kept: Column, first: Column, size: Column) -> list[Column]:
+    """Aggregates of packets: received, processed, ignored, filtered, unique and duped ones, bytes read and written; each packet counts once in the first that holds."""
     ok = lambda c: F.coalesce(c, F.lit(False))
     a, k, f, u = ok(admitted), ok(known), ok(kept), ok(first)
     written = F.coalesce(F.sum(F.when(a & k & f & u, size)), F.lit(0))
-    return packets.agg(
+    return [
         F.count("*").alias("received"), F.count_if(a & k).alias("processed"), F.count_if(~a | ~k).alias("ignored"), F.count_if(a & k & ~f).alias("filtered"),
         F.count_if(a & k & f & u).alias("unique"), F.count_if(a & k & f & ~u).alias("duped"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes_read"), written.alias("bytes_written"),
-    )
+    ]
+
+
+def pipeline_counters(packets: DataFrame, admitted: Column, known: Column, kept: Column, first: Column, size: Column) -> DataFrame:
+    """One row of counters()."""
+    return packets.agg(*counters(admitted, known, kept, first, size))

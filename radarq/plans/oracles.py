@@ -74,6 +74,8 @@ r AS (SELECT steps, kept, sac, sic, cat, window_start // (steps * 300) * (steps
 SELECT CAST(steps AS INTEGER) AS steps, sac, sic, cat, slot_start, n_windows, round(CASE WHEN 2 * n_windows >= steps THEN a END, 6) AS avg_media, round(CASE WHEN 2 * n_windows >= steps THEN b END, 6) AS max_media,
   round(CASE WHEN 2 * n_windows >= steps THEN c END, 6) AS min_media FROM r WHERE slot_start > (SELECT max(window_start) FROM s) - steps * 300 * kept"""
 )
+ORACLES["availability_stored"] = ORACLES["availability_upsert"]
+ORACLES["archive_increments"] = ORACLES["availability_rollup"]
 ORACLES["flow_bandwidth_total"] = PLOTS + """, w AS (SELECT *, sec // 3600 * 3600 AS window_start, 'radar' || sac AS flow FROM p)
 SELECT window_start, flow, count(*) AS packets, CAST(sum(n_bytes) AS BIGINT) AS bytes, round(sum(n_bytes) / 3600.0::DOUBLE, 6) AS bytes_per_s FROM w GROUP BY GROUPING SETS ((window_start, flow), (window_start))"""
 ORACLES["pipeline_counters"] = PLOTS + """, c AS (SELECT *, sac <> 3 AS a, cat <> 34 AS k, NOT flag_test AS f, seq % 10 <> 0 AS u FROM p)
@@ -219,12 +221,29 @@ ORACLES["stream_delay_windows"] = ORACLES["delay_windows_5min"] + " " + CLOSED.f
 ORACLES["stream_simple_windows"] = PLOTS + _windows(3600) + f"SELECT {WINDOW}, cuenta, media FROM s " + CLOSED.format(3600)
 ORACLES["stream_dedup"] = ORACLES["dedup_4s"]
 ORACLES["stream_full_times"] = ORACLES["truncated_time_asof"]
+ORACLES["stream_live_statistics"] = PLOTS + _stats("sac, sic, cat", "p") + "SELECT sac, sic, cat, cuenta, max, min, media, mode, p99 FROM s"
+ORACLES["stream_counters"] = ORACLES["pipeline_counters"]
+# A delivery's mark is ten seconds before the latest event of all deliveries before it.
+ORACLES["stream_late_windows"] = (
+    PLOTS
+    + """, b AS (SELECT quantile_cont(us, 0.25) AS e1, quantile_cont(us, 0.5) AS e2, quantile_cont(us, 0.75) AS e3 FROM p),
+o AS (SELECT p.*, (us > e1)::INTEGER + (us > e2)::INTEGER + (us > e3)::INTEGER AS own FROM p, b),
+f AS (SELECT *, CASE WHEN own < 2 AND seq % 7 = 0 THEN own + 2 ELSE own END AS file FROM o),
+k AS (SELECT file, max(max(us)) OVER (ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) / 1000000.0::DOUBLE - 10 AS mark FROM f GROUP BY file),
+w AS (SELECT f.*, sec // 3600 * 3600 AS window_start, coalesce(ts < mark, FALSE) AS late FROM f JOIN k USING (file))"""
+    + _stats(WINDOW, "w")
+    + f""", l AS (SELECT {WINDOW}, CAST(sum(late::INTEGER) AS BIGINT) AS n_late FROM d GROUP BY ALL)
+SELECT {WINDOW}, n_late, cuenta, media, mode, p99 FROM s JOIN l USING ({WINDOW}) """
+    + CLOSED.format(3600)
+)
 READ = f"""WITH s AS ({SENSOR}), r AS (SELECT *, CAST(seq // 5000 AS INTEGER) AS part, row_number() OVER (PARTITION BY seq // 5000 ORDER BY seq) - 1 AS k,
   ((n * 331 + 5) % 11059200) / 128.0::DOUBLE AS at_s, printf('22000AE0%02X%02X%02X%06X', sac, sic, n % 2 + 1, n * 331 % 11059200) AS payload FROM s)
 SELECT part, k AS seq, 34 AS cat, sac, sic, {{0}} AS recv_tod, {{1}} AS src_ip, payload FROM r"""
 NO_IP, NO_TIME = "CAST(NULL AS VARCHAR)", "CAST(NULL AS DOUBLE)"
 for _format, _time, _ip in (("ast", NO_TIME, NO_IP), ("hensoldt", NO_TIME, NO_IP), ("gps1", "at_s", "'10.0.0.7'"), ("gps2", "floor(at_s)", NO_IP), ("era", "floor(at_s)", NO_IP)):
     ORACLES[f"read_{_format}"] = READ.format(_time, _ip)
+ORACLES["read_light_ranges"] = f"""WITH s AS ({SENSOR})
+SELECT CAST(seq // 5000 AS INTEGER) AS part, row_number() OVER (PARTITION BY seq // 5000 ORDER BY seq) - 1 AS seq, 48 AS cat, 97 AS len, sac, sic, ((n * 331 + 5) % 11059200) / 128.0::DOUBLE AS recv_tod FROM s"""
 ORACLES["latency_report"] = (
     f"""WITH s AS ({SENSOR}), p AS (SELECT sac, sic, 48 AS cat, (n % 50) / 128.0::DOUBLE AS delay, CAST((n * 331 + n % 50) // 128 AS BIGINT) + 1704067200 AS sec, (n * 331 + n % 50) / 128.0::DOUBLE + 1704067200 AS ts FROM s, range(2) t(k))"""
     + _windows(300) + f"SELECT printf('%03d_%03d_%03d', sac, sic, cat) AS sac_sic_cat, 'north' AS region, window_start AS timestamp, cuenta, {R} FROM s2 WHERE window_start + 300 <= (SELECT max(ts) FROM p)"

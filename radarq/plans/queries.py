@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import bits as B
 from ..functions import clock, codes
 from ..operators import acas, admission, decode, dedup, filters, header, output, replies, stats, timing, transcode
-from ..sources import recording, writer
+from ..sources import archive, recording, stored, writer
 from . import pipelines
 from . import synthetic as S
 from .scratch import shared_folder
@@ -96,6 +96,27 @@ def availability_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return output.upsert_availability(availability_rows(spark, sf_dir)).drop("cat", "seq")
 
 
+@query
+def availability_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deliveries of availability_upsert, one after the other, and the second again, into a table that is there."""
+    rows = availability_rows(spark, sf_dir).filter(F.col("cat").isin(list(filters.PERSISTED)))
+    shape = rows.drop("cat", "seq").schema
+    table = stored.StoredTable(spark, f"{shared_folder(spark)}/availability-{uuid.uuid4().hex}", shape, ("sac_sic_cat", "region", "timestamp"), buckets=16)
+    for batch in (1, 2, 2):
+        table.upsert(rows.filter(F.col("seq") == batch), ("seq",), batch, "north")
+    return table.read()
+
+
+@query
+def archive_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """availability_rollup by increments: windows of even hours, then of odd ones, and these again."""
+    windows = stats.delay_windows(delays(spark, sf_dir))
+    kept = archive.Archive(spark, f"{shared_folder(spark)}/archive-{uuid.uuid4().hex}")
+    for batch in (0, 1, 1):
+        kept.add(windows.filter(F.floor(F.col("window_start") / 3600) % 2 == batch), batch)
+    return rounded(kept.read(), "avg_media", "max_media", "min_media")
+
+
 @query
 def availability_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = stats.archive(stats.delay_windows(delays(spark, sf_dir)))
@@ -518,6 +539,14 @@ for _format in ("ast", "gps1", "gps2", "era", "hensoldt"):
     query(reading(_format))
 
 
+@query
+def read_light_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers of recorded blocks of two categories, from files cut into ranges of 16 KiB, which no block leaves."""
+    folder = recorded(spark, sf_dir, 48, "gps1", F.lit(5))
+    found = recording.read_recording(spark, folder, "gps1", categories=(48, 34), light=True, range_bytes=1 << 14)
+    return found.select(F.regexp_extract("source", "([0-9]+)[.]rec$", 1).cast("int").alias("part"), "seq", "cat", "len", "sac", "sic", "recv_tod")
+
+
 @query
 def latency_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recordings written, read, decoded and summed up."""

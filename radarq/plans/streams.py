@@ -19,15 +19,28 @@ STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def drain(stream: DataFrame, rocks: bool = False) -> DataFrame:
-    """Run a stream over all that its source has now; its rows as a table. rocks: with the state store that lists, maps and timers need."""
+def drain(stream: DataFrame, rocks: bool = False, clock_timers: bool = False) -> DataFrame:
+    """Run a stream over all that its source has now; its rows as a table.
+
+    rocks: with the state store that lists, maps and timers need. clock_timers: its timers go by the clock on the wall and would
+    keep it running for ever, so it is stopped once a batch has brought nothing.
+    """
     spark = stream.sparkSession
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     before = spark.conf.get(STORE, None)
+    writer = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").outputMode("append")
     if rocks:
         spark.conf.set(STORE, ROCKS)
     try:
-        stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        if clock_timers:
+            query = writer.trigger(processingTime="1 second").start()
+            while query.isActive and not any(p.numInputRows == 0 and p.batchId > 0 for p in query.recentProgress):
+                query.awaitTermination(0.5)
+            query.stop()
+            if query.exception():
+                raise query.exception()
+        else:
+            writer.trigger(availableNow=True).start().awaitTermination()
     finally:
         if rocks:
             spark.conf.unset(STORE) if before is None else spark.conf.set(STORE, before)
@@ -74,3 +87,52 @@ def stream_reply_plots(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumns({"seq": F.col("seq") * 2 + F.col("end"), "event_time": clock.timestamp_of(F.col("seq") * 0.01 + 1_000_000)})
     out = drain(live.plots(rows), rocks=True)
     return out.select("source", "cluster", F.expr("first_seq div 2").alias("first_seq"), "n_followers")
+
+
+@Q.query
+def stream_live_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of each sensor by the clock on the wall, told at the end of the stream, behind the last event."""
+    rows = Q.delays(spark, sf_dir, streamed)
+    ends = F.when(F.col("seq") < 5000, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))  # among these is every sensor
+    marked = rows.select(*stats.SENSOR, "delay", F.explode(ends).alias("end"))
+    told = drain(live.histograms(marked, period=86400), rocks=True, clock_timers=True)
+    return stats.statistics_of(told, stats.SENSOR).select(*stats.SENSOR, "cuenta", "max", "min", "media", "mode", "p99")
+
+
+@Q.query
+def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counters of pipeline_counters, observed while the stream runs."""
+    p = S.plots(spark, sf_dir, streamed)
+    told = live.Counters()
+    spark.streams.addListener(told)
+    try:
+        seen = p.observe(told.name, *stats.counters(F.col("sac") != 3, F.col("cat") != 34, ~F.col("flag_test"), F.col("seq") % 10 != 0, F.col("n_bytes")))
+        run = seen.writeStream.format("noop").option("checkpointLocation", f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}").trigger(availableNow=True).start()
+        run.awaitTermination()
+        sums = told.wait(run.runId)
+    finally:
+        spark.streams.removeListener(told)
+    return spark.createDataFrame([tuple(sums.values())], ", ".join(f"{k} long" for k in sums))
+
+
+#: Files that a stream takes one by one, and which event comes how many files late.
+LATE_FILES, LATE_EACH = 4, 7
+
+
+@Q.query
+def stream_late_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in four deliveries by time; every seventh of the first two comes with the next delivery but one, late, and corrects its window."""
+    rows = Q.delays(spark, sf_dir)
+    edges = rows.select(F.percentile("us", [k / LATE_FILES for k in range(1, LATE_FILES)]).alias("e"))
+    own = F.lit(0)
+    for k in range(LATE_FILES - 1):
+        own = own + (F.col("us") > F.col("e")[k]).cast("int")
+    dealt = rows.crossJoin(F.broadcast(edges)).withColumn("own", own).drop("e")  # of one row
+    dealt = dealt.withColumn("file", F.when((F.col("own") < 2) & (F.col("seq") % LATE_EACH == 0), F.col("own") + 2).otherwise(F.col("own"))).select("sac", "sic", "cat", "ts", "delay", "file")
+    folder = f"{shared_folder(spark)}/late-{uuid.uuid4().hex}"
+    taken = live.LateRows(spark, f"{folder}/windows", period=3600)
+    for k in range(LATE_FILES):  # one delivery after the other
+        dealt.filter(F.col("file") == k).drop("file").coalesce(1).write.mode("append").parquet(f"{folder}/rows")
+    stream = spark.readStream.schema(dealt.drop("file").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/rows")
+    stream.writeStream.foreachBatch(lambda batch, n: taken.take(batch, n)).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return taken.windows().select(*stats.WINDOW, "n_late", "cuenta", "media", "mode", "p99")

@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,9 +22,12 @@ TRIES = 20
 
 
 class StoredTable:
-    """schema: of the rows; key: columns that name a row, which may be null; buckets: fixed when the table is made."""
+    """schema: of the rows; key: columns that name a row, which may be null; buckets: fixed when the table is made.
 
-    def __init__(self, spark: SparkSession, folder: str, schema: T.StructType, key: tuple[str, ...], buckets: int = 64):
+    bucket: an expression over the key that gives a row's bucket; a hash of the key if none is given.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, schema: T.StructType, key: tuple[str, ...], buckets: int = 64, bucket: Column | None = None):
         self.spark, self.schema, self.key = spark, schema, key
         self.store = Store(spark, folder)
         self.store.write_once("manifests/00000000", json.dumps({"buckets": buckets, "key": list(key), "paths": {}, "batches": {}}))
@@ -31,6 +35,7 @@ class StoredTable:
         if first["key"] != list(key):
             raise ValueError(f"the table in {folder} has the key {first['key']}")
         self.buckets = first["buckets"]
+        self.bucket = (F.pmod(F.xxhash64(*key), F.lit(self.buckets)) if bucket is None else bucket).cast("int")
 
     def version(self) -> int:
         return max(int(n) for n in self.store.names("manifests") if n.isdigit())
@@ -52,23 +57,32 @@ class StoredTable:
 
         Columns of order need not be the table's. Batches of a stream count up.
         """
-        bucket = F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
         last = rows.select(*self.key, F.struct(*self.schema.fieldNames()).alias("_row"), F.struct(*order).alias("_order"))
-        last = last.groupBy(*self.key).agg(F.max_by("_row", "_order").alias("_row")).select("_row.*", bucket.alias("_bucket"))
+        last = last.groupBy(*self.key).agg(F.max_by("_row", "_order").alias("_row")).select("_row.*")
+
+        def replaced(old: DataFrame, new: DataFrame) -> DataFrame:
+            same = None
+            for k in self.key:
+                same = old[k].eqNullSafe(new[k]) if same is None else same & old[k].eqNullSafe(new[k])
+            return old.join(new.select(*self.key), same, "left_anti").unionByName(new)
+
+        return self.deliver(last, replaced, batch, stream)
+
+    def deliver(self, rows: DataFrame, together: Callable[[DataFrame, DataFrame], DataFrame], batch: int, stream: str = "") -> bool:
+        """Put what `together` makes of old and new rows in place of the buckets that the new ones touch; old ones elsewhere are not read."""
+        rows = rows.select(*self.schema.fieldNames())
         for _ in range(TRIES):
             version = self.version()
             now = self.manifest(version)
             if batch <= now["batches"].get(stream, -1):
                 return False
             folder = f"data/{version + 1:08d}-{uuid.uuid4().hex}"
-            touched = {r[0] for r in last.select("_bucket").distinct().collect()}  # as many as there are buckets, at most
+            touched = {r[0] for r in rows.select(self.bucket.alias("_bucket")).distinct().collect()}  # as many as there are buckets, at most
             old = self._rows([p for b, p in now["paths"].items() if int(b) in touched])
-            same = None
-            for k in self.key:
-                same = old[k].eqNullSafe(last[k]) if same is None else same & old[k].eqNullSafe(last[k])
-            kept = old.join(last.select(*self.key), same, "left_anti").withColumn("_bucket", bucket)
-            kept.unionByName(last).repartition(min(len(touched), self.buckets) or 1, "_bucket").write.partitionBy("_bucket").parquet(f"{self.store.folder}/{folder}")
-            paths = now["paths"] | {str(b): f"{folder}/_bucket={b}" for b in touched}
+            made = together(old, rows).select(*self.schema.fieldNames()).withColumn("_bucket", self.bucket)
+            made.repartition(len(touched) or 1, "_bucket").write.partitionBy("_bucket").parquet(f"{self.store.folder}/{folder}")
+            there = {int(n.removeprefix("_bucket=")) for n in self.store.names(folder) if n.startswith("_bucket=")}
+            paths = {b: p for b, p in now["paths"].items() if int(b) not in touched} | {str(b): f"{folder}/_bucket={b}" for b in sorted(there)}
             if self.store.write_once(f"manifests/{version + 1:08d}", json.dumps(now | {"paths": paths, "batches": now["batches"] | {stream: batch}})):
                 return True
             self.store.delete(folder)  # another delivery came first

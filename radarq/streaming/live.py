@@ -5,12 +5,13 @@ Rows carry event_time, a TIMESTAMP of reception.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -18,6 +19,7 @@ from ..functions import codes
 from ..operators import stats
 from ..operators.replies import LEAST_REPLIES, Open, join_open
 from ..operators.timing import LAST_HIGH, NEAR, TURN_HIGH, TURN_LOW, WRAP
+from ..sources.hadoop import Store
 
 #: Longer than the largest delay that counts.
 LATE = "10 seconds"
@@ -171,3 +173,140 @@ class _Plots(StatefulProcessor):
 
     def close(self) -> None:
         pass
+
+
+class Counters(StreamingQueryListener):
+    """Sums of the counters that streams observe under a name, while they run; nothing is read twice.
+
+    `spark.streams.addListener(counters)`, and `stats.counters(...)` as `rows.observe(counters.name, *those)`.
+    A batch that is run again after a failure is counted when it has succeeded, once.
+    """
+
+    def __init__(self, name: str = "pipeline"):
+        self.name, self.sums, self._seen, self._ended = name, {}, set(), {}
+        self._lock = threading.Condition()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        row = progress.observedMetrics.get(self.name)
+        with self._lock:
+            if row is not None and (progress.id, progress.batchId) not in self._seen:
+                self._seen.add((progress.id, progress.batchId))
+                for k, v in row.asDict().items():
+                    self.sums[k] = self.sums.get(k, 0) + v
+
+    def onQueryTerminated(self, event) -> None:
+        with self._lock:
+            self._ended[event.runId] = True
+            self._lock.notify_all()
+
+    def wait(self, run_id, seconds: float = 60.0) -> dict[str, int]:
+        """The sums, when all that a run has told has come."""
+        with self._lock:
+            if not self._lock.wait_for(lambda: any(str(r) == str(run_id) for r in self._ended), seconds):
+                raise TimeoutError(f"no end of {run_id} told in {seconds} s")
+            return dict(self.sums)
+
+
+#: A sensor's histogram as it is told.
+BINS = "sac int, sic int, cat int, told_ms long, bin int, n long, total double, squares double, highest double, lowest double"
+
+
+def histograms(plots: DataFrame, period: int = stats.PERIOD) -> DataFrame:
+    """Rows of BINS by sensor, every `period` seconds of the clock on the wall, as a console of live statistics shows them: finish() them by (sensor, told_ms).
+
+    plots: sac, sic, cat, delay and end. A sensor's period begins with its first plot. A row whose `end` is true tells its
+    sensor's bins at once, as the end of a stream does. The state is a map of at most 3200 bins a sensor. Needs the RocksDB state store.
+    """
+    told = plots.select(*stats.SENSOR, "delay", F.coalesce("end", F.lit(False)).alias("end")).withColumn("bin", stats.bin_of(F.col("delay")))
+    told = told.filter((F.abs("delay") < -stats.LOW) | F.col("end"))
+    return told.groupBy(*stats.SENSOR).transformWithStateInPandas(_Histogram(period), BINS, "append", "processingTime")
+
+
+class _Histogram(StatefulProcessor):
+    def __init__(self, period: int):
+        self.period = period
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.bins = handle.getMapState("bins", "bin int", "n long, total double, squares double, highest double, lowest double")
+
+    def handleInputRows(self, key: tuple, frames: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        end = False
+        for f in frames:
+            end |= bool(f["end"].any())
+            d = f[~f["end"]]
+            sums = d.assign(squares=d["delay"] ** 2).groupby("bin").agg(n=("delay", "size"), total=("delay", "sum"), squares=("squares", "sum"), highest=("delay", "max"), lowest=("delay", "min"))
+            for bin_, n, total, squares, highest, lowest in sums.itertuples():
+                k = (int(bin_),)
+                old = self.bins.getValue(k) if self.bins.containsKey(k) else (0, 0.0, 0.0, highest, lowest)
+                self.bins.updateValue(k, (old[0] + int(n), old[1] + float(total), old[2] + float(squares), max(old[3], float(highest)), min(old[4], float(lowest))))
+        timers = list(self.handle.listTimers())
+        if end:
+            for t in timers:
+                self.handle.deleteTimer(t)
+            yield self._told(key, timerValues.getCurrentProcessingTimeInMs())
+        elif not timers:
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.period * 1000)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._told(key, expiredTimerInfo.getExpiryTimeInMs())
+
+    def _told(self, key: tuple, at: int) -> pd.DataFrame:
+        rows = [(*(int(k) for k in key), int(at), int(b[0]), *v) for b, v in self.bins.iterator()]
+        self.bins.clear()
+        names = [c.split()[0] for c in BINS.split(", ")]
+        kinds = {"int": "int32", "long": "int64", "double": "float64"}
+        return pd.DataFrame({c: pd.Series([r[i] for r in rows], dtype=kinds[k]) for i, (c, k) in enumerate(zip(names, (x.split()[1] for x in BINS.split(", "))))})
+
+    def close(self) -> None:
+        pass
+
+
+class LateRows:
+    """Latency windows of a stream that lose no late row: those behind the watermark go to a table of their own, and correct their windows.
+
+    Below folder: `bins/batch=<n>`, sums of the rows in time, `late/batch=<n>`, the late rows, and `marks/<n>`, the watermark behind
+    batch n, which is written last. A batch that is run again writes the same.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, late_seconds: float = 10.0, period: int = stats.PERIOD):
+        self.spark, self.store, self.late, self.period = spark, Store(spark, folder), late_seconds, period
+
+    def mark(self, batch: int | None = None) -> float | None:
+        """The watermark behind a batch, or behind the last, in seconds; None if there has been none."""
+        done = [int(n) for n in self.store.names("marks") if n.isdigit() and (batch is None or int(n) <= batch)]
+        return float(self.store.read(f"marks/{max(done):012d}")) if done else None
+
+    def take(self, plots: DataFrame, batch: int) -> None:
+        """For foreachBatch: plots with sac, sic, cat, ts and delay."""
+        before = self.mark(batch - 1)
+        told = stats.with_window(plots, self.period)
+        late = F.lit(False) if before is None else F.col("ts") < before
+        folder = self.store.folder
+        stats.histogram(told.filter(~late), stats.WINDOW).write.mode("overwrite").parquet(f"{folder}/bins/batch={batch}")
+        told.filter(late).write.mode("overwrite").parquet(f"{folder}/late/batch={batch}")
+        newest = plots.agg(F.max("ts")).first()[0]
+        mark = max(x for x in (before, None if newest is None else newest - self.late, float("-inf")) if x is not None)
+        self.store.write_once(f"marks/{batch:012d}", repr(mark))
+
+    def rows(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.store.folder}/{name}")
+
+    def windows(self, corrected: bool = True) -> DataFrame:
+        """Statistics of the windows that the watermark has passed, with n_late, the late rows that they have got; or without those, as they were first told."""
+        bins = self.rows("bins").drop("batch").withColumn("n_late", F.lit(0).cast("long"))
+        if corrected:
+            late = stats.histogram(self.rows("late"), stats.WINDOW)
+            bins = bins.unionByName(late.withColumn("n_late", F.col("n")))
+        mark = self.mark()
+        bins = bins.filter(F.col("window_start") + self.period <= (float("-inf") if mark is None else mark))
+        counts = bins.groupBy(*stats.WINDOW).agg(F.sum("n_late").alias("n_late"))
+        sums = bins.groupBy(*stats.WINDOW, "bin").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"), F.max("highest").alias("highest"), F.min("lowest").alias("lowest"))
+        return stats.statistics_of(sums).join(counts, list(stats.WINDOW))
