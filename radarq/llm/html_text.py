@@ -52,6 +52,12 @@ OUT_ROLES = frozenset("navigation banner contentinfo complementary search alert
 OUT_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu sidebar footer header masthead comment comments disqus respond notice alert cookie cookies consent gdpr banner popup modal overlay breadcrumb breadcrumbs share sharing social related recommended newsletter subscribe subscription signup login pagination pager toolbar widget form search copyright skip".split()
 )
+#: With these, a name part still says what it says alone (site-footer); with any other word it may not (social-studies).
+PLAIN_NAMES = frozenset(
+    "site page main global top bottom left right inner outer box block area wrap wrapper container content list item items section bar link links icon icons group row col column primary secondary mobile desktop fixed sticky large small big floating post posts article articles entry story stories news blog js is has more all latest module region zone slot unit panel id text title new old btn buttons".split()
+)
+#: A header is the article's own unless its name says whose it is.
+OF_PAGE = frozenset("header site page main global top wrap wrapper container inner outer bar nav navbar menu fixed sticky masthead".split())
 KEPT_TAGS = frozenset({"html", "body", "main"})
 ARTICLES = frozenset({"article", "main"})
 #: These never wrap the article where it is marked elsewhere.
@@ -74,6 +80,14 @@ class Node:
         self.density = self.total = 0.0
 
 
+def _names_out(words: list[str]) -> bool:
+    """Whether the parts of one class or id name something beside the article."""
+    named = [w for w in words if w in OUT_NAMES]
+    if not named or any(w not in OUT_NAMES and w not in PLAIN_NAMES and len(w) > 1 for w in words):
+        return False
+    return set(named) != {"header"} or OF_PAGE.issuperset(words)
+
+
 def _is_out(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in OUT_TAGS or (tag == "header" and not in_article):
         return True
@@ -82,7 +96,7 @@ def _is_out(tag: str, attributes: str, in_article: bool) -> bool:
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         value, name = (a or b or c).lower(), name.lower()
         if name in ("class", "id"):
-            if tag not in HEADINGS and not OUT_NAMES.isdisjoint(WORD.findall(value)):
+            if tag not in HEADINGS and any(_names_out(WORD.findall(token)) for token in value.split()):
                 return tag != "article" or "comment" in value
         elif name == "role":
             if value in OUT_ROLES:
@@ -351,14 +365,13 @@ def extract(pages: DataFrame) -> DataFrame:
     """One row per row of pages: page_id, url, text, n_chars.
 
     Null or empty html, and pages without text, give an empty string. Rows are judged each by itself,
-    so repeated rows give repeated results; null ids and urls stay null. No rows: no rows.
+    so repeated rows give repeated results; null ids and urls stay null. Some megabytes of pages are
+    taken at once, a longer page alone. No rows: no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, SLICE):
-                piece = batch.slice(k, SLICE)
-                yield pa.RecordBatch.from_pydict({"page_id": piece["page_id"], "url": piece["url"], "text": pa.array([main_text(x or "") for x in piece["html"].to_pylist()], pa.string())})
+        for piece in C.slices(batches, "html", SLICE):
+            yield pa.RecordBatch.from_pydict({"page_id": piece["page_id"], "url": piece["url"], "text": pa.array([main_text(x or "") for x in piece["html"].to_pylist()], pa.string())})
 
     found = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     return found.mapInArrow(run, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))

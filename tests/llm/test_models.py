@@ -483,6 +483,22 @@ WRAPPED = [
     ("<form id=aspnetForm>", "</form>"), ("<div class='layout with-sidebar'>", "</div>"), ("<div class='no-sidebar'>", "</div>"), ("<div id='search-page'>", "</div>"), ("<div role=form>", "</div>"),
     ("<header>", "</header>"), ("<div aria-hidden=true>", "</div>"), ("<form class=search><div id=content-ad-free>", "</div></form>"),
 ]
+def test_log_mel_is_not_rounded():
+    """As stored: float16 of a plain computation, frame by frame."""
+    r = np.random.default_rng(4)
+    payload = bytes(r.integers(0, 256, audio.UNIT * 9).astype(np.uint8))
+    (mel,), _ = audio.features([payload])
+    gap = 2 * audio.TAPS * audio.DOWN
+    sound = audio.resample(np.r_[np.frombuffer(payload, np.uint8).astype(np.int32) - 128, np.zeros(gap, np.int32)])
+    n = 1 + max(0, len(payload) * audio.UP // audio.DOWN - audio.FRAME) // audio.HOP
+    for i in range(n):
+        frame = sound[i * audio.HOP : i * audio.HOP + audio.FRAME].astype(np.float64) * audio.HANN / (1 << 21)
+        power = np.abs(np.fft.rfft(frame, audio.FFT)) ** 2
+        want = 10 * np.log10(np.maximum(power @ audio.BANK.astype(np.float64), 1e-8))
+        assert np.abs(mel[i].astype(np.float64) - want).max() <= 0.04  # half a unit in the last place of float16, and float32 sums
+    assert len(np.unique(mel[:n].astype(np.float64) % 0.25)) > 4
+
+
 PARTS = [" ".join(f"{w} {k} of the article, long enough to count as text." for k in range(4)) for w in ("Sentence", "Line", "Clause", "Phrase")]
 PARAGRAPHS = ["".join(f"<p>{x}</p>" for x in PARTS[k : k + 2]) for k in (0, 2)]
 AROUND = ("<nav><ul><li><a href=x>Home</a><li><a href=y>About</a></ul></nav>", "<div class=comments><p>A reader says something.</p></div><div class=sidebar><a href=z>More</a></div><footer><p>Copyright</p></footer>")
@@ -523,6 +539,24 @@ def test_broken_pages(page):
     assert isinstance(html_text.main_text(page), str)
 
 
+@pytest.mark.parametrize(
+    "start, end, out",
+    [
+        ('<div class="social-studies">', "</div>", False), ('<div class="ad-hoc-method">', "</div>", False), ('<section id="cookie-recipes">', "</section>", False), ('<div class="header-story">', "</div>", False),
+        ('<div class="post-header">', "</div>", False), ('<div class="site-footer">', "</div>", True), ('<div class="ad">', "</div>", True), ('<div class="related-posts">', "</div>", True), ('<div class="x comment-list">', "</div>", True), ('<div class="page-header">', "</div>", True),
+    ],
+)
+def test_names_of_parts(start, end, out):
+    """A class says what a part is only if all of its words do."""
+    page = f"<body><article>{PARAGRAPHS[0]}{start}<p>A part of its own, with some words.</p>{end}{PARAGRAPHS[1]}</article></body>"
+    assert ("A part of its own" in html_text.main_text(page)) is not out
+
+
+def test_title_in_a_header_of_the_post():
+    page = f'<body><div class="menu"><a href="/">Home</a></div><div class="post"><div class="post-header"><h1>The title</h1></div>{PARAGRAPHS[0]}{PARAGRAPHS[1]}</div></body>'
+    assert html_text.main_text(page).startswith("The title\n\n")
+
+
 def test_pages(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet")
     out = html_text.extract(odd(pages)).collect()
