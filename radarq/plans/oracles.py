@@ -108,6 +108,8 @@ SELECT cat, sac, sic, count(*) AS n_blocks, CAST(sum(len) AS BIGINT) AS n_bytes
 ORACLES["sensor_blocks"] = f"WITH s AS ({SENSOR}) SELECT 48 AS cat, {LENGTH_48} AS len, sac, sic FROM s UNION ALL SELECT 34, 10, sac, sic FROM s"
 ORACLES["sensor_names"] = PLOTS + """, d AS (SELECT n_nationkey % 2 + 1 AS sac, n_nationkey // 2 + 1 AS sic, upper(substr(n_name, 1, 2)) AS sac_short, n_name AS sic_long FROM nation WHERE n_nationkey < 14)
 SELECT seq, sac_short, sic_long FROM p LEFT JOIN d ON p.sac = d.sac AND p.sic = d.sic"""
+ORACLES["sensor_names_whole"] = PLOTS + """, d AS (SELECT n_nationkey % 2 + 1 AS sac, n_nationkey // 2 + 1 AS sic, upper(substr(n_name, 1, 2)) AS sac_short, n_name AS sac_long, substr(n_name, 1, 3) AS sic_short, n_name AS sic_long FROM nation)
+SELECT seq, sac_short, sac_long, sic_short, sic_long FROM p LEFT JOIN d ON p.sac = d.sac AND p.sic = d.sic"""
 ORACLES["header_index"] = f"WITH s AS ({SENSOR}) SELECT seq, 48 AS cat, {LENGTH_48} AS len, sac, sic FROM s UNION ALL SELECT seq, 2, 10, sac, sic FROM s"
 ORACLES["split_packets"] = f"SELECT event_id AS seq, CAST(i AS INTEGER) AS block_index, CASE WHEN i = 1 THEN 48 ELSE 34 END AS cat, CASE WHEN i = 1 THEN {LENGTH_48} ELSE 10 END AS len FROM events, range(3) t(i)"
 
@@ -146,6 +148,8 @@ ORACLES["latest_capabilities"] = f"""WITH s AS ({SENSOR}), r AS (SELECT *, print
 SELECT modes, CAST(arg_max(n % 8, n) AS INTEGER) AS com, CAST(arg_max(n % 2, n) AS INTEGER) AS si, CAST(arg_max(n % 16, n) AS INTEGER) AS b1b, printf('%014X', max(n) * 331 + 1) AS bds10 FROM r GROUP BY modes"""
 ORACLES["latest_capabilities_whole"] = RA + """, m AS (SELECT *, printf('%06X', (n * 2654435 + k) % 16777216) AS modes, n * 2 + k AS place FROM r)
 SELECT modes, CAST(arg_max(n % 8, place) AS INTEGER) AS com, CAST(arg_max(n % 2, place) AS INTEGER) AS si, CAST(arg_max(n % 16, place) AS INTEGER) AS b1b, printf('%014X', arg_max(n, place) * 331 + 1) AS bds10 FROM m GROUP BY modes"""
+ORACLES["latest_capabilities_repeated"] = RA + """, m AS (SELECT *, printf('%03X', (n * 2654435 + k) % 4096) AS modes, n * 2 + k AS place FROM r)
+SELECT modes, CAST(arg_max(n % 8, place) AS INTEGER) AS com, CAST(arg_max(n % 2, place) AS INTEGER) AS si, CAST(arg_max(n % 16, place) AS INTEGER) AS b1b, printf('%014X', arg_max(n, place) * 331 + 1) AS bds10 FROM m GROUP BY modes"""
 ORACLES["truncated_time_asof"] = """WITH t AS (SELECT event_id AS seq, user_id % 3 AS s, event_type <> 'view' AS plot, event_id * 37 % 11059200 AS f, event_id % 5 * 20 AS late FROM events),
 m AS (SELECT *, max(CASE WHEN NOT plot THEN seq END) OVER (PARTITION BY s ORDER BY seq) AS mark FROM t)
 SELECT seq, CASE WHEN plot THEN 1 ELSE 2 END AS cat, CASE WHEN NOT plot THEN f / 128.0::DOUBLE WHEN mark IS NOT NULL THEN (f - late) / 128.0::DOUBLE END AS tod_full FROM m"""

@@ -249,6 +249,15 @@ def sensor_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return header.with_names(S.plots(spark, sf_dir), names).select("seq", "sac_short", "sic_long")
 
 
+@query
+def sensor_names_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nations as names of sensors, more than there are; sensors without one keep nulls."""
+    k = F.col("n_nationkey")
+    n = S.table(spark, sf_dir, "nation")
+    names = n.select((k % 2 + 1).cast("int").alias("sac"), (F.floor(k / 2) + 1).cast("int").alias("sic"), F.upper(F.substring("n_name", 1, 2)).alias("sac_short"), F.col("n_name").alias("sac_long"), F.substring("n_name", 1, 3).alias("sic_short"), F.col("n_name").alias("sic_long"))
+    return header.with_names(S.plots(spark, sf_dir), names).select("seq", "sac_short", "sac_long", "sic_short", "sic_long")
+
+
 @query
 def header_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = S.blocks(spark, sf_dir, 48).unionByName(S.blocks(spark, sf_dir, 2)).drop("cat")
@@ -327,6 +336,13 @@ def latest_capabilities_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return acas.latest_capabilities(plots, ("seq", "rec_index")).select("modes", "com", "si", "b1b", F.hex("bds10").alias("bds10"))
 
 
+@query
+def latest_capabilities_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """latest_capabilities over all records, with addresses that come again: their last three digits."""
+    plots = decode.decode(S.blocks(spark, sf_dir, 48)).withColumn("modes", F.substring("modes", 4, 3))
+    return acas.latest_capabilities(plots, ("seq", "rec_index")).select("modes", "com", "si", "b1b", F.hex("bds10").alias("bds10"))
+
+
 def truncated(spark: SparkSession, sf_dir: str, table: S.Table = S.table, start: int = 0) -> DataFrame:
     """North marks with full times and plots with truncated ones up to 80/128 s before; start: of the first event, in 1/128 s."""
     e = table(spark, sf_dir, "events")

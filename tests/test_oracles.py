@@ -49,3 +49,15 @@ def test_query_equals_sql(spark, con, small, name):
     at = [rel.columns.index(c) for c in columns]
     want = sorted((tuple(r[i] for i in at) for r in rel.fetchall()), key=key)
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["registers", "decode_acas_ra", "latest_capabilities_repeated", "ras_statements", "decode_cat48", "format_lines_whole", "transcode_cat10_cat48"])
+def test_generated_code_compiles(spark, small, name):
+    """Without the way back to interpreted rows, code that is too large fails."""
+    for key, value in (("spark.sql.codegen.fallback", "false"), ("spark.sql.codegen.factoryMode", "CODEGEN_ONLY")):
+        spark.conf.set(key, value)
+    try:
+        QUERIES[name](spark, small).write.format("noop").mode("overwrite").save()
+    finally:
+        for key in ("spark.sql.codegen.fallback", "spark.sql.codegen.factoryMode"):
+            spark.conf.unset(key)
