@@ -200,6 +200,8 @@ MODE_C = {1: "090", 48: "090"}
 ADDRESS = {48: "220"}
 MESSAGE = {2: "000", 8: "000", 10: "000", 19: "000", 34: "000"}
 REPORT = {1: "020", 48: "020", 20: "020"}
+#: What detected a category 10 target, by its class: a bit each, so that 0 is no detection.
+PLOT_TYPES = (1, 2, 4, 8, 16, 32, 64, 128)
 
 
 def decode(blocks: DataFrame, compat: bool = False, cat21: bool = True, categories: tuple[int, ...] = CATEGORIES) -> DataFrame:
@@ -208,7 +210,8 @@ def decode(blocks: DataFrame, compat: bool = False, cat21: bool = True, categori
     Malformed records and those that their category doesn't report are left out: category 1 tracks and
     plots without a type; category 2, 8, 19 and 34 messages without sensor, type or time; category 48
     plots without time. compat keeps the known deviations of older decoders (unsigned category 20
-    coordinates times two, end of picture for any category 8 type, 8192 as positive mode C).
+    coordinates times two, end of picture for any category 8 type, 8192 as positive mode C, 164 for
+    other category 10 plots).
     """
     if not cat21:
         categories = tuple(c for c in categories if c != 21)
@@ -232,6 +235,7 @@ def decode(blocks: DataFrame, compat: bool = False, cat21: bool = True, categori
     x_y = [c * 2.0 if compat else B.signed(c, 24) * 0.5 for c in cart]
     own = x.value({48: "230"}, 2)
     ten = x.value({10: "020"}, 1)
+    plot_type = F.element_at(F.array(*(F.lit(v) for v in ((*PLOT_TYPES[:7], 164) if compat else PLOT_TYPES))), (B.field(ten, 5, 7) + 1).cast("int"))
     twentyone = x.value({21: "040"}, 2)
     more = F.when(B.bit(x.value({20: "020"}, 1), 1), x.value({20: "020"}, 1, 1))  # category 20: RAB SPI CHN GBS CRT SIM TST
     columns: dict[str, Column] = {
@@ -239,7 +243,7 @@ def decode(blocks: DataFrame, compat: bool = False, cat21: bool = True, categori
         "sic": x.value(first, 1, 1).cast("int"),
         "type": code.cast("int"),
         "channel": B.field(ten, 3, 1).cast("int"),
-        "plot_type": F.when(cat == 10, F.when(B.bit(x.value({10: "170"}, 1), 64), 0).otherwise(B.field(ten, 5, 7)).cast("int")),
+        "plot_type": F.when(cat == 10, F.when(B.bit(x.value({10: "170"}, 1), 64), 0).otherwise(plot_type).cast("int")),
         "rho": F.when(cat == 1, x.value(POLAR, 2) / 128.0).when(cat == 48, x.value(POLAR, 2) / 256.0).otherwise(x.value(POLAR, 2).cast("double")),
         "theta": x.value(POLAR, 2, 2) * 360.0 / 65536.0,
         "x": x_y[0],

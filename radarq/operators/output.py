@@ -99,6 +99,60 @@ def format_lines(plots: DataFrame) -> DataFrame:
     return plots.withColumn("line", line)
 
 
+# How lines of each category call their types.
+LINE_TYPES = {
+    1: {0: "NODET", 1: "PSR", 2: "SSR", 3: "CMB"},
+    2: {1: "NORTE", 2: "SECTOR", 3: "SUR", 8: "START_BLIND", 9: "STOP_BLIND"},
+    8: {254: "SOP", 255: "EOP"},
+    10: {1: "PLOT", 2: "SUC", 3: "PERIODIC", 4: "EVENT"},
+    19: {1: "UPDATE", 2: "PERIODIC", 3: "EVENT"},
+    20: {64: "SSR_MLAT", 32: "MODES_MLAT", 16: "HF_MLAT", 8: "VDL_MAT", 4: "UAT_MAT", 2: "DME_MAT", 1: "OTHER_MAT"},
+    34: {1: "NORTE", 2: "SECTOR", 3: "FILTER", 4: "JAMM"},
+    48: {0: "NODET", 1: "PSR", 2: "SSR", 3: "CMB", 4: "SSRSGEN", 5: "SSRSROL", 6: "CMBSGEN", 7: "CMBSROL"},
+}
+LINE_PLOTS = {0: "NODETEC", 1: "SSRM", 2: "SMMS", 4: "ADS", 8: "SMR", 16: "MAG", 32: "HFM", 64: "und", 128: "OTHER"}
+
+
+def category_lines(plots: DataFrame, number: str = "seq") -> DataFrame:
+    """Adds `line`, in the form of the record's own category: number, sensor, types, place, codes, times, delay.
+
+    Sensors are called by sac_short and sic_long where plots have them (header.with_names), else by number.
+    Numbers are rounded as C does, halves to even. What a record lacks is printed as 0, `na` for times, and -1 for a level. Categories without a form get null.
+    """
+    c, cat = F.col, F.col("cat")
+    text = lambda column, otherwise: F.coalesce(c(column), c(otherwise).cast("string"), F.lit("")) if column in plots.columns else F.coalesce(c(otherwise).cast("string"), F.lit(""))
+    head = F.concat(c(number).cast("string"), F.lit(" ["), text("sac_short", "sac"), F.lit("/"), text("sic_long", "sic"), F.lit("] "))
+    flag = lambda name, word: F.when(F.coalesce(c(name), F.lit(False)), word).otherwise("")
+    bit = lambda k, word, other="": F.when(F.coalesce(c("report_flags"), F.lit(0)).bitwiseAND(F.lit(k)) != 0, word).otherwise(other)
+    fixed = lambda name, digits=3: F.format_string(f"%.{digits}f", F.bround(F.coalesce(c(name), F.lit(0.0)), digits))
+
+    def label(names: dict[int, str], column: str) -> Column:
+        out = F.lit("")
+        for value, name in names.items():
+            out = F.when(c(column) == value, name).otherwise(out)
+        return out
+
+    time = lambda name: F.when(c(name).isNotNull(), codes.time_text(c(name))).otherwise("na")
+    delay = F.format_string("%.4f", F.bround(F.coalesce(clock.delay(c("tod_stamp"), c("tod")), F.lit(0.0)), 4))
+    times = F.concat(F.lit("["), time("tod"), F.lit("] ["), time("tod_stamp"), F.lit("] ("), delay, F.lit(")"))
+    polar = F.concat(F.lit("[AZI "), fixed("theta"), F.lit("] [DST "), fixed("rho"), F.lit("] "))
+    kind = lambda n: label(LINE_TYPES[n], "type")
+    mode_a = F.concat(codes.mode_a_octal(F.coalesce(c("modea"), F.lit(0))), flag("modea_g", "G"), flag("modea_v", "I"), flag("modea_l", "S"))
+    level = F.concat(F.format_string("%03d", F.coalesce(c("modec"), F.lit(-1))), flag("modec_g", "G"), flag("modec_v", "I"))
+    forms = {
+        1: F.concat(F.lit("["), kind(1), flag("flag_fixed", "TRN"), F.lit("]"), flag("flag_test", "T"), F.lit(" "), polar, F.lit("[MODEA "), mode_a, F.lit("] [FL"), level, F.lit("] r"), F.coalesce(c("responses"), F.lit(0)).cast("string"),
+                    F.lit(" ["), time("tod"), F.lit("] ("), fixed("tod_trunc"), F.lit(") ["), time("tod_stamp"), F.lit("] ("), delay, F.lit(")")),
+        10: F.concat(F.lit("["), kind(10), F.lit("] ["), label(LINE_PLOTS, "plot_type"), F.when(c("type") == 1, F.when(c("channel") == 1, " CH2").otherwise(" CH1")).otherwise(""), F.lit("] "), polar, times),
+        20: F.concat(F.lit("["), kind(20), bit(64, " fixed"), bit(32, " spi"), bit(16, " CHN1", "CHN2"), bit(8, " GBS"), bit(4, " CRT"), bit(2, " SIM"), bit(1, " TEST"), F.lit("] [X "), fixed("x"), F.lit("] [Y "), fixed("y"), F.lit("] "), times),
+        21: F.concat(F.lit("["), flag("flag_test", "TEST"), flag("flag_ground", "GROUND"), flag("flag_sim", "SIM"), flag("flag_fixed", "FIXED"), F.lit("] "), times),
+        48: F.concat(F.lit("["), kind(48), flag("flag_fixed", "TRN"), F.lit("] "), polar, F.lit("[AID "), F.coalesce(c("aid"), F.lit("")), F.lit("] [MS"), F.coalesce(c("modes"), F.lit("000000")), F.lit("] "), times),
+    } | {n: F.concat(F.lit("["), kind(n), F.lit("] "), times) for n in (2, 8, 19, 34)}
+    line = F.lit(None).cast("string")
+    for n, form in forms.items():
+        line = F.when(cat == n, F.concat(head, form)).otherwise(line)
+    return plots.withColumn("line", line)
+
+
 def file_name(start: Column, region: str = "", extension: str = "ast", directories: bool = True, timestamp: bool = True) -> Column:
     """Name of a recording by its first timestamp: MM/DD/YYMMDD[-region-]HHMMSS.ext, or flat, or plain."""
     if not timestamp:

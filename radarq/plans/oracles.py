@@ -127,7 +127,7 @@ THETA = "(n * 7919 % 65536) * 360.0::DOUBLE / 65536.0::DOUBLE"
 ORACLES["decode_cat01"] = f"""WITH s AS ({SENSOR}) SELECT seq, 0 AS rec_index, sac, sic, CAST(n % 4 AS INTEGER) AS type, (n * 104729 % 65536) / 128.0::DOUBLE AS rho, {THETA} AS theta, CAST(n * 13 % 4096 AS INTEGER) AS modea,
   (n * 13 % 65536) // 32768 = 1 AS modea_v, (n * 13 % 32768) // 16384 = 1 AS modea_g, (n * 13 % 16384) // 8192 = 1 AS modea_l, {FEET} AS modec, CAST(n % 127 AS INTEGER) AS responses, n % 2 = 1 AS flag_fixed,
   (n * 331 % 65536) / 128.0::DOUBLE AS tod_trunc FROM s"""
-ORACLES["decode_cat10"] = f"""WITH s AS ({SENSOR}) SELECT seq, 0 AS rec_index, sac, sic, 1 AS type, CAST(n % 2 AS INTEGER) AS channel, CAST(CASE WHEN n % 5 = 0 THEN 0 ELSE n % 8 END AS INTEGER) AS plot_type,
+ORACLES["decode_cat10"] = f"""WITH s AS ({SENSOR}) SELECT seq, 0 AS rec_index, sac, sic, 1 AS type, CAST(n % 2 AS INTEGER) AS channel, CAST(CASE WHEN n % 5 = 0 THEN 0 ELSE 1 << (n % 8) END AS INTEGER) AS plot_type,
   (n * 104729 % 65536)::DOUBLE AS rho, {THETA} AS theta, CAST(user_id % 4096 AS INTEGER) AS track_number, tod FROM s"""
 ORACLES["decode_cat20"] = f"""WITH s AS ({SENSOR}) SELECT seq, 0 AS rec_index, sac, sic, CAST(1 << (n % 7) AS INTEGER) AS type, (n * 911 % 2000000 - 1000000) / 2.0::DOUBLE AS x, (500000 - n * 577 % 1000000) / 2.0::DOUBLE AS y, tod FROM s"""
 ORACLES["decode_cat21"] = f"""WITH s AS ({SENSOR}) SELECT seq, 0 AS rec_index, sac, sic, n % 2 = 1 AS flag_ground, n % 3 % 2 = 1 AS flag_sim, n % 5 % 2 = 1 AS flag_test, n % 7 % 2 = 1 AS flag_fixed, tod FROM s"""
@@ -183,6 +183,27 @@ ORACLES["format_lines"] = PLOTS + f""", l AS (SELECT *, CAST(floor(tod * 1000) A
 SELECT seq, printf('CAT%02d [%d/%d] [%s]%s [AZI %.3f] [DST %.3f] [MODEA %s%s%s] [FL%03d%s] r%d [%s] [%s] (%.4f)', cat, sac, sic, tn, CASE WHEN flag_test THEN 'T' ELSE '' END, round(theta, 3), round(rho, 3),
   printf('%04o', modea), CASE WHEN seq % 5 = 0 THEN 'G' ELSE '' END, CASE WHEN seq % 3 = 0 THEN 'I' ELSE '' END, seq % 400, CASE WHEN seq % 7 = 0 THEN 'G' ELSE '' END, seq % 12,
   {CLOCK.format("tod")}, {CLOCK.format("stamp")}, round(delay, 4)) AS line FROM l"""
+def _text(ms: str) -> str:
+    return f"printf('%02d:%02d:%02d.%03d', {ms} // 3600000, {ms} // 60000 % 60, {ms} // 1000 % 60, {ms} % 1000)"
+
+
+# Each event's block in a category of eight by its number; the reception is n % 50 / 128 s behind the measurement.
+_SENSOR_TEXT = "printf('%d [%d/%d] ', seq, sac, sic)"
+_TIMES = f"printf('[%s] [%s] (%.4f)', {_text('ms')}, {_text('stamp')}, n % 50 / 128.0::DOUBLE)"
+_MARKS = "CASE WHEN {0} * 13 % 32768 // 16384 = 1 THEN 'G' ELSE '' END || CASE WHEN {0} * 13 % 65536 // 32768 = 1 THEN 'I' ELSE '' END || CASE WHEN {0} * 13 % 16384 // 8192 = 1 THEN 'S' ELSE '' END"
+_LINES = {
+    1: f"printf('[%s%s] [AZI %.3f] [DST %.3f] [MODEA %s%s] [FL%03d] r%d [na] (%.3f) [%s] (0.0000)', ['NODET', 'PSR', 'SSR', 'CMB'][n % 4 + 1], CASE WHEN n % 2 = 1 THEN 'TRN' ELSE '' END, {THETA}, (n * 104729 % 65536) / 128.0::DOUBLE, printf('%04o', n * 13 % 4096), {_MARKS.format('n')}, {FEET}, n % 127, (n * 331 % 65536) / 128.0::DOUBLE, {_text('stamp')})",
+    2: f"printf('[%s] ', ['NORTE', 'SECTOR'][n % 2 + 1]) || {_TIMES}",
+    10: f"printf('[PLOT] [%s %s] [AZI %.3f] [DST %.3f] ', CASE WHEN n % 5 = 0 THEN 'NODETEC' ELSE ['SSRM', 'SMMS', 'ADS', 'SMR', 'MAG', 'HFM', 'und', 'OTHER'][n % 8 + 1] END, ['CH1', 'CH2'][n % 2 + 1], {THETA}, (n * 104729 % 65536)::DOUBLE) || {_TIMES}",
+    19: f"printf('[%s] ', ['UPDATE', 'PERIODIC', 'EVENT'][n % 3 + 1]) || {_TIMES}",
+    20: f"printf('[%sCHN2] [X %.3f] [Y %.3f] ', ['OTHER_MAT', 'DME_MAT', 'UAT_MAT', 'VDL_MAT', 'HF_MLAT', 'MODES_MLAT', 'SSR_MLAT'][n % 7 + 1], (n * 911 % 2000000 - 1000000) / 2.0::DOUBLE, (500000 - n * 577 % 1000000) / 2.0::DOUBLE) || {_TIMES}",
+    21: f"printf('[%s%s%s%s] ', CASE WHEN n % 5 % 2 = 1 THEN 'TEST' ELSE '' END, CASE WHEN n % 2 = 1 THEN 'GROUND' ELSE '' END, CASE WHEN n % 3 % 2 = 1 THEN 'SIM' ELSE '' END, CASE WHEN n % 7 % 2 = 1 THEN 'FIXED' ELSE '' END) || {_TIMES}",
+    34: f"printf('[%s] ', ['NORTE', 'SECTOR'][n % 2 + 1]) || {_TIMES}",
+    48: f"printf('[%s] [AZI %.3f] [DST %.3f] [AID IB%05d] [MS%06X] ', ['NODET', 'PSR', 'SSR', 'CMB', 'SSRSGEN', 'SSRSROL', 'CMBSGEN', 'CMBSROL'][(n + k) % 8 + 1], {THETA}, (n * 104729 % 65536) / 256.0::DOUBLE, n % 100000, (n * 2654435 + k) % 16777216) || {_TIMES}",
+}
+ORACLES["category_lines"] = f"""WITH s AS ({SENSOR}), c AS (SELECT *, [1, 2, 10, 19, 20, 21, 34, 48][n // 7 % 8 + 1] AS cat, (n * 331 % 11059200) * 1000 // 128 AS ms, (n * 331 + n % 50) % 11059200 * 1000 // 128 AS stamp FROM s),
+r AS (SELECT *, CAST(k AS INTEGER) AS rec_index FROM c, range(2) t(k) WHERE k = 0 OR cat = 48)
+SELECT seq, rec_index, {_SENSOR_TEXT} || CASE cat {" ".join(f"WHEN {c} THEN {x}" for c, x in _LINES.items())} END AS line FROM r"""
 # A category's records hold those fields of a line that its layout has.
 FIELDS = ("theta", "rho", "x", "y", "modea", "modea_v", "modea_g", "modea_l", "modec", "modes", "aid", "responses", "tod", "tod_trunc")
 _theirs = {

@@ -468,6 +468,17 @@ def format_lines_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return output.format_lines(decoded_lines(spark, sf_dir)).select("seq", "rec_index", "line")
 
 
+@query
+def category_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event's block in one of eight categories, decoded and printed in that category's form."""
+    n, parts = F.col("seq"), None
+    for k, cat in enumerate((1, 2, 10, 19, 20, 21, 34, 48)):
+        some = S.blocks(spark, sf_dir, cat).filter(F.floor(n / 7) % 8 == k)
+        parts = some if parts is None else parts.unionByName(some)
+    told = decode.decode(parts.withColumn("tod_stamp", (n * 331 + n % 50) % S.DAY128 / 128.0))
+    return output.category_lines(told).select("seq", "rec_index", "line")
+
+
 @query
 def availability_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     windows = stats.delay_windows(delays(spark, sf_dir), period=86400)
