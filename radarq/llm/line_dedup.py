@@ -20,6 +20,7 @@ from . import common as C
 
 SHARD_BYTES = 16 << 20  # of text a shard stands for
 MIN_CHARS = 10
+LINES_AT_ONCE = 1 << 13
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -94,11 +95,15 @@ def line_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.
     some = b > a
     s, e = start.copy(), start.copy()
     s[some], e[some] = solid[a[some]], solid[b[some] - 1] + 1
-    chars = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
+    chars = np.zeros(len(data) + 1, np.int32)
+    np.cumsum((data & 0xC0) != 0x80, out=chars[1:])
     low = C.LOWER[data]
-    raw = memoryview(low)
-    digests = b"".join(xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(s.tolist(), e.tolist()))
-    return np.frombuffer(digests, np.uint64).reshape(-1, 2), chars[e] - chars[s] >= MIN_CHARS
+    raw, keys = memoryview(low), np.empty((len(s), 2), np.uint64)
+    for k in range(0, len(s), LINES_AT_ONCE):  # few Python objects at a time
+        cut = slice(k, k + LINES_AT_ONCE)
+        digests = b"".join(xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(s[cut].tolist(), e[cut].tolist()))
+        keys[cut] = np.frombuffer(digests, np.uint64).reshape(-1, 2)
+    return keys, chars[e] - chars[s] >= MIN_CHARS
 
 
 def _distinct(docs: pa.Table):
