@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Characters with a number of their own; all digits, capitals and non-ASCII letters share one each.
-ALPHABET = "abcdefghijklmnopqrstuvwxyz @.+-()[]:/_%=,;'\"\n#*"
-DIGIT, CAPITAL, LETTER, OTHER = (len(ALPHABET) + i for i in range(4))
-N_CHARS = len(ALPHABET) + 5  # the last is padding
+#: Characters with a number of their own; a capital has its small letter's, all digits and all non-ASCII letters share one each.
+ALPHABET = "abcdefghijklmnopqrstuvwxyz @.+-()[]:/_%=,;'\"\n#*{}<>|&"
+DIGIT, LETTER, OTHER = (len(ALPHABET) + i for i in range(3))
+N_CHARS = len(ALPHABET) + 4  # the last is padding
 PADDING = N_CHARS - 1
 _ASCII = np.full(128, OTHER, np.int8)
 for _i, _c in enumerate(ALPHABET):
     _ASCII[ord(_c)] = _i
 _ASCII[48:58] = DIGIT
-_ASCII[65:91] = CAPITAL
+_ASCII[65:91] = _ASCII[97:123]
 
 
 def encode(text: str) -> np.ndarray:
@@ -28,7 +28,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class Tagger:
     """Tags sequences of character numbers (batch, time), padded at the end with PADDING."""
 
-    def __init__(self, n_tags: int, hidden: int = 8, embed: int = 10, seed: int = 7):
+    def __init__(self, n_tags: int, hidden: int = 24, embed: int = 12, seed: int = 7):
         r = np.random.default_rng(seed)
         init = lambda *s: (r.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
         self.h, self.k = hidden, n_tags

@@ -2,18 +2,22 @@
 
 The tagger learns from labelled spans: personal data of all four kinds, in more spellings than the
 patterns take, set into windows of a bounded sample of the corpus, next to look-alikes that are none.
-Every text is read whole, in overlapping windows; each window is decoded, and the tags of its middle
-make, window by window, the tags of the text, so that a span may reach over any number of windows. The
-spans of the text are then reconciled: base spans stay, then the surest added ones that pass their
-kind's check and overlap none.
+Every text is read whole. An added span must count as its kind (`plausible`: digits, Luhn, marks of an
+address), so it can only lie in places that hold so many digits close together, or an at mark and a
+dot mark (`places`); tags elsewhere are 0. Overlapping windows over the whole text that reach into a
+place are decoded, and the tags of their middles make the tags of the text, so that a span may reach
+over any number of windows. The spans of the text are then reconciled: base spans stay, then the
+surest added ones that pass their kind's check and overlap none.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +31,8 @@ KINDS = ("email", "ip", "card", "phone")
 #: The bound of the training sample: pieces of so many texts give contexts for so many labelled windows.
 CONTEXT_DOCS = 1024
 CONTEXT_CHARS = 1000
-TRAINING_WINDOWS = 4000
-STEPS = 900
+TRAINING_WINDOWS = 8000
+STEPS = 1500
 TRAINING_WINDOW = 80
 WINDOW, STRIDE = 256, 232
 MARGIN = (WINDOW - STRIDE) // 2  # of a window that its neighbour tells better
@@ -45,7 +49,17 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]")
 TRIGGER = re.compile(r"[0-9@]")
-SPELLED = re.compile(r"[A-Za-z0-9._%+-]+\s?(@|[(\[]at[)\]])\s?[A-Za-z0-9-]+(\s?(\.|[(\[]dot[)\]])\s?[A-Za-z0-9-]+)+", re.I)
+#: Marks of an address as people spell them, in four languages.
+WORD_AT, WORD_DOT = "at|arobase|arroba|ät", "dot|punkt|point|punto"
+AT = rf"(?:@|[\[({{<]\s?(?:{WORD_AT}|@)\s?[\])}}>]|(?<=[\s_])(?:{WORD_AT})(?=[\s_]))"
+DOT = rf"(?:\.|\s\.\s|[\s_]?[\[({{<]\s?(?:{WORD_DOT}|\.)\s?[\])}}>][\s_]?|[\s_](?:{WORD_DOT})[\s_])"
+#: At mark, a label of a host (63 letters at most), dot mark.
+HOST = re.compile(rf"{AT}[\s_]?[A-Za-z0-9-]{{1,63}}{DOT}[A-Za-z0-9]", re.I)
+LOCAL_CHARS, ADDRESS_CHARS = 64, 254  # the longest local part and address that mail takes
+#: Digits with at most five signs or words for a dot between each two of them.
+STRETCH = re.compile(rf"[0-9](?:(?:[^\w\n]|_|{WORD_DOT}){{0,5}}[0-9])*", re.I)
+LEAST_DIGITS = 7  # of a number that is no IP address
+BESIDE = 3  # signs of a number before its first and after its last digit
 
 
 def luhn(digits: str) -> bool:
@@ -92,44 +106,141 @@ def _small(part: str) -> bool:
 
 
 def plausible(kind: int, found: str) -> bool:
-    """What an added span of the kind must show."""
-    digits = re.sub(r"[^0-9]", "", found)
+    """What an added span of the kind must show, however it is spelled."""
     if kind == 0:
-        return bool(SPELLED.fullmatch(found))
+        at = HOST.search(found)
+        return at is not None and len(found) <= ADDRESS_CHARS and any(c.isalnum() for c in found[: at.start()]) and at.start() <= LOCAL_CHARS
+    m = STRETCH.search(found)
+    if m is None or m.start() > BESIDE or len(found) - m.end() > BESIDE:
+        return False
+    groups = re.findall(r"[0-9]+", found)
+    n = sum(map(len, groups))
     if kind == 1:
-        parts = re.findall(r"[0-9]+", found)
-        return len(parts) == 4 and all(_small(p) for p in parts) and bool(re.fullmatch(r"[0-9]+((\s?\.\s?|\[\.\]|\(\.\))[0-9]+){3}", found))
+        return len(groups) == 4 and all(_small(p) for p in groups)
     if kind == 2:
-        return 13 <= len(digits) <= 19 and luhn(digits) and bool(re.fullmatch(r"[0-9][0-9 .\-]*[0-9]", found))
-    return 9 <= len(digits) <= 15 and bool(re.fullmatch(r"[+(]?[0-9][0-9 ().\-/]*[0-9]", found)) and bool(re.search(r"[ ().\-/]", found))
+        return 13 <= n <= 19 and luhn("".join(groups))
+    return LEAST_DIGITS <= n <= 15
+
+
+def places(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Where an added span may lie: around stretches of digits and marks of hosts that no base span covers."""
+    starts, ends = [s for s, _, _ in base], list(accumulate((e for _, e, _ in base), max))  # base is sorted by start
+
+    def covered(a: int, b: int) -> bool:
+        i = bisect_right(starts, a)
+        return i > 0 and ends[i - 1] >= b
+
+    out = []
+    if DIGITS.search(text):
+        for m in STRETCH.finditer(text):
+            if m.end() - m.start() < LEAST_DIGITS:
+                continue
+            groups = re.findall(r"[0-9]+", m.group())
+            if (len(groups) >= 4 or sum(map(len, groups)) >= LEAST_DIGITS) and not covered(*m.span()):
+                out.append((max(0, m.start() - BESIDE), min(len(text), m.end() + BESIDE)))
+    for m in HOST.finditer(text):
+        if not covered(m.start(), m.start() + 1):
+            out.append((max(0, m.start() - LOCAL_CHARS), min(len(text), m.start() + ADDRESS_CHARS)))
+    return out
+
+
+def _digits(r: random.Random, n: int) -> str:
+    return "".join(r.choice("0123456789") for _ in range(n))
+
+
+def _word(r: random.Random, a: int, b: int) -> str:
+    return "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(a, b)))
+
+
+def _mark(r: random.Random, sign: str, words: str) -> str:
+    """A sign of an address in brackets, between spaces, or as a word."""
+    word = r.choice([sign, *[words.split("|")[0]] * 3, *words.split("|")])
+    word = r.choice([word, word, word.upper()])
+    if r.random() < 0.6:
+        left, right = r.choice(["[]", "()", "()", "{}", "<>"])
+        return r.choice(["", " "]) + r.choice([f"{left}{word}{right}", f"{left}{word}{right}", f"{left} {word} {right}"]) + r.choice(["", " "])
+    return r.choice([" {} ", " {} ", " {} ", "_{}_"]).format(word)
+
+
+def _made_email(r: random.Random) -> str:
+    labels = [_word(r, 2, 11) + r.choice(["", "", "", _digits(r, 1)]) for _ in range(r.choice([1, 1, 1, 2, 3]))] + [r.choice(["com", "org", "net", "de", "fr", "es", "info", "io", "edu", _word(r, 2, 3)])]
+    name = [_word(r, 2, 10) for _ in range(r.choice([1, 1, 2]))]
+    if r.random() < 0.3:
+        name[-1] += _digits(r, r.randint(1, 3))
+    form = r.random()
+    if form < 0.35:
+        out = r.choice([".", "_", "-"]).join(name) + "@" + ".".join(labels)
+    else:
+        at = r.choice(["@", " @ ", " @", "@ "]) if form < 0.5 else _mark(r, "@", WORD_AT)
+        dot = r.choice([".", ".", " . "]) if r.random() < 0.4 or (at == "@" and form < 0.5) else _mark(r, ".", WORD_DOT)
+        out = r.choice([".", "_", "-", dot]).join(name) + at + dot.join(labels)
+    return r.choice([out, out, out, out.capitalize(), out.title(), out.upper()])
+
+
+def _made_ip(r: random.Random) -> str:
+    parts = [str(r.randint(0, 255)) for _ in range(4)]
+    dot = r.choice([".", ".", ".", " . ", ". ", " .", "-", " - ", "_", ":", "/", ",", _mark(r, ".", WORD_DOT), _mark(r, ".", WORD_DOT), _mark(r, ".", WORD_DOT)])
+    seams = [dot] * 3
+    if dot == "." and r.random() < 0.6:
+        seams[r.randrange(3)] = r.choice([" .", ". ", " . ", "[.]", ". ."[:2]])
+    return "".join(a + b for a, b in zip(parts, [*seams, ""]))
+
+
+def _made_card(r: random.Random) -> str:
+    n = r.choice([13, 14, 15, 16, 16, 16, 16, 16, 19])
+    body = _digits(r, n - 1)
+    full = next(body + c for c in "0123456789" if luhn(body + c))
+    cut = [4, 10] if n in (14, 15) and r.random() < 0.7 else list(range(4, n, 4))
+    if r.random() < 0.1:
+        cut = sorted(r.sample(range(2, n - 1), r.randint(1, 3)))
+    seam = r.choice(["", "", " ", "-", ".", "_", "/", "  ", " - ", ":", ", ", "--", " . "])
+    return seam.join(full[a:b] for a, b in zip([0, *cut], [*cut, n]))
+
+
+def _made_phone(r: random.Random) -> str:
+    seam = r.choice([" ", " ", "-", "-", ".", "/", " - ", "_", "  "])
+    country = r.choice(["", "", "", "", "", "+", "00", "(+", "plain", "("])
+    area = r.choice(["", "", "0"]) + _digits(r, r.randint(2, 4))
+    rest = seam.join(_digits(r, r.choice([2, 2, 3, 3, 4, 4])) for _ in range(r.choice([1, 2, 2, 3])))
+    if r.random() < 0.25:
+        rest, seam = _digits(r, r.randint(6, 8)), r.choice([" ", "-", "/", " / ", ".", " - "])
+    if r.random() < 0.15:
+        area, rest, seam = "0" + _digits(r, 1), " ".join(_digits(r, 2) for _ in range(4)), " "
+        rest = rest.replace(" ", seam := r.choice([" ", ".", "-", "/"]))
+    area = r.choice([area, area, area, f"({area})", f"({area})", f"(0){area.lstrip('0') or '2'}", f"0 {area.lstrip('0') or '2'}"])
+    number = area + (r.choice(["", " "]) if area.endswith(")") else seam) + rest
+    if country:
+        digits = _digits(r, r.randint(1, 3))
+        number = {"+": f"+{digits}", "00": f"00{digits}", "(+": f"(+{digits})", "(": f"(00{digits})", "plain": digits}[country] + r.choice([" ", seam, seam, "-"]) + number
+    n = len(DIGITS.findall(number))
+    return number if LEAST_DIGITS < n <= 15 and plausible(3, number) else _made_phone(r)
 
 
 def _made(r: random.Random, kind: int) -> str:
     """One piece of personal data in one of its spellings."""
-    d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
-    w = lambda a, b: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(a, b)))
-    if kind == 0:
-        host = ".".join([w(2, 11) + r.choice(["", "", d(1)]) for _ in range(r.choice([1, 1, 2, 3]))] + [r.choice(["com", "org", "net", "de", "fr", "es", "info"])])
-        name = w(2, 10) + r.choice(["", ".", "_", "-"]) + r.choice(["", d(2), w(2, 9)])
-        return r.choice([f"{name}@{host}"] * 4 + [f"{name} @ {host}", f"{name}@{host.replace('.', ' . ')}", f"{name.capitalize()}@{host}", f"{name} (at) {host}", f"{name}[at]{host.replace('.', '[dot]')}", f"{name} (at) {host.replace('.', ' (dot) ')}"])
-    if kind == 1:
-        parts = [str(r.randint(0, 255)) for _ in range(4)]
-        return r.choice([".".join(parts)] * 4 + ["[.]".join(parts), " . ".join(parts)])
-    if kind == 2:
-        n = r.choice([15, 16, 16, 16, 19])
-        body = d(n - 1)
-        full = next(body + c for c in "0123456789" if luhn(body + c))
-        return r.choice([full, full, full, " ".join(full[i : i + 4] for i in range(0, n, 4)), "-".join(full[i : i + 4] for i in range(0, n, 4)), ".".join(full[i : i + 4] for i in range(0, n, 4))])
-    a, b, c = d(3), d(3), d(4)
-    return r.choice([f"+{d(1)} ({a}) {b}-{c}"] * 3 + [f"+{d(2)} {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{d(2)}-{d(2)}-{d(4)}-{d(4)}", f"00{d(2)} {d(3)} {d(6)}"])
+    while True:
+        found = (_made_email, _made_ip, _made_card, _made_phone)[kind](r)
+        if plausible(kind, found):
+            return found
 
 
 def _look_alike(r: random.Random) -> str:
-    d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    d, n, word = lambda n: _digits(r, n), r.randint, lambda a, b: _word(r, a, b)
+    hexes = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    clock = lambda: f"{n(0, 23):02}:{n(0, 59):02}" + r.choice(["", f":{n(0, 59):02}", f":{n(0, 59):02}.{d(3)}"])
+
+    def date() -> str:
+        year, month, day = n(1900, 2030), n(1, 12), n(1, 28)
+        return r.choice([f"{year}-{month:02}-{day:02}", f"{day:02}.{month:02}.{year}", f"{month}/{day}/{year}", f"{year}/{month:02}/{day:02}", f"{day}-{month}-{year}"])
+
     return r.choice([
-        f"Version {d(1)}.{d(1)}", f"CC BY {d(1)}.0.{d(1)}", f"{r.randint(1900, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}", f"{d(2)}:{d(2)}:{d(2)}", f"v{d(1)}.{d(2)}.{d(1)}", f"{d(1)},{d(3)},{d(3)}", f"page {d(3)}", "".join(r.choice("0123456789abcdef") for _ in range(16)),
-        "AKIA" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(16)), f"password={''.join(r.choice('0123456789abcdef') for _ in range(16))}", "@" + r.choice(["home", "work", "user1"]), f"{d(4)} {d(4)}", f"#{d(5)}", f"{d(3)}.{d(2)}", d(r.randint(1, 9)), d(r.randint(20, 30)), f"{d(4)}-{d(4)}", f"{d(1)} + {d(1)}", f"ISBN {d(3)}-{d(1)}-{d(4)}",
-    ])
+        date, date, lambda: f"{date()} {clock()}", lambda: f"{date()}T{clock()}", clock, lambda: f"{date()} - {date()}", lambda: f"{n(1900, 2030)}-{n(1900, 2030)}", lambda: f"Version {d(1)}.{d(1)}", lambda: f"v{d(1)}.{d(2)}.{d(1)}", lambda: f"CC BY {d(1)}.0.{d(1)}",
+        lambda: f"{d(1)},{d(3)},{d(3)}", lambda: f"{d(2)}.{d(3)}.{d(3)},{d(2)}", lambda: f"{d(1)} {d(3)} {d(3)}", lambda: f"page {d(3)}", lambda: f"pp. {d(3)}-{d(3)}", lambda: hexes(16), lambda: f"{hexes(8)}-{hexes(4)}-{hexes(4)}-{hexes(12)}",
+        lambda: "AKIA" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(16)), lambda: f"password={hexes(16)}", lambda: "@" + r.choice(["home", "work", "user1"]), lambda: f"#{d(5)}", lambda: f"{d(n(1, 3))}.{d(n(1, 10))}", lambda: " ".join(f"{d(1)}.{d(2)}" for _ in range(n(2, 5))), lambda: d(n(1, 12)), lambda: d(n(7, 19)), lambda: d(n(20, 30)),
+        lambda: f"{d(4)} {d(4)} {d(4)} {d(4)}", lambda: f"{d(4)}-{d(4)}-{d(4)}-{d(4)}", lambda: f"{d(4)} {d(4)}", lambda: f"{d(1)} + {d(1)} = {d(2)}", lambda: f"ISBN {d(3)}-{d(1)}-{d(4)}-{d(4)}-{d(1)}", lambda: f"ISBN {d(1)}-{d(3)}-{d(5)}-{d(1)}", lambda: f"{d(2)}.{d(4)}, {d(2)}.{d(4)}",
+        lambda: f"{n(256, 999)}.{d(3)}.{d(1)}.{d(2)}", lambda: f"{d(1)}.{d(1)}.{d(1)}.{d(1)}.{d(1)}", lambda: f"[{d(1)}, {d(1)}, {d(2)}, {d(2)}]", lambda: f"({d(2)}, {d(2)}, {d(2)})", lambda: ", ".join(d(n(1, 4)) for _ in range(n(3, 7))), lambda: " ".join(d(1) for _ in range(n(4, 9))),
+        lambda: f"{d(3)} x {d(3)} x {d(3)}", lambda: f"{d(2)}:{d(2)}-{d(2)}:{d(2)}", lambda: f"we met at {word(3, 9)}.", lambda: f"look at {word(3, 9)}.{word(2, 3)}", lambda: f"{word(3, 9)} (at {word(3, 8)})", lambda: f"{word(3, 7)}.{word(2, 3)}",
+    ])()
 
 
 def labelled_windows(contexts: list[str], n: int = TRAINING_WINDOWS, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -147,9 +258,11 @@ def labelled_windows(contexts: list[str], n: int = TRAINING_WINDOWS, seed: int =
                 piece = re.sub(r"[0-9@]", "", piece)
             text, tags = text + piece + r.choice([" ", " ", " ", "\n", ": ", ", "]), tags + [0] * (len(piece) + 1)
             tags += [0] * (len(text) - len(tags))
-            kind = r.choice([0, 1, 2, 3, None, None, -1])
+            kind = r.choice([0, 0, 1, 2, 3, 3, None, None, -1])
             if kind is None or kind < 0:
                 found = _look_alike(r) if kind is None else ""
+                if plausible(2, found):  # a card by its digits
+                    found = ""
                 tags += [0] * len(found)
             else:
                 found = _made(r, kind)
@@ -178,13 +291,26 @@ def windows(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return text, (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)) * STRIDE
 
 
-def tagged(tagger: M.Tagger, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tags of all characters of all texts, their posteriors where a tag isn't 0, and where each text begins."""
+def tagged(tagger: M.Tagger, texts: list[str], where: list[list[tuple[int, int]]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tags of all characters of all texts, their posteriors where a tag isn't 0, and where each text begins; outside of where, if given, tags are 0."""
     size = np.array([len(t) for t in texts], np.int64)
     base = np.r_[0, np.cumsum(size)]
-    codes = np.r_[M.encode("".join(texts)), np.full(WINDOW, M.PADDING)]
     text, start = windows(size)
+    low = np.where(start > 0, MARGIN, 0)
+    high = np.where(start + WINDOW < size[text], WINDOW - MARGIN, size[text] - start)
     tags, sure = np.zeros(base[-1], np.int64), np.zeros(base[-1], np.float32)
+    wanted = np.ones(base[-1], bool)
+    if where is not None:
+        wanted[:] = False
+        for b, found in zip(base, where):
+            for s, e in found:
+                wanted[b + s : b + e] = True
+        before = np.r_[0, np.cumsum(wanted)]
+        needed = before[base[text] + start + high] > before[base[text] + start + low]
+        text, start, low, high = text[needed], start[needed], low[needed], high[needed]
+    if not len(text):
+        return tags, sure, base
+    codes = np.r_[M.encode("".join(texts)), np.full(WINDOW, M.PADDING)]
     span = np.arange(WINDOW)
     for k in range(0, len(text), BATCH):
         of, at = text[k : k + BATCH], start[k : k + BATCH]
@@ -195,17 +321,15 @@ def tagged(tagger: M.Tagger, texts: list[str]) -> tuple[np.ndarray, np.ndarray,
             continue
         posterior = np.take_along_axis(tagger.marginals(x[found]), best[:, :, None], 2)[:, :, 0]
         for row, w in enumerate(found):
-            i, a = of[w], at[w]
-            low = MARGIN if a else 0
-            high = WINDOW - MARGIN if a + WINDOW < size[i] else size[i] - a
-            to = slice(base[i] + a + low, base[i] + a + high)
-            tags[to], sure[to] = best[row, low:high], posterior[row, low:high]
-    return tags, sure, base
+            i, a, l, h = of[w], at[w], low[k + w], high[k + w]
+            to = slice(base[i] + a + l, base[i] + a + h)
+            tags[to], sure[to] = best[row, l:h], posterior[row, l:h]
+    return np.where(wanted, tags, 0), sure, base
 
 
 def added_spans(tagger: M.Tagger, texts: list[str], base: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
     """Spans of each text that the tagger adds to its base spans."""
-    tags, sure, begin = tagged(tagger, texts)
+    tags, sure, begin = tagged(tagger, texts, [places(t, b) for t, b in zip(texts, base)])
     on = np.flatnonzero(tags)
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     if not len(on):
@@ -228,10 +352,12 @@ def added_spans(tagger: M.Tagger, texts: list[str], base: list[list[tuple[int, i
             e += 1
         candidates.setdefault(i, []).append((-float(sure[on[a] : on[b - 1] + 1].min()), s, e, int(kind[a])))
     for i, found in candidates.items():
-        taken = [(s, e) for s, e, _ in base[i]]
+        taken = np.zeros(len(texts[i]), bool)
+        for s, e, _ in base[i]:
+            taken[s:e] = True
         for p, s, e, k in sorted(found):
-            if -p >= SURE and s < e and plausible(k, texts[i][s:e]) and all(e <= a or s >= b for a, b in taken):
-                taken.append((s, e))
+            if -p >= SURE and s < e and plausible(k, texts[i][s:e]) and not taken[s:e].any():
+                taken[s:e] = True
                 out[i].append((s, e, k))
     return out
 
@@ -267,7 +393,7 @@ def find_pii(docs: DataFrame, steps: int = STEPS) -> DataFrame:
     """One row per row of docs: doc_id, base and spans (array of kind, start, end), in code points, end exclusive.
 
     Null and empty texts have no spans. Rows are judged each by itself; repeated rows give repeated
-    results, a null doc_id stays null. A text of any length is read whole, in a batch of its own; of
+    results, a null doc_id stays null. A text of any length is read whole, a very long one in a batch of its own; of
     added spans that overlap, the surer one stays, of equally sure ones the first. Without any text to
     learn contexts from, a fixed one serves.
     """

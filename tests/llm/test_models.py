@@ -16,7 +16,7 @@ from radarq.llm import audio, html_text, packing, pii, token_rollup, tokens, tox
 from radarq.llm import bilstm_crf as M
 from radarq.llm import common as C
 
-from . import plain
+from . import plain, spellings
 from .conftest import odd, table
 
 ODD_TEXTS = [None, "", "\n", "a", "é́ ß ﬁ 中文 \U0001f600", "<|endoftext|>", "İstanbul ǅ", "x" * 70000]
@@ -102,6 +102,54 @@ def test_added_spans_in_documents(tagger, rows):
     assert sum(map(len, pii.added_spans(tagger, plain_texts, [base(t) for t in plain_texts]))) <= 0.02 * len(rows)
 
 
+def planted(rows, found, r):
+    """Texts of rows with each found at ten places, and where."""
+    pool = [t for _, t in rows if t and " " in t]
+    for kind, what in found:
+        for _ in range(10):
+            text = r.choice(pool)
+            at = r.choice([i for i, c in enumerate(text) if c == " "]) + 1
+            yield f"{text[:at]}{what}{r.choice([' ', '. ', ', '])}{text[at:]}", (at, at + len(what), kind)
+
+
+def hits(tagger, rows, found):
+    texts, want = zip(*planted(rows, found, random.Random(8)))
+    spans = [[*b, *a] for b, a in zip(map(base, texts), pii.added_spans(tagger, texts, [base(t) for t in texts]))]
+    exact = sum(w in s for w, s in zip(want, spans)) / len(want)
+    return exact, sum(any(a < w[1] and b > w[0] for a, b, _ in s) for w, s in zip(want, spans)) / len(want)
+
+
+def test_spellings_of_another_hand(tagger, rows):
+    """Spellings that were not made by the generator are found to the character; look-alikes are left alone."""
+    assert all(pii.plausible(k, s) for k, s in spellings.SPELLINGS + spellings.UNSEEN)
+    seen, unseen, alike = hits(tagger, rows, spellings.SPELLINGS), hits(tagger, rows, spellings.UNSEEN), hits(tagger, rows, [(9, s) for s in spellings.LOOK_ALIKES])
+    print("spellings:", seen, "unseen:", unseen, "look-alikes:", alike)
+    assert seen[0] >= 0.7 and unseen[0] >= 0.6 and alike[1] <= 0.1
+
+
+def test_places_lose_no_span(tagger, rows):
+    """What may be added lies in a place as a whole; windows that reach into none change no tag in one."""
+    texts = [t for t, _ in planted(rows, spellings.SPELLINGS, random.Random(5))][::7]
+    where = [pii.places(t, base(t)) for t in texts]
+    tags, sure, begin = pii.tagged(tagger, texts)
+    there = np.zeros(len(tags), bool)
+    for b, found in zip(begin, where):
+        for s, e in found:
+            there[b + s : b + e] = True
+    got = pii.tagged(tagger, texts, where)
+    assert np.array_equal(got[0], np.where(there, tags, 0)) and np.allclose(got[1][there], sure[there], atol=1e-5)
+    for kind, what in spellings.SPELLINGS + spellings.UNSEEN:
+        text = f"so it is {what} as told"
+        assert any(s <= 9 and e >= 9 + len(what) for s, e in pii.places(text, []))
+    r = random.Random(4)
+    alphabet = "0123456789" * 3 + " .-()+/_,ab@\n"
+    for _ in range(3000):
+        text = "".join(r.choice(alphabet) for _ in range(40)) if r.random() < 0.7 else f"{pii._made(r, r.randrange(4))} {pii._made(r, r.randrange(4))}"
+        a, b = sorted(r.sample(range(len(text) + 1), 2))
+        if any(pii.plausible(k, text[a:b]) for k in range(4)):
+            assert any(s <= a and e >= b for s, e in pii.places(text, []))
+
+
 def test_spans_do_not_depend_on_the_windows(tagger):
     """A long span is found wherever it lies in the windows."""
     mail = "anna.last7[at]example[dot]net"
