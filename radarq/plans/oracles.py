@@ -191,6 +191,7 @@ def _text(ms: str) -> str:
 _SENSOR_TEXT = "printf('%d [%d/%d] ', seq, sac, sic)"
 _TIMES = f"printf('[%s] [%s] (%.4f)', {_text('ms')}, {_text('stamp')}, n % 50 / 128.0::DOUBLE)"
 _MARKS = "CASE WHEN {0} * 13 % 32768 // 16384 = 1 THEN 'G' ELSE '' END || CASE WHEN {0} * 13 % 65536 // 32768 = 1 THEN 'I' ELSE '' END || CASE WHEN {0} * 13 % 16384 // 8192 = 1 THEN 'S' ELSE '' END"
+# Names of types as lines print them.
 _LINES = {
     1: f"printf('[%s%s] [AZI %.3f] [DST %.3f] [MODEA %s%s] [FL%03d] r%d [na] (%.3f) [%s] (0.0000)', ['NODET', 'PSR', 'SSR', 'CMB'][n % 4 + 1], CASE WHEN n % 2 = 1 THEN 'TRN' ELSE '' END, {THETA}, (n * 104729 % 65536) / 128.0::DOUBLE, printf('%04o', n * 13 % 4096), {_MARKS.format('n')}, {FEET}, n % 127, (n * 331 % 65536) / 128.0::DOUBLE, {_text('stamp')})",
     2: f"printf('[%s] ', ['NORTE', 'SECTOR'][n % 2 + 1]) || {_TIMES}",
@@ -210,6 +211,7 @@ _theirs = {
     1: {"theta", "rho", "modea", "modea_v", "modea_g", "modea_l", "modec", "responses", "tod_trunc"}, 10: {"theta", "rho", "tod"}, 20: {"x", "y", "tod"}, 34: {"tod"},
     48: {"theta", "rho", "modea", "modea_v", "modec", "modes", "aid", "tod"},
 }
+# Names of types in the public format.
 _made = {
     (1, "type_name"): "['NODET', 'PSR', 'SSR', 'CMB'][type + 1]", (10, "type_name"): "'TARGET'", (34, "type_name"): "type_name",
     (20, "type_name"): "CASE type WHEN 1 THEN 'OTHER' WHEN 2 THEN 'DME' WHEN 4 THEN 'UAT' WHEN 8 THEN 'VDL4' WHEN 16 THEN 'HF' WHEN 32 THEN 'MODE_S' WHEN 64 THEN 'NON_MODE_S' END",

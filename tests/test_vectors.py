@@ -29,6 +29,7 @@ def has(row, **want):
     assert {k: row[k] for k in want} == want
 
 
+# A few packets of this file are public sample data.
 def test_service_messages(spark):
     north, marker, period, picture = plots(spark, "02 00 0A D0 14 82 01 91 C8 ED", "22 00 0A E0 14 82 01 91 C8 ED", "13 00 0A E0 14 82 02 91 C8 ED", "08 00 0B C1 80 14 82 FE 91 C8 ED")
     for row, name in ((north, "NORTH"), (marker, "NORTH"), (period, "PERIODIC"), (picture, "SOP")):
