@@ -75,7 +75,7 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @Q.query
 def stream_full_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drain(live.full_times(Q.truncated(spark, sf_dir, streamed))).select("seq", "cat", "tod_full")
+    return drain(live.full_times(Q.truncated(spark, sf_dir, streamed), wide=True)).select("seq", "cat", "tod_full")
 
 
 @Q.query

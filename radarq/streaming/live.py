@@ -18,7 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions import codes
 from ..operators import stats
 from ..operators.replies import LEAST_REPLIES, Open, join_open
-from ..operators.timing import LAST_HIGH, NEAR, TURN_HIGH, TURN_LOW, WRAP
+from ..operators.timing import completed
 from ..sources.hadoop import Store
 
 #: Longer than the largest delay that counts.
@@ -83,7 +83,7 @@ def drop_duplicates_roughly(blocks: DataFrame, horizon: str = "4 seconds") -> Da
     return told.dropDuplicatesWithinWatermark(["_key"]).drop("_key")
 
 
-def full_times(plots: DataFrame) -> DataFrame:
+def full_times(plots: DataFrame, wide: bool = False) -> DataFrame:
     """Adds tod_full, as the batch operator of this name; rows of a sensor come in order of seq within a batch.
 
     A sensor's state is two numbers: its last full time and the last truncated one.
@@ -99,12 +99,9 @@ def full_times(plots: DataFrame) -> DataFrame:
             if cat in (2, 19) and full is not None:
                 high, p = divmod(round(full * 128), 65536)
             elif cat == 1 and not pd.isna(short):
-                full, q = None, round(short * 128)
-                d, turned = abs(q - p), TURN_LOW < abs(q - p) <= TURN_HIGH
+                full = None
                 if high >= 0:
-                    move = 0 if d <= NEAR else -high if turned and high == LAST_HIGH else LAST_HIGH if turned and high == 0 else (-1 if q > p else 1) if d > WRAP else None
-                    full = None if move is None else ((high + move) * 65536 + q) / 128.0
-                    p = q if d <= NEAR else p
+                    full, p = completed(high, p, round(short * 128), wide)
             out.append(full)
         if high >= 0:
             state.update((int(high), int(p)))

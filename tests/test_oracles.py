@@ -61,3 +61,18 @@ def test_generated_code_compiles(spark, small, name):
     finally:
         for key in ("spark.sql.codegen.fallback", "spark.sql.codegen.factoryMode"):
             spark.conf.unset(key)
+
+
+@pytest.mark.parametrize("start", [173_500, 298_700, 350])
+@pytest.mark.parametrize("name", ["truncated_time_asof", "truncated_time_turn", "stream_full_times"])
+def test_truncated_times_long_after_a_mark(spark, tmp_path, name, start):
+    """Some 65 s of plots without a mark, over a wrap of the truncated time (event 173,608) and over midnights (298,897 and, of the query that starts before one, 500)."""
+    kind = lambda i: "view" if i < 10 or i > 240 else "click"
+    rows = [(start + i, 3 * i, kind(i)) for i in range(300)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    df = QUERIES[name](spark, str(tmp_path))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    rel = c.sql(ORACLES[name])
+    got = sorted(tuple(x) for x in df.select(*rel.columns).collect())
+    assert len(got) == 300 and got == sorted(rel.fetchall())

@@ -173,6 +173,26 @@ def test_what_plots_do_to_a_time_that_enters():
             assert timing.through(p, pieces) == want
 
 
+@pytest.mark.parametrize(
+    "mark, plot, want",
+    [(0x2A1C0F, 0xFFC3, 0x29FFC3), (0x2AFFC0, 0x1C00, 0x2B1C00), (0x2AFFC0, 0x2900, None), (0xA8BFF0, 0x1000, 0x001000), (0x001000, 0xBFE8, 0xA8BFE8), (0xA8BFD8, 0xFFEC, -20), (0x330007, 0xFFED, 0x32FFED), (0x100000, 0x5000, None)],
+)
+def test_wide_truncated_times(spark, mark, plot, want):
+    """What is past a wrap or a day's turn may be as far from the last time as what is not."""
+    rows = [(0, 20, 130, 2, mark / 128, None), (1, 20, 130, 1, None, plot / 128)]
+    df = spark.createDataFrame(rows, "seq long, sac int, sic int, cat int, tod double, tod_trunc double")
+    for slot in (1, 65536):
+        assert timing.full_times(df, slot=slot, wide=True).filter("seq = 1").first().tod_full == (None if want is None else want / 128)
+
+
+def test_wide_only_adds_times():
+    r = random.Random(5)
+    for _ in range(200_000):
+        high, p, q = r.choice((0, 0, 1, 77, 0xA7, 0xA8, 0xA8)), r.randrange(65536), r.randrange(65536)
+        known, wide = timing.completed(high, p, q), timing.completed(high, p, q, wide=True)
+        assert known == wide or known[0] is None and known[1] == wide[1]
+
+
 def statistics(spark, delays, cat=1, **options):
     df = spark.createDataFrame([(1, 1, cat, 0, float(d)) for d in delays], "sac int, sic int, cat int, window_start long, delay double")
     return stats.delay_statistics(df, **options).collect()
