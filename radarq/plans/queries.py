@@ -358,7 +358,7 @@ def truncated(spark: SparkSession, sf_dir: str, table: S.Table = S.table, start:
 
 @query
 def truncated_time_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timing.full_times(truncated(spark, sf_dir)).select("seq", "cat", "tod_full")
+    return timing.full_times(truncated(spark, sf_dir), wide=True).select("seq", "cat", "tod_full")
 
 
 @query
