@@ -364,7 +364,7 @@ def truncated_time_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def truncated_time_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """truncated_time_asof around midnight: plots of the day before come after marks of the new one."""
-    return timing.full_times(truncated(spark, sf_dir, start=S.DAY128 - 18_500)).select("seq", "cat", "tod_full")
+    return timing.full_times(truncated(spark, sf_dir, start=S.DAY128 - 18_500), wide=True).select("seq", "cat", "tod_full")
 
 
 def repeated(spark: SparkSession, sf_dir: str, table: S.Table = S.table) -> DataFrame:
