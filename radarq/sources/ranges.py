@@ -20,6 +20,7 @@ LONGEST = 65535  # bytes of a block: its length has two
 REGION = 1 << 17
 FEW = 4  # walks that go on one by one
 NOWHERE = -1
+INDEX_BYTES = 4 << 16  # a map has up to 64 KiB of entries, however short its range; so it is of so many bytes at least
 
 INDEX = "path string, k long, entry long, seq long"
 MAP = "path string, k long, start long, header long, which binary, frames binary, leaves binary"
@@ -135,6 +136,9 @@ def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if at == NOWHERE:
                 continue
             out.append((path, row["k"], at, seq))
+            if not row["frames"]:  # the file's last
+                at = NOWHERE
+                continue
             i = at - row["start"] if row["k"] else 0
             seq += int(np.frombuffer(row["frames"], np.int64)[i])
             at = int(np.frombuffer(row["leaves"], np.int64)[np.frombuffer(row["which"], np.int32)[i]])

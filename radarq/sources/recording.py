@@ -1,9 +1,9 @@
 """Recordings of framed messages, read from any file system that Spark reads.
 
-Files are cut into byte ranges, which tasks share. A file of one range is framed from its header on; of
-longer files, an index of each range's first frame is made beforehand (`ranges`), in parallel too. So one file
-may be as long as it likes. Where Python can't read from the middle of a file, Spark reads it whole,
-which works up to 2 GB.
+Files are cut into byte ranges, which tasks share; short ranges that follow each other make a stretch, which a task
+walks range by range. A file of one stretch is framed from its header on; of longer files, an index of each
+stretch's first frame is made beforehand (`ranges`), in parallel too. So one file may be as long as it likes. Where
+Python can't read from the middle of a file, Spark reads it whole, which works up to 2 GB.
 """
 
 from __future__ import annotations
@@ -55,19 +55,21 @@ def detect(head: bytes) -> Framing:
 
 
 def read_recording(
-    spark: SparkSession, path: str | list[str], format: str = "auto", framing: Framing | None = None, categories: tuple[int, ...] | None = None, light: bool = False, range_bytes: int = RANGE_BYTES
+    spark: SparkSession, path: str | list[str], format: str = "auto", framing: Framing | None = None, categories: tuple[int, ...] | None = None, light: bool = False, range_bytes: int = RANGE_BYTES, index_bytes: int = ranges.INDEX_BYTES
 ) -> DataFrame:
     """(source, seq, payload, trailer, recv_tod, src_ip, cat, len, sac, sic) of all blocks of all files; seq counts a file's blocks.
 
     format: ast, gps1, gps2, hensoldt, era, or auto, which tells the two timed kinds apart. framing
     overrides it with byte counts of one's own. categories: blocks of others are left out while framing,
-    before anything is copied. light: the columns of LIGHT only, and no block leaves the reader. A block that is cut
+    before anything is copied. light: the columns of LIGHT only, and no block leaves the reader. range_bytes: what is
+    read at a time; index_bytes: least length of a stretch that has its entry in the index. A block that is cut
     off, or whose length can't be, ends its file. Empty files have no blocks.
     """
     if framing is None and format != "auto" and format not in FRAMINGS:
         raise ValueError(f"unknown format {format!r}")
     kept = None if categories is None else np.isin(np.arange(256), categories)
     schema = LIGHT if light else BLOCK
+    stretch = range_bytes * max(1, index_bytes // range_bytes)
     finish = (lambda df: df) if light else with_header
 
     def chosen(head: bytes) -> Framing:
@@ -93,10 +95,13 @@ def read_recording(
                 with File(row["path"]) as file:
                     f = chosen(file.read(0, 40))
                     reach = f.before + ranges.LONGEST + f.behind + 1
-                    start, end, length = row["start"], min(row["start"] + range_bytes, row["length"]), row["length"]
-                    raw = file.read(start, end - start + reach)
+                    start, end, length = row["start"], min(row["start"] + stretch, row["length"]), row["length"]
+                    raw = file.read(start, end - start + reach) if end < length else b""
                 entries = np.arange(start, min(start + reach, length + 1)) if row["k"] else np.array([f.header])
-                which, frames, leaves = ranges.range_map(chain(raw, start, length, f), start, end, entries)
+                if end < length:
+                    which, frames, leaves = ranges.range_map(chain(raw, start, length, f), start, end, entries)
+                else:  # nothing follows
+                    which, frames, leaves = (np.array([], np.int64) for _ in range(3))
                 yield pa.RecordBatch.from_pydict({
                     "path": pa.array([row["path"]]), "k": pa.array([row["k"]], pa.int64()), "start": pa.array([start], pa.int64()), "header": pa.array([f.header], pa.int64()),
                     "which": [which.astype(np.int32).tobytes()], "frames": [frames.tobytes()], "leaves": [leaves.tobytes()],
@@ -107,21 +112,24 @@ def read_recording(
             for row in batch.to_pylist():
                 with File(row["path"]) as file:
                     f = chosen(file.read(0, 40))
-                    end, length = min(row["start"] + range_bytes, row["length"]), row["length"]
-                    at = f.header if length <= range_bytes else row["entry"]
-                    if at is None or at >= end:
-                        continue
-                    raw = file.read(at, end - at + f.before + ranges.LONGEST + f.behind)
-                yield from _rows(row["path"], row["seq"] or 0, raw, at, chain(raw, at, length, f).walk(at, end)[0], f, kept, light)
+                    at, seq, length = row["entry"] if row["k"] else f.header, row["seq"] or 0, row["length"]
+                    for lo in range(row["start"], min(row["start"] + stretch, length), range_bytes):
+                        end = min(lo + range_bytes, length)
+                        if at is None or at == ranges.NOWHERE or at >= end:
+                            continue
+                        raw = file.read(at, end - at + f.before + ranges.LONGEST + f.behind)
+                        places, after = chain(raw, at, length, f).walk(at, end)
+                        yield from _rows(row["path"], seq, raw, at, places, f, kept, light)
+                        at, seq = after, seq + len(places)
 
     files = spark.read.format("binaryFile").load(path).select("path", "length")
-    cuts = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("length") / range_bytes) - 1, F.lit(0)))
-    parts = files.select("path", "length", F.explode(cuts).alias("k")).withColumn("start", F.col("k") * range_bytes)
-    total = files.agg(F.count("*").alias("n"), F.sum("length").alias("bytes"), F.max("length").alias("longest")).head()
-    n_tasks = max(1, min(total["n"], spark.sparkContext.defaultParallelism), -(-(total["bytes"] or 0) // range_bytes))
+    count = F.greatest(F.ceil(F.col("length") / stretch), F.lit(1))
+    parts = files.select("path", "length", F.explode(F.sequence(F.lit(0), count - 1)).alias("k")).withColumn("start", F.col("k") * stretch)
+    total = files.agg(F.sum(count).alias("n"), F.sum("length").alias("bytes"), F.max("length").alias("longest")).head()
+    n_tasks = max(1, min(total["n"] or 0, max(spark.sparkContext.defaultParallelism, -(-(total["bytes"] or 0) // RANGE_BYTES))))
     parts = parts.repartition(n_tasks)
-    if (total["longest"] or 0) > range_bytes:
-        mapped = parts.filter(F.col("length") > range_bytes).mapInArrow(maps, ranges.MAP)
+    if (total["longest"] or 0) > stretch:
+        mapped = parts.filter(F.col("length") > stretch).mapInArrow(maps, ranges.MAP)
         index = mapped.repartition("path").sortWithinPartitions("path", "k").mapInArrow(ranges.chained, ranges.INDEX)
         parts = parts.join(index, ["path", "k"], "left").repartition(n_tasks)
     else:

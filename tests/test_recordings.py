@@ -113,6 +113,28 @@ def test_ranges_frame_as_the_serial_walk(spark, kind, damage):
         assert [(r.seq, bytes(r.payload)) for r in back] == [(i, p) for i, (_, p) in enumerate(want)]
 
 
+@pytest.mark.parametrize("kind", ["ast", "gps1", "gps2", "hensoldt", "era"])
+@pytest.mark.parametrize("damage", [None, 250])
+def test_stretches_of_ranges(spark, kind, damage):
+    """Stretches of one, two and nine ranges, each with its entry in the index, and ranges shorter than blocks."""
+    raw = recorded(kind, damage=damage)
+    want = [(i, p) for i, (_, p) in enumerate(serial(raw, recording.FRAMINGS[kind]))]
+    for size, index in ((9000, 1), (9000, 18_000), (1000, 9000), (len(raw) // 3, len(raw) // 3)):
+        back = recording.read_recording(spark, file_of(raw), kind, range_bytes=size, index_bytes=index).select("seq", "payload").orderBy("seq").collect()
+        assert [(r.seq, bytes(r.payload)) for r in back] == want
+
+
+def test_short_ranges_share_tasks(spark):
+    """A range of its own task costs more than it reads."""
+    raw, read = recorded("gps1", 3000), lambda size: recording.read_recording(spark, folder, "gps1", light=True, range_bytes=size)
+    folder = file_of(raw)
+    assert len(raw) > ranges.INDEX_BYTES
+    short = read(200)
+    assert short.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert sorted(map(tuple, short.collect())) == sorted(map(tuple, read(1 << 26).collect()))
+    assert -(-len(raw) // 200) > 1000
+
+
 def test_range_maps_of_every_entry():
     for kind in ("ast", "gps1", "hensoldt"):
         raw, f = recorded(kind, 60, seed=5), recording.FRAMINGS[kind]
