@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import clock
@@ -115,7 +115,32 @@ def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([tuple(sums.values())], ", ".join(f"{k} long" for k in sums))
 
 
-#: Files that a stream takes one by one, and which event comes how many files late.
+def quantiles(rows: DataFrame, column: str, parts: list[float], slot: int = 60_000_000) -> list[float]:
+    """Quantiles of a column of integers, between two of its values by their distance, as SQL's quantile_cont; exact, and no task holds all values.
+
+    Values are counted by slots, and numbered in the slots that hold one sought.
+    """
+    told = rows.filter(F.col(column).isNotNull()).select(F.col(column).alias("v"), F.floor(F.col(column) / slot).alias("s"))
+    so_far = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    slots = told.groupBy("s").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(so_far), F.lit(0))).persist()
+    try:
+        n = slots.agg(F.sum("n")).first()[0]
+        if not n:
+            return [float("nan")] * len(parts)
+        places = [(n - 1) * q for q in parts]
+        sought = sorted({min(x, n - 1) for p in places for x in (int(p), int(p) + 1)})
+        held = slots.select("s", "before", F.explode(F.array(*map(F.lit, sought))).alias("place")).filter((F.col("place") >= F.col("before")) & (F.col("place") < F.col("before") + F.col("n")))
+        least = held.groupBy("s").agg(F.first("before").alias("before"), F.collect_set("place").alias("places"))  # as many as are sought, at most
+        values = told.join(F.broadcast(least), "s").groupBy("s", "v").agg(F.count("*").alias("n"), F.first("before").alias("before"), F.first("places").alias("places"))
+        values = values.withColumn("to", F.col("before") + F.sum("n").over(Window.partitionBy("s").orderBy("v")))
+        found = values.select("v", F.explode("places").alias("place"), "to", "n").filter((F.col("place") < F.col("to")) & (F.col("place") >= F.col("to") - F.col("n"))).collect()
+    finally:
+        slots.unpersist()
+    at = {r.place: r.v for r in found}
+    return [at[int(p)] + (at[min(int(p) + 1, n - 1)] - at[int(p)]) * (p - int(p)) for p in places]
+
+
+#: Deliveries that a stream takes one by one, and which event comes how many deliveries late.
 LATE_FILES, LATE_EACH = 4, 7
 
 
@@ -123,16 +148,18 @@ LATE_FILES, LATE_EACH = 4, 7
 def stream_late_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events in four deliveries by time; every seventh of the first two comes with the next delivery but one, late, and corrects its window."""
     rows = Q.delays(spark, sf_dir)
-    edges = rows.select(F.percentile("us", [k / LATE_FILES for k in range(1, LATE_FILES)]).alias("e"))
+    edges = quantiles(rows, "us", [k / LATE_FILES for k in range(1, LATE_FILES)])
     own = F.lit(0)
     for k in range(LATE_FILES - 1):
-        own = own + (F.col("us") > F.col("e")[k]).cast("int")
-    dealt = rows.crossJoin(F.broadcast(edges)).withColumn("own", own).drop("e")  # of one row
-    dealt = dealt.withColumn("file", F.when((F.col("own") < 2) & (F.col("seq") % LATE_EACH == 0), F.col("own") + 2).otherwise(F.col("own"))).select("sac", "sic", "cat", "ts", "delay", "file")
+        own = own + (F.col("us") > F.lit(edges[k])).cast("int")
+    dealt = rows.withColumn("own", own).withColumn("file", F.when((F.col("own") < 2) & (F.col("seq") % LATE_EACH == 0), F.col("own") + 2).otherwise(F.col("own"))).select("sac", "sic", "cat", "ts", "delay", "file")
     folder = f"{shared_folder(spark)}/late-{uuid.uuid4().hex}"
     taken = live.LateRows(spark, f"{folder}/windows", period=3600)
-    for k in range(LATE_FILES):  # one delivery after the other
-        dealt.filter(F.col("file") == k).drop("file").coalesce(1).write.mode("append").parquet(f"{folder}/rows")
-    stream = spark.readStream.schema(dealt.drop("file").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/rows")
-    stream.writeStream.foreachBatch(lambda batch, n: taken.take(batch, n)).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    # dealt once: a filter on the delivery would be moved below what makes it, and work that out for each row many times over
+    dealt.write.partitionBy("file").parquet(f"{folder}/dealt")
+    dealt = spark.read.schema(dealt.schema).parquet(f"{folder}/dealt")
+    for k in range(LATE_FILES):  # one delivery after the other, each a batch of its own, of as many files as tasks write
+        dealt.filter(F.col("file") == k).drop("file").write.mode("append").parquet(f"{folder}/rows")
+        stream = spark.readStream.schema(dealt.drop("file").schema).parquet(f"{folder}/rows")
+        stream.writeStream.foreachBatch(taken.take).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return taken.windows().select(*stats.WINDOW, "n_late", "cuenta", "media", "mode", "p99")

@@ -3,12 +3,14 @@
 import random
 import tempfile
 
+import duckdb
 from pyspark.sql import functions as F
 
 from radarq.functions import clock
 from radarq.operators import dedup, replies, stats, timing
 from radarq.plans import queries as Q
-from radarq.plans.streams import drain
+from radarq.plans.oracles import ORACLES
+from radarq.plans.streams import drain, quantiles
 from radarq.streaming import live
 
 
@@ -30,6 +32,33 @@ def test_windows(spark, small):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
 
 
+def test_quantiles(spark):
+    """Exact, between values as SQL has them, without all values in one task."""
+    r = random.Random(8)
+    for n, most in ((1, 10), (2, 10), (7, 3), (1000, 50), (1001, 10**9)):
+        values = [r.randrange(-most, most) for _ in range(n)]
+        df = spark.createDataFrame([(v,) for v in [*values, None]], "us long").repartition(3)
+        want = duckdb.sql(f"SELECT quantile_cont(v, [0, 0.25, 0.5, 0.75, 1]) FROM (SELECT unnest({values})::BIGINT AS v)").fetchall()[0][0]
+        assert quantiles(df, "us", [0.0, 0.25, 0.5, 0.75, 1.0], slot=max(1, most // 20)) == want
+
+
+def test_late_windows_are_dealt_once_by_many_tasks(spark, tmp_path):
+    """Deliveries of several files are a batch each, and equal the SQL."""
+    rows = [(i, 10**6 * (1_704_067_200 + 37 * i), i % 50, ("click", "view", "error")[i % 3], i % 9 / 1.0) for i in range(3000)]
+    df = spark.createDataFrame(rows, "event_id long, us long, user_id long, event_type string, value double")
+    df = df.withColumn("ts", F.expr("timestamp_micros(us)").cast("timestamp_ntz")).drop("us")
+    df.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    c = duckdb.connect()
+    c.execute(f"SET TimeZone='UTC'; CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    rel = c.sql(ORACLES["stream_late_windows"])
+    out = Q.QUERIES["stream_late_windows"](spark, str(tmp_path))
+    assert sorted(map(tuple, out.select(*rel.columns).collect())) == sorted(rel.fetchall())
+    inputs = out.inputFiles()
+    folder = inputs[0].split("/windows/")[0]
+    assert spark.read.parquet(f"{folder}/windows/bins").select("batch").distinct().count() == 4
+    assert len(spark.read.parquet(f"{folder}/rows").inputFiles()) > 4
+
+
 def test_duplicates(spark, small):
     rows = Q.repeated(spark, small).withColumn("event_time", clock.timestamp_of(F.col("ts") + 1_000_000))
     got = drain(live.drop_duplicates(in_files(rows, "ts")))
