@@ -110,10 +110,13 @@ def availability_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def archive_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """availability_rollup by increments: windows of even hours, then of odd ones, and these again."""
-    windows = stats.delay_windows(delays(spark, sf_dir))
+    windows = stats.delay_windows(delays(spark, sf_dir)).persist()  # else each increment, and each look at one, would make them anew
     kept = archive.Archive(spark, f"{shared_folder(spark)}/archive-{uuid.uuid4().hex}")
-    for batch in (0, 1, 1):
-        kept.add(windows.filter(F.floor(F.col("window_start") / 3600) % 2 == batch), batch)
+    try:
+        for batch in (0, 1, 1):
+            kept.add(windows.filter(F.floor(F.col("window_start") / 3600) % 2 == batch), batch)
+    finally:
+        windows.unpersist()
     return rounded(kept.read(), "avg_media", "max_media", "min_media")
 
 

@@ -7,8 +7,6 @@ time and of nothing older, and slots that the ring has come round to are dropped
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,20 +35,27 @@ class Archive:
 
     def add(self, windows: DataFrame, batch: int) -> bool:
         """Take windows that have not been added before; False if the batch has been taken. Windows older than the archive reaches go."""
-        parts = []
-        for steps, _ in stats.ARCHIVE:
-            slot = clock.floor_to(F.col("window_start"), steps * self.period).alias("slot_start")
-            sums = windows.groupBy(*stats.SENSOR, slot).agg(F.count("*").alias("n_windows"), F.sum("media").alias("total"), F.max("media").alias("highest"), F.min("media").alias("lowest"))
-            parts.append(sums.withColumn("steps", F.lit(steps)))
-        new = reduce(DataFrame.unionByName, parts)
-        newest = windows.agg(F.max("window_start")).first()[0]
+        if self.table.taken(batch):
+            return False
+        slots = F.array(*(F.struct(F.lit(steps).alias("steps"), clock.floor_to(F.col("window_start"), steps * self.period).alias("slot_start")) for steps, _ in stats.ARCHIVE))
+        each = windows.select(*stats.SENSOR, "media", "window_start", F.explode(slots).alias("_slot")).groupBy("_slot.steps", *stats.SENSOR, "_slot.slot_start")
+        sums = F.count("*").alias("n_windows"), F.sum("media").alias("total"), F.max("media").alias("highest"), F.min("media").alias("lowest")
+        new = each.agg(*sums, F.max("window_start").alias("_newest")).persist()  # looked at for its last window and its buckets, then added
+        try:
+            newest = new.agg(F.max("_newest")).first()[0]
+            return self.table.deliver(new.drop("_newest"), self._summed(newest), batch)
+        finally:
+            new.unpersist()
+
+    def _summed(self, newest: int | None):
+        """Old and new sums together, without slots that the archive no longer reaches."""
 
         def summed(old: DataFrame, new: DataFrame) -> DataFrame:
             out = old.unionByName(new).groupBy("steps", *stats.SENSOR, "slot_start")
             out = out.agg(F.sum("n_windows").alias("n_windows"), F.sum("total").alias("total"), F.max("highest").alias("highest"), F.min("lowest").alias("lowest"))
             return out if newest is None else out.filter(self._kept(F.lit(newest)))
 
-        return self.table.deliver(new, summed, batch)
+        return summed
 
     def _kept(self, last):
         """Slots that the archive reaches back to from its last window."""

@@ -52,6 +52,10 @@ class StoredTable:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*(f"{self.store.folder}/{p}" for p in paths))
 
+    def taken(self, batch: int, stream: str = "") -> bool:
+        """Whether a stream's batch has been taken."""
+        return batch <= self.manifest()["batches"].get(stream, -1)
+
     def upsert(self, rows: DataFrame, order: tuple[str, ...], batch: int, stream: str = "") -> bool:
         """Put rows in place of those with their keys; of equal keys, the last by order. False if the stream's batch has been taken before.
 

@@ -3,9 +3,10 @@
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from radarq.sources import stored
+from radarq.sources import archive, stored
 
 SCHEMA = T.StructType([T.StructField("key", T.StringType()), T.StructField("region", T.StringType()), T.StructField("v", T.DoubleType())])
 
@@ -90,3 +91,19 @@ def test_another_file_system(spark):
     t.upsert(rows(spark, ("a", "x", 1)), ("n",), 0)
     t.upsert(rows(spark, ("a", "x", 2), ("b", "y", 1)), ("n",), 1)
     assert now(t) == {("a", "x"): 2.0, ("b", "y"): 1.0}
+
+
+def test_increments_make_their_windows_once(spark):
+    """An increment is looked at for its last window and its buckets, and added; a batch that comes again isn't made at all."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def told(x):
+        seen.add(1)
+        return x
+
+    kept = archive.Archive(spark, tempfile.mkdtemp(prefix="spark-") + "/archive")
+    rows = spark.createDataFrame([(1, 2, 48, 300 * i, i / 8) for i in range(40)], "sac int, sic int, cat int, window_start long, media double")
+    assert kept.add(rows.withColumn("media", told.asNondeterministic()("media")), 0) and seen.value == 40
+    assert not kept.add(rows.withColumn("media", told.asNondeterministic()("media")), 0) and seen.value == 40
+    assert kept.read().count() == 40 + 7 + 2 + 1
