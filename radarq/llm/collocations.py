@@ -15,9 +15,11 @@ for each frequent phrase. Cuts, scores, longer candidates and ranks are joins an
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -32,8 +34,11 @@ UNIT = 2_000_000
 BLOCK_TEXT = 4 << 20  # bytes of text in a block
 HELD_TEXT = 32 << 20  # of all languages together, before a task writes its largest
 SHARD_TEXT = 16 << 20  # a shard stands for
+SPELLED = 1 << 17  # phrases spelled out at once
+PART = 64 << 10  # bytes of a block's columns in a row: large cells fill the heap of an executor
+GROUP = {"parquet.block.size": 8 << 20}  # readers hold the rows of a row group at once
 
-BLOCKS = "block long, lang string, n long, words binary, ends binary, ids binary"
+BLOCKS = "block long, lang string, n long, part int, words binary, ends binary, ids binary"
 SENT = "shard int, block long, keys binary, counts binary"
 FREQUENT = "block long, shard int, frequent binary, sums binary, own binary"
 PHRASES = "lang string, phrase string, f long"
@@ -67,7 +72,7 @@ def word_ids(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of BLOCKS: a block holds one language, whole texts, and is numbered by its task."""
+    """Rows of BLOCKS: a block holds one language, whole texts, and is numbered by its task; its rows are parts of its columns, n is in the first."""
     held: dict[str, list[bytes]] = {}
     size: dict[str, int] = {}
     number = TaskContext.get().partitionId() << 32
@@ -77,10 +82,13 @@ def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = pa.array(held.pop(lang), pa.large_binary())
         size.pop(lang)
         words, ends, ids = word_ids(*C.binary_column(texts))
+        columns = {"words": words, "ends": ends.view(np.uint8), "ids": ids.view(np.uint8)}
+        cuts = range(0, max(1, *map(len, columns.values())), PART)
         number += 1
         return pa.RecordBatch.from_pydict({
-            "block": pa.array([number - 1], pa.int64()), "lang": [lang], "n": pa.array([np.count_nonzero(ids)], pa.int64()),
-            "words": C.packed([words]), "ends": C.packed([ends]), "ids": C.packed([ids]),
+            "block": pa.array([number - 1] * len(cuts), pa.int64()), "lang": [lang] * len(cuts),
+            "n": pa.array([np.count_nonzero(ids)] + [0] * (len(cuts) - 1), pa.int64()), "part": pa.array(range(len(cuts)), pa.int32()),
+            **{name: C.packed([x[i : i + PART] for i in cuts]) for name, x in columns.items()},
         })
 
     for batch in C.slices(batches, "data", 1 << 12):
@@ -129,18 +137,16 @@ def intervals(ids: np.ndarray, order: np.ndarray, common: np.ndarray, m: int) ->
 class Block:
     """A block's suffix array, and its phrases by shard in an order that each turn finds again."""
 
-    def __init__(self, row: pa.Table, n_shards: int):
-        self.lang, self.n_shards = row["lang"][0].as_py(), n_shards
-        self.raw, self.ends = C.read(row["words"][0], np.uint8).tobytes(), C.read(row["ends"][0], np.int64)
-        self.ids = C.read(row["ids"][0], np.uint32)
+    def __init__(self, rows: pa.Table, n_shards: int):
+        self.lang, self.n_shards = rows["lang"][0].as_py(), n_shards
+        parts = np.argsort(rows["part"].to_numpy()).tolist()
+        whole = lambda name: np.concatenate([C.read(rows[name][i], np.uint8) for i in parts])
+        self.raw, self.ends, self.ids = whole("words").tobytes(), whole("ends").view(np.int64), whole("ids").view(np.uint32)
         self.order, self.common = suffix_array(self.ids)
         seed = xxhash.xxh3_64_intdigest(self.lang.encode())
         hashes = [xxhash.xxh3_64_intdigest(self.raw[a:b], seed) for a, b in zip([0, *self.ends[:-1].tolist()], self.ends.tolist())]
         self.hashes = np.r_[np.uint64(0), np.array(hashes, np.uint64)]
 
-    def word(self, i: int) -> bytes:
-        return self.raw[self.ends[i - 2] if i > 1 else 0 : self.ends[i - 1]]
-
     def phrases(self, *lengths: int, pairs: np.ndarray | None = None):
         """(shard, key, count, first position, words) of all phrases of some lengths by shard and key; pairs: where a frequent pair begins."""
         parts = []
@@ -152,7 +158,7 @@ class Block:
             key = np.full(len(first), m, np.uint64)
             for j in range(m):
                 key = C.mix(key * ODD + self.hashes[self.ids[first + j]])
-            parts.append((key, count, first, np.full(len(first), m)))
+            parts.append((key, count.astype(np.uint32), first.astype(np.int32), np.full(len(first), m, np.int8)))
         key, count, first, m = (np.concatenate(x) for x in zip(*parts))
         shard = (C.mix(key ^ ODD) % np.uint64(self.n_shards)).astype(np.int64)
         by = np.lexsort((key, shard))
@@ -163,7 +169,7 @@ class Block:
         cut = [slice(i, j) for i, j in zip(at, np.r_[at[1:], len(shard)])]
         return pa.table({
             "shard": pa.array(used, pa.int32()), "block": pa.array([block] * len(used), pa.int64()),
-            "keys": C.packed([key[c] for c in cut]), "counts": C.packed([count[c].astype(np.uint32) for c in cut]),
+            "keys": C.packed([key[c] for c in cut]), "counts": C.packed([count[c] for c in cut]),
         })
 
     def answers(self, replies: pa.Table, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -177,29 +183,47 @@ class Block:
         return frequent, own, sums
 
     def spelled(self, first: np.ndarray, m: np.ndarray, sums: np.ndarray) -> pa.Table:
-        texts = [b" ".join([self.word(i) for i in self.ids[a : a + k].tolist()]) for a, k in zip(first.tolist(), m.tolist())]
-        return pa.table({"lang": pa.array([self.lang] * len(texts), pa.string()), "phrase": pa.array(texts, pa.binary()).cast(pa.string()), "f": pa.array(sums, pa.int64())})
+        words = pa.Array.from_buffers(pa.large_binary(), len(self.ends), [None, pa.py_buffer(np.r_[0, self.ends]), pa.py_buffer(self.raw)])
+        texts, f = [], []
+        for k in range(1, LONGEST + 1):
+            at = np.flatnonzero(m == k)
+            for i in range(0, len(at), SPELLED):
+                some = at[i : i + SPELLED]
+                parts = [words.take(pa.array(self.ids[first[some] + j] - np.uint32(1))) for j in range(k)]
+                texts.append(pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary())).cast(pa.string()))
+                f.append(pa.array(sums[some], pa.int64()))
+        n = sum(map(len, f))
+        return pa.table({"lang": pa.array([self.lang], pa.string()).take(pa.array(np.zeros(n, np.int64))), "phrase": pa.chunked_array(texts, pa.string()), "f": pa.chunked_array(f, pa.int64())})
 
 
 def merge(least: int):
     """Sums of the keys that blocks sent to one shard; each block hears which of its own reach the least count, and the first that sent such a key its sum."""
 
     def run(key: C.Key, sent: pa.Table) -> pa.Table:
-        sent = sent.sort_by("block")
-        keys = [C.read(x, np.uint64) for x in sent["keys"]]
+        rows = np.argsort(sent["block"].to_numpy())
+        column = lambda name, kind: [C.read(sent[name][i], kind) for i in rows.tolist()]
+        keys = column("keys", np.uint64)
         size = np.array([len(k) for k in keys])
         every = np.concatenate(keys)
         by = np.argsort(every, kind="stable")  # blocks ascend within a key
-        at = np.flatnonzero(np.r_[True, every[by][1:] != every[by][:-1]])
-        total = np.add.reduceat(np.concatenate([C.read(x, np.uint32) for x in sent["counts"]]).astype(np.int64)[by], at)
-        frequent, own, sums = np.zeros(len(every), bool), np.zeros(len(every), bool), np.zeros(len(every), np.int64)
-        frequent[by] = np.repeat(total >= least, np.diff(np.r_[at, len(every)]))
-        own[by[at]] = total >= least
-        sums[by[at]] = total
-        cut = [slice(b - n, b) for b, n in zip(np.cumsum(size).tolist(), size.tolist())]
+        every = every[by]
+        new = np.ones(len(every), bool)
+        new[1:] = every[1:] != every[:-1]
+        del every
+        at = np.flatnonzero(new)
+        total = np.add.reduceat(np.concatenate(column("counts", np.uint32))[by].astype(np.int64), at)
+        good = total >= least
+        frequent, own = np.zeros(len(by), bool), np.zeros(len(by), bool)
+        frequent[by] = np.repeat(good, np.diff(np.r_[at, len(by)]))
+        first, total = by[at[good]], total[good]
+        own[first] = True
+        total = total[np.argsort(first)]
+        end = np.cumsum(size)
+        held = np.r_[0, np.cumsum(own)][end]  # sums before a block's end
+        cut = [slice(b - n, b) for b, n in zip(end.tolist(), size.tolist())]
         return pa.table({
-            "block": sent["block"], "shard": sent["shard"], "frequent": C.packed([np.packbits(frequent[c]) for c in cut]),
-            "sums": C.packed([sums[c][own[c]] for c in cut]), "own": C.packed([np.packbits(own[c]) for c in cut]),
+            "block": sent["block"].take(pa.array(rows)), "shard": sent["shard"], "frequent": C.packed([np.packbits(frequent[c]) for c in cut]),
+            "sums": C.packed(np.split(total, held[:-1])), "own": C.packed([np.packbits(own[c]) for c in cut]),
         })
 
     return run
@@ -209,7 +233,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, Da
     """(lang, phrase, f) of all phrases of up to four words that occur often enough, and (lang, n) of all words."""
     n_shards = max(16, -(-C.text_bytes(docs) // SHARD_TEXT))
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
-    blocks = C.write_scratch(rows.mapInArrow(blocks_of, BLOCKS), "blocks")
+    blocks = C.write_scratch(rows.mapInArrow(blocks_of, BLOCKS), "blocks", **GROUP)
     totals = blocks.groupBy("lang").agg(F.sum("n").alias("n"))
     by_block = blocks.drop("n").groupBy("block")
 
@@ -233,8 +257,6 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, Da
         return found.message(key[0].as_py(), *found.phrases(3, 4, pairs=pairs_of(found, replies)[0])[:3])
 
     def three(key: C.Key, rows: pa.Table, replies: pa.Table) -> pa.Table:
-        import pyarrow.compute as pc
-
         found = Block(rows, n_shards)
         pairs, first, m, sums = pairs_of(found, replies.filter(pc.equal(replies["turn"], 1)))
         shard, _, _, start, size = found.phrases(3, 4, pairs=pairs)
@@ -248,6 +270,14 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, Da
     return C.write_scratch(by_block.cogroup(both.groupBy("block")).applyInArrow(three, PHRASES), "phrases"), totals
 
 
+def best(kept: DataFrame, top: int, n_parts: int) -> DataFrame:
+    """Each language's first top rows by rank; of its parts by phrase first, so that no task holds all rows of a language."""
+    order = F.desc("cut.score"), F.desc("a"), "phrase"
+    of = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    parts = kept.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(n_parts))).withColumn("rank", of("lang", "part")).filter(F.col("rank") <= top)
+    return parts.withColumn("rank", of("lang")).filter(F.col("rank") <= top)
+
+
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
     """Rows (lang, rank, phrase, a, l, r, n, score): each language's best phrases of two to four words.
 
@@ -270,8 +300,8 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFra
     inner = inner.select("lang", "f", "w", "k", F.explode(F.sequence(F.lit(1), F.col("m") - F.col("k") + 1)).alias("i"))
     inner = inner.select("lang", "f", part(F.col("i"), F.col("k")).alias("phrase")).groupBy("lang", "phrase").agg(F.max("f").alias("longer"))
     kept = scored.join(inner, ["lang", "phrase"], "left").filter("longer IS NULL OR CAST(longer AS DECIMAL(19, 0)) * 100 < CAST(a AS DECIMAL(19, 0)) * 80")
-    ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), "phrase")))
-    ranked = ranked.filter(F.col("rank") <= top).join(totals, "lang")
+    # as many parts as leave about as many rows in a part as the parts hand on
+    ranked = best(kept, top, 1 + isqrt(found.count() // max(1, top))).join(totals, "lang")
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
 
 

@@ -59,11 +59,11 @@ def scratch_dir(spark: SparkSession) -> str:
     return found
 
 
-def write_scratch(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends here."""
+def write_scratch(df: DataFrame, name: str, **options: int) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: lineage ends here. options: of the Parquet writer."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}-{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     for paths in _recorders:
         paths.append(path)
     return spark.read.schema(df.schema).parquet(path)

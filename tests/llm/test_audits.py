@@ -265,3 +265,47 @@ def test_suffix_array_of_words():
             first, count = collocations.intervals(ids, order, common, m)
             want = Counter(w for i in range(n - m + 1) if 0 not in (w := tuple(ids[i : i + m].tolist())))
             assert {tuple(ids[i : i + m].tolist()): c for i, c in zip(first.tolist(), count.tolist())} == want and len(first) == len(want)
+
+
+def test_phrases_are_spelled_in_little_memory():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from radarq.llm import common as C
+
+    text = " ".join(f"w{i}" for i in np.random.default_rng(5).integers(0, 20_000, 100_000).tolist())
+    words, ends, ids = collocations.word_ids(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+    block = collocations.Block(pa.table({"lang": ["en"], "part": [0], "words": C.packed([words]), "ends": C.packed([ends]), "ids": C.packed([ids])}), 4)
+    _, _, count, first, m = block.phrases(1, 2, 3, 4)
+    tracemalloc.start()
+    found = block.spelled(first, m, count)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    w = text.split()
+    want = Counter(" ".join(w[i : i + k]) for k in range(1, 5) for i in range(len(w) - k + 1))
+    assert dict(zip(found["phrase"].to_pylist(), found["f"].to_pylist())) == want and len(found) == len(want) and set(found["lang"].to_pylist()) == {"en"}
+    assert peak < 50 * len(want)  # 8 bytes of a number each, and what some are spelled with
+
+
+def test_no_task_ranks_a_whole_language(spark, monkeypatch):
+    rows = [("en", f"{i:04d}", 4000) for i in range(600)] + [("en", f"{i:04d} {i * 7 % 600:04d}", 1000 + i % 9) for i in range(600)]
+    found = spark.createDataFrame(rows, collocations.PHRASES)
+    monkeypatch.setattr(collocations, "frequent_phrases", lambda docs, least: (found, spark.createDataFrame([("en", 99)], "lang string, n long")))
+    df = collocations.collocations(None, top=20)
+    dealt = re.findall(r"Window \[.*?\], \[(.*?)\], \[", df._jdf.queryExecution().optimizedPlan().toString())
+    assert len(dealt) == 2 and dealt[0].count("#") == 1 and dealt[1].count("#") == 2  # the inner one first splits the language
+    want = sorted(((-a, p) for _, p, a in rows[600:]))[:20]
+    assert [(x.rank, x.a, x.phrase) for x in df.orderBy("rank").collect()] == [(i + 1, -a, p) for i, (a, p) in enumerate(want)]
+
+
+def test_blocks_have_no_large_cells(spark):
+    texts = [" ".join(f"w{i * k % 99_991}" for i in range(90_000)) for k in (7, 11)]
+    rows = spark.createDataFrame([("en", bytearray(x.encode())) for x in texts], "lang string, data binary").coalesce(1)
+    found = rows.mapInArrow(collocations.blocks_of, collocations.BLOCKS).toArrow()
+    assert max(len(x) for c in ("words", "ends", "ids") for x in found[c].to_pylist()) <= 64 << 10
+    assert sum(found["n"].to_pylist()) == 180_000 and len(set(found["block"].to_pylist())) == 1
+    block = collocations.Block(found.take(list(range(len(found)))[::-1]), 4)  # rows in any order
+    spelled = [block.raw[(block.ends[i - 2] if i > 1 else 0) : block.ends[i - 1]] for i in block.ids.tolist() if i]
+    assert b" ".join(spelled).decode() == " ".join(texts)
